@@ -37,7 +37,7 @@ PRIORITY_PRECEDENCE = [
     ("4-NOT SPECIFIED", "not specified", "Other"),
     ("5-LOW", "low", "Other"),
 ]
-PRICE_HIGH, PRICE_LOW = 1900.0, 1000.0
+PRICE_HIGH, PRICE_LOW = 990.0, 910.0
 EDGE_MIN_DISCOUNT = 0.04
 N_SEEDS = 100
 
@@ -164,7 +164,7 @@ best AS (
   JOIN prec p ON p.prioRank = b.r),
 partf AS (
   SELECT p_partkey AS l_partkey, p_brand,
-    CASE WHEN p_retailprice > 1900.0 THEN 'high price' WHEN p_retailprice < 1000.0 THEN 'low price' END AS priceTolerance
+    CASE WHEN p_retailprice > {PRICE_HIGH} THEN 'high price' WHEN p_retailprice < {PRICE_LOW} THEN 'low price' END AS priceTolerance
   FROM part),
 edges AS (
   SELECT DISTINCT l_partkey AS na, l_suppkey AS nb FROM lineitem
