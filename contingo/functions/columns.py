@@ -235,7 +235,8 @@ def r_number_text(x: str | Column, digits: int) -> Column:
     """Round and print without trailing zeros (``1.50`` -> ``1.5``,
     ``2.00`` -> ``2``)."""
     s = F.format_string(f"%.{digits}f", F.round(col(x), digits))
-    return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    text = F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(col(x).isNotNull(), text)
 
 
 def effect_text(or_col: str | Column, lo_col: str | Column, hi_col: str | Column,
