@@ -202,21 +202,24 @@ def softmax(arr: str | Column) -> Column:
 
 
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
+_LF_SMALL = 16
+# log(n!) for n < 16, computed here from the definition.
+_LF_TABLE = [math.lgamma(n + 1.0) for n in range(_LF_SMALL)]
 
 
 def log_factorial(n: str | Column) -> Column:
     """log(n!) = lgamma(n + 1) for n >= 0 as a column expression (Spark has no
-    lgamma).  The argument is shifted up by 8 and the Stirling series is taken
-    to the z^-11 term; the error is far below 1e-12 for every n."""
-    x = col(n).cast("double") + F.lit(1.0)
-    shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
-    z = x + F.lit(8.0)
+    lgamma): a small literal table below 16, else the Stirling series to the
+    z^-7 term (truncation error below 1e-14 there)."""
+    x = col(n).cast("double")
+    z = x + F.lit(1.0)
     zi = F.lit(1.0) / z
     zi2 = zi * zi
     series = zi * (F.lit(1.0 / 12) + zi2 * (F.lit(-1.0 / 360) + zi2 * (
-        F.lit(1.0 / 1260) + zi2 * (F.lit(-1.0 / 1680) + zi2 * (
-            F.lit(1.0 / 1188) + zi2 * F.lit(-691.0 / 360360))))))
-    return (z - F.lit(0.5)) * F.log(z) - z + F.lit(_HALF_LOG_2PI) + series - shift
+        F.lit(1.0 / 1260) + zi2 * F.lit(-1.0 / 1680))))
+    stirling = (z - F.lit(0.5)) * F.log(z) - z + F.lit(_HALF_LOG_2PI) + series
+    small = F.element_at(F.array(*[F.lit(v) for v in _LF_TABLE]), col(n).cast("int") + 1)
+    return F.when(x < _LF_SMALL, small).otherwise(stirling)
 
 
 def md5_unit_hash(*cols: str | Column) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contingo.functions.columns import md5_unit_hash
@@ -86,12 +86,14 @@ def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence
     exploded = (cohort.select(*[i.alias(n) for n, i in zip(id_names, ids)], F.explode(events).alias("e"))
                 .select(*id_names, "e.*"))
     counts = exploded.distinct().groupBy("kind", "seed", "pv").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.where(F.col("kind") == 0).select(F.col("n").alias("total"), F.lit(1).alias("_k"))
-    pred_tot = counts.where(F.col("kind") == 2).select("pv", F.col("n").alias("predictionTotal"))
-    comp_tot = counts.where(F.col("kind") == 1).select("seed", F.col("n").alias("comparisonTotal"))
-    pairs = counts.where(F.col("kind") == 3).select("seed", "pv", F.col("n").alias("a"))
-    out = (pairs.join(comp_tot, "seed").join(pred_tot, "pv")
-           .withColumn("_k", F.lit(1)).join(total, "_k").drop("_k"))
+    kind, n = F.col("kind"), F.col("n")
+    # seed-free counts (kinds 0 and 2) sit in the null-seed partition; the
+    # windows below spread them to every seed without a second pass.
+    out = (counts
+           .withColumn("total", F.max(F.when(kind == 0, n)).over(Window.partitionBy(F.lit(1))))
+           .withColumn("predictionTotal", F.max(F.when(kind == 2, n)).over(Window.partitionBy("pv")))
+           .withColumn("comparisonTotal", F.max(F.when(kind == 1, n)).over(Window.partitionBy("seed")))
+           .where(kind == 3).withColumnRenamed("n", "a"))
     out = out.select("seed", F.col("pv").alias("prediction"), F.lit(comparison_value).alias("comparison"),
                      F.lit(comparison_type).alias("comparisonType"),
                      F.lit(prediction_type).alias("predictionType"),

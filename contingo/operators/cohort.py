@@ -53,10 +53,14 @@ def max_score_tiers(df: DataFrame, keys: Sequence[str], score: str, cutoffs: Seq
 
 
 def undirected_edges(edges: DataFrame, a: str, b: str, a_out: str = "nodeA", b_out: str = "nodeB") -> DataFrame:
-    """G2 + G5: distinct edges plus their reverse, deduplicated."""
-    e = edges.where(F.col(b).isNotNull()).select(F.col(a).alias(a_out), F.col(b).alias(b_out)).distinct()
-    rev = e.select(F.col(b_out).alias(a_out), F.col(a_out).alias(b_out))
-    return e.unionByName(rev).distinct()
+    """G2 + G5: edges plus their reverse, deduplicated.  Both directions come
+    out of one explode, so the edge table is read once and one distinct
+    (partially aggregated map-side) covers both the edge and the union
+    deduplication of the reference."""
+    e = edges.where(F.col(b).isNotNull())
+    both = F.array(F.struct(F.col(a).alias(a_out), F.col(b).alias(b_out)),
+                   F.struct(F.col(b).alias(a_out), F.col(a).alias(b_out)))
+    return e.select(F.inline(both)).distinct()
 
 
 def neighbour_degree(edges: DataFrame, a: str, b: str, node_out: str = "node",

@@ -13,16 +13,15 @@ Here every pair, every marginal and the total come out of ONE pass:
 * one ``groupBy(stratum, event).count()`` gives every count at once; it is
   partially aggregated, so a category holding a third of all rows costs one
   row per map task in the shuffle;
-* the tiny count table is split by kind and joined to itself.  Spark reuses
-  the one exchange for all four branches, and AQE broadcasts the marginal
-  tables from their measured size (sort-merge join otherwise).
+* marginals and totals are attached to the pair rows by windows over the
+  tiny count table, so nothing upstream is computed twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Spec = tuple[str, str]  # (column name, type label)
@@ -33,14 +32,6 @@ OUTPUT_COLUMNS = ["prediction", "comparison", "comparisonType", "predictionType"
 _K_TOTAL, _K_COMP, _K_PRED, _K_PAIR = 0, 1, 2, 3
 
 
-def _spec_array(specs: Sequence[Spec | tuple[Column, str]]) -> Column:
-    items = []
-    for i, (c, _t) in enumerate(specs):
-        value = F.col(c) if isinstance(c, str) else c
-        items.append(F.named_struct(F.lit("k"), F.lit(i), F.lit("v"), value.cast("string")))
-    return F.filter(F.array(*items), lambda s: s["v"].isNotNull())
-
-
 def _event(kind: int, ck=None, cv=None, pk=None, pv=None) -> Column:
     null_i, null_s = F.lit(None).cast("int"), F.lit(None).cast("string")
     return F.named_struct(F.lit("kind"), F.lit(kind),
@@ -72,33 +63,42 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
     ignored, and ``total`` counts every distinct id of the stratum.
     """
     ids = [F.col(c) for c in id_cols]
-    comps, preds = _spec_array(comparisons), _spec_array(predictions)
-    events = F.concat(
-        F.array(_event(_K_TOTAL)),
-        F.transform(comps, lambda c: _event(_K_COMP, ck=c["k"], cv=c["v"])),
-        F.transform(preds, lambda p: _event(_K_PRED, pk=p["k"], pv=p["v"])),
-        F.flatten(F.transform(comps, lambda c: F.transform(
-            preds, lambda p: _event(_K_PAIR, c["k"], c["v"], p["k"], p["v"])))),
+    cvals = [(F.col(c) if isinstance(c, str) else c).cast("string") for c, _t in comparisons]
+    pvals = [(F.col(p) if isinstance(p, str) else p).cast("string") for p, _t in predictions]
+    # A static array of every possible event (no lambdas: the explode stays in
+    # generated code); events whose category is null are filtered right after.
+    events = F.array(
+        _event(_K_TOTAL),
+        *[_event(_K_COMP, ck=F.lit(i), cv=v) for i, v in enumerate(cvals)],
+        *[_event(_K_PRED, pk=F.lit(j), pv=v) for j, v in enumerate(pvals)],
+        *[_event(_K_PAIR, F.lit(i), cv, F.lit(j), pv)
+          for i, cv in enumerate(cvals) for j, pv in enumerate(pvals)],
     )
+    kind, cv, pv = F.col("kind"), F.col("cv"), F.col("pv")
+    present = (kind == _K_TOTAL) | (((kind == _K_PRED) | cv.isNotNull()) & ((kind == _K_COMP) | pv.isNotNull()))
     strata_arr = strata if strata is not None else F.array(F.lit("all"))
     id_names = [f"_id{n}" for n in range(len(ids))]
     exploded = (df.select(*[i.alias(n) for n, i in zip(id_names, ids)],
                           F.explode(strata_arr).alias(stratum_col), events.alias("_ev"))
                   .select(stratum_col, *id_names, F.explode("_ev").alias("e"))
-                  .select(stratum_col, *id_names, "e.*"))
+                  .select(stratum_col, *id_names, "e.*")
+                  .where(present))
     keys = [stratum_col, "kind", "ck", "cv", "pk", "pv"]
     counts = (exploded.distinct()                      # one row per (id, event)
               .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    total = counts.where(F.col("kind") == _K_TOTAL).select(stratum_col, F.col("n").alias("total"))
-    comp_tot = counts.where(F.col("kind") == _K_COMP).select(
-        stratum_col, "ck", "cv", F.col("n").alias("comparisonTotal"))
-    pred_tot = counts.where(F.col("kind") == _K_PRED).select(
-        stratum_col, "pk", "pv", F.col("n").alias("predictionTotal"))
-    pairs = counts.where(F.col("kind") == _K_PAIR).select(
-        stratum_col, "ck", "cv", "pk", "pv", F.col("n").alias("a"))
-    out = (pairs.join(comp_tot, [stratum_col, "ck", "cv"])
-                .join(pred_tot, [stratum_col, "pk", "pv"])
-                .join(total, [stratum_col]))
+    # Marginals and totals are attached with windows over the small count
+    # table (one row per category value or pair), so the one lineage above is
+    # computed once; a split-and-join would let filters slide below the
+    # aggregate and recompute the whole pass per branch.
+    n = F.col("n")
+    out = (counts
+           .withColumn("comparisonTotal", F.max(F.when(kind == _K_COMP, n)).over(
+               Window.partitionBy(stratum_col, "ck", "cv")))
+           .withColumn("predictionTotal", F.max(F.when(kind == _K_PRED, n)).over(
+               Window.partitionBy(stratum_col, "pk", "pv")))
+           .withColumn("total", F.max(F.when(kind == _K_TOTAL, n)).over(Window.partitionBy(stratum_col)))
+           .where(kind == _K_PAIR)
+           .withColumnRenamed("n", "a"))
     out = out.select(
         stratum_col,
         F.col("pv").alias("prediction"), F.col("cv").alias("comparison"),

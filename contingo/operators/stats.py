@@ -44,54 +44,71 @@ def with_odds_ratio(df: DataFrame, a="a", b="b", c="c", d="d") -> DataFrame:
     return df.withColumns({"or_result": odds, "lower_ci": lo, "upper_ci": hi})
 
 
-def fisher_exact_pvalues(tables: DataFrame, a="a", b="b", c="c", d="d",
-                         out: str = "pvalue") -> DataFrame:
-    """H2: two-sided Fisher exact p for every distinct (a, b, c, d): the sum
-    of the hypergeometric probabilities not above the observed one.
-
-    The support is exploded into rows (whole-stage codegen per term) and summed
-    by a partial aggregate; only the Hoeffding window around the mean is
-    generated (see ``_TAIL_CONST``), so the work per table grows with the
-    square root of its smaller margin rather than with the margin.
-    """
-    A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
-    t = (tables.select(A.alias("_a"), B.alias("_b"), C.alias("_c"), D.alias("_d")).distinct()
-         .withColumn("_r1", F.col("_a") + F.col("_b"))
-         .withColumn("_c1", F.col("_a") + F.col("_c"))
-         .withColumn("_n", F.col("_r1") + F.col("_c") + F.col("_d")))
-    lo = F.greatest(F.lit(0).cast("long"), F.col("_a") - F.col("_d"))
-    hi = F.least(F.col("_r1"), F.col("_c1"))
-    mean = F.try_divide(F.col("_r1").cast("double") * F.col("_c1"), F.col("_n").cast("double"))
-    half = F.sqrt(F.lit(_TAIL_CONST) * F.least(F.col("_r1"), F.col("_c1")).cast("double"))
+def _fisher_parts(a: Column, b: Column, c: Column, d: Column):
+    """(valid, kmin, kmax, const, dsum) for the tables given by four long
+    columns.  dsum(k) = log(k! (r1-k)! (c1-k)! (n-r1-c1+k)!), so the
+    probability of k is exp(const - dsum(k))."""
+    r1, c1 = a + b, a + c
+    n = r1 + c + d
+    valid = (n > 0) & (F.least(a, b, c, d) >= 0)
+    lo = F.greatest(F.lit(0).cast("long"), a - d)
+    hi = F.least(r1, c1)
+    mean = F.try_divide(r1.cast("double") * c1, n.cast("double"))
+    half = F.sqrt(F.lit(_TAIL_CONST) * F.least(r1, c1).cast("double"))
     kmin = F.greatest(lo, F.floor(mean - half).cast("long"))
     kmax = F.least(hi, F.ceil(mean + half).cast("long"))
+    const = (log_factorial(r1) + log_factorial(n - r1) + log_factorial(c1) + log_factorial(n - c1)
+             - log_factorial(n))
 
     def dsum(k: Column) -> Column:
-        # log of k! (r1-k)! (c1-k)! (n-r1-c1+k)!  -- the k-dependent part
-        return (log_factorial(k) + log_factorial(F.col("_r1") - k) + log_factorial(F.col("_c1") - k)
-                + log_factorial(F.col("_d") - F.col("_a") + k))
-
-    const = (log_factorial(F.col("_r1")) + log_factorial(F.col("_n") - F.col("_r1"))
-             + log_factorial(F.col("_c1")) + log_factorial(F.col("_n") - F.col("_c1"))
-             - log_factorial(F.col("_n")))
-    terms = (t.where((F.col("_n") > 0) & (F.least("_a", "_b", "_c", "_d") >= 0))
-             .withColumn("_const", const)
-             .withColumn("_dobs", dsum(F.col("_a")))
-             .withColumn("_k", F.explode(F.sequence(kmin, kmax)))
-             .withColumn("_dk", dsum(F.col("_k"))))
+        return log_factorial(k) + log_factorial(r1 - k) + log_factorial(c1 - k) + log_factorial(d - a + k)
+    return valid, kmin, kmax, const, dsum
+
+
+def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pvalue") -> DataFrame:
+    """H2: two-sided Fisher exact p per row: the sum of the hypergeometric
+    probabilities not above the observed one (ties within 1e-7 in log space).
+
+    Each row's support window is exploded into rows (whole-stage codegen per
+    term) and summed back by grouping on all the row's columns; the terms of a
+    row are generated inside one task, so the partial aggregate folds them
+    before any shuffle, and the input is computed once (no self-join).
+    Identical rows are folded together and restored with their multiplicity.
+    Only the Hoeffding window around the mean is generated (``_TAIL_CONST``),
+    so the work per table grows with the square root of its smaller margin.
+    Rows that are not valid tables (negative cells, empty) get null.
+    """
+    cols = df.columns
+    A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
+    valid, kmin, kmax, const, dsum = _fisher_parts(A, B, C, D)
+    width = F.when(valid, kmax - kmin + 1).otherwise(F.lit(1).cast("long"))
+    # Per-row constants first; the exchange on the cells both balances the
+    # rows (tables) over tasks and keeps the per-term code small enough for
+    # the JIT (one generated method per stage).
+    rows = (df.withColumn("_w", width).withColumn("_const", const).withColumn("_dobs", dsum(A))
+              .withColumn("_kmin", F.when(valid, kmin)).withColumn("_kmax", F.when(valid, kmax))
+              .repartition(A, B, C, D))
+    terms = (rows.withColumn("_k", F.explode_outer(F.sequence(F.col("_kmin"), F.col("_kmax"))))
+             .withColumn("_dk", dsum(F.col("_k").cast("long"))))
     keep = F.col("_dk") >= F.col("_dobs") - F.lit(FISHER_LOG_TOL)
-    p = (terms.groupBy("_a", "_b", "_c", "_d")
-         .agg(F.sum(F.when(keep, F.exp(F.col("_const") - F.col("_dk"))).otherwise(F.lit(0.0))).alias("_p")))
-    return p.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_c").alias(c),
-                    F.col("_d").alias(d), F.least(F.col("_p"), F.lit(1.0)).alias(out))
+    term = F.when(keep, F.exp(F.col("_const") - F.col("_dk"))).otherwise(F.lit(0.0))
+    agg = terms.groupBy(*cols).agg(F.sum(term).alias("_s"), F.count(F.lit(1)).alias("_cnt"),
+                                   F.max("_w").alias("_w"))
+    reps = (F.col("_cnt") / F.col("_w")).cast("int")
+    return (agg.withColumn(out, F.when(valid, F.least(F.col("_s") / reps, F.lit(1.0))))
+               .withColumn("_rep", F.explode(F.array_repeat(F.lit(1), reps)))
+               .select(*cols, out))
+
+
+def fisher_exact_pvalues(tables: DataFrame, a="a", b="b", c="c", d="d", out: str = "pvalue") -> DataFrame:
+    """H2 for the distinct tables of ``tables``: (a, b, c, d, pvalue)."""
+    return with_fisher_pvalue(tables.select(a, b, c, d).distinct(), a, b, c, d, out)
 
 
 def with_fisher_and_or(df: DataFrame, a="a", b="b", c="c", d="d") -> DataFrame:
     """H3 replacement: or_result, lower_ci, upper_ci, pvalue as native
-    columns.  The p-values of the distinct tables are joined back on the
-    four cells (a tiny table: AQE broadcasts it from its measured size)."""
-    p = fisher_exact_pvalues(df, a, b, c, d)
-    return with_odds_ratio(df.join(p, [a, b, c, d], "left"), a, b, c, d)
+    columns, in one pass over the input."""
+    return with_odds_ratio(with_fisher_pvalue(df, a, b, c, d), a, b, c, d)
 
 
 def bh_adjust(df: DataFrame, p_col: str = "pvalue", group_cols: Sequence[str] = (
