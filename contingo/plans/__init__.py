@@ -1,7 +1,7 @@
 """Named queries bound to the test tables and their oracle SQL."""
 
 from contingo.plans.common import REGISTRY  # noqa: F401
-from contingo.plans import enrichment, features, reports, textq  # noqa: F401  (registers queries)
+from contingo.plans import enrichment, features, io_q, reports, textq  # noqa: F401  (registers queries)
 
 
 def all_queries():
