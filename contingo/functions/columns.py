@@ -218,8 +218,8 @@ def log_factorial(n: str | Column) -> Column:
     series = zi * (F.lit(1.0 / 12) + zi2 * (F.lit(-1.0 / 360) + zi2 * (
         F.lit(1.0 / 1260) + zi2 * F.lit(-1.0 / 1680))))
     stirling = (z - F.lit(0.5)) * F.log(z) - z + F.lit(_HALF_LOG_2PI) + series
-    small = F.element_at(F.array(*[F.lit(v) for v in _LF_TABLE]), col(n).cast("int") + 1)
-    return F.when(x < _LF_SMALL, small).otherwise(stirling)
+    small = F.try_element_at(F.array(*[F.lit(v) for v in _LF_TABLE]), col(n).cast("int") + 1)
+    return F.when(x < 0, F.lit(None).cast("double")).when(x < _LF_SMALL, small).otherwise(stirling)
 
 
 def md5_unit_hash(*cols: str | Column) -> Column:
