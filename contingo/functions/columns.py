@@ -230,6 +230,49 @@ def md5_unit_hash(*cols: str | Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+_MASK32 = 0xFFFFFFFF
+# The 32-bit murmur3 finaliser constants and the golden-ratio
+# increment used to fold a seed into a 32-bit key.
+_GOLDEN32, _FMIX1, _FMIX2 = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
+
+
+def _mul32(h: Column, c: int) -> Column:
+    """(h * c) mod 2^32 for 0 <= h < 2^32 without 64-bit overflow (the
+    constant is split in 16-bit halves)."""
+    lo, hi = c & 0xFFFF, c >> 16
+    part = (h * F.lit(hi)).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536)
+    return (h * F.lit(lo) + part).bitwiseAND(F.lit(_MASK32))
+
+
+def mix32(key32: str | Column, seed: str | Column) -> Column:
+    """A well-mixed 32-bit value of (key, seed): the seed times the golden
+    ratio constant is xored into the key, then the murmur3 finaliser runs.
+    Integer operations only, so any SQL engine reproduces it bit for bit;
+    ``key32`` is a hash in [0, 2^32) computed once per key (e.g.
+    ``md5_unit_hash``), so a sweep over many seeds costs a few integer
+    operations per seed instead of one digest per seed."""
+    k = col(key32).cast("long")
+    sd = ((col(seed).cast("long") + F.lit(1)) * F.lit(_GOLDEN32)).bitwiseAND(F.lit(_MASK32))
+    x = k.bitwiseXOR(sd)
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    x = _mul32(x, _FMIX1)
+    x = x.bitwiseXOR(F.shiftright(x, 13))
+    x = _mul32(x, _FMIX2)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def sql_mix32(key32: str, seed: str) -> str:
+    """The same function as DuckDB SQL text (for oracles)."""
+    def mul(h: str, c: int) -> str:
+        return f"(({h}) * {c & 0xFFFF} + ((({h}) * {c >> 16}) & 65535) * 65536) & {_MASK32}"
+    x = f"xor(CAST({key32} AS BIGINT), ((CAST({seed} AS BIGINT) + 1) * {_GOLDEN32}) & {_MASK32})"
+    x = f"xor({x}, ({x}) >> 16)"
+    x = mul(x, _FMIX1)
+    x = f"xor({x}, ({x}) >> 13)"
+    x = mul(x, _FMIX2)
+    return f"xor({x}, ({x}) >> 16)"
+
+
 def round_half_up(x: str | Column, digits: int) -> Column:
     return F.round(col(x), digits)
 

@@ -5,7 +5,7 @@ The reference builds targets x diseases with a cross join, "samples" it with
 and keeps the first n rows, once per seed in a driver loop of 100 passes.
 
 Here a pair belongs to the random universe of seed s when
-``hash(pair, s) < n / (T * D)`` (n = observed association pairs, T and D the
+``mix32(md5_32(pair), s) / 2^32 < n / (T * D)`` (n = observed association pairs, T and D the
 two entity counts): a seeded Bernoulli subset with expected size n, decided
 per pair without enumerating T x D.  Only the cohort's own pairs are ever
 consumed (by a left join), so membership is evaluated on those alone; the
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contingo.functions.columns import md5_unit_hash
+from contingo.functions.columns import md5_unit_hash, mix32
 from contingo.operators.counts import fill_two_by_two
 
 _TWO_32 = 4294967296.0
@@ -35,25 +35,16 @@ def sampling_fraction(associations: DataFrame, pair_cols: Sequence[str], left_en
     return n / (t * d)
 
 
-def member_seeds(pair_cols: Sequence[str], threshold: str, n_seeds: int) -> Column:
-    """the seeds (0..n_seeds-1) whose random universe contains the pair;
-    ``threshold`` names a column holding fraction * 2^32."""
-    return F.filter(F.sequence(F.lit(0), F.lit(n_seeds - 1)),
-                    lambda s: md5_unit_hash(*pair_cols, s).cast("double") < F.col(threshold))
-
-
-def with_threshold(df: DataFrame, fraction: Column, name: str = "_thr") -> DataFrame:
-    """Attach fraction * 2^32 (a scalar subquery, evaluated once) as a column
-    so the per-seed lambda only reads a plain attribute."""
-    return df.withColumn(name, fraction * F.lit(_TWO_32))
-
-
 def universe_membership(pairs: DataFrame, pair_cols: Sequence[str], fraction: Column,
                         n_seeds: int) -> DataFrame:
     """C7 + F3: (pair, seed) for every distinct pair and every seed whose
-    random universe contains it."""
-    base = with_threshold(pairs.select(*pair_cols).distinct(), fraction)
-    return base.select(*pair_cols, F.explode(member_seeds(pair_cols, "_thr", n_seeds)).alias("seed"))
+    random universe contains it: mix32(md5_32(pair), seed) < fraction * 2^32.
+    One digest per distinct pair; the seeds are exploded as rows and tested
+    with integer operations in generated code (never per cohort row)."""
+    keyed = pairs.select(*pair_cols).distinct().withColumn("_h", md5_unit_hash(*pair_cols))
+    return (keyed.select(*pair_cols, "_h", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
+            .where(mix32("_h", "seed").cast("double") < fraction * F.lit(_TWO_32))
+            .drop("_h"))
 
 
 def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence[str],
@@ -67,24 +58,23 @@ def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence
     member seeds of each row, so the work grows with n / (T*D) x seeds, not
     with seeds x rows.  Output: one row per (seed, prediction) with a >= 1.
     """
-    ids = [F.col(c) for c in id_cols]
-    pred = F.col(prediction).cast("string")
-    cohort = with_threshold(cohort, fraction)
-    seeds = member_seeds(pair_cols, "_thr", n_seeds)
+    id_names = [f"_id{n}" for n in range(len(id_cols))]
+    rows = cohort.select(*[F.col(c).alias(n) for n, c in zip(id_names, id_cols)], *pair_cols,
+                         F.col(prediction).cast("string").alias("pv"))
     null_i = F.lit(None).cast("int")
-    null_s = F.lit(None).cast("string")
-    ev = lambda kind, seed, pv: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("seed"), seed, F.lit("pv"), pv)
-    events = F.concat(
-        F.array(ev(0, null_i, null_s)),
-        F.when(pred.isNotNull(), F.array(ev(2, null_i, pred))).otherwise(F.array().cast(
-            "array<struct<kind:int,seed:int,pv:string>>")),
-        F.transform(seeds, lambda s: ev(1, s, null_s)),
-        F.when(pred.isNotNull(), F.transform(seeds, lambda s: ev(3, s, pred))).otherwise(
-            F.array().cast("array<struct<kind:int,seed:int,pv:string>>")),
-    )
-    id_names = [f"_id{n}" for n in range(len(ids))]
-    exploded = (cohort.select(*[i.alias(n) for n, i in zip(id_names, ids)], F.explode(events).alias("e"))
-                .select(*id_names, "e.*"))
+    # seed-free events: the total and one per non-null prediction
+    free = rows.select(*id_names, F.explode(F.array(
+        F.named_struct(F.lit("kind"), F.lit(0), F.lit("seed"), null_i, F.lit("pv"), F.lit(None).cast("string")),
+        F.named_struct(F.lit("kind"), F.lit(2), F.lit("seed"), null_i, F.lit("pv"), F.col("pv")))).alias("e")) \
+        .select(*id_names, "e.*").where((F.col("kind") == 0) | F.col("pv").isNotNull())
+    # seeded events: rows whose pair is a member of the seed's universe
+    members = universe_membership(rows, pair_cols, fraction, n_seeds)
+    seeded = rows.join(members, list(pair_cols), "inner").select(*id_names, F.explode(F.array(
+        F.named_struct(F.lit("kind"), F.lit(1), F.lit("seed"), F.col("seed"), F.lit("pv"),
+                       F.lit(None).cast("string")),
+        F.named_struct(F.lit("kind"), F.lit(3), F.lit("seed"), F.col("seed"), F.lit("pv"), F.col("pv")))).alias("e")) \
+        .select(*id_names, "e.*").where((F.col("kind") == 1) | F.col("pv").isNotNull())
+    exploded = free.unionByName(seeded)
     counts = exploded.distinct().groupBy("kind", "seed", "pv").agg(F.count(F.lit(1)).alias("n"))
     kind, n = F.col("kind"), F.col("n")
     # seed-free counts (kinds 0 and 2) sit in the null-seed partition; the

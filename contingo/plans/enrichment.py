@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contingo.functions.columns import (at_least_labels, collapse_to_default, keep_if_in,
-                                        label_if_in, two_sided_bin)
+                                        label_if_in, sql_mix32, two_sided_bin)
 from contingo.operators.baseline import null_baseline, sampling_fraction, universe_membership
 from contingo.operators.cohort import best_category, max_score_tiers, neighbour_degree
 from contingo.operators.counts import OUTPUT_COLUMNS, contingency_counts, contingency_sweep, distinct_count_by
@@ -379,10 +379,12 @@ SQL_BASELINE_CTES = f"""
 frac AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))::DOUBLE
           / ((SELECT count(*) FROM part)::DOUBLE * (SELECT count(*) FROM supplier)::DOUBLE) AS f),
 pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+hashed AS (SELECT l_partkey, l_suppkey, ('0x' || substr(md5(concat_ws('|', l_partkey, l_suppkey)), 1, 8))::BIGINT AS h
+           FROM pairs),
 members AS (
   SELECT l_partkey, l_suppkey, s AS seed
-  FROM pairs, frac, (SELECT unnest(range(0, {N_SEEDS}))::INTEGER AS s) seeds
-  WHERE ('0x' || substr(md5(concat_ws('|', l_partkey, l_suppkey, s)), 1, 8))::BIGINT::DOUBLE < f * 4294967296.0)"""
+  FROM hashed, frac, (SELECT unnest(range(0, {N_SEEDS}))::INTEGER AS s) seeds
+  WHERE CAST({sql_mix32('h', 's')} AS DOUBLE) < f * 4294967296.0)"""
 
 
 @query("universe_sample", f"""WITH {SQL_BASELINE_CTES}
