@@ -1,0 +1,5 @@
+"""No streaming operators: the analysed workload is batch only (no stream
+reads, watermarks, windows over event time or state).  Every operator in
+this package is a DataFrame -> DataFrame function, so it can be applied to
+each micro-batch of a Structured Streaming query through ``foreachBatch``
+when a caller needs that; nothing here is stream-specific."""
