@@ -6,7 +6,7 @@ Here every pair, every marginal and the total come out of ONE pass:
 
 * each cohort row emits small "events": one per non-null comparison value,
   one per non-null prediction value, one per (comparison, prediction) pair
-  and one for the total, tagged with a kind and the stratum;
+  and one for the total (the cross of two short arrays, see below);
 * ``distinct`` on (stratum, id, event) removes the fan-out of repeated rows
   map-side (partial aggregation), so a hot entity or a hot category never
   ships more than one row per distinct event per task;
@@ -29,18 +29,6 @@ Spec = tuple[str, str]  # (column name, type label)
 OUTPUT_COLUMNS = ["prediction", "comparison", "comparisonType", "predictionType", "a",
                   "predictionTotal", "comparisonTotal", "total", "b", "c", "d"]
 
-_K_TOTAL, _K_COMP, _K_PRED, _K_PAIR = 0, 1, 2, 3
-
-
-def _event(kind: int, ck=None, cv=None, pk=None, pv=None) -> Column:
-    null_i, null_s = F.lit(None).cast("int"), F.lit(None).cast("string")
-    return F.named_struct(F.lit("kind"), F.lit(kind),
-                          F.lit("ck"), ck if ck is not None else null_i,
-                          F.lit("cv"), cv if cv is not None else null_s,
-                          F.lit("pk"), pk if pk is not None else null_i,
-                          F.lit("pv"), pv if pv is not None else null_s)
-
-
 def _type_map(specs: Sequence[Spec]) -> Column:
     return F.create_map(*[x for i, (_c, t) in enumerate(specs) for x in (F.lit(i), F.lit(t))])
 
@@ -52,6 +40,15 @@ def fill_two_by_two(df: DataFrame) -> DataFrame:
               .withColumn("d", F.col("total") - F.col("a") - F.col("b") - F.col("c")))
 
 
+def _marked_array(specs: Sequence[Spec]) -> Column:
+    """[none-marker, (0, value0), (1, value1), ...] as (k int, v string)."""
+    items = [F.named_struct(F.lit("k"), F.lit(-1), F.lit("v"), F.lit(None).cast("string"))]
+    for i, (c, _t) in enumerate(specs):
+        value = F.col(c) if isinstance(c, str) else c
+        items.append(F.named_struct(F.lit("k"), F.lit(i), F.lit("v"), value.cast("string")))
+    return F.array(*items)
+
+
 def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequence[Spec],
                       predictions: Sequence[Spec], strata: Column | None = None,
                       stratum_col: str = "stratum") -> DataFrame:
@@ -61,43 +58,41 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
     belongs to (e.g. ``all`` plus a subgroup); totals are recomputed per
     stratum.  Only observed pairs (a >= 1) are emitted, null categories are
     ignored, and ``total`` counts every distinct id of the stratum.
+
+    Events come from crossing (comparisons + none) with (predictions + none)
+    per row: (none, none) is the total, (c, none) a comparison, (none, p) a
+    prediction, (c, p) a pair.  Two short explodes keep the generated code
+    small; null category values are dropped right after each explode.
     """
     ids = [F.col(c) for c in id_cols]
-    cvals = [(F.col(c) if isinstance(c, str) else c).cast("string") for c, _t in comparisons]
-    pvals = [(F.col(p) if isinstance(p, str) else p).cast("string") for p, _t in predictions]
-    # A static array of every possible event (no lambdas: the explode stays in
-    # generated code); events whose category is null are filtered right after.
-    events = F.array(
-        _event(_K_TOTAL),
-        *[_event(_K_COMP, ck=F.lit(i), cv=v) for i, v in enumerate(cvals)],
-        *[_event(_K_PRED, pk=F.lit(j), pv=v) for j, v in enumerate(pvals)],
-        *[_event(_K_PAIR, F.lit(i), cv, F.lit(j), pv)
-          for i, cv in enumerate(cvals) for j, pv in enumerate(pvals)],
-    )
-    kind, cv, pv = F.col("kind"), F.col("cv"), F.col("pv")
-    present = (kind == _K_TOTAL) | (((kind == _K_PRED) | cv.isNotNull()) & ((kind == _K_COMP) | pv.isNotNull()))
     strata_arr = strata if strata is not None else F.array(F.lit("all"))
     id_names = [f"_id{n}" for n in range(len(ids))]
+    c, p = F.col("_c"), F.col("_p")
     exploded = (df.select(*[i.alias(n) for n, i in zip(id_names, ids)],
-                          F.explode(strata_arr).alias(stratum_col), events.alias("_ev"))
-                  .select(stratum_col, *id_names, F.explode("_ev").alias("e"))
-                  .select(stratum_col, *id_names, "e.*")
-                  .where(present))
-    keys = [stratum_col, "kind", "ck", "cv", "pk", "pv"]
+                          F.explode(strata_arr).alias(stratum_col),
+                          _marked_array(comparisons).alias("_ca"), _marked_array(predictions).alias("_pa"))
+                  .select(stratum_col, *id_names, F.explode("_ca").alias("_c"), "_pa")
+                  .where((c["k"] < 0) | c["v"].isNotNull())
+                  .select(stratum_col, *id_names, "_c", F.explode("_pa").alias("_p"))
+                  .where((p["k"] < 0) | p["v"].isNotNull())
+                  .select(stratum_col, *id_names,
+                          F.when(c["k"] >= 0, c["k"]).alias("ck"), c["v"].alias("cv"),
+                          F.when(p["k"] >= 0, p["k"]).alias("pk"), p["v"].alias("pv")))
+    keys = [stratum_col, "ck", "cv", "pk", "pv"]
     counts = (exploded.distinct()                      # one row per (id, event)
               .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     # Marginals and totals are attached with windows over the small count
     # table (one row per category value or pair), so the one lineage above is
     # computed once; a split-and-join would let filters slide below the
     # aggregate and recompute the whole pass per branch.
-    n = F.col("n")
+    n, ck, pk = F.col("n"), F.col("ck"), F.col("pk")
     out = (counts
-           .withColumn("comparisonTotal", F.max(F.when(kind == _K_COMP, n)).over(
+           .withColumn("comparisonTotal", F.max(F.when(pk.isNull(), n)).over(
                Window.partitionBy(stratum_col, "ck", "cv")))
-           .withColumn("predictionTotal", F.max(F.when(kind == _K_PRED, n)).over(
+           .withColumn("predictionTotal", F.max(F.when(ck.isNull(), n)).over(
                Window.partitionBy(stratum_col, "pk", "pv")))
-           .withColumn("total", F.max(F.when(kind == _K_TOTAL, n)).over(Window.partitionBy(stratum_col)))
-           .where(kind == _K_PAIR)
+           .withColumn("total", F.max(F.when(ck.isNull() & pk.isNull(), n)).over(Window.partitionBy(stratum_col)))
+           .where(ck.isNotNull() & pk.isNotNull())
            .withColumnRenamed("n", "a"))
     out = out.select(
         stratum_col,
