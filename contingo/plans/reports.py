@@ -284,3 +284,80 @@ def q_label_clean(spark, d):
     raw = F.concat_ws("_", "p_type", "p_name")
     return p.select("p_partkey", sentence_case(F.regexp_replace(raw, "_", " ")).alias("nicename"),
                     replace_first("p_name", "l", "L").alias("first_replaced"))
+
+
+# --------------------------------------------------------------------------- safety / distinct trials
+
+SAFETY_TYPES = ["priceTolerance", "interactions", "discountTier", "customerPriority", "brand"]
+SAFETY_DROP = ["none"]
+SAFETY_RECODE = {"from1to10": "1-10 partners", "from11to20": "11-20 partners", "greaterThan20": ">20 partners",
+                 "high price": "High price", "low price": "Low price"}
+
+
+def _sql_list(xs) -> str:
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+def _sql_safety() -> str:
+    from contingo.operators.counts import OUTPUT_COLUMNS
+    from contingo.plans.common import sql_fisher_ctes, sql_with_stats
+    from contingo.plans.enrichment import COMPARISONS, PREDICTIONS, SQL_COHORT_CTES, SQL_STRATA, sql_sweep
+    rec = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAFETY_RECODE.items())
+    return f"""WITH {SQL_COHORT_CTES}, {SQL_STRATA},
+counts AS ({sql_sweep('cohort_s', 'l_orderkey', COMPARISONS, PREDICTIONS, True)}),
+{sql_fisher_ctes('counts')},
+stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)}),
+rs AS (SELECT stratum, comparisonType, comparison, prediction, predictionType, a,
+         round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci,
+         round(pvalue, 8) AS pvalue FROM stats),
+sel AS (
+  SELECT stratum, comparisonType, CASE comparison {rec} ELSE comparison END AS comparison, prediction, a,
+    or_result, lower_ci, upper_ci, pvalue, {_sql_effect()}
+  FROM rs
+  WHERE comparisonType IN ({_sql_list(SAFETY_TYPES)}) AND comparison NOT IN ({_sql_list(SAFETY_DROP)})
+    AND predictionType IN ('clinical', 'stopStatus'))
+SELECT stratum, comparisonType, comparison, prediction, a, or_result, lower_ci, upper_ci, pvalue, oddsinterval,
+  significance, row_number() OVER (PARTITION BY stratum, comparisonType
+                                   ORDER BY or_result DESC NULLS LAST, comparison, prediction) AS rank
+FROM sel"""
+
+
+@query("safety_table", _sql_safety())
+def q_safety_table(spark, d):
+    """I11 + I12 + I13: five comparison types per stratum, the 'none'
+    category removed, categories recoded, effect texts, rows ranked by odds
+    ratio within each (stratum, comparison type)."""
+    from contingo.functions.columns import recode
+    from contingo.operators.stats import with_fisher_and_or
+    from contingo.plans.enrichment import q_enrichment_stratified
+    st = round_stats(with_fisher_and_or(q_enrichment_stratified(spark, d)))
+    keep = (F.col("comparisonType").isin(SAFETY_TYPES) & ~F.col("comparison").isin(SAFETY_DROP)
+            & F.col("predictionType").isin("clinical", "stopStatus"))
+    out = with_effect_columns(st.where(keep)).withColumn("comparison", recode("comparison", SAFETY_RECODE))
+    w = Window.partitionBy("stratum", "comparisonType").orderBy(
+        F.col("or_result").desc_nulls_last(), F.col("comparison"), F.col("prediction"))
+    return out.withColumn("rank", F.row_number().over(w)).select(
+        "stratum", "comparisonType", "comparison", "prediction", "a", "or_result", "lower_ci", "upper_ci",
+        "pvalue", "oddsinterval", "significance", "rank")
+
+
+@query("trial_area_distinct", """
+WITH prec AS (SELECT * FROM (VALUES ('1-URGENT', 'urgent', 0), ('2-HIGH', 'high', 1), ('3-MEDIUM', 'medium', 2),
+                             ('4-NOT SPECIFIED', 'not specified', 3), ('5-LOW', 'low', 4)) t(prioId, prioLabel, prioRank)),
+best AS (SELECT b.o_custkey, p.prioLabel
+         FROM (SELECT o_custkey, min(prioRank) AS r FROM orders JOIN prec ON o_orderpriority = prioId GROUP BY o_custkey) b
+         JOIN prec p ON p.prioRank = b.r)
+SELECT DISTINCT l.l_suppkey, l.l_partkey, l.l_orderkey, b.prioLabel
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+LEFT JOIN best b ON o.o_custkey = b.o_custkey
+WHERE o.o_orderpriority IS NOT NULL""")
+def q_trial_area_distinct(spark, d):
+    """Distinct (entity, item, trial, area) of classified trials: a
+    left lookup join of each trial's best area, then ``distinct``."""
+    from contingo.plans.enrichment import customer_best_priority
+    li = tbl(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
+    o = tbl(spark, d, "orders").where(F.col("o_orderpriority").isNotNull()).select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    best = customer_best_priority(spark, d).select("o_custkey", "prioLabel")
+    return (li.join(o, "l_orderkey").join(best, "o_custkey", "left")
+            .select("l_suppkey", "l_partkey", "l_orderkey", "prioLabel").distinct())
