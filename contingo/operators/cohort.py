@@ -113,10 +113,11 @@ def explode_structs(df: DataFrame, keys: Sequence[str], array_col: str) -> DataF
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, left_key: str, right_key: str,
-                how: str = "left", broadcast: bool = True) -> DataFrame:
-    """C4: join a lookup table whose key has a different name.  Only for
-    lookup tables of fixed, small size (the caller states it by passing
-    ``broadcast=True``); otherwise AQE decides from measured sizes."""
+                how: str = "left", broadcast: bool = False) -> DataFrame:
+    """C4: join a lookup table whose key has a different name.  By default
+    AQE picks the strategy from the measured size (broadcast below its
+    threshold, sort-merge beyond); ``broadcast=True`` is for literal tables
+    whose size is fixed in code."""
     rhs = F.broadcast(lookup) if broadcast else lookup
     return df.join(rhs, df[left_key] == rhs[right_key], how).drop(rhs[right_key])
 

@@ -36,21 +36,37 @@ def rank_by_frequency(df: DataFrame, category: str, out: str = "rank", desc: boo
     return counts.withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
-def group_median(df: DataFrame, group_cols: Sequence[str], value: str, out: str = "median") -> DataFrame:
+def group_median(df: DataFrame, group_cols: Sequence[str], value: str, out: str = "median",
+                 buckets: int = 4096) -> DataFrame:
     """D11 helper: exact median per group (mean of the two middle values for
-    an even count), nulls ignored.  Values are first reduced to
-    (group, value, multiplicity) by a partial aggregate, so the ordered scan
-    per group runs over distinct values, not rows."""
+    an even count), nulls ignored, without putting a whole group in one task.
+
+    1. values shrink to (group, value, multiplicity) -- a partial aggregate;
+    2. each group's range is cut into ``buckets`` equal-width buckets and the
+       bucket counts (a small table) give every bucket's rank offset;
+    3. only the buckets holding the two middle ranks are scanned in value
+       order, one (group, bucket) per window partition.
+    """
     g = list(group_cols)
-    hist = (df.where(F.col(value).isNotNull()).groupBy(*g, value)
-            .agg(F.count(F.lit(1)).alias("_m")))
-    w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_cum", F.sum("_m").over(w))
-                .withColumn("_n", F.sum("_m").over(Window.partitionBy(*g))))
+    v = F.col(value)
+    hist = df.where(v.isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_m"))
+    stats = hist.groupBy(*g).agg(F.sum("_m").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    bucket = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * buckets).cast("long"),
+                                       F.lit(buckets - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    hb = hist.join(stats, g).withColumn("_b", bucket)
+    per_b = hb.groupBy(*g, "_b").agg(F.sum("_m").alias("_bc"), F.first("_n").alias("_n"))
+    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_b = per_b.withColumn("_off", F.sum("_bc").over(wb) - F.col("_bc"))
     lo_rank = F.floor((F.col("_n") + 1) / 2)
     hi_rank = F.floor(F.col("_n") / 2) + 1
-    first_at = lambda r: F.min(F.when(F.col("_cum") >= r, F.col(value)))
-    return hist.groupBy(*g).agg(((first_at(lo_rank) + first_at(hi_rank)) / 2.0).alias(out))
+    in_b = lambda r: (F.col("_off") < r) & (r <= F.col("_off") + F.col("_bc"))
+    target = per_b.where(in_b(lo_rank) | in_b(hi_rank)).select(*g, "_b", "_off", "_n")
+    cand = hb.select(*g, value, "_m", "_b").join(target, g + ["_b"])
+    wv = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cand = cand.withColumn("_cum", F.col("_off") + F.sum("_m").over(wv))
+    first_at = lambda r: F.min(F.when(F.col("_cum") >= r, v))
+    return cand.groupBy(*g).agg(((first_at(lo_rank) + first_at(hi_rank)) / 2.0).alias(out))
 
 
 def rank_by_value(df: DataFrame, category: str, value: str, how: str = "median",

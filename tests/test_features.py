@@ -182,3 +182,21 @@ def test_clean_text_on_whole_documents(spark):
     got = {r["doc_id"]: r["c"] for r in docs.select("doc_id", clean_text("text").alias("c")).collect()}
     for r in docs.collect():
         assert got[r["doc_id"]] == python_clean(r["text"])
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 4096])
+def test_group_median_matches_numpy(spark, buckets):
+    import random
+    import statistics
+    rnd = random.Random(7)
+    rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)]           # one hot group, many ties
+    rows += [(f"g{i % 9}", rnd.uniform(-5, 5)) for i in range(400)]
+    rows += [("single", 2.5), ("pair", 1.0), ("pair", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["median"] for r in group_median(df, ["g"], "v", buckets=buckets).collect()}
+    want = {}
+    for g, v in rows:
+        want.setdefault(g, []).append(v)
+    assert set(got) == set(want)
+    for g, vs in want.items():
+        assert got[g] == pytest.approx(statistics.median(vs), rel=1e-12, abs=1e-12)
