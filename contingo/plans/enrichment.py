@@ -247,13 +247,16 @@ def q_enrichment_counts(spark, d):
                               "o_orderpriority", "reason")
 
 
-@query("fisher_or", f"""
+FISHER_RAW_SQL = f"""
 WITH base AS (
   SELECT l.l_orderkey, l.l_returnflag, o.o_orderpriority
   FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey),
 counts AS ({sql_sweep('base', 'l_orderkey', [('l_returnflag', 'returnFlag')], [('o_orderpriority', 'reason')], False)}),
 {sql_fisher_ctes('counts')}
-SELECT {sql_round_stats(STAT_COLS)} FROM ({sql_with_stats('counts', OUTPUT_COLUMNS)})""")
+{sql_with_stats('counts', OUTPUT_COLUMNS)}"""
+
+
+@query("fisher_or", f"SELECT {sql_round_stats(STAT_COLS)} FROM ({FISHER_RAW_SQL})")
 def q_fisher_or(spark, d):
     """D8 + H1-H3 + B22: the flagship query."""
     return round_stats(with_fisher_and_or(q_enrichment_counts(spark, d))).select(*STAT_COLS)

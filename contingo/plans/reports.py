@@ -191,32 +191,38 @@ def _fisher_or_sql() -> str:
     return REGISTRY["fisher_or"][1]
 
 
-@query("effect_text", f"""WITH fo AS ({_fisher_or_sql()})
+def _fisher_raw_sql() -> str:
+    from contingo.plans.enrichment import FISHER_RAW_SQL
+    return FISHER_RAW_SQL
+
+
+@query("effect_text", f"""WITH fo AS ({_fisher_raw_sql()})
 SELECT prediction, comparison, a, {_sql_effect()} FROM fo""")
 def q_effect_text(spark, d):
-    """Effect text, p-value text and thousands separators."""
-    return with_effect_columns(q_fisher_or(spark, d)).select(
+    """Effect text, p-value text and thousands separators (formatted
+    from the unrounded statistics)."""
+    from contingo.operators.stats import with_fisher_and_or
+    from contingo.plans.enrichment import q_enrichment_counts
+    return with_effect_columns(with_fisher_and_or(q_enrichment_counts(spark, d))).select(
         "prediction", "comparison", "a", "oddsinterval", "significance", "n")
 
 
 def _report_rows(spark, d):
-    st = round_stats(sweep_with_stats(spark, d))
+    st = sweep_with_stats(spark, d)
     keep = ((F.col("predictionType").isin("clinical", "stopStatus") | F.col("prediction").isin(REPORT_PRED))
             & (F.col("predictionType") != "metareason") & F.col("comparison").isin(REPORT_BRANDS)
             & (F.col("comparisonType") == "brand"))
     from contingo.functions.columns import recode
-    return with_effect_columns(st.where(keep)).withColumn("predictionType", recode("predictionType", PRED_TYPE_RECODE))
+    out = round_stats(with_effect_columns(st.where(keep)))
+    return out.withColumn("predictionType", recode("predictionType", PRED_TYPE_RECODE))
 
 
 _SQL_REPORT_ROWS = f"""{SWEEP_STATS_SQL},
-rs AS (SELECT {", ".join(c for c in STAT_COLS if c not in ('or_result', 'lower_ci', 'upper_ci', 'pvalue'))},
-         round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci,
-         round(pvalue, 8) AS pvalue FROM stats),
 rep AS (
   SELECT CASE predictionType WHEN 'clinical' THEN 'All lines' WHEN 'stopStatus' THEN 'Finished lines'
                              WHEN 'reason' THEN 'Priority' ELSE predictionType END AS predictionType,
     prediction, comparison, a, {_sql_effect()}
-  FROM rs
+  FROM stats
   WHERE (predictionType IN ('clinical', 'stopStatus') OR prediction IN ({", ".join(f"'{x}'" for x in REPORT_PRED)}))
     AND predictionType <> 'metareason' AND comparison IN ({", ".join(f"'{x}'" for x in REPORT_BRANDS)})
     AND comparisonType = 'brand')"""
@@ -307,13 +313,11 @@ def _sql_safety() -> str:
 counts AS ({sql_sweep('cohort_s', 'l_orderkey', COMPARISONS, PREDICTIONS, True)}),
 {sql_fisher_ctes('counts')},
 stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)}),
-rs AS (SELECT stratum, comparisonType, comparison, prediction, predictionType, a,
-         round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci,
-         round(pvalue, 8) AS pvalue FROM stats),
 sel AS (
   SELECT stratum, comparisonType, CASE comparison {rec} ELSE comparison END AS comparison, prediction, a,
-    or_result, lower_ci, upper_ci, pvalue, {_sql_effect()}
-  FROM rs
+    round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci,
+    round(pvalue, 8) AS pvalue, {_sql_effect()}
+  FROM stats
   WHERE comparisonType IN ({_sql_list(SAFETY_TYPES)}) AND comparison NOT IN ({_sql_list(SAFETY_DROP)})
     AND predictionType IN ('clinical', 'stopStatus'))
 SELECT stratum, comparisonType, comparison, prediction, a, or_result, lower_ci, upper_ci, pvalue, oddsinterval,
@@ -330,10 +334,11 @@ def q_safety_table(spark, d):
     from contingo.functions.columns import recode
     from contingo.operators.stats import with_fisher_and_or
     from contingo.plans.enrichment import q_enrichment_stratified
-    st = round_stats(with_fisher_and_or(q_enrichment_stratified(spark, d)))
+    st = with_fisher_and_or(q_enrichment_stratified(spark, d))
     keep = (F.col("comparisonType").isin(SAFETY_TYPES) & ~F.col("comparison").isin(SAFETY_DROP)
             & F.col("predictionType").isin("clinical", "stopStatus"))
-    out = with_effect_columns(st.where(keep)).withColumn("comparison", recode("comparison", SAFETY_RECODE))
+    out = round_stats(with_effect_columns(st.where(keep))).withColumn(
+        "comparison", recode("comparison", SAFETY_RECODE))
     w = Window.partitionBy("stratum", "comparisonType").orderBy(
         F.col("or_result").desc_nulls_last(), F.col("comparison"), F.col("prediction"))
     return out.withColumn("rank", F.row_number().over(w)).select(
