@@ -231,46 +231,71 @@ def md5_unit_hash(*cols: str | Column) -> Column:
 
 
 _MASK32 = 0xFFFFFFFF
-# The 32-bit murmur3 finaliser constants and the golden-ratio
-# increment used to fold a seed into a 32-bit key.
-_GOLDEN32, _FMIX1, _FMIX2 = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
-
-
-def _mul32(h: Column, c: int) -> Column:
-    """(h * c) mod 2^32 for 0 <= h < 2^32 without 64-bit overflow (the
-    constant is split in 16-bit halves)."""
-    lo, hi = c & 0xFFFF, c >> 16
-    part = (h * F.lit(hi)).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536)
-    return (h * F.lit(lo) + part).bitwiseAND(F.lit(_MASK32))
-
-
-def mix32(key32: str | Column, seed: str | Column) -> Column:
-    """A well-mixed 32-bit value of (key, seed): the seed times the golden
-    ratio constant is xored into the key, then the murmur3 finaliser runs.
-    Integer operations only, so any SQL engine reproduces it bit for bit;
-    ``key32`` is a hash in [0, 2^32) computed once per key (e.g.
-    ``md5_unit_hash``), so a sweep over many seeds costs a few integer
-    operations per seed instead of one digest per seed."""
-    k = col(key32).cast("long")
-    sd = ((col(seed).cast("long") + F.lit(1)) * F.lit(_GOLDEN32)).bitwiseAND(F.lit(_MASK32))
-    x = k.bitwiseXOR(sd)
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    x = _mul32(x, _FMIX1)
-    x = x.bitwiseXOR(F.shiftright(x, 13))
-    x = _mul32(x, _FMIX2)
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def sql_mix32(key32: str, seed: str) -> str:
-    """The same function as DuckDB SQL text (for oracles)."""
-    def mul(h: str, c: int) -> str:
-        return f"(({h}) * {c & 0xFFFF} + ((({h}) * {c >> 16}) & 65535) * 65536) & {_MASK32}"
-    x = f"xor(CAST({key32} AS BIGINT), ((CAST({seed} AS BIGINT) + 1) * {_GOLDEN32}) & {_MASK32})"
-    x = f"xor({x}, ({x}) >> 16)"
-    x = mul(x, _FMIX1)
-    x = f"xor({x}, ({x}) >> 13)"
-    x = mul(x, _FMIX2)
-    return f"xor({x}, ({x}) >> 16)"
+
+
+def seeded_hash32(key32: str | Column, seed: str | Column) -> Column:
+    """Spark's built-in 32-bit Murmur3 ``hash(key, seed)`` as an unsigned value
+    in [0, 2^32).  ``key32`` is a long computed once per key (for example
+    ``md5_unit_hash``) and ``seed`` an int, so a sweep over many seeds costs
+    one native hash per seed, inside generated code."""
+    h = F.hash(col(key32).cast("long"), col(seed).cast("int")).cast("long")
+    return F.when(h < 0, h + F.lit(1 << 32)).otherwise(h)
+
+
+# The constants of the public 32-bit Murmur3 hash (x86 variant)
+# and the seed 42 that Spark's hash() starts from.
+_M3_C1, _M3_C2, _M3_N, _M3_F1, _M3_F2, _M3_SEED = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35, 42
+
+
+def sql_seeded_hash32(source: str, key32: str, seed: str, out: str = "mix") -> str:
+    """``seeded_hash32`` as DuckDB SQL: a subquery over ``source`` adding
+    column ``out``.  Murmur3 of a long (two 32-bit halves, length 8) chained
+    into Murmur3 of an int (length 4), written with 64-bit integer
+    arithmetic on values kept below 2^32, one nested SELECT per step."""
+    m = _MASK32
+    steps: list[tuple[str, str]] = []
+
+    def mul(x: str, c: int) -> str:
+        return f"(({x}) * {c & 0xFFFF} + ((({x}) * {c >> 16}) & 65535) * 65536) & {m}"
+
+    def rotl(x: str, r: int) -> str:
+        return f"(((({x}) << {r}) & {m}) | (({x}) >> {32 - r}))"
+
+    def add(name: str, expr: str) -> str:
+        steps.append((name, expr))
+        return name
+
+    def mix_k1(k: str, tag: str) -> str:
+        k = add(f"_{tag}a", mul(k, _M3_C1))
+        k = add(f"_{tag}b", rotl(k, 15))
+        return add(f"_{tag}c", mul(k, _M3_C2))
+
+    def mix_h1(h: str, k: str, tag: str) -> str:
+        h = add(f"_{tag}x", f"xor({h}, {k})")
+        h = add(f"_{tag}y", rotl(h, 13))
+        return add(f"_{tag}z", f"(({h}) * 5 + {_M3_N}) & {m}")
+
+    def fmix(h: str, length: int, tag: str) -> str:
+        h = add(f"_{tag}0", f"xor({h}, {length})")
+        h = add(f"_{tag}1", f"xor({h}, ({h}) >> 16)")
+        h = add(f"_{tag}2", mul(h, _M3_F1))
+        h = add(f"_{tag}3", f"xor({h}, ({h}) >> 13)")
+        h = add(f"_{tag}4", mul(h, _M3_F2))
+        return add(f"_{tag}5", f"xor({h}, ({h}) >> 16)")
+
+    lo = add("_lo", f"CAST({key32} AS BIGINT) & {m}")
+    hi = add("_hi", f"(CAST({key32} AS BIGINT) >> 32) & {m}")
+    h = mix_h1(str(_M3_SEED), mix_k1(lo, "k1"), "h1")
+    h = mix_h1(h, mix_k1(hi, "k2"), "h2")
+    h = fmix(h, 8, "f1")
+    sd = add("_sd", f"CAST({seed} AS BIGINT) & {m}")
+    h = mix_h1(h, mix_k1(sd, "k3"), "h3")
+    h = fmix(h, 4, "f2")
+    q = f"SELECT * FROM {source}"
+    for name, expr in steps:
+        q = f"SELECT *, {expr} AS {name} FROM ({q})"
+    keep = ", ".join(n for n, _e in steps)
+    return f"SELECT * EXCLUDE ({keep}), {h} AS {out} FROM ({q})"
 
 
 def round_half_up(x: str | Column, digits: int) -> Column:

@@ -5,7 +5,7 @@ The reference builds targets x diseases with a cross join, "samples" it with
 and keeps the first n rows, once per seed in a driver loop of 100 passes.
 
 Here a pair belongs to the random universe of seed s when
-``mix32(md5_32(pair), s) / 2^32 < n / (T * D)`` (n = observed association pairs, T and D the
+``hash32(md5_32(pair), s) / 2^32 < n / (T * D)`` (n = observed association pairs, T and D the
 two entity counts): a seeded Bernoulli subset with expected size n, decided
 per pair without enumerating T x D.  Only the cohort's own pairs are ever
 consumed (by a left join), so membership is evaluated on those alone; the
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contingo.functions.columns import md5_unit_hash, mix32
+from contingo.functions.columns import md5_unit_hash, seeded_hash32
 from contingo.operators.counts import fill_two_by_two
 
 _TWO_32 = 4294967296.0
@@ -38,13 +38,14 @@ def sampling_fraction(associations: DataFrame, pair_cols: Sequence[str], left_en
 def universe_membership(pairs: DataFrame, pair_cols: Sequence[str], fraction: Column,
                         n_seeds: int) -> DataFrame:
     """C7 + F3: (pair, seed) for every distinct pair and every seed whose
-    random universe contains it: mix32(md5_32(pair), seed) < fraction * 2^32.
+    random universe contains it: hash32(md5_32(pair), seed) < fraction * 2^32
+    (Spark's native Murmur3 ``hash``).
     One digest per distinct pair; the seeds are exploded as rows and tested
-    with integer operations in generated code (never per cohort row)."""
+    in generated code (never per cohort row)."""
     keyed = pairs.select(*pair_cols).distinct().withColumn("_h", md5_unit_hash(*pair_cols))
-    return (keyed.select(*pair_cols, "_h", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
-            .where(mix32("_h", "seed").cast("double") < fraction * F.lit(_TWO_32))
-            .drop("_h"))
+    seeded = keyed.select(*pair_cols, "_h", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
+    return (seeded.where(seeded_hash32("_h", "seed").cast("double") < fraction * F.lit(_TWO_32))
+            .select(*pair_cols, "seed"))
 
 
 def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence[str],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contingo.functions.columns import (at_least_labels, collapse_to_default, keep_if_in,
-                                        label_if_in, sql_mix32, two_sided_bin)
+                                        label_if_in, sql_seeded_hash32, two_sided_bin)
 from contingo.operators.baseline import null_baseline, sampling_fraction, universe_membership
 from contingo.operators.cohort import best_category, max_score_tiers, neighbour_degree
 from contingo.operators.counts import OUTPUT_COLUMNS, contingency_counts, contingency_sweep, distinct_count_by
@@ -318,8 +318,8 @@ def q_fdr_bh(spark, d):
 
 
 @query("fdr_labels", f"""{SWEEP_STATS_SQL}, {SQL_BH}
-SELECT prediction, comparison, comparisonType, predictionType, round(pvalue, 8) AS pvalue,
-  round(pvalue_corrected, 8) AS pvalue_corrected,
+SELECT prediction, comparison, comparisonType, predictionType, round(pvalue, 6) AS pvalue,
+  round(pvalue_corrected, 6) AS pvalue_corrected,
   CASE WHEN pvalue < 0.05 AND pvalue_corrected >= 0.05 THEN 'No Longer Significant'
        WHEN pvalue >= 0.05 AND pvalue_corrected < 0.05 THEN 'Now Significant'
        WHEN pvalue >= 0.05 AND pvalue_corrected >= 0.05 THEN 'Never Significant'
@@ -384,10 +384,11 @@ frac AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM
 pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
 hashed AS (SELECT l_partkey, l_suppkey, ('0x' || substr(md5(concat_ws('|', l_partkey, l_suppkey)), 1, 8))::BIGINT AS h
            FROM pairs),
+seeded AS (SELECT l_partkey, l_suppkey, h, s FROM hashed, (SELECT unnest(range(0, {N_SEEDS}))::INTEGER AS s) seeds),
 members AS (
   SELECT l_partkey, l_suppkey, s AS seed
-  FROM hashed, frac, (SELECT unnest(range(0, {N_SEEDS}))::INTEGER AS s) seeds
-  WHERE CAST({sql_mix32('h', 's')} AS DOUBLE) < f * 4294967296.0)"""
+  FROM ({sql_seeded_hash32('seeded', 'h', 's', 'mix')}) m, frac
+  WHERE CAST(mix AS DOUBLE) < f * 4294967296.0)"""
 
 
 @query("universe_sample", f"""WITH {SQL_BASELINE_CTES}

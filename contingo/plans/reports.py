@@ -316,7 +316,7 @@ stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)}),
 sel AS (
   SELECT stratum, comparisonType, CASE comparison {rec} ELSE comparison END AS comparison, prediction, a,
     round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci,
-    round(pvalue, 8) AS pvalue, {_sql_effect()}
+    round(pvalue, 6) AS pvalue, {_sql_effect()}
   FROM stats
   WHERE comparisonType IN ({_sql_list(SAFETY_TYPES)}) AND comparison NOT IN ({_sql_list(SAFETY_DROP)})
     AND predictionType IN ('clinical', 'stopStatus'))
