@@ -84,10 +84,13 @@ def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pv
     width = F.when(valid, kmax - kmin + 1).otherwise(F.lit(1).cast("long"))
     # Per-row constants first; the exchange on the cells both balances the
     # rows (tables) over tasks and keeps the per-term code small enough for
-    # the JIT (one generated method per stage).
+    # the JIT (one generated method per stage).  The partition count is
+    # explicit: the table rows are tiny, and AQE would otherwise coalesce them
+    # into one task right before the explode multiplies the work.
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (df.withColumn("_w", width).withColumn("_const", const).withColumn("_dobs", dsum(A))
               .withColumn("_kmin", F.when(valid, kmin)).withColumn("_kmax", F.when(valid, kmax))
-              .repartition(A, B, C, D))
+              .repartition(n_parts, A, B, C, D))
     terms = (rows.withColumn("_k", F.explode_outer(F.sequence(F.col("_kmin"), F.col("_kmax"))))
              .withColumn("_dk", dsum(F.col("_k").cast("long"))))
     keep = F.col("_dk") >= F.col("_dobs") - F.lit(FISHER_LOG_TOL)

@@ -120,3 +120,17 @@ def test_null_baseline_matches_per_seed_reference(spark):
                 ptot = len({r[0] for r in rows if r[3] == reason})
                 want[(s, reason)] = (a, ptot, ctot, total)
     assert got == want
+
+
+def test_seeded_hash_matches_its_sql_twin(spark):
+    import duckdb
+    from contingo.functions.columns import seeded_hash32, sql_seeded_hash32
+    vals = [(k, s) for k in [0, 1, 2, 12345, 4294967295, 3000000000, 987654321] for s in [0, 1, 7, 99, 100000]]
+    got = {(r[0], r[1]): r[2] for r in spark.createDataFrame(vals, "k long, s int")
+           .select("k", "s", seeded_hash32("k", "s")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(k BIGINT, s INTEGER)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", vals)
+    want = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT k, s, mix FROM ({sql_seeded_hash32('t', 'k', 's')})").fetchall()}
+    assert got == want
+    assert all(0 <= v < 2 ** 32 for v in got.values())
