@@ -428,3 +428,29 @@ def q_null_baseline(spark, d):
     cohort, frac = _baseline_inputs(spark, d)
     out = null_baseline(cohort, ["l_orderkey"], ["l_partkey", "l_suppkey"], "reason", "reason", frac, N_SEEDS)
     return round_stats(with_fisher_and_or(out)).select(*BASELINE_COLS)
+
+
+@query("enrichment_corrected", f"""WITH {SQL_COHORT_CTES}, {SQL_STRATA},
+counts AS ({sql_sweep('cohort_s', 'l_orderkey', COMPARISONS, PREDICTIONS, True)}),
+{sql_fisher_ctes('counts')},
+stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)}),
+bh AS (
+  SELECT *, least(min(raw) OVER (PARTITION BY stratum, predictionType, comparisonType
+                                 ORDER BY pvalue NULLS LAST, prediction NULLS LAST, comparison NULLS LAST
+                                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS pvalue_corrected
+  FROM (SELECT *, pvalue * count(pvalue) OVER (PARTITION BY stratum, predictionType, comparisonType)
+              / row_number() OVER (PARTITION BY stratum, predictionType, comparisonType
+                                   ORDER BY pvalue NULLS LAST, prediction NULLS LAST, comparison NULLS LAST) AS raw
+        FROM stats) r)
+SELECT {sql_round_stats(['stratum'] + STAT_COLS + ['pvalue_corrected'])},
+  CASE WHEN pvalue < 0.05 AND pvalue_corrected >= 0.05 THEN 'No Longer Significant'
+       WHEN pvalue >= 0.05 AND pvalue_corrected < 0.05 THEN 'Now Significant'
+       WHEN pvalue >= 0.05 AND pvalue_corrected >= 0.05 THEN 'Never Significant'
+       ELSE 'Remains Significant' END AS significance
+FROM bh""")
+def q_enrichment_corrected(spark, d):
+    """H5 + H1-H3 + E3 + B32 end to end: the stratified sweep, statistics,
+    correction per (stratum, predictionType, comparisonType), labels."""
+    from contingo.operators.enrich import enrich
+    out = enrich(build_cohort(spark, d), ["l_orderkey"], COMPARISONS, PREDICTIONS, strata=strata_column())
+    return round_stats(out).select("stratum", *STAT_COLS, "pvalue_corrected", "significance")
