@@ -11,8 +11,7 @@ from contingo.operators.counts import share_within
 from contingo.operators.report import (count_bins, grouped_grid, rank_by_frequency, rank_by_value,
                                        unpivot_stats, with_effect_columns)
 from contingo.plans.common import query, round_stats, tbl
-from contingo.plans.enrichment import (STAT_COLS, SWEEP_STATS_SQL, q_fisher_or, q_reason_by_phase,
-                                       sweep_with_stats)
+from contingo.plans.enrichment import SWEEP_STATS_SQL, q_fisher_or, q_reason_by_phase, sweep_with_stats
 
 # Fixed values of the bound report queries.
 YEAR_FIRST, YEAR_LAST = 1995, 1999
@@ -183,9 +182,6 @@ def _sql_effect(prefix: str = "") -> str:
   format('{{:,}}', {p}a) AS n"""
 
 
-_FISHER_SQL = None  # filled lazily from the registry
-
-
 def _fisher_or_sql() -> str:
     from contingo.plans.common import REGISTRY
     return REGISTRY["fisher_or"][1]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from contingo.functions.columns import clean_text, md5_unit_hash, sigmoid, softmax
+from contingo.functions.columns import clean_text, sigmoid, softmax
 from contingo.operators.text import (classify_batch, fit_multilabel_classifier, hash_split, label_explode,
                                      label_list, multi_hot, multilabel_metrics, split_subset, top_k_classes)
 from contingo.plans.common import query, tbl
