@@ -86,7 +86,13 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType,
     if rank_col is not None:
         rows = [tuple(r) + (i,) for i, r in enumerate(rows)]
         schema = T.StructType(list(schema.fields) + [T.StructField(rank_col, T.IntegerType(), False)])
-    return spark.createDataFrame(rows, schema)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    # Built from literals inside the JVM (a one-row range + inline): no Python
+    # worker is started to deserialize driver-side rows.
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def with_column_lit(df: DataFrame, name: str, value) -> DataFrame:
