@@ -76,7 +76,8 @@ def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pv
     Identical rows are folded together and restored with their multiplicity.
     Only the Hoeffding window around the mean is generated (``_TAIL_CONST``),
     so the work per table grows with the square root of its smaller margin.
-    Rows that are not valid tables (negative cells, empty) get null.
+    Rows that are not valid tables (negative cells, empty) get null.  The
+    input's columns must be groupable (no map columns).
     """
     cols = df.columns
     A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
