@@ -65,20 +65,22 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
     small; null category values are dropped right after each explode.
     """
     ids = [F.col(c) for c in id_cols]
-    strata_arr = strata if strata is not None else F.array(F.lit("all"))
     id_names = [f"_id{n}" for n in range(len(ids))]
+    # without strata no stratum key is carried at all (one column fewer to
+    # hash per event); with strata each row is exploded into its strata first
+    st = [stratum_col] if strata is not None else []
+    base = [F.explode(strata).alias(stratum_col)] if strata is not None else []
     c, p = F.col("_c"), F.col("_p")
-    exploded = (df.select(*[i.alias(n) for n, i in zip(id_names, ids)],
-                          F.explode(strata_arr).alias(stratum_col),
+    exploded = (df.select(*[i.alias(n) for n, i in zip(id_names, ids)], *base,
                           _marked_array(comparisons).alias("_ca"), _marked_array(predictions).alias("_pa"))
-                  .select(stratum_col, *id_names, F.explode("_ca").alias("_c"), "_pa")
+                  .select(*st, *id_names, F.explode("_ca").alias("_c"), "_pa")
                   .where((c["k"] < 0) | c["v"].isNotNull())
-                  .select(stratum_col, *id_names, "_c", F.explode("_pa").alias("_p"))
+                  .select(*st, *id_names, "_c", F.explode("_pa").alias("_p"))
                   .where((p["k"] < 0) | p["v"].isNotNull())
-                  .select(stratum_col, *id_names,
+                  .select(*st, *id_names,
                           F.when(c["k"] >= 0, c["k"]).alias("ck"), c["v"].alias("cv"),
                           F.when(p["k"] >= 0, p["k"]).alias("pk"), p["v"].alias("pv")))
-    keys = [stratum_col, "ck", "cv", "pk", "pv"]
+    keys = st + ["ck", "cv", "pk", "pv"]
     counts = (exploded.distinct()                      # one row per (id, event)
               .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     # Marginals and totals are attached with windows over the small count
@@ -88,20 +90,19 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
     n, ck, pk = F.col("n"), F.col("ck"), F.col("pk")
     out = (counts
            .withColumn("comparisonTotal", F.max(F.when(pk.isNull(), n)).over(
-               Window.partitionBy(stratum_col, "ck", "cv")))
+               Window.partitionBy(*st, "ck", "cv")))
            .withColumn("predictionTotal", F.max(F.when(ck.isNull(), n)).over(
-               Window.partitionBy(stratum_col, "pk", "pv")))
-           .withColumn("total", F.max(F.when(ck.isNull() & pk.isNull(), n)).over(Window.partitionBy(stratum_col)))
+               Window.partitionBy(*st, "pk", "pv")))
+           .withColumn("total", F.max(F.when(ck.isNull() & pk.isNull(), n)).over(Window.partitionBy(*st)))
            .where(ck.isNotNull() & pk.isNotNull())
            .withColumnRenamed("n", "a"))
     out = out.select(
-        stratum_col,
+        *st,
         F.col("pv").alias("prediction"), F.col("cv").alias("comparison"),
         F.element_at(_type_map(comparisons), F.col("ck")).alias("comparisonType"),
         F.element_at(_type_map(predictions), F.col("pk")).alias("predictionType"),
         "a", "predictionTotal", "comparisonTotal", "total")
-    out = fill_two_by_two(out)
-    return out if strata is not None else out.drop(stratum_col)
+    return fill_two_by_two(out)
 
 
 def contingency_counts(df: DataFrame, id_cols: Sequence[str], comparison: str, comparison_type: str,
