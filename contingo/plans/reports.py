@@ -77,7 +77,7 @@ def q_reason_grid(spark, d):
 
 
 @query("count_bins", f"""
-SELECT year(o_orderdate) AS year, o_orderstatus, count(*) AS count, {_bins('count(*)')} AS interval
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS count, {_bins('count(*)')} AS interval
 FROM orders GROUP BY ALL""")
 def q_count_bins(spark, d):
     """B26 + D2: counts per (year, status) in left-closed bins."""
@@ -133,7 +133,7 @@ grid AS (SELECT g.grouping, n.nicename, x.cnt AS count
          FROM (SELECT DISTINCT grouping FROM x) g CROSS JOIN (SELECT DISTINCT nicename FROM x) n
          LEFT JOIN x ON x.grouping = g.grouping AND x.nicename = n.nicename),
 tot AS (SELECT grouping, CAST(sum(cnt) AS BIGINT) AS total FROM x GROUP BY grouping),
-rk AS (SELECT grouping, total, row_number() OVER (ORDER BY total DESC, grouping) AS rank FROM tot)
+rk AS (SELECT grouping, total, CAST(row_number() OVER (ORDER BY total DESC, grouping) AS INTEGER) AS rank FROM tot)
 SELECT grid.grouping, nicename, count, {_bins('count')} AS interval, total, rank
 FROM grid JOIN rk USING (grouping)""")
 def q_area_reason_matrix(spark, d):
@@ -148,7 +148,7 @@ def q_area_reason_matrix(spark, d):
 
 
 @query("category_rank", """
-SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS rank
+SELECT p_brand, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) AS INTEGER) AS rank
 FROM part GROUP BY p_brand""")
 def q_category_rank(spark, d):
     """Categories ordered by frequency."""
@@ -157,7 +157,7 @@ def q_category_rank(spark, d):
 
 @query("category_rank_value", """
 SELECT p_brand, median(p_retailprice) AS score,
-  row_number() OVER (ORDER BY median(p_retailprice), p_brand) AS rank
+  CAST(row_number() OVER (ORDER BY median(p_retailprice), p_brand) AS INTEGER) AS rank
 FROM part GROUP BY p_brand""")
 def q_category_rank_value(spark, d):
     """Categories ordered by the median of a value (exact median)."""
@@ -255,7 +255,7 @@ def q_stack_tagged(spark, d):
 
 @query("phase_reason_table", f"""WITH rp AS ({_reason_by_phase_sql()}),
 k AS (SELECT * FROM rp WHERE comparison NOT IN ({", ".join(f"'{x}'" for x in DROP_REASONS)}) AND prediction <> 'Other'),
-r AS (SELECT comparison, dense_rank() OVER (ORDER BY comparisonTotal DESC, comparison) AS comparisonRank
+r AS (SELECT comparison, CAST(dense_rank() OVER (ORDER BY comparisonTotal DESC, comparison) AS INTEGER) AS comparisonRank
       FROM (SELECT DISTINCT comparison, comparisonTotal FROM k))
 SELECT prediction, k.comparison, replace(k.comparison, '_', ' ') AS comparisonLabel, or_result, lower_ci, upper_ci,
   pvalue, pvalue < 0.05 AS is_significant, comparisonRank
@@ -317,8 +317,8 @@ sel AS (
   WHERE comparisonType IN ({_sql_list(SAFETY_TYPES)}) AND comparison NOT IN ({_sql_list(SAFETY_DROP)})
     AND predictionType IN ('clinical', 'stopStatus'))
 SELECT stratum, comparisonType, comparison, prediction, a, or_result, lower_ci, upper_ci, pvalue, oddsinterval,
-  significance, row_number() OVER (PARTITION BY stratum, comparisonType
-                                   ORDER BY or_result DESC NULLS LAST, comparison, prediction) AS rank
+  significance, CAST(row_number() OVER (PARTITION BY stratum, comparisonType
+                                   ORDER BY or_result DESC NULLS LAST, comparison, prediction) AS INTEGER) AS rank
 FROM sel"""
 
 

@@ -78,7 +78,7 @@ def q_class_scores(spark, d):
 
 
 @query("top_classes", f"""WITH {_SQL_SCORES},
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, class) AS rank FROM probs)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, class) AS INTEGER) AS rank FROM probs)
 SELECT vec_id, CAST(class AS INTEGER) AS class, round(prob, 6) AS prob, rank FROM r WHERE rank <= 3""")
 def q_top_classes(spark, d):
     """the three most probable classes of each row (a top-k report)."""

@@ -10,6 +10,8 @@ from contingo.plans import all_oracles, all_queries
 from contingo.sources.io import TABLES
 
 SF = "/root/testdata/sf0.001"
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "array<double>": "DOUBLE[]"}
 
 
 def _norm(v):
@@ -41,6 +43,9 @@ def test_query_matches_oracle(spark, con, name):
     d_cols = [c[0] for c in cur.description]
     d_rows = [tuple(r) for r in cur.fetchall()]
     assert sorted(df.columns) == sorted(d_cols)
+    d_types = dict(zip(d_cols, [str(t) for t in con.sql(all_oracles()[name]).types]))
+    for col, t in df.dtypes:
+        assert SPARK_TO_DUCK.get(t, t) == d_types[col], (col, t, d_types[col])
     assert len(s_rows) == len(d_rows)
     assert _digest(df.columns, s_rows) == _digest(d_cols, d_rows)
 
