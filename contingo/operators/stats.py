@@ -88,7 +88,10 @@ def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pv
     # the JIT (one generated method per stage).  The partition count is
     # explicit: the table rows are tiny, and AQE would otherwise coalesce them
     # into one task right before the explode multiplies the work.
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:      # one task per core: the rows are few, the terms are many
+        n_parts = int(df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001  (no SparkContext in a Connect session)
+        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (df.withColumn("_w", width).withColumn("_const", const).withColumn("_dobs", dsum(A))
               .withColumn("_kmin", F.when(valid, kmin)).withColumn("_kmax", F.when(valid, kmax))
               .repartition(n_parts, A, B, C, D))
