@@ -69,42 +69,42 @@ def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pv
     """H2: two-sided Fisher exact p per row: the sum of the hypergeometric
     probabilities not above the observed one (ties within 1e-7 in log space).
 
-    Each row's support window is exploded into rows (whole-stage codegen per
-    term) and summed back by grouping on all the row's columns; the terms of a
-    row are generated inside one task, so the partial aggregate folds them
-    before any shuffle, and the input is computed once (no self-join).
-    Identical rows are folded together and restored with their multiplicity.
-    Only the Hoeffding window around the mean is generated (``_TAIL_CONST``),
-    so the work per table grows with the square root of its smaller margin.
-    Rows that are not valid tables (negative cells, empty) get null.  The
-    input's columns must be groupable (no map columns).
+    Per row, the support window is walked with the ratio recurrence
+    p(k) / p(k-1) = (r1-k+1)(c1-k+1) / (k (n-r1-c1+k)) -- two logarithms per
+    term -- starting from the closed-form probability of the window's first
+    value; the observed probability is closed-form too.  The walk is an
+    ``aggregate`` over ``sequence(kmin+1, kmax)``, so no term is ever a row,
+    nothing is grouped and the input is read once.  Only the Hoeffding window
+    around the mean is walked (``_TAIL_CONST``), so the work per table grows
+    with the square root of its smaller margin.  Tables are few and heavy, so
+    they are first spread over one task per core with an explicit partition
+    count (AQE would otherwise fold the tiny rows into one task).
+    Rows that are not valid tables (negative cells, empty) get null.
     """
     cols = df.columns
     A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
     valid, kmin, kmax, const, dsum = _fisher_parts(A, B, C, D)
-    width = F.when(valid, kmax - kmin + 1).otherwise(F.lit(1).cast("long"))
-    # Per-row constants first; the exchange on the cells both balances the
-    # rows (tables) over tasks and keeps the per-term code small enough for
-    # the JIT (one generated method per stage).  The partition count is
-    # explicit: the table rows are tiny, and AQE would otherwise coalesce them
-    # into one task right before the explode multiplies the work.
-    try:      # one task per core: the rows are few, the terms are many
+    try:      # one task per core: the rows are few, the work per row is large
         n_parts = int(df.sparkSession.sparkContext.defaultParallelism)
     except Exception:  # noqa: BLE001  (no SparkContext in a Connect session)
         n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (df.withColumn("_w", width).withColumn("_const", const).withColumn("_dobs", dsum(A))
-              .withColumn("_kmin", F.when(valid, kmin)).withColumn("_kmax", F.when(valid, kmax))
+    rows = (df.withColumn("_kmin", kmin).withColumn("_kmax", kmax)
+              .withColumn("_lp0", const - dsum(F.col("_kmin")))
+              .withColumn("_lim", const - dsum(A) + F.lit(FISHER_LOG_TOL))
               .repartition(n_parts, A, B, C, D))
-    terms = (rows.withColumn("_k", F.explode_outer(F.sequence(F.col("_kmin"), F.col("_kmax"))))
-             .withColumn("_dk", dsum(F.col("_k").cast("long"))))
-    keep = F.col("_dk") >= F.col("_dobs") - F.lit(FISHER_LOG_TOL)
-    term = F.when(keep, F.exp(F.col("_const") - F.col("_dk"))).otherwise(F.lit(0.0))
-    agg = terms.groupBy(*cols).agg(F.sum(term).alias("_s"), F.count(F.lit(1)).alias("_cnt"),
-                                   F.max("_w").alias("_w"))
-    reps = (F.col("_cnt") / F.col("_w")).cast("int")
-    return (agg.withColumn(out, F.when(valid, F.least(F.col("_s") / reps, F.lit(1.0))))
-               .withColumn("_rep", F.explode(F.array_repeat(F.lit(1), reps)))
-               .select(*cols, out))
+    r1, c1 = A + B, A + C
+    lim, lp0 = F.col("_lim"), F.col("_lp0")
+    term = lambda lp: F.when(lp <= lim, F.exp(lp)).otherwise(F.lit(0.0))
+    steps = F.when(F.col("_kmax") > F.col("_kmin"),
+                   F.sequence(F.col("_kmin") + 1, F.col("_kmax"))).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc, k):
+        lp = (acc["lp"] + F.log((r1 - k + 1).cast("double")) + F.log((c1 - k + 1).cast("double"))
+              - F.log(k.cast("double")) - F.log((D - A + k).cast("double")))
+        return F.struct(lp.alias("lp"), (acc["s"] + term(lp)).alias("s"))
+
+    walk = F.aggregate(steps, F.struct(lp0.alias("lp"), term(lp0).alias("s")), step, lambda acc: acc["s"])
+    return rows.withColumn(out, F.when(valid, F.least(walk, F.lit(1.0)))).select(*cols, out)
 
 
 def fisher_exact_pvalues(tables: DataFrame, a="a", b="b", c="c", d="d", out: str = "pvalue") -> DataFrame:
