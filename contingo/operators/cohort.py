@@ -79,23 +79,23 @@ def best_category(pairs: DataFrame, entity: str, category: str, precedence: Data
     Categories absent from the table have no rank; an entity with only such
     categories disappears.  The minimum rank is an aggregate (skew-safe) and
     the winning category comes back from the precedence table (ranks are
-    unique per category), which is tiny and broadcast."""
-    ranked = pairs.join(F.broadcast(precedence.select(
-        F.col(prec_key).alias(category), F.col(prec_rank).alias("_rank"))), category, "inner")
+    unique per category); AQE broadcasts that table from its measured size."""
+    ranked = pairs.join(precedence.select(
+        F.col(prec_key).alias(category), F.col(prec_rank).alias("_rank")), category, "inner")
     best = ranked.groupBy(entity).agg(F.min("_rank").alias("_rank"))
-    return best.join(F.broadcast(precedence.withColumnRenamed(prec_rank, "_rank")), "_rank").drop("_rank")
+    return best.join(precedence.withColumnRenamed(prec_rank, "_rank"), "_rank").drop("_rank")
 
 
 def best_category_strict(pairs: DataFrame, entity: str, category: str, precedence: DataFrame,
                          prec_key: str, prec_rank: str) -> DataFrame:
     """Like E1, but an entity whose top rank is shared by more than one
     row (average rank above 1) is dropped."""
-    ranked = pairs.join(F.broadcast(precedence.select(
-        F.col(prec_key).alias(category), F.col(prec_rank).alias("_rank"))), category, "inner")
+    ranked = pairs.join(precedence.select(
+        F.col(prec_key).alias(category), F.col(prec_rank).alias("_rank")), category, "inner")
     per_rank = ranked.groupBy(entity, "_rank").agg(F.count(F.lit(1)).alias("_n"))
     top = per_rank.groupBy(entity).agg(F.min(F.struct("_rank", "_n")).alias("_top"))
     keep = top.where(F.col("_top._n") == 1).select(entity, F.col("_top._rank").alias("_rank"))
-    return keep.join(F.broadcast(precedence.withColumnRenamed(prec_rank, "_rank")), "_rank").drop("_rank")
+    return keep.join(precedence.withColumnRenamed(prec_rank, "_rank"), "_rank").drop("_rank")
 
 
 def explode_field(df: DataFrame, keys: Sequence[str], array_col: str, field: str, out: str,
