@@ -62,20 +62,21 @@ def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence
     id_names = [f"_id{n}" for n in range(len(id_cols))]
     rows = cohort.select(*[F.col(c).alias(n) for n, c in zip(id_names, id_cols)], *pair_cols,
                          F.col(prediction).cast("string").alias("pv"))
-    null_i = F.lit(None).cast("int")
-    # seed-free events: the total and one per non-null prediction
-    free = rows.select(*id_names, F.explode(F.array(
-        F.named_struct(F.lit("kind"), F.lit(0), F.lit("seed"), null_i, F.lit("pv"), F.lit(None).cast("string")),
-        F.named_struct(F.lit("kind"), F.lit(2), F.lit("seed"), null_i, F.lit("pv"), F.col("pv")))).alias("e")) \
-        .select(*id_names, "e.*").where((F.col("kind") == 0) | F.col("pv").isNotNull())
-    # seeded events: rows whose pair is a member of the seed's universe
+    # One pass over the rows: each row meets its member seeds (left join, so
+    # rows of no universe stay), then one explode yields the seed-free events
+    # (total, prediction) and the seeded ones (comparison, pair).  A row in k
+    # universes repeats its seed-free events k times; the distinct folds them.
     members = universe_membership(rows, pair_cols, fraction, n_seeds)
-    seeded = rows.join(members, list(pair_cols), "inner").select(*id_names, F.explode(F.array(
-        F.named_struct(F.lit("kind"), F.lit(1), F.lit("seed"), F.col("seed"), F.lit("pv"),
-                       F.lit(None).cast("string")),
-        F.named_struct(F.lit("kind"), F.lit(3), F.lit("seed"), F.col("seed"), F.lit("pv"), F.col("pv")))).alias("e")) \
-        .select(*id_names, "e.*").where((F.col("kind") == 1) | F.col("pv").isNotNull())
-    exploded = free.unionByName(seeded)
+    joined = rows.join(members, list(pair_cols), "left")
+    null_i, null_s = F.lit(None).cast("int"), F.lit(None).cast("string")
+    ev = lambda kind, seed, pv: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("seed"), seed, F.lit("pv"), pv)
+    seed, pv = F.col("seed"), F.col("pv")
+    exploded = (joined.select(*id_names, F.explode(F.array(
+        ev(0, null_i, null_s), ev(2, null_i, pv), ev(1, seed, null_s), ev(3, seed, pv))).alias("e"))
+        .select(*id_names, "e.*")
+        .where((F.col("kind") == 0) | ((F.col("kind") == 2) & pv.isNotNull())
+               | ((F.col("kind") == 1) & seed.isNotNull())
+               | ((F.col("kind") == 3) & seed.isNotNull() & pv.isNotNull())))
     counts = exploded.distinct().groupBy("kind", "seed", "pv").agg(F.count(F.lit(1)).alias("n"))
     kind, n = F.col("kind"), F.col("n")
     # seed-free counts (kinds 0 and 2) sit in the null-seed partition; the
