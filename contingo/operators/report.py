@@ -21,10 +21,13 @@ def count_bins(df: DataFrame, count_col: str = "count", out: str = "interval") -
     return df.withColumn(out, left_closed_bins(count_col, COUNT_BREAKS, COUNT_LABELS))
 
 
-def grouped_grid(df: DataFrame, grouping: str, nicename: str, comparison: str) -> DataFrame:
-    """D2 + D12 (+ tag): counts per (grouping, nicename), densified."""
+def grouped_grid(df: DataFrame, grouping: str, nicename: str, comparison: str,
+                 weight: str | None = None) -> DataFrame:
+    """D2 + D12 (+ tag): counts per (grouping, nicename), densified.  With
+    ``weight`` the input is already a count table and its counts are summed."""
+    measure = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(F.col(grouping).alias("grouping"), F.col(nicename).alias("nicename")).agg(
-        F.count(F.lit(1)).alias("count"))
+        measure.alias("count"))
     return complete_grid(counts, "grouping", "nicename").withColumn("comparison", F.lit(comparison))
 
 
