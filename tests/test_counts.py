@@ -134,3 +134,18 @@ def test_seeded_hash_matches_its_sql_twin(spark):
     want = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT k, s, mix FROM ({sql_seeded_hash32('t', 'k', 's')})").fetchall()}
     assert got == want
     assert all(0 <= v < 2 ** 32 for v in got.values())
+
+
+def test_enrich_end_to_end(spark):
+    from contingo.operators.enrich import enrich
+    from contingo.operators.stats import bh_adjust, with_fisher_and_or
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    strata = F.filter(F.array(F.lit("all"), F.when(F.col("g") == "g1", F.lit("one"))), lambda s: s.isNotNull())
+    got = enrich(df, ["id"], COMPS, PREDS, strata=strata)
+    assert {"stratum", "pvalue", "pvalue_corrected", "significance", "or_result"} <= set(got.columns)
+    want = bh_adjust(with_fisher_and_or(contingency_sweep(df, ["id"], COMPS, PREDS, strata=strata)),
+                     group_cols=["stratum", "predictionType", "comparisonType"], tiebreak=["prediction", "comparison"])
+    key = lambda r: (r["stratum"], r["comparisonType"], r["comparison"], r["predictionType"], r["prediction"])
+    g = {key(r): r["pvalue_corrected"] for r in got.collect()}
+    w = {key(r): r["pvalue_corrected"] for r in want.collect()}
+    assert g == w and len(g) > 0
