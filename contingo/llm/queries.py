@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from contingo.llm.bpe import op6_bpe_encode_decode
 from contingo.llm.quality import OP10_SQL, op10_quality_rules
+from contingo.llm.tokenfile import op7_token_id_files
 
 QUERIES = {
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_token_id_files": op7_token_id_files,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
