@@ -76,8 +76,10 @@ def _dtype(content: bytes) -> str:
 
 
 def train_dictionary(docs: DataFrame, vocabulary, end_id: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """A dictionary from the serialized ids of at most about sample_docs documents; the sample's size is
-    bounded by SAMPLE_BYTES on the driver (a document's share of it by 1/64: the trainer wants many short ones)."""
+    """A dictionary from the serialized ids of at most about sample_docs whole documents. The trainer wants many
+    short ones, so they are drawn from those of at most SAMPLE_BYTES / 64 characters; the driver holds at most
+    SAMPLE_BYTES of them."""
+    docs = docs.where(F.length("text") <= SAMPLE_BYTES // 64)
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
 
@@ -86,7 +88,7 @@ def train_dictionary(docs: DataFrame, vocabulary, end_id: int, sample_docs: int
             dtype = _dtype(vocabulary.value)
             every = [t or b"" for t in texts(batch.column(0))]
             for ids in _id_arrays(every, vocabulary.value, end_id):
-                yield pa.RecordBatch.from_pydict({"raw": [ids[:SAMPLE_BYTES // 64 // 4].astype(dtype).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"raw": [ids.astype(dtype).tobytes()]})
 
     rows = (docs.select("text").sample(fraction=share, seed=11).mapInArrow(serialize, "raw binary")
             .limit(2 * sample_docs).toLocalIterator())
