@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from contingo.llm.bpe import op6_bpe_encode_decode
+from contingo.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from contingo.llm.quality import OP10_SQL, op10_quality_rules
 from contingo.llm.tokenfile import op7_token_id_files
 
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_token_id_files": op7_token_id_files,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op2_benchmark_decontamination": OP2_SQL,
     "op10_quality_rules": OP10_SQL,
 }
