@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contingo.llm.cluster import cut
 from contingo.llm.pretoken import ragged
 from contingo.llm.words import ALNUM, alnum_words, texts
 
@@ -270,7 +271,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                      pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], type=kind),
                      pa.array(items, type=pa.list_(pa.string()))], schema.names)
 
-        out = (docs if out is None else out.checkpoint()).mapInArrow(run, schema)
+        out = (docs if out is None else cut(out)).mapInArrow(run, schema)
     return out
 
 
@@ -279,7 +280,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
     found = find_spans(docs, benchmark, text, prefix="__hit", **options)
     at, n = docs.columns.index(text), len(docs.columns)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(n + 1).to_pylist()
             new = [None if t is None else remove_spans(t, [(x["first"], x["last"]) for x in s])
@@ -288,7 +289,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
             columns[at] = pa.array(new, type=pa.binary()).cast(batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(columns, docs.columns)
 
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut_out, docs.schema)
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

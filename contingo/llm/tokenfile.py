@@ -20,7 +20,6 @@ stands before all others; an empty table gives an empty file set.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contingo.llm.bpe import default_vocabulary, shared_file
+from contingo.llm.cluster import shared_folder
 from contingo.llm.pretoken import IdCache, batches_of, encode_texts
 from contingo.llm.words import texts
 
@@ -235,17 +235,6 @@ def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None, k
     return rows.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a local session without one gets a folder of its own."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-        top = tempfile.mkdtemp(prefix="contingo-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def op7_token_id_files(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = shared_folder(spark, "token-ids")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, vocabulary or default_vocabulary())
