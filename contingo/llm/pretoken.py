@@ -23,6 +23,8 @@ from contingo.llm.words import hash_spans
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Words hashed at once.
+HASH_AT_ONCE = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -75,8 +77,8 @@ class Words:
         self.buf = np.frombuffer(b"".join(t for t in texts if t), dtype=np.uint8)
         ends = np.cumsum(lens)
         starts = ends - lens
-        keys = np.concatenate([hash_spans(self.buf, starts[i:i + 1_000_000], ends[i:i + 1_000_000])
-                               for i in range(0, max(len(lens), 1), 1_000_000)])
+        keys = np.concatenate([hash_spans(self.buf, starts[i:i + HASH_AT_ONCE], ends[i:i + HASH_AT_ONCE])
+                               for i in range(0, max(len(lens), 1), HASH_AT_ONCE)])
         self.index, self.keys = pd.factorize(keys)
         first = np.empty(len(self.keys), dtype=np.int64)
         first[self.index[::-1]] = np.arange(len(keys) - 1, -1, -1)
@@ -119,7 +121,7 @@ class IdCache:
     """Ids of words already encoded, by word hash; emptied when it holds more than ``most`` words.
     ``specials`` are words with an id of their own."""
 
-    def __init__(self, encode, specials: dict[bytes, int], most: int = 1_000_000):
+    def __init__(self, encode, specials: dict[bytes, int], most: int = 400_000):
         self.encode, self.specials, self.most = encode, specials, most
         self._empty()
 
@@ -175,7 +177,7 @@ def special_tokens(path: str) -> tuple[str, ...]:
         return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
-def batches_of(texts: list[bytes | None], most_bytes: int = 8 << 20):
+def batches_of(texts: list[bytes | None], most_bytes: int = 2 << 20):
     """Runs (first, end) of texts of about so many bytes together; a longer text is a run of its own."""
     first = size = 0
     for i, t in enumerate(texts):
