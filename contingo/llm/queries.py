@@ -5,6 +5,7 @@ from __future__ import annotations
 from contingo.llm.bpe import op6_bpe_encode_decode
 from contingo.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from contingo.llm.jaccard import op3_ngram_jaccard_join
+from contingo.llm.lattice import op8_lattice_likelihood
 from contingo.llm.pii import op5_pii_pseudonyms
 from contingo.llm.quality import OP10_SQL, op10_quality_rules
 from contingo.llm.tokenfile import op7_token_id_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_token_id_files": op7_token_id_files,
+    "op8_lattice_likelihood": op8_lattice_likelihood,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
