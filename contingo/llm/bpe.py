@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contingo.llm.cluster import small_batches
 from contingo.llm.pretoken import IdCache, batches_of, encode_texts, ragged
 from contingo.llm.words import texts
 
@@ -251,6 +252,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                   keep_ids: bool = True) -> DataFrame:
     """One row for each document: doc_id, n_tokens, the ids (little-endian unsigned 32-bit, if kept), the hash
     of the ids, and the hash and equality of the text decoded from them."""
+    small_batches(docs.sparkSession)
     content = shared_file(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
 

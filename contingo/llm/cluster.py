@@ -26,6 +26,13 @@ def shared_top(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts go to Python in batches of at most so many rows, which bounds a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
     return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ from contingo.llm.words import hash_spans
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Words hashed at once.
-HASH_AT_ONCE = 200_000
+HASH_AT_ONCE = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -177,7 +177,7 @@ def special_tokens(path: str) -> tuple[str, ...]:
         return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
-def batches_of(texts: list[bytes | None], most_bytes: int = 2 << 20):
+def batches_of(texts: list[bytes | None], most_bytes: int = 1 << 20):
     """Runs (first, end) of texts of about so many bytes together; a longer text is a run of its own."""
     first = size = 0
     for i, t in enumerate(texts):

@@ -9,10 +9,12 @@ from contingo.llm.lattice import op8_lattice_likelihood
 from contingo.llm.pii import op5_pii_pseudonyms
 from contingo.llm.quality import OP10_SQL, op10_quality_rules
 from contingo.llm.tokenfile import op7_token_id_files
+from contingo.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_token_id_files": op7_token_id_files,

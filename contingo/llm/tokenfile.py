@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contingo.llm.bpe import default_vocabulary, shared_file
-from contingo.llm.cluster import shared_folder
+from contingo.llm.cluster import shared_folder, small_batches
 from contingo.llm.pretoken import IdCache, batches_of, encode_texts
 from contingo.llm.words import texts
 
@@ -40,7 +40,7 @@ SAMPLE_DOCS = 2000
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 8 << 20
 #: Bytes of frames after which a block ends.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 NULL_ID = np.iinfo(np.int64).min
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("n_ids", "<i8")])
 
@@ -106,6 +106,7 @@ def train_dictionary(docs: DataFrame, vocabulary, end_id: int, sample_docs: int
 def write_ids(docs: DataFrame, path: str, vocabulary_path: str, id_col: str = "doc_id", text: str = "text",
               end_id: int = 0, level: int = 1) -> None:
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     content = shared_file(spark, vocabulary_path)
     data = train_dictionary(rows, content, end_id)
@@ -191,6 +192,7 @@ def _dictionary(spark: SparkSession, path: str):
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None, keep_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, or of the given ones: then only blocks
     whose range holds one are read, and only those documents' frames are decompressed."""
+    small_batches(spark)
     shared = _dictionary(spark, path)
     blocks = spark.read.parquet(f"{path}/blocks")
     if doc_ids is not None:
