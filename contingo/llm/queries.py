@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contingo.llm.bpe import op6_bpe_encode_decode
 from contingo.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
+from contingo.llm.html import op1_html_extraction
 from contingo.llm.jaccard import op3_ngram_jaccard_join
 from contingo.llm.lattice import op8_lattice_likelihood
 from contingo.llm.pii import op5_pii_pseudonyms
@@ -12,6 +13,7 @@ from contingo.llm.tokenfile import op7_token_id_files
 from contingo.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
