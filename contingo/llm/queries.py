@@ -9,6 +9,7 @@ from contingo.llm.jaccard import op3_ngram_jaccard_join
 from contingo.llm.lattice import op8_lattice_likelihood
 from contingo.llm.pii import op5_pii_pseudonyms
 from contingo.llm.quality import OP10_SQL, op10_quality_rules
+from contingo.llm.secrets import op9_secret_scan
 from contingo.llm.tokenfile import op7_token_id_files
 from contingo.llm.toxicity import op4_toxicity
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_token_id_files": op7_token_id_files,
     "op8_lattice_likelihood": op8_lattice_likelihood,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
