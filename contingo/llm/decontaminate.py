@@ -278,7 +278,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with the hit spans cut out of their texts; columns as before."""
     found = find_spans(docs, benchmark, text, prefix="__hit", **options)
-    at, n = docs.columns.index(text), len(docs.columns)
+    names = docs.columns
+    at, n = names.index(text), len(names)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +288,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
                    for t, s in zip(texts(batch.column(at)), spans)]
             columns = list(batch.columns[:n])
             columns[at] = pa.array(new, type=pa.binary()).cast(batch.schema.types[at])
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return found.mapInArrow(cut_out, docs.schema)
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contingo.llm.cluster import components, cut, in_filter, member_filter
 from contingo.llm.words import mix, shingle_set, texts
@@ -248,10 +249,9 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS,
-                    percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    join = Join(docs, id_col, text, width, percent, frequent)
+def linked(join: Join) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of each document, and (node, doc_id, part, component_id) of each distinct set: the
+    smallest id that holds it, its component's smallest node and smallest id."""
     rows = cut(join.rows())
     real = rows.where("n > 0")
     nodes = real.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"),
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     x = met.select("signature", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
     y = met.select("signature", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     pairs = x.join(y, "signature").where("pa < pb") \
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+        .where(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb")).select("a", "b").distinct()
 
     # 5. verification and components
     links = folded.union(join.verified(pairs, nodes))
@@ -298,11 +298,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     whole = nodes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left") \
         .select("node", "doc_id", F.coalesce("label", "node").alias("part"))
     smallest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of_node = whole.join(smallest, "part").select(F.col("node").alias("n2"), "component_id")
+    return rows.select("doc_id", "n", "node"), whole.join(smallest, "part")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS,
+                    percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    rows, nodes = linked(Join(docs, id_col, text, width, percent, frequent))
+    of_node = nodes.select(F.col("node").alias("n2"), "component_id")
     return rows.join(of_node, (F.col("node") == F.col("n2")) & (F.col("n") > 0), "left") \
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS,
+                percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """The documents without near duplicates, columns as before: of each component one row with its smallest id
+    stays (of nodes that share that id the smallest). Documents without tokens all stay."""
+    _, nodes = linked(Join(docs, id_col, text, width, percent, frequent))
+    keep = nodes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("part") \
+        .agg(F.min("node").alias("__keep"), F.first("component_id").alias("__keep_id")).drop("part")
+    at, schema = docs.columns.index(text), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [fingerprint(shingle_set(t, width))[0] for t in texts(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int64())], [*schema.names, "__node"])
+
+    marked = docs.mapInArrow(run, marked_schema(schema))
+    empty = marked.where("__node = 0").drop("__node")
+    full = marked.where("__node <> 0").join(
+        keep, (F.col("__node") == F.col("__keep")) & F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
+    return full.dropDuplicates(["__node"]).drop("__node").unionByName(empty)
+
+
+def marked_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("__node", T.LongType())])
+
+
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
