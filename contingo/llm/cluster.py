@@ -99,21 +99,17 @@ def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the links (a, b) reaches. Labels pass along links and
-    then from label to label, so long chains shorten by more than half each round."""
+    """(node, label): the smallest node that each node of the links (a, b) reaches. Each round a label becomes the
+    least of its own, its neighbours' and its label's label, so long chains shorten by more than half."""
     edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")) \
-        .select("node", F.least("node", "m").alias("label"))
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                 .select("node", F.least("node", "m").alias("label")))
     while True:
-        labels = cut(labels)
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left") \
-            .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = cut(step)
-        up = step.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        jump = step.join(up, step["label"] == up["n2"], "left") \
-            .select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
-        jump = cut(jump)
-        if not jump.where("old <> label").limit(1).count():
-            return jump.select("node", "label")
-        labels = jump.select("node", "label")
+        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b") \
+            .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        step = cut(labels.join(near, "node", "left").join(up, "label", "left").select(
+            "node", F.col("label").alias("old"), F.least("label", "near", "up").alias("label")))
+        if not step.where("old <> label").limit(1).count():
+            return step.select("node", "label")
+        labels = step.select("node", "label")

@@ -15,7 +15,8 @@ candidates, and candidates are verified on their whole sets.
 3. Class of a token: how many unfolded nodes hold it, counted over all tokens, which travel as packed 40-bit
    arrays. Frequent ones go into a fixed-size filter. Whatever a filter answers, it answers the same for every
    set, so a false positive only moves a token to the other class and loses no link.
-4. Signatures of all nodes, packed likewise; those that meet across components give candidates.
+4. Signatures of all nodes, packed likewise. Nodes that meet across components are candidates if what their
+   prefixes share, and all that follows them, can make the overlap that a link needs.
 5. Verification, then connected components over all links.
 
 Defined results: a null, empty or blank text has no tokens, links with
@@ -30,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contingo.llm.cluster import components, cut, in_filter, member_filter
+from contingo.llm.pretoken import ragged
 from contingo.llm.words import mix, shingle_set, texts
 
 WORDS = 5
@@ -69,19 +71,42 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return node or 1, int(b.view(np.int64)[0])
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set's extended prefix: rare tokens, and 2-token combinations of frequent ones."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The extended prefix of a set: its rare tokens, and its frequent ones (to be combined)."""
     need = most_missing(len(tokens), percent) + 1
     rare = tokens[~frequent][:need]
-    if len(rare) == need:
-        return rare
-    return np.concatenate([rare, combinations(tokens[frequent][:need - len(rare) + 1])])
+    more = need - len(rare)
+    return rare, tokens[frequent][:more + 1] if more else tokens[:0]
 
 
-def row_keys(nodes: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """A key of (node, document id)."""
+def meet_bound(c1: Column, m: Column, tail_a: Column, tail_b: Column) -> Column:
+    """Most tokens that two sets can share: c1 rare ones in both prefixes, frequent ones of which m combinations
+    are in both (none: at most one), and what follows the longer of the tails."""
+    c2 = F.when(m > 0, F.floor((1 + F.sqrt(1 + 8 * m)) / 2 + 1e-9)).otherwise(1)
+    return c1 + c2 + F.greatest(tail_a, tail_b)
+
+
+def id_keys(ids: pa.Array) -> np.ndarray:
+    """A filter's key of each document id (null is a key of its own)."""
     known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return mix(nodes.view(np.uint64) * np.uint64(3) + known * np.uint64(0x9E3779B97F4A7C15))
+    return mix(known * np.uint64(0x9E3779B97F4A7C15) + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64))
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A fixed-size filter of the one column of document ids."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array(id_keys(batch.column(0)).view(np.int64), type=pa.int64())})
+
+    return member_filter(ids.mapInArrow(keys, "key long"))
+
+
+def filtered(batch: pa.RecordBatch, bitmap: bytes | None, inside: bool) -> pa.RecordBatch:
+    """The rows whose ids the filter holds, or doesn't."""
+    if bitmap is None:
+        return batch
+    held = in_filter(np.frombuffer(bitmap, dtype=np.uint8), id_keys(batch.column(0)))
+    return batch.filter(pa.array(held if inside else ~held))
 
 
 def doc_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -112,65 +137,75 @@ class Join:
         return self.docs.mapInArrow(run, "doc_id long, n long, node long, check long, low array<long>")
 
     def packed(self, skip: bytes | None, frequent: bytes | None) -> DataFrame:
-        """(bucket, tokens, owners, nodes): 40-bit tokens of one bucket, the index of each one's owner, and the
-        owners. Without ``frequent`` all tokens of the rows that ``skip`` doesn't hold; else signatures."""
+        """(bucket, kind, counts, low, owners, nodes): tokens of one bucket, sorted, as the number of tokens for
+        each value of their upper 16 bits and the next 24 bits of each; each one's owner and the owners. Without
+        ``frequent`` all tokens (kind 0) of the documents that ``skip`` doesn't hold; else signatures of all:
+        rare tokens (kind 0) and combinations of frequent ones (kind 1)."""
         shared = self.spark.sparkContext.broadcast((skip, frequent))
         n_buckets, width, percent = self.n_buckets, self.width, self.percent
+        named = frequent is not None
+        edges = bucket_edges(n_buckets)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            skipped, common = (None if x is None else np.frombuffer(x, dtype=np.uint8) for x in shared.value)
+            skipped, common = shared.value
+            bitmap = None if common is None else np.frombuffer(common, dtype=np.uint8)
             seen: set[int] = set()
-            held: list[np.ndarray] = []
+            held: tuple[list, list] = [], []
             nodes: list[int] = []
             size = 0
             for batch in batches:
-                every = doc_sets(batch, width)
-                prints = np.array([fingerprint(s)[0] for s in every], dtype=np.int64)
-                leave = np.zeros(len(every), dtype=bool) if skipped is None else \
-                    in_filter(skipped, row_keys(prints, batch.column(0)))
-                for node, tokens, out in zip(prints.tolist(), every, leave.tolist()):
-                    if out or not len(tokens) or node in seen:
+                for tokens in doc_sets(filtered(batch, skipped, False), width):
+                    node = fingerprint(tokens)[0]
+                    if not len(tokens) or node in seen:
                         continue
                     seen.add(node)
-                    if common is not None:
-                        tokens = signatures(tokens, in_filter(common, tokens >> np.uint64(24)), percent)
-                    held.append(tokens)
+                    pair = (tokens, tokens[:0])
+                    if bitmap is not None:
+                        rare, often = signatures(tokens, in_filter(bitmap, tokens >> np.uint64(24)), percent)
+                        pair = rare, combinations(often)
+                    for kind in (0, 1):
+                        held[kind].append(pair[kind])
+                        size += len(pair[kind])
                     nodes.append(node)
-                    size += len(tokens)
                     if size > 1 << 21:
                         yield from pack(held, nodes)
-                        held, nodes, size = [], [], 0
-            if held:
+                        held, nodes, size = ([], []), [], 0
+            if nodes:
                 yield from pack(held, nodes)
 
-        def pack(held: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate(held) >> np.uint64(24)
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held])
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            edges = np.searchsorted(tokens, [(i << 40) // n_buckets for i in range(n_buckets + 1)])
-            for i in range(n_buckets):
-                a, b = int(edges[i]), int(edges[i + 1])
-                if a < b:
-                    raw = tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    if common_used:
+        def pack(held: tuple[list, list], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+            for kind in (0, 1):
+                tokens = np.concatenate(held[kind]) >> np.uint64(24)
+                owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(h) for h in held[kind]])
+                order = np.argsort(tokens)
+                tokens, owner = tokens[order], owner[order]
+                top = (tokens >> np.uint64(24)).astype(np.int64)
+                cuts = np.searchsorted(top, edges)
+                for i in range(n_buckets):
+                    a, b = int(cuts[i]), int(cuts[i + 1])
+                    if a == b:
+                        continue
+                    counts = np.bincount(top[a:b] - edges[i], minlength=edges[i + 1] - edges[i])
+                    low = tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+                    owners = names = b""
+                    if named:
                         who, own = np.unique(owner[a:b], return_inverse=True)
-                        owners = own.astype("<u2" if len(who) <= 1 << 16 else "<u4").tobytes()
+                        owners = own.astype(narrow(len(who))).tobytes()
                         names = np.array(nodes, dtype=np.int64)[who].tobytes()
-                    else:
-                        owners = names = b""
                     yield pa.RecordBatch.from_pydict(
-                        {"bucket": pa.array([i], type=pa.int32()), "tokens": pa.array([raw], type=pa.binary()),
-                         "owners": pa.array([owners], type=pa.binary()), "nodes": pa.array([names], type=pa.binary())})
+                        {"bucket": pa.array([i], type=pa.int32()), "kind": pa.array([kind], type=pa.int32()),
+                         "counts": pa.array([counts.astype("<u4").tobytes()], type=pa.binary()),
+                         "low": pa.array([low], type=pa.binary()), "owners": pa.array([owners], type=pa.binary()),
+                         "nodes": pa.array([names], type=pa.binary())})
 
-        common_used = frequent is not None
-        return self.docs.mapInArrow(run, "bucket int, tokens binary, owners binary, nodes binary")
+        return self.docs.mapInArrow(run, "bucket int, kind int, counts binary, low binary, owners binary, nodes binary")
 
     def frequent_tokens(self, skip: bytes) -> DataFrame:
-        most = self.frequent
+        most, n_buckets = self.frequent, self.n_buckets
 
         def count(table: pa.Table) -> pa.Table:
-            tokens = np.sort(np.concatenate([unpacked(b) for b in table.column("tokens").to_pylist()]))
+            tokens = np.sort(np.concatenate([unpacked(*r, n_buckets) for r in zip(
+                *(table.column(c).to_pylist() for c in ("bucket", "counts", "low")))]))
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             often = np.diff(starts, append=len(tokens)) > most
             return pa.table({"token": pa.array(tokens[starts[often]].view(np.int64), type=pa.int64())})
@@ -178,13 +213,17 @@ class Join:
         return self.packed(skip, None).groupBy("bucket").applyInArrow(count, "token long")
 
     def meetings(self, frequent: bytes) -> DataFrame:
-        """(signature, node) of the signatures that at least two nodes have."""
+        """(meeting, kind, times, node): the sets of at least two nodes that share signatures, and how many."""
+        n_buckets = self.n_buckets
+
         def meet(table: pa.Table) -> pa.Table:
             tokens, nodes = [], []
-            for raw, owners, names in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "nodes"))):
-                t, who = unpacked(raw), np.frombuffer(names, dtype=np.int64)
-                tokens.append(t)
-                nodes.append(who[np.frombuffer(owners, dtype="<u2" if len(who) <= 1 << 16 else "<u4")])
+            kind = table.column("kind")[0].as_py()
+            for bucket, counts, low, owners, names in zip(
+                    *(table.column(c).to_pylist() for c in ("bucket", "counts", "low", "owners", "nodes"))):
+                who = np.frombuffer(names, dtype=np.int64)
+                tokens.append(unpacked(bucket, counts, low, n_buckets))
+                nodes.append(who[np.frombuffer(owners, dtype=narrow(len(who)))])
             token, node = np.concatenate(tokens), np.concatenate(nodes)
             order = np.lexsort((node, token))
             token, node = token[order], node[order]
@@ -192,11 +231,21 @@ class Join:
             token, node = token[new], node[new]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(starts, append=len(token))
-            keep = np.repeat(size > 1, size)
-            return pa.table({"signature": pa.array(token[keep].view(np.int64), type=pa.int64()),
-                             "node": pa.array(node[keep], type=pa.int64())})
-
-        return self.packed(None, frequent).groupBy("bucket").applyInArrow(meet, "signature long, node long")
+            mixed = mix(node.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+            together = mix(np.add.reduceat(mixed, starts) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) \
+                + mix(np.bitwise_xor.reduceat(mixed, starts))
+            kept = np.flatnonzero(size > 1)
+            meeting, first, times = np.unique(together[kept], return_index=True, return_counts=True)
+            kept = kept[first]
+            at = ragged(starts[kept], size[kept])
+            return pa.table({"meeting": pa.array(np.repeat(meeting, size[kept]).view(np.int64), type=pa.int64()),
+                             "kind": pa.array(np.full(len(at), kind), type=pa.int32()),
+                             "times": pa.array(np.repeat(times, size[kept]), type=pa.int64()),
+                             "node": pa.array(node[at], type=pa.int64())})
+
+        return self.packed(None, frequent).groupBy("bucket", "kind") \
+            .applyInArrow(meet, "meeting long, kind int, times long, node long") \
+            .groupBy("meeting", "kind", "node").agg(F.sum("times").alias("times"))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold. nodes: (node, n, doc_id of one such row)."""
@@ -204,26 +253,15 @@ class Join:
         pairs = cut(pairs)
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
 
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = row_keys(batch.column(0).to_numpy(), batch.column(1)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(found, type=pa.int64())})
-
-        shared = self.spark.sparkContext.broadcast(
-            member_filter(needed.select("node", "doc_id").mapInArrow(keys, "key long")))
+        shared = self.spark.sparkContext.broadcast(id_filter(needed.select("doc_id")))
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.frombuffer(shared.value, dtype=np.uint8)
-            sent: set[int] = set()
             for batch in batches:
+                batch = filtered(batch, shared.value, True)
                 every = doc_sets(batch, width)
-                prints = np.array([fingerprint(s)[0] for s in every], dtype=np.int64)
-                rows = [i for i in np.flatnonzero(in_filter(bitmap, row_keys(prints, batch.column(0)))).tolist()
-                        if prints[i] not in sent and not sent.add(prints[i])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(prints[rows], type=pa.int64()), batch.column(0).take(pa.array(rows)),
-                         pa.array([every[i].tobytes() for i in rows], type=pa.binary())], ["node", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fingerprint(s)[0] for s in every], type=pa.int64()), batch.column(0),
+                     pa.array([s.tobytes() for s in every], type=pa.binary())], ["node", "doc_id", "tokens"])
 
         sets = self.docs.mapInArrow(wanted, "node long, doc_id long, tokens binary")
         sets = sets.join(needed.select(F.col("node").alias("n2"), F.col("doc_id").alias("d2")),
@@ -243,10 +281,21 @@ class Join:
         return cut(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-    return wide.reshape(-1).view("<u8")
+def bucket_edges(n_buckets: int) -> np.ndarray:
+    """Buckets are ranges of a token's upper 16 bits."""
+    return np.arange(n_buckets + 1, dtype=np.int64) * 65536 // n_buckets
+
+
+def narrow(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def unpacked(bucket: int, counts: bytes, low: bytes, n_buckets: int) -> np.ndarray:
+    wide = np.zeros((len(low) // 3, 8), dtype=np.uint8)
+    wide[:, :3] = np.frombuffer(low, dtype=np.uint8).reshape(-1, 3)
+    first, end = bucket_edges(n_buckets)[bucket:bucket + 2]
+    top = np.repeat(np.arange(first, end, dtype=np.uint64), np.frombuffer(counts, dtype="<u4"))
+    return wide.reshape(-1).view("<u8") | (top << np.uint64(24))
 
 
 def linked(join: Join) -> tuple[DataFrame, DataFrame]:
@@ -270,27 +319,28 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     # 3. classes: copies and folded nodes don't count again
     rep = nodes.select("node", F.col("doc_id").alias("rep"))
     again = real.select("node", "doc_id").join(rep, "node").where(~F.col("doc_id").eqNullSafe(F.col("rep"))) \
-        .select("node", "doc_id").union(folded.select(F.col("b").alias("node")).distinct().join(nodes, "node")
-                                        .select("node", "doc_id"))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = row_keys(batch.column(0).to_numpy(), batch.column(1)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(found, type=pa.int64())})
-
-    skip = member_filter(again.mapInArrow(keys, "key long"))
-    common = member_filter(join.frequent_tokens(skip))
+        .select("doc_id").union(folded.select(F.col("b").alias("node")).distinct().join(nodes, "node").select("doc_id"))
+    common = member_filter(join.frequent_tokens(id_filter(again)))
 
-    # 4. signatures that meet across components
+    # 4. signatures that meet across components, as often as linked sets must
     named = nodes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left") \
         .select("node", "n", F.coalesce("label", "node").alias("part"))
     met = cut(join.meetings(common).join(named, "node"))
-    apart = met.groupBy("signature").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2")
-    met = met.join(apart.select("signature"), "signature", "left_semi")
-    x = met.select("signature", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = met.select("signature", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    pairs = x.join(y, "signature").where("pa < pb") \
-        .where(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb")).select("a", "b").distinct()
+    apart = met.groupBy("meeting", "kind").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2")
+    met = met.join(apart.select("meeting", "kind"), ["meeting", "kind"], "left_semi")
+    x = met.select("meeting", "kind", "times", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    y = met.select("meeting", "kind", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    least = F.ceil(join.percent * (F.col("na") + F.col("nb")) / (100 + join.percent) - 1e-9)
+
+    def tail(n: Column) -> Column:
+        """Tokens behind a prefix of the shortest length."""
+        return n - (n - F.ceil(join.percent * n / 100 - 1e-9) + 1)
+
+    pairs = x.join(y, ["meeting", "kind"]).where("pa < pb") \
+        .where(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb")) \
+        .groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("times")).otherwise(0)).alias("c1"),
+                                           F.sum(F.when(F.col("kind") == 1, F.col("times")).otherwise(0)).alias("m")) \
+        .where(meet_bound(F.col("c1"), F.col("m"), tail(F.col("na")), tail(F.col("nb"))) >= least).select("a", "b")
 
     # 5. verification and components
     links = folded.union(join.verified(pairs, nodes))
