@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from contingo.llm.words import mix
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_top(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; only a local session without
     one gets a folder of its own."""

@@ -243,10 +243,10 @@ def item_blocks(benchmark: DataFrame, id_col: str, text: str, most: int = BLOCK_
 def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                item_text: str = "text", prefix: str = "hit", width: int = WINDOW) -> DataFrame:
     """The documents with three more columns: <prefix>_words (number of words), <prefix>_spans (merged word
-    spans, first and last inclusive) and <prefix>_items (sorted item ids as strings)."""
+    spans, first and last inclusive) and <prefix>_items (sorted item ids as strings). Columns of these names are
+    replaced."""
     names = [f"{prefix}_words", f"{prefix}_spans", f"{prefix}_items"]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"the documents have a column named like {names}")
+    docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()),
                            T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))])
     at, n = docs.columns.index(text), len(docs.columns)
@@ -277,7 +277,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with the hit spans cut out of their texts; columns as before."""
-    found = find_spans(docs, benchmark, text, prefix="__hit", **options)
+    free = "hit"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    found = find_spans(docs, benchmark, text, prefix=free, **options)
     names = docs.columns
     at, n = names.index(text), len(names)
 

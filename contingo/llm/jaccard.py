@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.llm.cluster import components, cut, in_filter, member_filter
+from contingo.llm.cluster import components, cut, free_name, in_filter, member_filter
 from contingo.llm.pretoken import ragged
 from contingo.llm.words import mix, shingle_set, texts
 
@@ -365,25 +365,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
                 percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """The documents without near duplicates, columns as before: of each component one row with its smallest id
     stays (of nodes that share that id the smallest). Documents without tokens all stay."""
+    node, keep_node, keep_id = (free_name(docs.columns, n) for n in ("node", "keep_node", "keep_id"))
     _, nodes = linked(Join(docs, id_col, text, width, percent, frequent))
     keep = nodes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("part") \
-        .agg(F.min("node").alias("__keep"), F.first("component_id").alias("__keep_id")).drop("part")
+        .agg(F.min("node").alias(keep_node), F.first("component_id").alias(keep_id)).drop("part")
     at, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [fingerprint(shingle_set(t, width))[0] for t in texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int64())], [*schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int64())], [*schema.names, node])
 
-    marked = docs.mapInArrow(run, marked_schema(schema))
-    empty = marked.where("__node = 0").drop("__node")
-    full = marked.where("__node <> 0").join(
-        keep, (F.col("__node") == F.col("__keep")) & F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return full.dropDuplicates(["__node"]).drop("__node").unionByName(empty)
-
-
-def marked_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("__node", T.LongType())])
+    marked = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(node, T.LongType())]))
+    empty = marked.where(F.col(node) == 0).drop(node)
+    full = marked.where(F.col(node) != 0).join(
+        keep, (F.col(node) == F.col(keep_node)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)), "left_semi")
+    return full.dropDuplicates([node]).drop(node).unionByName(empty)
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contingo.llm.cluster import free_name
+
 ROUNDS = 8
 #: (kind, pattern), in the order in which they are tried at a place of the text.
 KINDS = (
@@ -176,11 +178,11 @@ def pseudonym(value: Column, key: str) -> Column:
     return found
 
 
-def find_and_replace(docs: DataFrame, key: str, text: str = "text", prefix: str = "pii") -> DataFrame:
-    """The documents with pseudonyms in their texts, and <prefix>_found: (kind, new) of each, in order."""
-    values, found = f"{prefix}_values", f"{prefix}_found"
-    if {values, found} & set(docs.columns):
-        raise ValueError(f"the documents have a column named {values} or {found}")
+def find_and_replace(docs: DataFrame, key: str, text: str = "text", found: str = "pii_found") -> DataFrame:
+    """The documents with pseudonyms in their texts, and a column ``found``: (kind, new) of each, in order. A
+    column of that name is replaced."""
+    docs = docs.drop(found)
+    values = free_name(docs.columns, "pii_values")
     candidate = F.col(text).rlike("[0-9]") | F.col(text).contains("@")
     rows = docs.withColumn(values, F.when(candidate, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
     rows = rows.withColumn(found, F.transform(values, lambda v: pseudonym(v, key)))
@@ -194,7 +196,8 @@ def find_and_replace(docs: DataFrame, key: str, text: str = "text", prefix: str
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with pseudonyms in their texts; columns as before."""
-    return find_and_replace(docs, key, text, "__pii").drop("__pii_found")
+    found = free_name(docs.columns, "pii_found")
+    return find_and_replace(docs, key, text, found).drop(found)
 
 
 def pseudonym_key(spark) -> str:
