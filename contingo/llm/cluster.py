@@ -69,22 +69,20 @@ def member_filter(keys: DataFrame) -> bytes:
     more keys the more; whoever uses it must give right results for any such answer."""
     part_bytes = FILTER_BITS // 8 // FILTER_PARTS
 
-    def rows_of(bits: np.ndarray):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for batch in batches:
+            got = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for probe in range(PROBES):
+                at = filter_places(got, probe)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64),
+                                 np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         for i in range(FILTER_PARTS):
             part = bits[i * part_bytes:(i + 1) * part_bytes]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"part": pa.array([i], type=pa.int32()),
                                                   "bits": pa.array([part.tobytes()], type=pa.binary())})
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            got = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for probe in range(PROBES):
-                seen[filter_places(got, probe)] = True
-        if seen.any():
-            yield from rows_of(np.packbits(seen))
-
     def join(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()]
         return pa.table({"part": table.column("part").slice(0, 1),

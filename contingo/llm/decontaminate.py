@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.llm.cluster import cut
+from contingo.llm.cluster import cut, small_batches
 from contingo.llm.pretoken import ragged
 from contingo.llm.words import ALNUM, alnum_words, texts
 
@@ -251,6 +251,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                            T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))])
     at, n = docs.columns.index(text), len(docs.columns)
     spark = docs.sparkSession
+    small_batches(spark, 4000)
     out = None
     for items in item_blocks(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast(items)      # at most BLOCK_BYTES, or one item

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.llm.cluster import components, cut, free_name, in_filter, member_filter
+from contingo.llm.cluster import components, cut, free_name, in_filter, member_filter, small_batches
 from contingo.llm.pretoken import ragged
 from contingo.llm.words import mix, shingle_set, texts
 
@@ -116,6 +116,7 @@ def doc_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
 class Join:
     def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int, frequent: int):
         self.spark, self.width, self.percent, self.frequent = docs.sparkSession, width, percent, frequent
+        small_batches(self.spark)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.n_buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -167,7 +168,7 @@ class Join:
                         held[kind].append(pair[kind])
                         size += len(pair[kind])
                     nodes.append(node)
-                    if size > 1 << 21:
+                    if size > 1 << 20:
                         yield from pack(held, nodes)
                         held, nodes, size = ([], []), [], 0
             if nodes:

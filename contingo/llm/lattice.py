@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contingo.llm.cluster import cut
+from contingo.llm.cluster import cut, small_batches
 from contingo.llm.words import space_words, texts
 
 MARK = "▁".encode()
@@ -47,7 +47,9 @@ DISCOUNT = 0.5
 #: Tokens that the corpus weighs as much as, against the document itself.
 STRENGTH = 1000.0
 #: Documents in a block, about.
-BLOCK_DOCS = 4000
+BLOCK_DOCS = 2000
+#: Distinct words that a task counts before it hands them on.
+HELD_WORDS = 500_000
 #: Word bytes whose lattices are laid out at once.
 LATTICE_BYTES = 1 << 18
 
@@ -187,14 +189,23 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
 def word_counts(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     """(word, c) over the training documents; the empty word counts the documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), type=pa.binary()).cast(pa.string()),
+                                              pa.array(seen.values(), type=pa.int64())], ["word", "c"])
+            seen.clear()
+            return out
+
         for batch in batches:
-            seen: Counter = Counter()
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 if not held_out(doc_id, folds, fold):
                     seen.update(space_words(text))
                     seen[b""] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), type=pa.binary()).cast(pa.string()),
-                                              pa.array(seen.values(), type=pa.int64())], ["word", "c"])
+            if len(seen) > HELD_WORDS:
+                yield rows()
+        if seen:
+            yield rows()
 
     return docs.select("doc_id", "text").mapInArrow(run, "word string, c long") \
         .groupBy("word").agg(F.sum("c").alias("c"))
@@ -246,6 +257,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
           fold: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each document."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = cut(word_counts(docs, folds, fold))
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
@@ -284,7 +296,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
                 size -= len(own)
                 own.update(space_words(t))
                 size += len(own)
-                if size > 1_000_000:
+                if size > HELD_WORDS:
                     for b in [*seen]:
                         yield rows(b)
                     size = 0

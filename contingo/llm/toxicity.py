@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contingo.llm.cluster import small_batches
 from contingo.llm.words import alnum_words, texts
 
 #: Bound on the labelled rows that are learned from (a parameter of ``score``).
@@ -144,15 +145,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
         .select("doc_id", "text", "toxic")                   # at most sample_rows ids are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def found() -> pa.RecordBatch:
+            every = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_pydict({"term": pa.array(every, type=pa.binary()),
+                                              "n0": pa.array([seen[0][t] for t in every], type=pa.int64()),
+                                              "n1": pa.array([seen[1][t] for t in every], type=pa.int64())})
+            for c in seen:
+                c.clear()
+            return out
+
         for batch in batches:
-            seen: tuple[Counter, Counter] = Counter(), Counter()
             for t, toxic in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
                 seen[toxic].update(terms(t).keys())
                 seen[toxic][b""] += 1
-            every = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_pydict({"term": pa.array(every, type=pa.binary()),
-                                              "n0": pa.array([seen[0][t] for t in every], type=pa.int64()),
-                                              "n1": pa.array([seen[1][t] for t in every], type=pa.int64())})
+            if len(seen[0]) + len(seen[1]) > 500_000:
+                yield found()
+        if seen[0] or seen[1]:
+            yield found()
 
     counts = rows.mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term") \
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -184,6 +195,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
           threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (doc_id and cosine of the nearest labelled examples)."""
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample_rows, folds, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
