@@ -54,31 +54,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Bits of a membership filter: a fixed size, whatever goes in. Parts of it are put together on executors.
-FILTER_BITS = 1 << 26
+#: Bits of a membership filter: BITS_PER_KEY for each key, but at most FILTER_BITS (8 MB), whatever goes in.
+FILTER_BITS, LEAST_BITS, BITS_PER_KEY = 1 << 26, 1 << 18, 16
 FILTER_PARTS = 64
 PROBES = 2
 
 
-def filter_places(keys: np.ndarray, probe: int) -> np.ndarray:
-    return mix(keys.astype(np.uint64) * np.uint64(2 * probe + 1) + np.uint64(probe)) & np.uint64(FILTER_BITS - 1)
+def filter_places(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return mix(keys.astype(np.uint64) * np.uint64(2 * probe + 1) + np.uint64(probe)) & np.uint64(bits - 1)
 
 
 def member_filter(keys: DataFrame) -> bytes:
-    """A fixed-size bitmap (8 MB) in which every key of the one long column is found. Others are found too, the
-    more keys the more; whoever uses it must give right results for any such answer."""
-    part_bytes = FILTER_BITS // 8 // FILTER_PARTS
+    """A bitmap of bounded size in which every key of the one long column is found. Others are found too, the more
+    the fuller it is; whoever uses it must give right results for any such answer. Its parts are put together on
+    executors."""
+    keys = cut(keys)
+    bits = LEAST_BITS
+    n = keys.count()
+    while bits < min(FILTER_BITS, BITS_PER_KEY * n):
+        bits *= 2
+    part_bytes = bits // 8 // FILTER_PARTS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        found = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             got = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for probe in range(PROBES):
-                at = filter_places(got, probe)
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64),
+                at = filter_places(got, probe, bits)
+                np.bitwise_or.at(found, (at >> np.uint64(3)).astype(np.int64),
                                  np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         for i in range(FILTER_PARTS):
-            part = bits[i * part_bytes:(i + 1) * part_bytes]
+            part = found[i * part_bytes:(i + 1) * part_bytes]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"part": pa.array([i], type=pa.int32()),
                                                   "bits": pa.array([part.tobytes()], type=pa.binary())})
@@ -89,7 +95,7 @@ def member_filter(keys: DataFrame) -> bytes:
                          "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], type=pa.binary())})
 
     few = max(1, min(16, keys.sparkSession.sparkContext.defaultParallelism))
-    out = bytearray(FILTER_BITS // 8)
+    out = bytearray(bits // 8)
     for r in keys.coalesce(few).mapInArrow(place, "part int, bits binary").groupBy("part") \
             .applyInArrow(join, "part int, bits binary").toLocalIterator():
         out[r.part * part_bytes:(r.part + 1) * part_bytes] = r.bits
@@ -99,7 +105,7 @@ def member_filter(keys: DataFrame) -> bytes:
 def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     found = np.ones(len(keys), dtype=bool)
     for probe in range(PROBES):
-        at = filter_places(keys, probe)
+        at = filter_places(keys, probe, 8 * len(bitmap))
         found &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
     return found
 

@@ -98,7 +98,7 @@ def id_filter(ids: DataFrame) -> bytes:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"key": pa.array(id_keys(batch.column(0)).view(np.int64), type=pa.int64())})
 
-    return member_filter(ids.mapInArrow(keys, "key long"))
+    return member_filter(ids.distinct().mapInArrow(keys, "key long"))
 
 
 def filtered(batch: pa.RecordBatch, bitmap: bytes | None, inside: bool) -> pa.RecordBatch:
