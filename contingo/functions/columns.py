@@ -1,7 +1,8 @@
 """Column-expression helpers.
 
-Everything here builds a ``Column`` from built-in functions only, so it stays
-inside whole-stage code generation; nothing calls back into Python per row.
+Everything here builds a ``Column`` from built-in functions only; nothing calls
+back into Python per row.  (Higher-order functions such as ``transform`` and
+``aggregate`` are evaluated in the JVM but outside generated code.)
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ def two_sided_bin(value: str | Column, high: float, low: float, high_label: str,
     return F.when(v > high, F.lit(high_label)).otherwise(F.when(v < low, F.lit(low_label)))
 
 
-def degree_bin(count: str | Column) -> Column:
-    """Neighbour count bins; no or zero neighbours -> ``none``."""
-    n = col(count)
-    return (F.when(n > 20, F.lit("greaterThan20"))
-            .when((n > 10) & (n <= 20), F.lit("from11to20"))
-            .when((n > 0) & (n <= 10), F.lit("from1to10"))
-            .otherwise(F.lit("none")))
+# Breaks and labels of the neighbour count bins.
+DEGREE_BREAKS = [1, 11, 21]
+DEGREE_LABELS = ["from1to10", "from11to20", "greaterThan20"]
+
+
+def degree_bin(count: str | Column, breaks: Sequence[float] = tuple(DEGREE_BREAKS),
+               labels: Sequence[str] = tuple(DEGREE_LABELS), none: str = "none") -> Column:
+    """Bins of a neighbour count; below the first break or unknown -> ``none``."""
+    return F.coalesce(left_closed_bins(count, breaks, labels), F.lit(none))
 
 
 def keep_if_in(value: str | Column, allowed: Iterable[str]) -> Column:
@@ -61,12 +64,6 @@ def at_least_labels(value: str | Column, rules: Sequence[tuple[str, float, str]]
     return [F.when(ops[op](b), F.lit(lab)) for op, b, lab in rules]
 
 
-def exact_match_labels(value: str | Column, pairs: Sequence[tuple[str, str]]) -> list[Column]:
-    """One indicator column per (expected text, label)."""
-    v = col(value)
-    return [F.when(v == F.lit(text), F.lit(lab)) for text, lab in pairs]
-
-
 def collapse_to_default(value: str | Column, keep: Iterable[str], default: str) -> Column:
     """Keep listed classes, everything else (null included) -> default."""
     v = col(value)
@@ -230,78 +227,6 @@ def md5_unit_hash(*cols: str | Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
-_MASK32 = 0xFFFFFFFF
-
-
-def seeded_hash32(key32: str | Column, seed: str | Column) -> Column:
-    """Spark's built-in 32-bit Murmur3 ``hash(key, seed)`` as an unsigned value
-    in [0, 2^32).  ``key32`` is a long computed once per key (for example
-    ``md5_unit_hash``) and ``seed`` an int, so a sweep over many seeds costs
-    one native hash per seed, inside generated code."""
-    h = F.hash(col(key32).cast("long"), col(seed).cast("int")).cast("long")
-    return F.when(h < 0, h + F.lit(1 << 32)).otherwise(h)
-
-
-# The constants of the public 32-bit Murmur3 hash (x86 variant)
-# and the seed 42 that Spark's hash() starts from.
-_M3_C1, _M3_C2, _M3_N, _M3_F1, _M3_F2, _M3_SEED = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35, 42
-
-
-def sql_seeded_hash32(source: str, key32: str, seed: str, out: str = "mix") -> str:
-    """``seeded_hash32`` as DuckDB SQL: a subquery over ``source`` adding
-    column ``out``.  Murmur3 of a long (two 32-bit halves, length 8) chained
-    into Murmur3 of an int (length 4), written with 64-bit integer
-    arithmetic on values kept below 2^32, one nested SELECT per step."""
-    m = _MASK32
-    steps: list[tuple[str, str]] = []
-
-    def mul(x: str, c: int) -> str:
-        return f"(({x}) * {c & 0xFFFF} + ((({x}) * {c >> 16}) & 65535) * 65536) & {m}"
-
-    def rotl(x: str, r: int) -> str:
-        return f"(((({x}) << {r}) & {m}) | (({x}) >> {32 - r}))"
-
-    def add(name: str, expr: str) -> str:
-        steps.append((name, expr))
-        return name
-
-    def mix_k1(k: str, tag: str) -> str:
-        k = add(f"_{tag}a", mul(k, _M3_C1))
-        k = add(f"_{tag}b", rotl(k, 15))
-        return add(f"_{tag}c", mul(k, _M3_C2))
-
-    def mix_h1(h: str, k: str, tag: str) -> str:
-        h = add(f"_{tag}x", f"xor({h}, {k})")
-        h = add(f"_{tag}y", rotl(h, 13))
-        return add(f"_{tag}z", f"(({h}) * 5 + {_M3_N}) & {m}")
-
-    def fmix(h: str, length: int, tag: str) -> str:
-        h = add(f"_{tag}0", f"xor({h}, {length})")
-        h = add(f"_{tag}1", f"xor({h}, ({h}) >> 16)")
-        h = add(f"_{tag}2", mul(h, _M3_F1))
-        h = add(f"_{tag}3", f"xor({h}, ({h}) >> 13)")
-        h = add(f"_{tag}4", mul(h, _M3_F2))
-        return add(f"_{tag}5", f"xor({h}, ({h}) >> 16)")
-
-    lo = add("_lo", f"CAST({key32} AS BIGINT) & {m}")
-    hi = add("_hi", f"(CAST({key32} AS BIGINT) >> 32) & {m}")
-    h = mix_h1(str(_M3_SEED), mix_k1(lo, "k1"), "h1")
-    h = mix_h1(h, mix_k1(hi, "k2"), "h2")
-    h = fmix(h, 8, "f1")
-    sd = add("_sd", f"CAST({seed} AS BIGINT) & {m}")
-    h = mix_h1(h, mix_k1(sd, "k3"), "h3")
-    h = fmix(h, 4, "f2")
-    q = f"SELECT * FROM {source}"
-    for name, expr in steps:
-        q = f"SELECT *, {expr} AS {name} FROM ({q})"
-    keep = ", ".join(n for n, _e in steps)
-    return f"SELECT * EXCLUDE ({keep}), {h} AS {out} FROM ({q})"
-
-
-def round_half_up(x: str | Column, digits: int) -> Column:
-    return F.round(col(x), digits)
-
-
 def r_number_text(x: str | Column, digits: int) -> Column:
     """Round and print without trailing zeros (``1.50`` -> ``1.5``,
     ``2.00`` -> ``2``)."""
@@ -337,9 +262,9 @@ def thousands(n: str | Column) -> Column:
 
 
 def significance_change(p: str | Column, q: str | Column, alpha: float = 0.05) -> Column:
-    """Four-way label from the raw and the corrected p-value."""
-    pv, qv = col(p), col(q)
-    return (F.when((pv < alpha) & (qv >= alpha), F.lit("No Longer Significant"))
-            .when((pv >= alpha) & (qv < alpha), F.lit("Now Significant"))
-            .when((pv >= alpha) & (qv >= alpha), F.lit("Never Significant"))
-            .otherwise(F.lit("Remains Significant")))
+    """Four-way label from the raw and the corrected p-value; null when either is unknown."""
+    before, after = col(p) < alpha, col(q) < alpha
+    return (F.when(before & ~after, F.lit("No Longer Significant"))
+            .when(~before & after, F.lit("Now Significant"))
+            .when(~before & ~after, F.lit("Never Significant"))
+            .when(before & after, F.lit("Remains Significant")))

@@ -1,15 +1,12 @@
 """Seeded random baseline.
 
-The reference builds targets x diseases with a cross join, "samples" it with
-``fraction=1.0`` (which keeps every row, so every seed gave the same pairs)
-and keeps the first n rows, once per seed in a driver loop of 100 passes.
-
-Here a pair belongs to the random universe of seed s when
-``hash32(md5_32(pair), s) / 2^32 < n / (T * D)`` (n = observed association pairs, T and D the
-two entity counts): a seeded Bernoulli subset with expected size n, decided
-per pair without enumerating T x D.  Only the cohort's own pairs are ever
-consumed (by a left join), so membership is evaluated on those alone; the
-seeds are a grouping column of one job instead of 100 jobs.
+The analysed workload lists targets x diseases, shuffles and keeps the first
+n pairs, once per seed in a driver loop.  Here both sides get dense indexes
+(i below T, j below D), and a seeded bijection of the T x D grid decides
+membership: a pair belongs to seed s's universe when its image's number
+i' * D + j' is below n.  A bijection sends exactly n pairs below n, so every
+universe has exactly n members, yet no pair is listed: only the cohort's own
+pairs are ever asked for, and seeds are a grouping column of one job.
 """
 
 from __future__ import annotations
@@ -19,75 +16,95 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contingo.functions.columns import md5_unit_hash, seeded_hash32
+from contingo.functions.columns import md5_unit_hash
 from contingo.operators.counts import fill_two_by_two
 
-_TWO_32 = 4294967296.0
+#: A prime below 2^31: products of two residues fit a 64-bit integer in every engine.
+PRIME = 2147483647
+ROUNDS = 4
+INDEX_BUCKETS = 1024
 
 
-def sampling_fraction(associations: DataFrame, pair_cols: Sequence[str], left_entities: DataFrame,
-                      right_entities: DataFrame) -> Column:
-    """n / (T * D) as a scalar-subquery column (computed once, no driver
-    round trip, no cross join)."""
-    n = associations.select(*pair_cols).distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    t = left_entities.agg(F.count(F.lit(1)).cast("double").alias("t")).scalar()
-    d = right_entities.agg(F.count(F.lit(1)).cast("double").alias("d")).scalar()
-    return n / (t * d)
+def dense_index(keys: DataFrame, key: str, out: str, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """Each distinct non-null key with a number from 0 up without gaps, ordered by (hash bucket, key).  Only the
+    bucket counts (``buckets`` rows) are ordered as a whole; ranks are taken inside each bucket."""
+    b = F.pmod(md5_unit_hash(key), F.lit(buckets))
+    rows = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_b", b)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    return ranked.join(offsets, "_b").select(key, (F.col("_off") + F.col("_r") - 1).alias(out))
 
 
-def universe_membership(pairs: DataFrame, pair_cols: Sequence[str], fraction: Column,
-                        n_seeds: int) -> DataFrame:
-    """C7 + F3: (pair, seed) for every distinct pair and every seed whose
-    random universe contains it: hash32(md5_32(pair), seed) < fraction * 2^32
-    (Spark's native Murmur3 ``hash``).
-    One digest per distinct pair; the seeds are exploded as rows and tested
-    in generated code (never per cohort row)."""
-    keyed = pairs.select(*pair_cols).distinct().withColumn("_h", md5_unit_hash(*pair_cols))
-    seeded = keyed.select(*pair_cols, "_h", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
-    return (seeded.where(seeded_hash32("_h", "seed").cast("double") < fraction * F.lit(_TWO_32))
-            .select(*pair_cols, "seed"))
+def mixed(seed: Column, round_no: int, value: Column) -> Column:
+    """A seeded residue modulo PRIME in plain 64-bit arithmetic."""
+    h1 = (value * 48271 + seed.cast("long") * 69621 + (round_no * 16807 + 11)) % PRIME
+    h2 = (h1 * h1 + 7) % PRIME
+    return (h2 * 40014 + h1) % PRIME
 
 
-def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence[str],
-                  prediction: str, prediction_type: str, fraction: Column, n_seeds: int,
+def shuffled(df: DataFrame, i: str, j: str, size_i: Column, size_j: Column, seed: str, out: str) -> DataFrame:
+    """``out``: the number of (i, j)'s image under the seed's bijection of the grid. Each round adds a residue of
+    one index to the other, modulo its size, so it can be undone."""
+    x, y = F.col("_x"), F.col("_y")
+    rows = df.withColumns({"_x": F.col(i).cast("long"), "_y": F.col(j).cast("long")})
+    for r in range(ROUNDS):
+        rows = rows.withColumn("_x", (x + mixed(F.col(seed), 2 * r, y)) % size_i) if r % 2 == 0 else \
+            rows.withColumn("_y", (y + mixed(F.col(seed), 2 * r, x)) % size_j)
+    return rows.withColumn(out, x * size_j + y).drop("_x", "_y")
+
+
+def sql_shuffled(source: str, i: str, j: str, size_i: str, size_j: str, seed: str, out: str) -> str:
+    """``shuffled`` as SQL text, one nested SELECT a step."""
+    q = f"SELECT *, CAST({i} AS BIGINT) AS _x, CAST({j} AS BIGINT) AS _y FROM {source}"
+    for r in range(ROUNDS):
+        to, by, size = ("_x", "_y", size_i) if r % 2 == 0 else ("_y", "_x", size_j)
+        q = f"SELECT *, ({by} * 48271 + {seed} * 69621 + {2 * r * 16807 + 11}) % {PRIME} AS _h1 FROM ({q})"
+        q = f"SELECT *, (((_h1 * _h1 + 7) % {PRIME}) * 40014 + _h1) % {PRIME} AS _f FROM ({q})"
+        q = f"SELECT * EXCLUDE (_h1, _f) REPLACE (({to} + _f) % {size} AS {to}) FROM ({q})"
+    return f"SELECT * EXCLUDE (_x, _y), _x * {size_j} + _y AS {out} FROM ({q})"
+
+
+def baseline_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, pair_cols: Sequence[str],
+                   n_seeds: int) -> DataFrame:
+    """C7 + F2 + F3: (pair, seed) for the distinct observed pairs and the seeds whose universe of exactly n pairs
+    holds them; n is the number of observed pairs, left and right the two entity tables (their first column)."""
+    a, b = pair_cols
+    observed = pairs.select(a, b).distinct()
+    size = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    li = dense_index(left.select(F.col(left.columns[0]).alias(a)), a, "_i")
+    ri = dense_index(right.select(F.col(right.columns[0]).alias(b)), b, "_j")
+    seeded = observed.join(li, a).join(ri, b).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
+    image = shuffled(seeded, "_i", "_j", size(left.select(left.columns[0]).distinct()),
+                     size(right.select(right.columns[0]).distinct()), "seed", "_image")
+    return image.where(F.col("_image") < size(observed)).select(a, b, "seed")
+
+
+def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence[str], prediction: str,
+                  prediction_type: str, members: DataFrame, strata: Column | None = None,
                   comparison_value: str = "random", comparison_type: str = "byDatatype") -> DataFrame:
-    """H4: the enrichment sweep of one prediction against membership in the
-    random universe, for every seed in one job.
+    """H4: one prediction against membership in each seed's universe, for all seeds (and strata) in one job.
 
-    Seed-independent counts (total, prediction totals) are computed once;
-    seed-dependent ones (comparison total, a) come from exploding only the
-    member seeds of each row, so the work grows with n / (T*D) x seeds, not
-    with seeds x rows.  Output: one row per (seed, prediction) with a >= 1.
+    The pair is part of the id, so ids of different pairs differ and counts add up: ids are counted once per
+    (strata, pair, prediction), and only these counts meet the member seeds.  Totals and prediction totals
+    don't depend on the seed and stay outside that join.  One row for each (stratum, seed, prediction), a >= 1.
     """
-    id_names = [f"_id{n}" for n in range(len(id_cols))]
-    rows = cohort.select(*[F.col(c).alias(n) for n, c in zip(id_names, id_cols)], *pair_cols,
-                         F.col(prediction).cast("string").alias("pv"))
-    # One pass over the rows: each row meets its member seeds (left join, so
-    # rows of no universe stay), then one explode yields the seed-free events
-    # (total, prediction) and the seeded ones (comparison, pair).  A row in k
-    # universes repeats its seed-free events k times; the distinct folds them.
-    members = universe_membership(rows, pair_cols, fraction, n_seeds)
-    joined = rows.join(members, list(pair_cols), "left")
-    null_i, null_s = F.lit(None).cast("int"), F.lit(None).cast("string")
-    ev = lambda kind, seed, pv: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("seed"), seed, F.lit("pv"), pv)
-    seed, pv = F.col("seed"), F.col("pv")
-    exploded = (joined.select(*id_names, F.explode(F.array(
-        ev(0, null_i, null_s), ev(2, null_i, pv), ev(1, seed, null_s), ev(3, seed, pv))).alias("e"))
-        .select(*id_names, "e.*")
-        .where((F.col("kind") == 0) | ((F.col("kind") == 2) & pv.isNotNull())
-               | ((F.col("kind") == 1) & seed.isNotNull())
-               | ((F.col("kind") == 3) & seed.isNotNull() & pv.isNotNull())))
-    counts = exploded.distinct().groupBy("kind", "seed", "pv").agg(F.count(F.lit(1)).alias("n"))
-    kind, n = F.col("kind"), F.col("n")
-    # seed-free counts (kinds 0 and 2) sit in the null-seed partition; the
-    # windows below spread them to every seed without a second pass.
-    out = (counts
-           .withColumn("total", F.max(F.when(kind == 0, n)).over(Window.partitionBy(F.lit(1))))
-           .withColumn("predictionTotal", F.max(F.when(kind == 2, n)).over(Window.partitionBy("pv")))
-           .withColumn("comparisonTotal", F.max(F.when(kind == 1, n)).over(Window.partitionBy("seed")))
-           .where(kind == 3).withColumnRenamed("n", "a"))
-    out = out.select("seed", F.col("pv").alias("prediction"), F.lit(comparison_value).alias("comparison"),
-                     F.lit(comparison_type).alias("comparisonType"),
-                     F.lit(prediction_type).alias("predictionType"),
-                     "a", "predictionTotal", "comparisonTotal", "total")
+    if not set(pair_cols) <= set(id_cols):
+        raise ValueError("the pair must be part of the id")
+    st = ["stratum"] if strata is not None else []
+    listed = [strata.alias("stratum")] if st else []
+    ids = cohort.select(*listed, *id_cols, F.col(prediction).cast("string").alias("prediction")).distinct()
+    per_pair = ids.groupBy(*st, *pair_cols, "prediction").agg(F.count(F.lit(1)).alias("n"))
+    if st:
+        per_pair = per_pair.withColumn("stratum", F.explode("stratum"))
+    whole = Window.partitionBy(*st)
+    totals = per_pair.groupBy(*st, "prediction").agg(F.sum("n").alias("predictionTotal")) \
+        .withColumn("total", F.sum("predictionTotal").over(whole)).where(F.col("prediction").isNotNull())
+    seeded = per_pair.join(members, list(pair_cols)).groupBy(*st, "seed", "prediction").agg(F.sum("n").alias("a")) \
+        .withColumn("comparisonTotal", F.sum("a").over(Window.partitionBy(*st, "seed")))
+    out = seeded.join(totals, [*st, "prediction"]).select(
+        *st, "seed", "prediction", F.lit(comparison_value).alias("comparison"),
+        F.lit(comparison_type).alias("comparisonType"), F.lit(prediction_type).alias("predictionType"),
+        "a", "predictionTotal", "comparisonTotal", "total")
     return fill_two_by_two(out)

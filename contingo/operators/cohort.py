@@ -112,14 +112,44 @@ def explode_structs(df: DataFrame, keys: Sequence[str], array_col: str) -> DataF
     return df.select(*keys, F.inline(F.col(array_col)))
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, left_key: str, right_key: str,
-                how: str = "left", broadcast: bool = False) -> DataFrame:
-    """C4: join a lookup table whose key has a different name.  By default
-    AQE picks the strategy from the measured size (broadcast below its
-    threshold, sort-merge beyond); ``broadcast=True`` is for literal tables
-    whose size is fixed in code."""
-    rhs = F.broadcast(lookup) if broadcast else lookup
-    return df.join(rhs, df[left_key] == rhs[right_key], how).drop(rhs[right_key])
+def lookup_join(df: DataFrame, lookup: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
+    """C4: join a lookup table whose key has a different name.  AQE picks the strategy from the measured size
+    (broadcast below its threshold, sort-merge beyond)."""
+    return df.join(lookup, df[left_key] == lookup[right_key], how).drop(lookup[right_key])
+
+
+def values_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """A multi-valued feature as one row for each key: its distinct values in order (bounded by the number of
+    categories, not of rows)."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.col(value).cast("string"))).alias(out))
+
+
+def assemble_cohort(evidence: DataFrame, id_cols: Sequence[str], features: Sequence[tuple[DataFrame, Sequence[str]]], *,
+                    where: Column | None = None, nested: str | None = None,
+                    captured: dict[str, Column] | None = None, flags: dict[str, Column] | None = None,
+                    one_row: bool = False, id_out: str = "id") -> DataFrame:
+    """From evidence to the cohort.
+
+    The source filter ``where`` applies first; ``nested`` (an array of structs) becomes rows; ``captured`` are
+    identifiers taken out of texts, rows without any are dropped; ``flags`` are derived columns.  Repeated rows
+    collapse, the entity gets its ``xxhash64`` id (B20), and each feature table is joined from the left on its
+    keys.  A feature with several rows for a key multiplies the rows, so entities are counted by id afterwards.
+    With ``one_row`` an entity's flags are gathered into arrays of their distinct values instead (as many as there
+    are flag values); together with features that have one row for a key each entity then has one row.
+    """
+    rows = evidence if where is None else evidence.where(where)
+    if nested:
+        rows = rows.select(*[c for c in rows.columns if c != nested], F.inline(nested))
+    for name, value in (captured or {}).items():
+        rows = rows.withColumn(name, value).where(F.col(name).isNotNull())
+    rows = rows.withColumns(flags or {}).select(*id_cols, *(flags or {}))
+    rows = rows.groupBy(*id_cols).agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in flags]) if one_row and flags \
+        else rows.distinct()
+    rows = rows.withColumn(id_out, F.xxhash64(*id_cols))
+    for table, keys in features:
+        rows = rows.join(table, list(keys), "left")
+    return rows
 
 
 def stack_tagged(frames: dict[str, DataFrame], tag_col: str = "tag") -> DataFrame:
@@ -132,14 +162,17 @@ def stack_tagged(frames: dict[str, DataFrame], tag_col: str = "tag") -> DataFram
 
 
 def complete_grid(counts: DataFrame, a: str, b: str, fill: dict | None = None) -> DataFrame:
-    """All combinations of the observed values of two category columns,
-    absent combinations null (or ``fill``).  The two value domains are
-    category sets, bounded by the number of categories and not by the rows:
-    one aggregate collects each domain (after a distinct, so a hot value
-    ships once per task), and the grid is the explode of both domains."""
-    domains = counts.select(a, b).distinct().agg(
-        F.collect_set(a).alias("_da"), F.collect_set(b).alias("_db"))
-    grid = (domains.select(F.explode("_da").alias(a), "_db")
-            .select(a, F.explode("_db").alias(b)))
-    out = grid.join(counts, [a, b], "left")
+    """All combinations of the observed values of two category columns (null is a value), absent
+    combinations null (or ``fill``).
+
+    Each value of ``a`` gathers its rows (at most one for each value of ``b``) and meets the set of values of
+    ``b``, which is the one thing collected as a whole: one struct for each category.  The grid is built in as
+    many tasks as there are values of ``a``."""
+    rest = [c for c in counts.columns if c not in (a, b)]
+    every = counts.select(b).distinct().agg(F.collect_set(F.struct(F.col(b)))).scalar()
+    by_a = counts.groupBy(a).agg(F.collect_list(F.struct(b, *rest)).alias("_rows"))
+    grid = by_a.select(a, "_rows", F.explode(every).alias("_b"))
+    own = F.filter("_rows", lambda r: r[b].eqNullSafe(F.col(f"_b.{b}")))
+    out = grid.select(a, F.col(f"_b.{b}").alias(b), F.try_element_at(own, F.lit(1)).alias("_own")) \
+        .select(a, b, *[F.col(f"_own.{c}").alias(c) for c in rest])
     return out.fillna(fill) if fill else out

@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Spec = tuple[str, str]  # (column name, type label)
 
@@ -34,10 +35,10 @@ def _type_map(specs: Sequence[Spec]) -> Column:
 
 
 def fill_two_by_two(df: DataFrame) -> DataFrame:
-    """B, c, d from a and the three totals."""
-    return (df.withColumn("b", F.col("predictionTotal") - F.col("a"))
-              .withColumn("c", F.col("comparisonTotal") - F.col("a"))
-              .withColumn("d", F.col("total") - F.col("a") - F.col("b") - F.col("c")))
+    """The other three cells of each table, from a and the totals."""
+    only_pred, only_comp = (F.col(t) - F.col("a") for t in ("predictionTotal", "comparisonTotal"))
+    neither = F.col("total") - F.col("predictionTotal") - only_comp
+    return df.select("*", only_pred.alias("b"), only_comp.alias("c"), neither.alias("d"))
 
 
 def _marked_array(specs: Sequence[Spec]) -> Column:
@@ -83,6 +84,11 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
     keys = st + ["ck", "cv", "pk", "pv"]
     counts = (exploded.distinct()                      # one row per (id, event)
               .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    return _two_by_two(counts, st, comparisons, predictions)
+
+
+def _two_by_two(counts: DataFrame, st: list[str], comparisons: Sequence[Spec], predictions: Sequence[Spec]) -> DataFrame:
+    """Pair rows with their marginals and totals from the table of event counts."""
     # Marginals and totals are attached with windows over the small count
     # table (one row per category value or pair), so the one lineage above is
     # computed once; a split-and-join would let filters slide below the
@@ -105,6 +111,45 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
     return fill_two_by_two(out)
 
 
+def _entries(specs: Sequence[Spec], df: DataFrame) -> Column:
+    """(k, v) of the row's non-null values, one for each distinct value of an array column, after a marker."""
+    parts = [F.array(F.struct(F.lit(-1).alias("k"), F.lit(None).cast("string").alias("v")))]
+    for i, (c, _t) in enumerate(specs):
+        many = isinstance(df.schema[c].dataType, T.ArrayType)
+        values = F.array_distinct(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>"))) if many \
+            else F.array(F.col(c).cast("string"))
+        parts.append(_keyed(values, i))
+    return F.filter(F.concat(*parts), lambda e: (e["k"] < 0) | e["v"].isNotNull())
+
+
+def _keyed(values: Column, k: int) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
+
+
+def contingency_sweep_by_id(df: DataFrame, comparisons: Sequence[Spec], predictions: Sequence[Spec],
+                            strata: Column | None = None, stratum_col: str = "stratum") -> DataFrame:
+    """The sweep over a frame with ONE row for each entity, multi-valued categories as array columns.
+
+    An entity's values then form a full product of its comparison and prediction values, so no event is ever
+    shipped or deduplicated: each row's events are counted map-side and only counts are shuffled.  Rows of
+    the same list of strata are counted together; the lists are opened on the count table.
+    """
+    st = [stratum_col] if strata is not None else []
+    keyed = df.select(*([strata.alias(stratum_col)] if st else []), _entries(comparisons, df).alias("_c"),
+                      _entries(predictions, df).alias("_p"))
+    events = keyed.select(*st, F.explode("_c").alias("_c"), "_p").select(*st, "_c", F.explode("_p").alias("_p"))
+
+    def real(side: str) -> Column:
+        return F.when(F.col(f"{side}.k") >= 0, F.col(f"{side}.k"))
+
+    keys = st + ["ck", "cv", "pk", "pv"]
+    counts = events.select(*st, real("_c").alias("ck"), F.col("_c.v").alias("cv"), real("_p").alias("pk"),
+                           F.col("_p.v").alias("pv")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if st:
+        counts = counts.withColumn(stratum_col, F.explode(stratum_col)).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return _two_by_two(counts, st, comparisons, predictions)
+
+
 def contingency_counts(df: DataFrame, id_cols: Sequence[str], comparison: str, comparison_type: str,
                        prediction: str, prediction_type: str) -> DataFrame:
     """One (comparison, prediction) pair; the sweep with a single pair."""

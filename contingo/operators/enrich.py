@@ -12,15 +12,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from contingo.operators.counts import Spec, contingency_sweep
+from contingo.operators.counts import Spec, contingency_sweep, contingency_sweep_by_id
 from contingo.operators.stats import bh_adjust, with_fisher_and_or, with_significance_labels
 
 
 def enrich(cohort: DataFrame, id_cols: Sequence[str], comparisons: Sequence[Spec],
-           predictions: Sequence[Spec], strata: Column | None = None, alpha: float = 0.05) -> DataFrame:
+           predictions: Sequence[Spec], strata: Column | None = None, alpha: float = 0.05,
+           one_row_per_id: bool = False) -> DataFrame:
     """Enrichment of every (comparison, prediction) category pair, corrected
-    within each (stratum, predictionType, comparisonType) family."""
-    counts = contingency_sweep(cohort, id_cols, comparisons, predictions, strata=strata)
+    within each (stratum, predictionType, comparisonType) family.  With
+    ``one_row_per_id`` the cohort has one row for each entity and array
+    columns for multi-valued categories."""
+    counts = contingency_sweep_by_id(cohort, comparisons, predictions, strata=strata) if one_row_per_id else \
+        contingency_sweep(cohort, id_cols, comparisons, predictions, strata=strata)
     stats = with_fisher_and_or(counts)
     family = (["stratum"] if strata is not None else []) + ["predictionType", "comparisonType"]
     corrected = bh_adjust(stats, group_cols=family, tiebreak=["prediction", "comparison"])

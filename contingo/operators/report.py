@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contingo.functions.columns import effect_text, left_closed_bins, pvalue_text, thousands
-from contingo.operators.cohort import complete_grid
 
 # The count bins of the report (left-closed, last open).
 COUNT_BREAKS = [1, 5, 10, 25, 100, 250, 500]
@@ -21,45 +20,44 @@ def count_bins(df: DataFrame, count_col: str = "count", out: str = "interval") -
     return df.withColumn(out, left_closed_bins(count_col, COUNT_BREAKS, COUNT_LABELS))
 
 
-def grouped_grid(df: DataFrame, grouping: str, nicename: str, comparison: str,
-                 weight: str | None = None) -> DataFrame:
-    """D2 + D12 (+ tag): counts per (grouping, nicename), densified.  With
-    ``weight`` the input is already a count table and its counts are summed."""
-    measure = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.groupBy(F.col(grouping).alias("grouping"), F.col(nicename).alias("nicename")).agg(
-        measure.alias("count"))
-    return complete_grid(counts, "grouping", "nicename").withColumn("comparison", F.lit(comparison))
-
-
-def rank_by_frequency(df: DataFrame, category: str, out: str = "rank", desc: bool = True) -> DataFrame:
-    """Categories ordered by frequency (ties by name).  The window runs
-    over the per-category counts, one row per category."""
+def rank_by_frequency(df: DataFrame, category: str, out: str = "rank", desc: bool = True,
+                      first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
+    """Categories ordered by frequency (ties by name), chosen values
+    first or last whatever their frequency, in the order given.  The window
+    runs in one task over the per-category counts, one row per category, so
+    the column must be a category and not a key."""
     counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    order = [F.col("n").desc() if desc else F.col("n").asc(), F.col(category).asc()]
+    place = F.lit(0)
+    for i, v in enumerate(first):
+        place = F.when(F.col(category) == v, i - len(first)).otherwise(place)
+    for i, v in enumerate(last):
+        place = F.when(F.col(category) == v, i + 1).otherwise(place)
+    order = [place.asc(), F.col("n").desc() if desc else F.col("n").asc(), F.col(category).asc()]
     return counts.withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
 def group_median(df: DataFrame, group_cols: Sequence[str], value: str, out: str = "median",
-                 buckets: int = 4096) -> DataFrame:
+                 buckets: int = 64) -> DataFrame:
     """D11 helper: exact median per group (mean of the two middle values for
     an even count), nulls ignored, without putting a whole group in one task.
 
     1. values shrink to (group, value, multiplicity) -- a partial aggregate;
-    2. each group's range is cut into ``buckets`` equal-width buckets and the
-       bucket counts (a small table) give every bucket's rank offset;
-    3. only the buckets holding the two middle ranks are scanned in value
-       order, one (group, bucket) per window partition.
+    2. each group is cut at approximate quantiles into ``buckets`` ranges of
+       about equally many rows, whatever the values' tail; the ranges' counts
+       (a small table) give every range's rank offset;
+    3. only the ranges holding the two middle ranks are scanned in value
+       order, one (group, range) per window partition.
     """
     g = list(group_cols)
     v = F.col(value)
-    hist = df.where(v.isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_m"))
-    stats = hist.groupBy(*g).agg(F.sum("_m").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * buckets).cast("long"),
-                                       F.lit(buckets - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
-    hb = hist.join(stats, g).withColumn("_b", bucket)
-    per_b = hb.groupBy(*g, "_b").agg(F.sum("_m").alias("_bc"), F.first("_n").alias("_n"))
+    known = df.where(v.isNotNull())
+    hist = known.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_m"))
+    shares = [i / buckets for i in range(1, buckets)]
+    stats = known.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
+                                  F.percentile_approx(value, shares, 10 * buckets).alias("_cuts"))
+    hb = hist.join(stats, g).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < v)))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_b = hb.groupBy(*g, "_b").agg(F.sum("_m").alias("_bc"), F.first("_n").alias("_n"))
     per_b = per_b.withColumn("_off", F.sum("_bc").over(wb) - F.col("_bc"))
     lo_rank = F.floor((F.col("_n") + 1) / 2)
     hi_rank = F.floor(F.col("_n") / 2) + 1

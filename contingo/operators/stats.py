@@ -18,6 +18,9 @@ from contingo.functions.columns import log_factorial, significance_change
 
 Z_975 = 1.959963984540054          # standard normal 97.5% quantile
 FISHER_LOG_TOL = 1e-7               # ties in log-probability (relative 1e-7)
+# A log-probability is a difference of log-factorials of numbers up to n, each about n ln n and rounded to
+# 2^-53 of itself, walked over up to 39 sqrt(n) ratio steps: its error stays below this many times n ln n.
+FISHER_ULP = 8 * 2.0 ** -53
 # Hoeffding: a hypergeometric tail more than t = sqrt(375 m) from the mean
 # (m = smaller margin) has total mass below exp(-750), which is below the
 # smallest positive double.  Terms outside that window cannot change a double
@@ -67,9 +70,16 @@ def _fisher_parts(a: Column, b: Column, c: Column, d: Column):
     return valid, kmin, kmax, const, dsum
 
 
-def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pvalue") -> DataFrame:
+def tie_tolerance(n: Column) -> Column:
+    """Log-probabilities closer than this are ties: 1e-7, or the rounding error of log-factorials of n if larger."""
+    x = n.cast("double") + 1
+    return F.greatest(F.lit(FISHER_LOG_TOL), F.lit(FISHER_ULP) * x * F.log(x))
+
+
+def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pvalue",
+                       partitions: int | None = None) -> DataFrame:
     """H2: two-sided Fisher exact p per row: the sum of the hypergeometric
-    probabilities not above the observed one (ties within 1e-7 in log space).
+    probabilities not above the observed one (ties: ``tie_tolerance``).
 
     Per row, the support window is walked with the ratio recurrence
     p(k) / p(k-1) = (r1-k+1)(c1-k+1) / (k (n-r1-c1+k)) -- two logarithms per
@@ -79,20 +89,18 @@ def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pv
     nothing is grouped and the input is read once.  Only the Hoeffding window
     around the mean is walked (``_TAIL_CONST``), so the work per table grows
     with the square root of its smaller margin.  Tables are few and heavy, so
-    they are first spread over one task per core with an explicit partition
-    count (AQE would otherwise fold the tiny rows into one task).
+    they are first spread over an explicit number of partitions (the parameter
+    ``partitions``, else ``spark.sql.shuffle.partitions``; AQE would otherwise
+    fold the tiny rows into one task).
     Rows that are not valid tables (negative cells, empty) get null.
     """
     cols = df.columns
     A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
     valid, kmin, kmax, const, dsum = _fisher_parts(A, B, C, D)
-    try:      # one task per core: the rows are few, the work per row is large
-        n_parts = int(df.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001  (no SparkContext in a Connect session)
-        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (df.withColumn("_kmin", kmin).withColumn("_kmax", kmax)
               .withColumn("_lp0", const - dsum(F.col("_kmin")))
-              .withColumn("_lim", const - dsum(A) + F.lit(FISHER_LOG_TOL))
+              .withColumn("_lim", const - dsum(A) + tie_tolerance(A + B + C + D))
               .repartition(n_parts, A, B, C, D))
     r1, c1 = A + B, A + C
     lim, lp0 = F.col("_lim"), F.col("_lp0")
@@ -103,9 +111,11 @@ def with_fisher_pvalue(df: DataFrame, a="a", b="b", c="c", d="d", out: str = "pv
     def step(acc, k):
         lp = (acc["lp"] + F.log((r1 - k + 1).cast("double")) + F.log((c1 - k + 1).cast("double"))
               - F.log(k.cast("double")) - F.log((D - A + k).cast("double")))
-        return F.struct(lp.alias("lp"), (acc["s"] + term(lp)).alias("s"))
+        return F.struct(lp.alias("lp"), (acc["s"] + term(lp)).alias("s"), (acc["all"] + F.exp(lp)).alias("all"))
 
-    walk = F.aggregate(steps, F.struct(lp0.alias("lp"), term(lp0).alias("s")), step, lambda acc: acc["s"])
+    # divided by the sum over the whole window, which takes out the rounding of the first term's constant
+    walk = F.aggregate(steps, F.struct(lp0.alias("lp"), term(lp0).alias("s"), F.exp(lp0).alias("all")), step,
+                       lambda acc: F.when(acc["all"] > 0, acc["s"] / acc["all"]).otherwise(acc["s"]))
     return rows.withColumn(out, F.when(valid, F.least(walk, F.lit(1.0)))).select(*cols, out)
 
 

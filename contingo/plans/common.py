@@ -31,18 +31,25 @@ def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Rounding applied to transcendental results in BOTH engines before the
 # value hash (exp / log differ in the last bits between JVM and libm).  A
-# p-value is a sum of exp(lgamma differences of numbers near n), so the two
-# engines agree to about 1e-11 relative; 6 decimals keeps the chance that a
-# value straddles a rounding boundary near 1e-4 per row at p ~ 1.
-STAT_DIGITS = {"or_result": 6, "lower_ci": 6, "upper_ci": 6, "pvalue": 6, "pvalue_corrected": 6}
+# p-value is compared by round(-log10 p, 4), so tiny ones are compared as well
+# as large ones; a p of 0 (below the smallest double) stays null.
+STAT_DIGITS = {"or_result": 6, "lower_ci": 6, "upper_ci": 6}
+LOG_STATS = {"pvalue": 4, "pvalue_corrected": 4}
 
 
 def round_stats(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), d) for c, d in STAT_DIGITS.items() if c in df.columns})
+    """Statistics as the queries report them: rounded effects, p-values as -log10."""
+    out = {c: F.round(F.col(c), d) for c, d in STAT_DIGITS.items() if c in df.columns}
+    out |= {c: F.when(F.col(c) > 0, F.round(-F.log10(F.col(c)), d) + 0.0) for c, d in LOG_STATS.items() if c in df.columns}
+    return df.withColumns(out)
 
 
 def sql_round_stats(cols: list[str]) -> str:
-    return ", ".join(f"round({c}, {STAT_DIGITS[c]}) AS {c}" if c in STAT_DIGITS else c for c in cols)
+    def one(c: str) -> str:
+        if c in LOG_STATS:
+            return f"CASE WHEN {c} > 0 THEN round(-log10({c}), {LOG_STATS[c]}) + 0.0 END AS {c}"
+        return f"round({c}, {STAT_DIGITS[c]}) AS {c}" if c in STAT_DIGITS else c
+    return ", ".join(map(one, cols))
 
 
 def sql_fisher_ctes(base: str) -> str:
@@ -59,7 +66,7 @@ fisher_terms AS (
            - lgamma(a + b + c + d + 1) AS cst
   FROM fisher_k),
 fisher_p AS (
-  SELECT a, b, c, d, least(sum(CASE WHEN dk >= dobs - 1e-7 THEN exp(cst - dk) ELSE 0 END), 1.0) AS pvalue
+  SELECT a, b, c, d, least(sum(CASE WHEN dk >= dobs - greatest(1e-7, 8 * pow(2, -53) * (a + b + c + d + 1) * ln(a + b + c + d + 1)) THEN exp(cst - dk) ELSE 0 END), 1.0) AS pvalue
   FROM fisher_terms GROUP BY a, b, c, d)"""
 
 

@@ -1,10 +1,11 @@
 """Enrichment queries bound to the test tables.
 
-Analogue used throughout: an order line is a piece of evidence, the order is
-the entity counted (id = l_orderkey), a part and a supplier play the two
-associated entities, the order priority is the predicted "reason", the line
-status / line number give the stop status and the cumulative phase flags,
-part and supplier features give the comparison categories, and the best
+Analogue used throughout: an order line is a piece of evidence; the entity
+counted is the combination (order, part, supplier), so that every comparison
+is an attribute of the counted entity; the order priority is
+the predicted "reason"; line status and line number give the remaining
+predictions; part, supplier and customer features give the comparison
+categories, three of them with several values for an entity; and the best
 priority of the ordering customer gives the two strata.
 """
 
@@ -14,18 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.functions.columns import (at_least_labels, collapse_to_default, keep_if_in,
-                                        label_if_in, sql_seeded_hash32, two_sided_bin)
-from contingo.operators.baseline import null_baseline, sampling_fraction, universe_membership
-from contingo.operators.cohort import best_category, max_score_tiers, neighbour_degree
-from contingo.operators.counts import OUTPUT_COLUMNS, contingency_counts, contingency_sweep, distinct_count_by
+from contingo.functions.columns import (at_least_labels, collapse_to_default, extract_group, keep_if_in, label_if_in,
+                                        left_closed_bins, two_sided_bin)
+from contingo.operators.baseline import baseline_pairs, null_baseline, sql_shuffled
+from contingo.operators.cohort import (ancestor_closure, assemble_cohort, best_category, max_score_tiers,
+                                       neighbour_degree, propagate, values_per_key)
+from contingo.operators.counts import (OUTPUT_COLUMNS, contingency_counts, contingency_sweep, contingency_sweep_by_id,
+                                       distinct_count_by)
 from contingo.operators.stats import bh_adjust, with_fisher_and_or, with_significance_labels
 from contingo.plans.common import (query, round_stats, sql_fisher_ctes, sql_round_stats,
                                    sql_with_stats, tbl)
-from contingo.sources.io import literal_table
+from contingo.sources.io import literal_table, read_parquet, write_parquet
 
 # Fixed values of the analogue (parameters of the bound queries).
-STOPPED = ["F"]
+DONE = ["F"]
 KEEP_REASONS = ["1-URGENT", "2-HIGH"]
 DISCOUNT_CUTOFFS = [0.08, 0.06, 0.04, 0.02]
 DISCOUNT_LABELS = ["disc_0.08", "disc_0.06", "disc_0.04", "disc_0.02"]
@@ -39,14 +42,21 @@ PRIORITY_PRECEDENCE = [
 ]
 PRICE_HIGH, PRICE_LOW = 990.0, 910.0
 EDGE_MIN_DISCOUNT = 0.04
+SIZE_BREAKS, SIZE_LABELS = [1, 15, 35], ["small", "middle", "large"]
 N_SEEDS = 100
-
-COMPARISONS = [("p_brand", "brand"), ("priceTolerance", "priceTolerance"),
-               ("partnersBin", "interactions")] + \
-    [(c, "discountTier") for c in DISCOUNT_COLS] + [("prioLabelSimple", "customerPriority")]
-PREDICTIONS = [("reason", "reason"), ("metareason", "metareason"), ("stopStatus", "stopStatus"),
-               ("isStopped", "isStopped"), ("line4", "clinical"), ("line3", "clinical"),
-               ("line2", "clinical")]
+ID = ["l_orderkey", "l_partkey", "l_suppkey"]
+LINE_RULES = [("line_last", "==", 7, "line 7"), ("line_late", ">=", 5, "line 5 or later"),
+              ("line_second", ">=", 2, "line 2 or later")]
+
+#: Columns whose entity has several values (arrays in the one-row-per-entity form).
+MULTI = ["brandNodes", "returnFlags", "shipYears"]
+COMPARISONS = [("p_brand", "brand"), ("brandNodes", "brandNode"), ("priceTolerance", "priceTolerance"),
+               ("sizeBin", "size"), ("partnersBin", "interactions")] + \
+    [(c, "discountTier") for c in DISCOUNT_COLS] + \
+    [("prioLabelSimple", "customerPriority"), ("returnFlags", "returnFlag"), ("shipYears", "shipYear"),
+     ("supplierNation", "supplierNation")]
+PREDICTIONS = [("reason", "reason"), ("metareason", "metareason"), ("doneStatus", "doneStatus"), ("isDone", "isDone")] + \
+    [(name, "linePosition") for name, _o, _b, _l in LINE_RULES]
 STAT_COLS = OUTPUT_COLUMNS + ["or_result", "lower_ci", "upper_ci", "pvalue"]
 
 PREC_SCHEMA = T.StructType([T.StructField("prioId", T.StringType()), T.StructField("prioLabel", T.StringType()),
@@ -78,43 +88,80 @@ def interaction_edges(spark, d) -> DataFrame:
 
 
 def part_partners(spark, d) -> DataFrame:
-    return neighbour_degree(interaction_edges(spark, d), "l_partkey", "l_suppkey", node_out="l_partkey")
+    degrees = neighbour_degree(interaction_edges(spark, d), "l_partkey", "l_suppkey", node_out="l_partkey")
+    return degrees.select("l_partkey", "partnersBin")
 
 
 def part_features(spark, d) -> DataFrame:
     return tbl(spark, d, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_brand",
-        two_sided_bin("p_retailprice", PRICE_HIGH, PRICE_LOW, "high price", "low price").alias("priceTolerance"))
+        two_sided_bin("p_retailprice", PRICE_HIGH, PRICE_LOW, "high price", "low price").alias("priceTolerance"),
+        left_closed_bins("p_size", SIZE_BREAKS, SIZE_LABELS).alias("sizeBin"))
+
+
+def brand_nodes(spark, d) -> DataFrame:
+    """Each part's brand and the brand's family (its text less the last digit), several rows a part."""
+    part = tbl(spark, d, "part").where(F.col("p_brand").isNotNull())
+    brands = part.select("p_brand", F.array(F.regexp_replace("p_brand", "[0-9]$", "")).alias("above")).distinct()
+    return propagate(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brandNodes")),
+                     "brandNodes", ancestor_closure(brands, "p_brand", "above"))
+
+
+def part_flags(spark, d) -> DataFrame:
+    """The return flags of a part's lines, several rows a part."""
+    return tbl(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("returnFlags")).distinct()
 
 
-def stop_predictions(spark, d) -> DataFrame:
+def part_years(spark, d) -> DataFrame:
+    return tbl(spark, d, "lineitem").select("l_partkey", F.year("l_shipdate").cast("string").alias("shipYears")).distinct()
+
+
+def supplier_nations(spark, d) -> DataFrame:
+    return tbl(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
+                                            F.col("s_nationkey").cast("string").alias("supplierNation"))
+
+
+def order_predictions(spark, d) -> DataFrame:
     return tbl(spark, d, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("reason"),
         collapse_to_default("o_orderpriority", KEEP_REASONS, "Neutral").alias("metareason"), "o_custkey")
 
 
-def clinical_rows(spark, d) -> DataFrame:
-    li = tbl(spark, d, "lineitem")
-    flags = at_least_labels("l_linenumber", [("==", 4, "Line IV"), (">=", 3, "Line III+"), (">=", 2, "Line II+")])
-    return li.select(
-        "l_orderkey", "l_partkey", "l_suppkey",
-        keep_if_in("l_linestatus", STOPPED).alias("stopStatus"),
-        label_if_in("l_linestatus", STOPPED, "finished").alias("isStopped"),
-        flags[0].alias("line4"), flags[1].alias("line3"), flags[2].alias("line2"),
-    ).distinct()
+def evidence(spark, d) -> DataFrame:
+    """Lines with a nested list of links, of which only those to orders name an entity."""
+    link = lambda kind, path, key: F.struct(F.lit(kind).alias("kind"),
+                                            F.concat(F.lit(f"https://data.example/{path}"), F.col(key)).alias("url"))
+    return tbl(spark, d, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_quantity",
+        F.array(link("order", "orders/O", "l_orderkey"), link("part", "parts/P", "l_partkey")).alias("links"))
 
 
-def build_cohort(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence rows, flags, distinct, then seven left joins of
-    deduplicated feature tables (every feature table has one row per key)."""
+def _assembled(spark, d, features, one_row: bool = False) -> DataFrame:
+    positions = at_least_labels("l_linenumber", [(op, bound, label) for _n, op, bound, label in LINE_RULES])
+    flags = {"doneStatus": keep_if_in("l_linestatus", DONE), "isDone": label_if_in("l_linestatus", DONE, "finished")}
+    flags |= {name: c for (name, _o, _b, _l), c in zip(LINE_RULES, positions)}
     best = customer_best_priority(spark, d).select("o_custkey", "prioLabel", "prioLabelSimple")
-    return (clinical_rows(spark, d)
-            .join(stop_predictions(spark, d), "l_orderkey", "left")
-            .join(discount_tiers(spark, d), ["l_partkey", "l_suppkey"], "left")
-            .join(best, "o_custkey", "left")
-            .join(part_features(spark, d), "l_partkey", "left")
-            .join(part_partners(spark, d).select("l_partkey", "partnersBin"), "l_partkey", "left")
-            .withColumn("partnersBin", F.coalesce(F.col("partnersBin"), F.lit("none"))))
+    out = assemble_cohort(
+        evidence(spark, d), ID,
+        [(order_predictions(spark, d), ["l_orderkey"]), (discount_tiers(spark, d), ["l_partkey", "l_suppkey"]),
+         (best, ["o_custkey"]), (part_features(spark, d), ["l_partkey"]), (part_partners(spark, d), ["l_partkey"]),
+         (supplier_nations(spark, d), ["l_suppkey"]), *features],
+        where=F.col("l_quantity") > 0, nested="links",
+        captured={"l_orderkey": extract_group("url", "/orders/O([0-9]+)$", 1).cast("long")}, flags=flags,
+        one_row=one_row)
+    return out.withColumn("partnersBin", F.coalesce(F.col("partnersBin"), F.lit("none")))
+
+
+def build_cohort(spark: SparkSession, d: str) -> DataFrame:
+    """C3, row form: seven left joins, the last with several rows for a key, so rows multiply."""
+    return _assembled(spark, d, [(part_flags(spark, d), ["l_partkey"])])
+
+
+def build_entities(spark: SparkSession, d: str) -> DataFrame:
+    """C3, one row for each entity: multi-valued features as arrays."""
+    many = [(values_per_key(f(spark, d), ["l_partkey"], c, c), ["l_partkey"])
+            for f, c in ((brand_nodes, "brandNodes"), (part_flags, "returnFlags"), (part_years, "shipYears"))]
+    return _assembled(spark, d, many, one_row=True)
 
 
 def strata_column() -> F.Column:
@@ -124,9 +171,9 @@ def strata_column() -> F.Column:
                             F.when(lab != "Urgent", F.lit("non_urgent"))), lambda s: s.isNotNull())
 
 
-COHORT_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "stopStatus", "isStopped", "line4", "line3", "line2",
-               "reason", "metareason", "o_custkey"] + DISCOUNT_COLS + [
-    "prioLabel", "prioLabelSimple", "p_brand", "priceTolerance", "partnersBin"]
+COHORT_COLS = [*ID, "doneStatus", "isDone", *[n for n, *_ in LINE_RULES], "reason", "metareason", "o_custkey"] + \
+    DISCOUNT_COLS + ["prioLabel", "prioLabelSimple", "p_brand", "priceTolerance", "sizeBin", "partnersBin",
+                     "supplierNation", "returnFlags"]
 
 
 def _sql_values(rows) -> str:
@@ -136,15 +183,15 @@ def _sql_values(rows) -> str:
 SQL_PREC = f"prec AS (SELECT * FROM (VALUES {_sql_values([r + (i,) for i, r in enumerate(PRIORITY_PRECEDENCE)])}) " \
            f"t(prioId, prioLabel, prioLabelSimple, prioRank))"
 
+SQL_UND = f"""
+edges AS (
+  SELECT DISTINCT l_partkey AS na, l_suppkey AS nb FROM lineitem
+  WHERE l_returnflag = 'N' AND l_discount > {EDGE_MIN_DISCOUNT} AND l_suppkey IS NOT NULL),
+und AS (SELECT na, nb FROM edges UNION SELECT nb, na FROM edges)"""
+
 SQL_COHORT_CTES = f"""
-clinical AS (
-  SELECT DISTINCT l_orderkey, l_partkey, l_suppkey,
-    CASE WHEN l_linestatus IN ('F') THEN l_linestatus END AS stopStatus,
-    CASE WHEN l_linestatus IN ('F') THEN 'finished' END AS isStopped,
-    CASE WHEN l_linenumber = 4 THEN 'Line IV' END AS line4,
-    CASE WHEN l_linenumber >= 3 THEN 'Line III+' END AS line3,
-    CASE WHEN l_linenumber >= 2 THEN 'Line II+' END AS line2
-  FROM lineitem),
+base AS (
+  SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linestatus FROM lineitem WHERE l_quantity > 0),
 preds AS (
   SELECT o_orderkey AS l_orderkey, o_orderpriority AS reason,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'Neutral' END AS metareason,
@@ -164,64 +211,74 @@ best AS (
   JOIN prec p ON p.prioRank = b.r),
 partf AS (
   SELECT p_partkey AS l_partkey, p_brand,
-    CASE WHEN p_retailprice > {PRICE_HIGH} THEN 'high price' WHEN p_retailprice < {PRICE_LOW} THEN 'low price' END AS priceTolerance
+    CASE WHEN p_retailprice > {PRICE_HIGH} THEN 'high price' WHEN p_retailprice < {PRICE_LOW} THEN 'low price' END AS priceTolerance,
+    CASE WHEN p_size >= 35 THEN 'large' WHEN p_size >= 15 THEN 'middle' WHEN p_size >= 1 THEN 'small' END AS sizeBin,
+    CASE WHEN p_brand IS NULL THEN NULL ELSE list_distinct([p_brand, regexp_replace(p_brand, '[0-9]$', '')]) END AS brandNodes
   FROM part),
-edges AS (
-  SELECT DISTINCT l_partkey AS na, l_suppkey AS nb FROM lineitem
-  WHERE l_returnflag = 'N' AND l_discount > 0.04 AND l_suppkey IS NOT NULL),
-und AS (SELECT na, nb FROM edges UNION SELECT nb, na FROM edges),
+{SQL_UND},
 partners AS (
-  SELECT na AS l_partkey, count(nb) AS partners,
-    CASE WHEN count(nb) > 20 THEN 'greaterThan20' WHEN count(nb) > 10 THEN 'from11to20'
-         WHEN count(nb) > 0 THEN 'from1to10' ELSE 'none' END AS partnersBin
+  SELECT na AS l_partkey,
+    CASE WHEN count(nb) >= 21 THEN 'greaterThan20' WHEN count(nb) >= 11 THEN 'from11to20' ELSE 'from1to10' END AS partnersBin
   FROM und GROUP BY na),
-cohort AS (
-  SELECT c.l_orderkey, c.l_partkey, c.l_suppkey, c.stopStatus, c.isStopped, c.line4, c.line3, c.line2,
+many AS (
+  SELECT l_partkey, list(DISTINCT l_returnflag) FILTER (WHERE l_returnflag IS NOT NULL) AS returnFlags,
+    list(DISTINCT CAST(year(l_shipdate) AS VARCHAR)) FILTER (WHERE l_shipdate IS NOT NULL) AS shipYears
+  FROM lineitem GROUP BY l_partkey),
+entities AS (
+  SELECT e.l_orderkey, e.l_partkey, e.l_suppkey, concat_ws('|', e.l_orderkey, e.l_partkey, e.l_suppkey) AS id,
+    CASE WHEN l_linestatus IN ('F') THEN l_linestatus END AS doneStatus,
+    CASE WHEN l_linestatus IN ('F') THEN 'finished' END AS isDone,
+    CASE WHEN l_linenumber = 7 THEN 'line 7' END AS line_last,
+    CASE WHEN l_linenumber >= 5 THEN 'line 5 or later' END AS line_late,
+    CASE WHEN l_linenumber >= 2 THEN 'line 2 or later' END AS line_second,
     p.reason, p.metareason, p.o_custkey, t.disc_008, t.disc_006, t.disc_004, t.disc_002,
-    b.prioLabel, b.prioLabelSimple, f.p_brand, f.priceTolerance, coalesce(pa.partnersBin, 'none') AS partnersBin
-  FROM clinical c
-  LEFT JOIN preds p ON c.l_orderkey = p.l_orderkey
-  LEFT JOIN tiers t ON c.l_partkey = t.l_partkey AND c.l_suppkey = t.l_suppkey
+    b.prioLabel, b.prioLabelSimple, f.p_brand, f.priceTolerance, f.sizeBin, f.brandNodes,
+    coalesce(pa.partnersBin, 'none') AS partnersBin, CAST(s.s_nationkey AS VARCHAR) AS supplierNation,
+    m.returnFlags, m.shipYears
+  FROM base e
+  LEFT JOIN preds p ON e.l_orderkey = p.l_orderkey
+  LEFT JOIN tiers t ON e.l_partkey = t.l_partkey AND e.l_suppkey = t.l_suppkey
   LEFT JOIN best b ON p.o_custkey = b.o_custkey
-  LEFT JOIN partf f ON c.l_partkey = f.l_partkey
-  LEFT JOIN partners pa ON c.l_partkey = pa.l_partkey)"""
+  LEFT JOIN partf f ON e.l_partkey = f.l_partkey
+  LEFT JOIN partners pa ON e.l_partkey = pa.l_partkey
+  LEFT JOIN supplier s ON e.l_suppkey = s.s_suppkey
+  LEFT JOIN many m ON e.l_partkey = m.l_partkey)"""
 
 
 def sql_sweep(source: str, id_col: str, comparisons, predictions, stratified: bool) -> str:
-    """Oracle form of the sweep: the reference's per-pair method, one
-    UNION ALL branch per (comparison, prediction) pair."""
-    s_sel = "stratum, " if stratified else ""
-    s_grp = "stratum, " if stratified else ""
-    s_on = "USING (stratum)" if stratified else "ON TRUE"
-    branches = []
-    for c, ct in comparisons:
-        for p, pt in predictions:
-            branches.append(f"""
-SELECT {s_sel}CAST(x.p AS VARCHAR) AS prediction, CAST(x.c AS VARCHAR) AS comparison,
-  '{ct}' AS comparisonType, '{pt}' AS predictionType, x.a, pt.predictionTotal, ct.comparisonTotal, tt.total
-FROM (SELECT {s_grp}{c} AS c, {p} AS p, count(DISTINCT {id_col}) AS a FROM {source}
-      WHERE {c} IS NOT NULL AND {p} IS NOT NULL GROUP BY ALL) x
-JOIN (SELECT {s_grp}{c} AS c, count(DISTINCT {id_col}) AS comparisonTotal FROM {source}
-      WHERE {c} IS NOT NULL GROUP BY ALL) ct USING ({s_grp}c)
-JOIN (SELECT {s_grp}{p} AS p, count(DISTINCT {id_col}) AS predictionTotal FROM {source}
-      WHERE {p} IS NOT NULL GROUP BY ALL) pt USING ({s_grp}p)
-JOIN (SELECT {s_grp}count(DISTINCT {id_col}) AS total FROM {source} GROUP BY ALL) tt {s_on}""")
-    body = "\nUNION ALL\n".join(branches)
-    return f"""SELECT *, predictionTotal - a AS b, comparisonTotal - a AS c,
-  total - a - (predictionTotal - a) - (comparisonTotal - a) AS d FROM ({body}) u"""
+    """Oracle form of the sweep: every distinct (id, comparison) meets every distinct (id, prediction)."""
+    s = "stratum, " if stratified else ""
+
+    def long(specs, k, v):
+        one = lambda i, c: (f"SELECT DISTINCT {s}id, {i} AS {k}, {v} FROM (SELECT {s}{id_col} AS id, "
+                            + (f"unnest({c})" if c in MULTI else f"CAST({c} AS VARCHAR)") + f" AS {v} FROM {source}) WHERE {v} IS NOT NULL")
+        return " UNION ALL ".join(one(i, c) for i, (c, _t) in enumerate(specs))
+
+    label = lambda specs, k: "CASE " + k + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_c, t) in enumerate(specs)) + " END"
+    return f"""
+SELECT *, predictionTotal - a AS b, comparisonTotal - a AS c, total - predictionTotal - comparisonTotal + a AS d FROM (
+SELECT {s}pv AS prediction, cv AS comparison, {label(comparisons, 'ck')} AS comparisonType,
+  {label(predictions, 'pk')} AS predictionType, a, predictionTotal, comparisonTotal, total
+FROM (SELECT {s}ck, cv, pk, pv, count(*) AS a FROM ({long(comparisons, 'ck', 'cv')}) c
+      JOIN ({long(predictions, 'pk', 'pv')}) p USING ({s}id) GROUP BY ALL) x
+JOIN (SELECT {s}ck, cv, count(*) AS comparisonTotal FROM ({long(comparisons, 'ck', 'cv')}) GROUP BY ALL) USING ({s}ck, cv)
+JOIN (SELECT {s}pk, pv, count(*) AS predictionTotal FROM ({long(predictions, 'pk', 'pv')}) GROUP BY ALL) USING ({s}pk, pv)
+JOIN (SELECT {s}count(DISTINCT {id_col}) AS total FROM {source} GROUP BY ALL) tt {'USING (stratum)' if stratified else 'ON TRUE'})"""
 
 
 SQL_STRATA = """
-cohort_s AS (
+entities_s AS (
   SELECT *, unnest(list_filter(['all',
       CASE WHEN prioLabelSimple = 'Urgent' THEN 'urgent' END,
       CASE WHEN prioLabelSimple <> 'Urgent' THEN 'non_urgent' END], lambda s: s IS NOT NULL)) AS stratum
-  FROM cohort)"""
+  FROM entities)"""
 
 
 # --------------------------------------------------------------------------- queries
 
-@query("cohort_build", f"WITH {SQL_COHORT_CTES} SELECT {', '.join(COHORT_COLS)} FROM cohort")
+@query("cohort_build", f"""WITH {SQL_COHORT_CTES}
+SELECT DISTINCT * FROM (
+  SELECT {', '.join(c for c in COHORT_COLS if c != 'returnFlags')}, unnest(returnFlags) AS returnFlags FROM entities)""")
 def q_cohort_build(spark, d):
     return build_cohort(spark, d).select(*COHORT_COLS)
 
@@ -271,25 +328,29 @@ def q_marginal_counts(spark, d):
                              drop_null_groups=True)
 
 
-@query("enrichment_sweep", f"WITH {SQL_COHORT_CTES} {sql_sweep('cohort', 'l_orderkey', COMPARISONS, PREDICTIONS, False)}")
+@query("enrichment_sweep", f"WITH {SQL_COHORT_CTES} {sql_sweep('entities', 'id', COMPARISONS, PREDICTIONS, False)}")
 def q_enrichment_sweep(spark, d):
     """Every (comparison, prediction) pair of the cohort in one pass."""
-    return contingency_sweep(build_cohort(spark, d), ["l_orderkey"], COMPARISONS, PREDICTIONS)
+    return contingency_sweep_by_id(build_entities(spark, d), COMPARISONS, PREDICTIONS)
 
 
 @query("enrichment_stratified", f"""WITH {SQL_COHORT_CTES}, {SQL_STRATA}
-{sql_sweep('cohort_s', 'l_orderkey', COMPARISONS, PREDICTIONS, True)}""")
+{sql_sweep('entities_s', 'id', COMPARISONS, PREDICTIONS, True)}""")
 def q_enrichment_stratified(spark, d):
     """H5: the sweep for all / urgent / non_urgent in the same pass."""
-    return contingency_sweep(build_cohort(spark, d), ["l_orderkey"], COMPARISONS, PREDICTIONS,
-                             strata=strata_column())
+    return contingency_sweep_by_id(build_entities(spark, d), COMPARISONS, PREDICTIONS, strata=strata_column())
 
 
 SWEEP_STATS_SQL = f"""WITH {SQL_COHORT_CTES},
-counts AS ({sql_sweep('cohort', 'l_orderkey', COMPARISONS, PREDICTIONS, False)}),
+counts AS ({sql_sweep('entities', 'id', COMPARISONS, PREDICTIONS, False)}),
 {sql_fisher_ctes('counts')},
 stats AS ({sql_with_stats('counts', OUTPUT_COLUMNS)})"""
 
+SQL_LABELS = """CASE WHEN pvalue < 0.05 AND pvalue_corrected >= 0.05 THEN 'No Longer Significant'
+       WHEN pvalue >= 0.05 AND pvalue_corrected < 0.05 THEN 'Now Significant'
+       WHEN pvalue >= 0.05 AND pvalue_corrected >= 0.05 THEN 'Never Significant'
+       WHEN pvalue < 0.05 AND pvalue_corrected < 0.05 THEN 'Remains Significant' END"""
+
 SQL_BH = """
 bh AS (
   SELECT *, least(min(raw) OVER (PARTITION BY predictionType, comparisonType ORDER BY pvalue NULLS LAST, prediction NULLS LAST, comparison NULLS LAST
@@ -318,12 +379,8 @@ def q_fdr_bh(spark, d):
 
 
 @query("fdr_labels", f"""{SWEEP_STATS_SQL}, {SQL_BH}
-SELECT prediction, comparison, comparisonType, predictionType, round(pvalue, 6) AS pvalue,
-  round(pvalue_corrected, 6) AS pvalue_corrected,
-  CASE WHEN pvalue < 0.05 AND pvalue_corrected >= 0.05 THEN 'No Longer Significant'
-       WHEN pvalue >= 0.05 AND pvalue_corrected < 0.05 THEN 'Now Significant'
-       WHEN pvalue >= 0.05 AND pvalue_corrected >= 0.05 THEN 'Never Significant'
-       ELSE 'Remains Significant' END AS significance
+SELECT prediction, comparison, comparisonType, predictionType, {sql_round_stats(['pvalue', 'pvalue_corrected'])},
+  {SQL_LABELS} AS significance
 FROM bh""")
 def q_fdr_labels(spark, d):
     """B32 on the corrected sweep."""
@@ -372,66 +429,76 @@ def q_reason_by_phase(spark, d):
 # --------------------------------------------------------------------------- baseline
 
 def _baseline_inputs(spark, d):
-    li = tbl(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    o = tbl(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("reason"))
-    frac = sampling_fraction(li, ["l_partkey", "l_suppkey"], tbl(spark, d, "part"), tbl(spark, d, "supplier"))
-    return li.join(o, "l_orderkey", "left"), frac
-
-
-SQL_BASELINE_CTES = f"""
-frac AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))::DOUBLE
-          / ((SELECT count(*) FROM part)::DOUBLE * (SELECT count(*) FROM supplier)::DOUBLE) AS f),
-pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
-hashed AS (SELECT l_partkey, l_suppkey, ('0x' || substr(md5(concat_ws('|', l_partkey, l_suppkey)), 1, 8))::BIGINT AS h
-           FROM pairs),
-seeded AS (SELECT l_partkey, l_suppkey, h, s FROM hashed, (SELECT unnest(range(0, {N_SEEDS}))::INTEGER AS s) seeds),
-members AS (
-  SELECT l_partkey, l_suppkey, s AS seed
-  FROM ({sql_seeded_hash32('seeded', 'h', 's', 'mix')}) m, frac
-  WHERE CAST(mix AS DOUBLE) < f * 4294967296.0)"""
-
-
-@query("universe_sample", f"""WITH {SQL_BASELINE_CTES}
+    cohort = _assembled(spark, d, [])
+    left, right = tbl(spark, d, "part").select("p_partkey"), tbl(spark, d, "supplier").select("s_suppkey")
+    return cohort, baseline_pairs(tbl(spark, d, "lineitem"), left, right, ["l_partkey", "l_suppkey"], N_SEEDS)
+
+
+_SQL_INDEX = "SELECT {k}, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT % 1024, {k}) - 1 AS {i} FROM {t}"
+SQL_MEMBERS = f"""
+sizes AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) AS n,
+                 (SELECT count(*) FROM part) AS t, (SELECT count(*) FROM supplier) AS u),
+li AS ({_SQL_INDEX.format(k='p_partkey', i='i', t='part')}),
+ri AS ({_SQL_INDEX.format(k='s_suppkey', i='j', t='supplier')}),
+seeded AS (SELECT l_partkey, l_suppkey, i, j, s AS seed, n, t, u
+           FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) p JOIN li ON l_partkey = p_partkey
+           JOIN ri ON l_suppkey = s_suppkey, (SELECT unnest(range(0, {N_SEEDS}))::INTEGER AS s) x, sizes),
+members AS (SELECT l_partkey, l_suppkey, seed FROM ({sql_shuffled('seeded', 'i', 'j', 't', 'u', 'seed', 'image')}) WHERE image < n)"""
+
+
+@query("universe_sample", f"""WITH {SQL_MEMBERS}
 SELECT seed, count(*) AS n_members, CAST(sum(l_partkey) AS BIGINT) AS sum_partkey,
   CAST(sum(l_suppkey) AS BIGINT) AS sum_suppkey
 FROM members GROUP BY seed""")
 def q_universe_sample(spark, d):
-    """C7 + F2 + F3: the seeded random universes restricted to observed pairs,
-    summarised per seed (size and key sums pin the exact member set)."""
-    li, frac = _baseline_inputs(spark, d)
-    m = universe_membership(li, ["l_partkey", "l_suppkey"], frac, N_SEEDS)
+    """C7 + F2 + F3: the seeded universes of exactly n pairs, restricted to observed pairs and summarised per seed
+    (size and key sums pin the member set)."""
+    m = _baseline_inputs(spark, d)[1]
     return m.groupBy("seed").agg(F.count(F.lit(1)).alias("n_members"), F.sum("l_partkey").alias("sum_partkey"),
                                  F.sum("l_suppkey").alias("sum_suppkey"))
 
 
-BASELINE_COLS = ["seed"] + STAT_COLS
-
-
-@query("null_baseline", f"""WITH {SQL_BASELINE_CTES},
-cohort AS (SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, o.o_orderpriority AS reason
-           FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey),
-mc AS (SELECT c.l_orderkey, c.reason, m.seed FROM cohort c
-       JOIN members m ON c.l_partkey = m.l_partkey AND c.l_suppkey = m.l_suppkey),
-aa AS (SELECT seed, reason, count(DISTINCT l_orderkey) AS a FROM mc WHERE reason IS NOT NULL GROUP BY seed, reason),
-ct AS (SELECT seed, count(DISTINCT l_orderkey) AS comparisonTotal FROM mc GROUP BY seed),
-pt AS (SELECT reason, count(DISTINCT l_orderkey) AS predictionTotal FROM cohort WHERE reason IS NOT NULL GROUP BY reason),
-tt AS (SELECT count(DISTINCT l_orderkey) AS total FROM cohort),
+BASELINE_COLS = ["stratum", "seed"] + STAT_COLS
+SQL_BASELINE_COUNTS = f"""{SQL_COHORT_CTES}, {SQL_STRATA}, {SQL_MEMBERS},
+mc AS (SELECT e.stratum, e.id, e.reason, m.seed FROM entities_s e
+       JOIN members m ON e.l_partkey = m.l_partkey AND e.l_suppkey = m.l_suppkey),
+aa AS (SELECT stratum, seed, reason, count(DISTINCT id) AS a FROM mc WHERE reason IS NOT NULL GROUP BY ALL),
+ct AS (SELECT stratum, seed, count(DISTINCT id) AS comparisonTotal FROM mc GROUP BY ALL),
+pt AS (SELECT stratum, reason, count(DISTINCT id) AS predictionTotal FROM entities_s WHERE reason IS NOT NULL GROUP BY ALL),
+tt AS (SELECT stratum, count(DISTINCT id) AS total FROM entities_s GROUP BY ALL),
 counts AS (
-  SELECT seed, reason AS prediction, 'random' AS comparison, 'byDatatype' AS comparisonType,
+  SELECT stratum, seed, reason AS prediction, 'random' AS comparison, 'byDatatype' AS comparisonType,
     'reason' AS predictionType, a, predictionTotal, comparisonTotal, total,
     predictionTotal - a AS b, comparisonTotal - a AS c, total - predictionTotal - comparisonTotal + a AS d
-  FROM aa JOIN ct USING (seed) JOIN pt USING (reason) CROSS JOIN tt),
+  FROM aa JOIN ct USING (stratum, seed) JOIN pt USING (stratum, reason) JOIN tt USING (stratum))"""
+
+
+def _baseline_counts(spark, d):
+    cohort, members = _baseline_inputs(spark, d)
+    return null_baseline(cohort, ID, ["l_partkey", "l_suppkey"], "reason", "reason", members, strata=strata_column())
+
+
+@query("null_baseline", f"""WITH {SQL_BASELINE_COUNTS},
 {sql_fisher_ctes('counts')}
-SELECT {sql_round_stats(BASELINE_COLS)} FROM ({sql_with_stats('counts', ['seed'] + OUTPUT_COLUMNS)})""")
+SELECT {sql_round_stats(BASELINE_COLS)} FROM ({sql_with_stats('counts', ['stratum', 'seed'] + OUTPUT_COLUMNS)})""")
 def q_null_baseline(spark, d):
-    """H4: 100 seeded random universes in one job."""
-    cohort, frac = _baseline_inputs(spark, d)
-    out = null_baseline(cohort, ["l_orderkey"], ["l_partkey", "l_suppkey"], "reason", "reason", frac, N_SEEDS)
-    return round_stats(with_fisher_and_or(out)).select(*BASELINE_COLS)
+    """H4: 100 seeded random universes and three strata in one job."""
+    return round_stats(with_fisher_and_or(_baseline_counts(spark, d))).select(*BASELINE_COLS)
+
+
+@query("baseline_sink", f"""WITH {SQL_BASELINE_COUNTS}
+SELECT stratum, seed, prediction, a, b, c, d FROM counts""")
+def q_baseline_sink(spark, d):
+    """The baseline's tables written with a directory for each stratum and seed, and read back."""
+    from contingo.plans.io_q import scratch
+    path = scratch(spark, "baseline")
+    cols = ["stratum", "seed", "prediction", "a", "b", "c", "d"]
+    write_parquet(_baseline_counts(spark, d).select(*cols), path, partition_by=["stratum", "seed"])
+    return read_parquet(spark, path).select(*cols)
 
 
 @query("enrichment_corrected", f"""WITH {SQL_COHORT_CTES}, {SQL_STRATA},
-counts AS ({sql_sweep('cohort_s', 'l_orderkey', COMPARISONS, PREDICTIONS, True)}),
+counts AS ({sql_sweep('entities_s', 'id', COMPARISONS, PREDICTIONS, True)}),
 {sql_fisher_ctes('counts')},
 stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)}),
 bh AS (
@@ -443,14 +510,11 @@ bh AS (
                                    ORDER BY pvalue NULLS LAST, prediction NULLS LAST, comparison NULLS LAST) AS raw
         FROM stats) r)
 SELECT {sql_round_stats(['stratum'] + STAT_COLS + ['pvalue_corrected'])},
-  CASE WHEN pvalue < 0.05 AND pvalue_corrected >= 0.05 THEN 'No Longer Significant'
-       WHEN pvalue >= 0.05 AND pvalue_corrected < 0.05 THEN 'Now Significant'
-       WHEN pvalue >= 0.05 AND pvalue_corrected >= 0.05 THEN 'Never Significant'
-       ELSE 'Remains Significant' END AS significance
+  {SQL_LABELS} AS significance
 FROM bh""")
 def q_enrichment_corrected(spark, d):
     """H5 + H1-H3 + E3 + B32 end to end: the stratified sweep, statistics,
     correction per (stratum, predictionType, comparisonType), labels."""
     from contingo.operators.enrich import enrich
-    out = enrich(build_cohort(spark, d), ["l_orderkey"], COMPARISONS, PREDICTIONS, strata=strata_column())
+    out = enrich(build_entities(spark, d), ["id"], COMPARISONS, PREDICTIONS, strata=strata_column(), one_row_per_id=True)
     return round_stats(out).select("stratum", *STAT_COLS, "pvalue_corrected", "significance")

@@ -87,12 +87,12 @@ def q_matrix_scan(spark, d):
     return read_labelled_matrix(spark, path, "row_label", "col_label", "value")
 
 
-FREQ_SCHEMA = T.StructType([T.StructField("class", T.StringType()), T.StructField("freq", T.IntegerType()),
+FREQ_SCHEMA = T.StructType([T.StructField("class", T.StringType()), T.StructField("freq", T.LongType()),
                             T.StructField("category", T.StringType())])
 
 
 @query("class_frequency", """
-WITH f AS (SELECT replace(p_name, ' ', '_') AS class, CAST(count(*) AS INTEGER) AS freq,
+WITH f AS (SELECT replace(p_name, ' ', '_') AS class, count(*) AS freq,
                   upper(split_part(p_name, ' ', 1)) AS category
            FROM part GROUP BY ALL)
 SELECT class, freq, category,
@@ -106,7 +106,7 @@ def q_class_frequency(spark, d):
     f = tbl(spark, d, "part").groupBy(
         F.regexp_replace("p_name", " ", "_").alias("class"),
         F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("category")).agg(
-        F.count(F.lit(1)).cast("int").alias("freq")).select("class", "freq", "category")
+        F.count(F.lit(1)).alias("freq")).select("class", "freq", "category")
     f.write.mode("overwrite").option("header", False).csv(path)
     back = read_csv_named(spark, path, FREQ_SCHEMA)
     return back.select("class", "freq", "category",

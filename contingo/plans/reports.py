@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contingo.functions.columns import fill_default, lump_other, replace_first, sentence_case, year_or_other
 from contingo.operators.cohort import complete_grid, stack_tagged
 from contingo.operators.counts import share_within
-from contingo.operators.report import (count_bins, grouped_grid, rank_by_frequency, rank_by_value,
+from contingo.operators.report import (count_bins, rank_by_frequency, rank_by_value,
                                        unpivot_stats, with_effect_columns)
 from contingo.plans.common import query, round_stats, tbl
 from contingo.plans.enrichment import SWEEP_STATS_SQL, q_fisher_or, q_reason_by_phase, sweep_with_stats
@@ -20,7 +20,7 @@ SHARE_KEEP = ["1-URGENT", "2-HIGH", "5-LOW"]
 PHASE_UNKNOWN = "P"
 REPORT_PRED = ["1-URGENT", "2-HIGH", "5-LOW"]
 REPORT_BRANDS = ["Brand#11", "Brand#12", "Brand#21"]
-PRED_TYPE_RECODE = {"clinical": "All lines", "stopStatus": "Finished lines", "reason": "Priority"}
+PRED_TYPE_RECODE = {"linePosition": "All lines", "doneStatus": "Finished lines", "reason": "Priority"}
 DROP_REASONS = ["P"]
 UNPIVOT_KEYS = {"n": "n", "oddsinterval": "OR (95% CI)", "significance": "P-value"}
 
@@ -68,14 +68,12 @@ SELECT grouping, nicename, count, comparison, {_bins('count')} AS interval FROM
 def q_reason_grid(spark, d):
     """I1 (+ B25, B26, B28, D2, D12, G4): reason counts by year / phase /
     area, each densified, stacked and binned."""
-    # One scan and one aggregate of the trials; the three grids are rolled up
-    # from that small count table (its exchange is shared by the three).
-    base = _data_to_plot(spark, d).groupBy("year", "phase", "area", "nicename").agg(
-        F.count(F.lit(1)).alias("n"))
-    grids = [grouped_grid(base, "year", "nicename", "Study start date", weight="n"),
-             grouped_grid(base, "phase", "nicename", "Phase", weight="n"),
-             grouped_grid(base, "area", "nicename", "Therapeutic area", weight="n")]
-    out = grids[0].unionByName(grids[1]).unionByName(grids[2])
+    views = F.array(*[F.struct(F.lit(label).alias("comparison"), F.col(c).alias("grouping"))
+                      for c, label in (("year", "Study start date"), ("phase", "Phase"), ("area", "Therapeutic area"))])
+    counts = _data_to_plot(spark, d).groupBy("year", "phase", "area", "nicename").agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.inline(views), "nicename", "n").groupBy(F.struct("comparison", "grouping").alias("view"), "nicename") \
+        .agg(F.sum("n").alias("count"))
+    out = complete_grid(counts, "view", "nicename").select("view.*", "nicename", "count")
     return count_bins(out).select("grouping", "nicename", "count", "comparison", "interval")
 
 
@@ -90,13 +88,18 @@ def q_count_bins(spark, d):
 
 
 @query("complete_grid", """
+WITH pt AS (SELECT nullif(p_brand, 'Brand#11') AS p_brand, CASE WHEN p_size > 45 THEN NULL ELSE p_size END AS p_size
+            FROM part WHERE p_partkey % 7 > p_size % 3)
 SELECT b.p_brand, s.p_size, x.n
-FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT DISTINCT p_size FROM part) s
-LEFT JOIN (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) x
-  ON x.p_brand = b.p_brand AND x.p_size = s.p_size""")
+FROM (SELECT DISTINCT p_brand FROM pt) b CROSS JOIN (SELECT DISTINCT p_size FROM pt) s
+LEFT JOIN (SELECT p_brand, p_size, count(*) AS n FROM pt GROUP BY ALL) x
+  ON x.p_brand IS NOT DISTINCT FROM b.p_brand AND x.p_size IS NOT DISTINCT FROM s.p_size""")
 def q_complete_grid(spark, d):
-    """Every (brand, size) combination, absent counts null."""
-    counts = tbl(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    """Every (brand, size) combination, absent counts null; one brand and the largest sizes are made null, so
+    that null is a value on both sides."""
+    part = tbl(spark, d, "part").where(F.col("p_partkey") % 7 > F.col("p_size") % 3).select(
+        F.expr("nullif(p_brand, 'Brand#11')").alias("p_brand"), F.when(F.col("p_size") <= 45, F.col("p_size")).alias("p_size"))
+    counts = part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
     return complete_grid(counts, "p_brand", "p_size")
 
 
@@ -208,7 +211,7 @@ def q_effect_text(spark, d):
 
 def _report_rows(spark, d):
     st = sweep_with_stats(spark, d)
-    keep = ((F.col("predictionType").isin("clinical", "stopStatus") | F.col("prediction").isin(REPORT_PRED))
+    keep = ((F.col("predictionType").isin("linePosition", "doneStatus") | F.col("prediction").isin(REPORT_PRED))
             & (F.col("predictionType") != "metareason") & F.col("comparison").isin(REPORT_BRANDS)
             & (F.col("comparisonType") == "brand"))
     from contingo.functions.columns import recode
@@ -218,11 +221,11 @@ def _report_rows(spark, d):
 
 _SQL_REPORT_ROWS = f"""{SWEEP_STATS_SQL},
 rep AS (
-  SELECT CASE predictionType WHEN 'clinical' THEN 'All lines' WHEN 'stopStatus' THEN 'Finished lines'
+  SELECT CASE predictionType WHEN 'linePosition' THEN 'All lines' WHEN 'doneStatus' THEN 'Finished lines'
                              WHEN 'reason' THEN 'Priority' ELSE predictionType END AS predictionType,
     prediction, comparison, a, {_sql_effect()}
   FROM stats
-  WHERE (predictionType IN ('clinical', 'stopStatus') OR prediction IN ({", ".join(f"'{x}'" for x in REPORT_PRED)}))
+  WHERE (predictionType IN ('linePosition', 'doneStatus') OR prediction IN ({", ".join(f"'{x}'" for x in REPORT_PRED)}))
     AND predictionType <> 'metareason' AND comparison IN ({", ".join(f"'{x}'" for x in REPORT_BRANDS)})
     AND comparisonType = 'brand')"""
 
@@ -261,7 +264,7 @@ k AS (SELECT * FROM rp WHERE comparison NOT IN ({", ".join(f"'{x}'" for x in DRO
 r AS (SELECT comparison, CAST(dense_rank() OVER (ORDER BY comparisonTotal DESC, comparison) AS INTEGER) AS comparisonRank
       FROM (SELECT DISTINCT comparison, comparisonTotal FROM k))
 SELECT prediction, k.comparison, replace(k.comparison, '_', ' ') AS comparisonLabel, or_result, lower_ci, upper_ci,
-  pvalue, pvalue < 0.05 AS is_significant, comparisonRank
+  pvalue, pvalue > 1.30103 AS is_significant, comparisonRank
 FROM k JOIN r ON k.comparison = r.comparison""")
 def q_phase_reason_table(spark, d):
     """I14 + B31: drop some reasons and Other, flag significance, order
@@ -273,7 +276,7 @@ def q_phase_reason_table(spark, d):
              Window.orderBy(F.col("comparisonTotal").desc(), F.col("comparison")))).drop("comparisonTotal"))
     return k.join(r, "comparison").select(
         "prediction", "comparison", F.regexp_replace("comparison", "_", " ").alias("comparisonLabel"),
-        "or_result", "lower_ci", "upper_ci", "pvalue", (F.col("pvalue") < 0.05).alias("is_significant"),
+        "or_result", "lower_ci", "upper_ci", "pvalue", (F.col("pvalue") > 1.30103).alias("is_significant"),
         "comparisonRank")
 
 
@@ -309,16 +312,16 @@ def _sql_safety() -> str:
     from contingo.plans.enrichment import COMPARISONS, PREDICTIONS, SQL_COHORT_CTES, SQL_STRATA, sql_sweep
     rec = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAFETY_RECODE.items())
     return f"""WITH {SQL_COHORT_CTES}, {SQL_STRATA},
-counts AS ({sql_sweep('cohort_s', 'l_orderkey', COMPARISONS, PREDICTIONS, True)}),
+counts AS ({sql_sweep('entities_s', 'id', COMPARISONS, PREDICTIONS, True)}),
 {sql_fisher_ctes('counts')},
 stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)}),
 sel AS (
   SELECT stratum, comparisonType, CASE comparison {rec} ELSE comparison END AS comparison, prediction, a,
     round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci,
-    round(pvalue, 6) AS pvalue, {_sql_effect()}
+    CASE WHEN pvalue > 0 THEN round(-log10(pvalue), 4) + 0.0 END AS pvalue, {_sql_effect()}
   FROM stats
   WHERE comparisonType IN ({_sql_list(SAFETY_TYPES)}) AND comparison NOT IN ({_sql_list(SAFETY_DROP)})
-    AND predictionType IN ('clinical', 'stopStatus'))
+    AND predictionType IN ('linePosition', 'doneStatus'))
 SELECT stratum, comparisonType, comparison, prediction, a, or_result, lower_ci, upper_ci, pvalue, oddsinterval,
   significance, CAST(row_number() OVER (PARTITION BY stratum, comparisonType
                                    ORDER BY or_result DESC NULLS LAST, comparison, prediction) AS INTEGER) AS rank
@@ -335,7 +338,7 @@ def q_safety_table(spark, d):
     from contingo.plans.enrichment import q_enrichment_stratified
     st = with_fisher_and_or(q_enrichment_stratified(spark, d))
     keep = (F.col("comparisonType").isin(SAFETY_TYPES) & ~F.col("comparison").isin(SAFETY_DROP)
-            & F.col("predictionType").isin("clinical", "stopStatus"))
+            & F.col("predictionType").isin("linePosition", "doneStatus"))
     out = round_stats(with_effect_columns(st.where(keep))).withColumn(
         "comparison", recode("comparison", SAFETY_RECODE))
     w = Window.partitionBy("stratum", "comparisonType").orderBy(
@@ -365,3 +368,125 @@ def q_trial_area_distinct(spark, d):
     best = customer_best_priority(spark, d).select("o_custkey", "prioLabel")
     return (li.join(o, "l_orderkey").join(best, "o_custkey", "left")
             .select("l_suppkey", "l_partkey", "l_orderkey", "prioLabel").distinct())
+
+
+# --------------------------------------------------------------------------- ordered report tables
+
+def _value_rank_sql(fn: str) -> str:
+    return f"""
+SELECT p_brand, {fn}(p_retailprice) AS score,
+  CAST(row_number() OVER (ORDER BY {fn}(p_retailprice), p_brand) AS INTEGER) AS rank FROM part GROUP BY p_brand"""
+
+
+@query("category_rank_max", _value_rank_sql("max"))
+def q_category_rank_max(spark, d):
+    """Categories ordered by the maximum of a value."""
+    return rank_by_value(tbl(spark, d, "part"), "p_brand", "p_retailprice", "max")
+
+
+@query("category_rank_sum", """
+SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS score,
+  CAST(row_number() OVER (ORDER BY sum(p_size), p_brand) AS INTEGER) AS rank FROM part GROUP BY p_brand""")
+def q_category_rank_sum(spark, d):
+    """Categories ordered by the sum of a value."""
+    return rank_by_value(tbl(spark, d, "part"), "p_brand", "p_size", "sum")
+
+
+@query("category_order", """
+SELECT o_orderpriority, count(*) AS n, CAST(row_number() OVER (ORDER BY
+  CASE o_orderpriority WHEN '5-LOW' THEN -2 WHEN '1-URGENT' THEN -1 WHEN '3-MEDIUM' THEN 1 ELSE 0 END,
+  count(*) DESC, o_orderpriority) AS INTEGER) AS rank
+FROM orders GROUP BY o_orderpriority""")
+def q_category_order(spark, d):
+    """Order by frequency with chosen values first and last."""
+    return rank_by_frequency(tbl(spark, d, "orders"), "o_orderpriority", first=["5-LOW", "1-URGENT"], last=["3-MEDIUM"])
+
+
+EFFECT_COLS = ["a", "or_result", "lower_ci", "upper_ci", "pvalue"]
+_SQL_EFFECTS = ("a, round(or_result, 6) AS or_result, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci, "
+                "CASE WHEN pvalue > 0 THEN round(-log10(pvalue), 4) + 0.0 END AS pvalue")
+
+
+@query("efficacy_by_reason", f"""{SWEEP_STATS_SQL},
+k AS (SELECT * FROM stats WHERE predictionType = 'reason' AND comparisonType IN ('brand', 'size')),
+r AS (SELECT prediction, median(or_result) AS m FROM k GROUP BY prediction),
+o AS (SELECT prediction, CAST(row_number() OVER (ORDER BY m, prediction) AS INTEGER) AS reasonRank FROM r)
+SELECT k.prediction, comparisonType, comparison, {_SQL_EFFECTS}, reasonRank FROM k JOIN o ON k.prediction = o.prediction""")
+def q_efficacy_by_reason(spark, d):
+    """One table for each reason, reasons ordered by their median odds ratio."""
+    k = sweep_with_stats(spark, d).where((F.col("predictionType") == "reason")
+                                         & F.col("comparisonType").isin("brand", "size"))
+    ranks = rank_by_value(k, "prediction", "or_result", "median", out="reasonRank").select("prediction", "reasonRank")
+    return round_stats(k.join(ranks, "prediction")).select("prediction", "comparisonType", "comparison", *EFFECT_COLS,
+                                                           "reasonRank")
+
+
+SOURCE_LABELS = {"1": "Nation one", "2": "Nation two", "3": "Nation three"}
+
+
+@query("efficacy_by_source", f"""{SWEEP_STATS_SQL},
+k AS (SELECT *, CASE comparison WHEN '1' THEN 'Nation one' WHEN '2' THEN 'Nation two' WHEN '3' THEN 'Nation three' END AS source
+      FROM stats WHERE comparisonType = 'supplierNation' AND comparison IN ('1', '2', '3') AND predictionType = 'doneStatus'),
+o AS (SELECT source, CAST(row_number() OVER (ORDER BY max(or_result), source) AS INTEGER) AS sourceRank FROM k GROUP BY source)
+SELECT k.source, prediction, {_SQL_EFFECTS}, sourceRank FROM k JOIN o ON k.source = o.source""")
+def q_efficacy_by_source(spark, d):
+    """I8: a list of sources, recoded, ordered by their largest odds ratio."""
+    from contingo.functions.columns import recode
+    k = sweep_with_stats(spark, d).where((F.col("comparisonType") == "supplierNation")
+                                         & F.col("comparison").isin(*SOURCE_LABELS)
+                                         & (F.col("predictionType") == "doneStatus")) \
+        .withColumn("source", recode("comparison", SOURCE_LABELS))
+    ranks = rank_by_value(k, "source", "or_result", "max", out="sourceRank").select("source", "sourceRank")
+    return round_stats(k.join(ranks, "source")).select("source", "prediction", *EFFECT_COLS, "sourceRank")
+
+
+@query("odds_by_cutoff", f"""{SWEEP_STATS_SQL}
+SELECT prediction, CAST(replace(comparison, 'disc_', '') AS DOUBLE) AS cutoff, {_SQL_EFFECTS}
+FROM stats WHERE comparisonType = 'discountTier' AND predictionType IN ('doneStatus', 'linePosition')""")
+def q_odds_by_cutoff(spark, d):
+    """Odds ratios along the score cut-offs."""
+    k = sweep_with_stats(spark, d).where((F.col("comparisonType") == "discountTier")
+                                         & F.col("predictionType").isin("doneStatus", "linePosition"))
+    return round_stats(k).select("prediction", F.regexp_replace("comparison", "^disc_", "").cast("double").alias("cutoff"),
+                                 *EFFECT_COLS)
+
+
+def _strata_stats(where: str, out: str) -> str:
+    from contingo.operators.counts import OUTPUT_COLUMNS
+    from contingo.plans.common import sql_fisher_ctes, sql_with_stats
+    from contingo.plans.enrichment import COMPARISONS, PREDICTIONS, SQL_COHORT_CTES, SQL_STRATA, sql_sweep
+    return f"""WITH {SQL_COHORT_CTES}, {SQL_STRATA},
+counts AS (SELECT * FROM ({sql_sweep('entities_s', 'id', COMPARISONS, PREDICTIONS, True)}) WHERE {where}),
+{sql_fisher_ctes('counts')},
+stats AS ({sql_with_stats('counts', ['stratum'] + OUTPUT_COLUMNS)})
+SELECT {out} FROM stats"""
+
+
+@query("strata_stacked", _strata_stats(
+    "comparisonType = 'size' AND predictionType = 'reason'",
+    f"CASE stratum WHEN 'all' THEN 'All orders' WHEN 'urgent' THEN 'Urgent customers' ELSE 'Other customers' END AS stratum, "
+    f"comparison, prediction, {_SQL_EFFECTS}"))
+def q_strata_stacked(spark, d):
+    """The three strata of one analysis stacked, with readable names."""
+    from contingo.functions.columns import recode
+    from contingo.operators.stats import with_fisher_and_or
+    from contingo.plans.enrichment import q_enrichment_stratified
+    k = q_enrichment_stratified(spark, d).where((F.col("comparisonType") == "size") & (F.col("predictionType") == "reason"))
+    names = {"all": "All orders", "urgent": "Urgent customers", "non_urgent": "Other customers"}
+    return round_stats(with_fisher_and_or(k)).withColumn("stratum", recode("stratum", names)).select(
+        "stratum", "comparison", "prediction", *EFFECT_COLS)
+
+
+@query("safety_by_constraint", _strata_stats(
+    "comparisonType IN ('priceTolerance', 'size') AND predictionType IN ('doneStatus', 'linePosition')",
+    f"stratum, comparisonType, comparison, prediction, {_SQL_EFFECTS}, CAST(row_number() OVER (PARTITION BY stratum, "
+    "comparisonType, prediction ORDER BY or_result DESC, comparison) AS INTEGER) AS rank"))
+def q_safety_by_constraint(spark, d):
+    """The bin comparisons of each stratum, ordered by odds ratio within (stratum, comparison type, prediction)."""
+    from contingo.operators.stats import with_fisher_and_or
+    from contingo.plans.enrichment import q_enrichment_stratified
+    k = with_fisher_and_or(q_enrichment_stratified(spark, d).where(
+        F.col("comparisonType").isin("priceTolerance", "size") & F.col("predictionType").isin("doneStatus", "linePosition")))
+    w = Window.partitionBy("stratum", "comparisonType", "prediction").orderBy(F.col("or_result").desc(), F.col("comparison"))
+    return round_stats(k.withColumn("rank", F.row_number().over(w))).select(
+        "stratum", "comparisonType", "comparison", "prediction", *EFFECT_COLS, "rank")

@@ -12,7 +12,6 @@ from contingo.operators.text import (classify_batch, fit_multilabel_classifier,
 from contingo.plans.common import query, tbl
 
 LABELS = ["quality", "toxic"]
-N_CLASSES = 5
 TEST_FRACTION = 0.1
 SPLIT_SEED = 42
 SUBSET_FRACTION = 0.05
@@ -48,13 +47,13 @@ def q_conversation_clean(spark, d):
 
 def _class_logits(spark, d):
     e = tbl(spark, d, "embeddings")
-    return e.select("vec_id", F.slice("embedding", 1, N_CLASSES).cast("array<double>").alias("logits"))
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))
 
 
 _SQL_SCORES = f"""
 logits AS (SELECT vec_id, pos - 1 AS class, CAST(v AS DOUBLE) AS logit
-           FROM (SELECT vec_id, unnest(embedding[1:{N_CLASSES}]) AS v,
-                        unnest(generate_series(1, {N_CLASSES})) AS pos FROM embeddings)),
+           FROM (SELECT vec_id, unnest(embedding) AS v,
+                        unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)),
 sm AS (SELECT vec_id, class, logit, 1.0 / (1.0 + exp(-logit)) AS sig,
               exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS ex FROM logits),
 probs AS (SELECT vec_id, class, logit, sig, ex / sum(ex) OVER (PARTITION BY vec_id) AS prob FROM sm)"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings that matter for the jobs in this package.  AQE is on so that the
 # joins of small aggregated tables (marginal counts, lookup tables) turn into
@@ -27,7 +27,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
                   app: str = "contingo", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("CONTINGO_DRIVER_MEMORY", "16g")))
+               .config("spark.driver.memory", os.environ.get("CONTINGO_DRIVER_MEMORY", "6g")))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -37,29 +37,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder.  The cluster's ``spark.checkpoint.dir``
-    wins; only when it is unset (local tests) a scratch folder is created."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001  (a Connect session has no SparkContext)
-        pass
-    if not current and sc is not None:
-        current = sc.getCheckpointDir()
+    """The shared folder in ``spark.checkpoint.dir``.  Only a local session
+    without one gets a scratch folder; a cluster must name a folder that the
+    driver and all executors share."""
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="contingo-ckpt-", dir="/tmp")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001
-            pass
-    if sc is not None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="contingo-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a
-    local checkpoint: a lost executor must not lose the data)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -93,7 +93,3 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType,
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
                for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def with_column_lit(df: DataFrame, name: str, value) -> DataFrame:
-    return df.withColumn(name, F.lit(value))

@@ -4,8 +4,8 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from contingo.operators.baseline import null_baseline, universe_membership
-from contingo.operators.counts import contingency_sweep, distinct_count_by, share_within
+from contingo.operators.baseline import baseline_pairs, null_baseline
+from contingo.operators.counts import (contingency_sweep, contingency_sweep_by_id, distinct_count_by, share_within)
 
 ROWS = [
     # id, comparison x, comparison y, prediction p, prediction q, group
@@ -88,52 +88,89 @@ def test_distinct_count_and_share(spark):
         assert r["ratio"] == pytest.approx(r["count"] / r["groupCount"])
 
 
-def test_baseline_membership_and_seeds(spark):
-    pairs = spark.createDataFrame([(t, d) for t in range(40) for d in range(25)], "t long, d long")
-    frac = F.lit(0.1)
-    m = universe_membership(pairs, ["t", "d"], frac, 10).collect()
-    by_seed = {}
-    for r in m:
-        by_seed.setdefault(r["seed"], set()).add((r["t"], r["d"]))
-    assert set(by_seed) == set(range(10))
-    sizes = [len(v) for v in by_seed.values()]
-    assert all(40 < s < 170 for s in sizes)            # ~100 expected each
-    assert len({frozenset(v) for v in by_seed.values()}) == 10   # seeds give different subsets
+def test_bijection_gives_exactly_n_members(spark):
+    from contingo.operators.baseline import shuffled
+    grid = spark.range(7 * 11).select((F.col("id") % 7).alias("i"), F.floor(F.col("id") / 7).alias("j")) \
+        .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    rows = shuffled(grid, "i", "j", F.lit(7), F.lit(11), "seed", "image").collect()
+    members = {}
+    for s in range(10):
+        own = [r for r in rows if r["seed"] == s]
+        assert sorted(r["image"] for r in own) == list(range(77))
+        members[s] = frozenset((r["i"], r["j"]) for r in own if r["image"] < 20)
+        assert len(members[s]) == 20
+    assert len(set(members.values())) == 10
+
+
+def test_bijection_matches_its_sql_twin(spark):
+    import duckdb
+    from contingo.operators.baseline import shuffled, sql_shuffled
+    vals = [(i, j, s) for i in (0, 5, 1999) for j in (0, 3, 99) for s in (0, 1, 99)]
+    got = {(r["i"], r["j"], r["s"]): r["m"] for r in shuffled(spark.createDataFrame(vals, "i long, j long, s int"), "i", "j",
+                                                             F.lit(2000), F.lit(100), "s", "m").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i BIGINT, j BIGINT, s INTEGER)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", vals)
+    want = con.execute(f"SELECT i, j, s, m FROM ({sql_shuffled('t', 'i', 'j', '2000', '100', 's', 'm')})").fetchall()
+    assert got == {r[:3]: r[3] for r in want}
+
+
+def test_dense_index_has_no_gaps(spark):
+    from contingo.operators.baseline import dense_index
+    df = spark.createDataFrame([(k,) for k in [5, 5, 9, 100, None, 7, 1000003]], "k long")
+    rows = dense_index(df, "k", "i", buckets=3).collect()
+    assert sorted(r["i"] for r in rows) == list(range(5)) and {r["k"] for r in rows} == {5, 9, 100, 7, 1000003}
 
 
 def test_null_baseline_matches_per_seed_reference(spark):
-    rows = [(i, i % 7, i % 5, ["r1", "r2", None][i % 3]) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, t long, d long, reason string")
-    frac = F.lit(0.3)
-    member = {(r["t"], r["d"], r["seed"]) for r in universe_membership(df, ["t", "d"], frac, 6).collect()}
-    out = null_baseline(df, ["id"], ["t", "d"], "reason", "reason", frac, 6).collect()
-    got = {(r["seed"], r["prediction"]): tuple(r[k] for k in ("a", "predictionTotal", "comparisonTotal", "total"))
+    rows = [(i, i % 7, i % 5, ["r1", "r2", None][i % 3], ["x", "y", None][i % 3]) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "k long, t long, d long, reason string, g string")
+    ents = lambda n: spark.range(n).toDF("e")
+    members = baseline_pairs(df.where("k < 12"), ents(7), ents(5), ["t", "d"], 6)
+    member = {(r["t"], r["d"], r["seed"]) for r in members.collect()}
+    strata = F.filter(F.array(F.lit("all"), F.col("g")), lambda s: s.isNotNull())
+    out = null_baseline(df, ["k", "t", "d"], ["t", "d"], "reason", "reason", members, strata=strata).collect()
+    got = {(r["stratum"], r["seed"], r["prediction"]): tuple(r[k] for k in ("a", "predictionTotal", "comparisonTotal", "total", "d"))
            for r in out}
-    total = len({r[0] for r in rows})
     want = {}
-    for s in range(6):
-        mem = [r for r in rows if (r[1], r[2], s) in member]
-        ctot = len({r[0] for r in mem})
-        for reason in ("r1", "r2"):
-            a = len({r[0] for r in mem if r[3] == reason})
-            if a:
-                ptot = len({r[0] for r in rows if r[3] == reason})
-                want[(s, reason)] = (a, ptot, ctot, total)
-    assert got == want
-
-
-def test_seeded_hash_matches_its_sql_twin(spark):
-    import duckdb
-    from contingo.functions.columns import seeded_hash32, sql_seeded_hash32
-    vals = [(k, s) for k in [0, 1, 2, 12345, 4294967295, 3000000000, 987654321] for s in [0, 1, 7, 99, 100000]]
-    got = {(r[0], r[1]): r[2] for r in spark.createDataFrame(vals, "k long, s int")
-           .select("k", "s", seeded_hash32("k", "s")).collect()}
-    con = duckdb.connect()
-    con.execute("CREATE TABLE t(k BIGINT, s INTEGER)")
-    con.executemany("INSERT INTO t VALUES (?, ?)", vals)
-    want = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT k, s, mix FROM ({sql_seeded_hash32('t', 'k', 's')})").fetchall()}
-    assert got == want
-    assert all(0 <= v < 2 ** 32 for v in got.values())
+    for st in ("all", "x", "y"):
+        own = {r for r in rows if st == "all" or r[4] == st}
+        for s in range(6):
+            mem = {r for r in own if (r[1], r[2], s) in member}
+            for reason in ("r1", "r2"):
+                a, p = sum(r[3] == reason for r in mem), sum(r[3] == reason for r in own)
+                if a:
+                    want[st, s, reason] = (a, p, len(mem), len(own), len(own) - p - len(mem) + a)
+    assert got == want and want
+
+
+def test_sweep_by_id_equals_the_row_form(spark):
+    rows = [(1, "x1", ["m1", "m2"], "p1", ["q1", None], "g1"), (2, None, None, "p1", ["q2"], "g2"),
+            (3, "x2", ["m2"], None, ["q1", "q2"], None), (4, "x1", [], "p2", None, "g1"), (5, "x1", ["m1", "m1"], "p2", [], "g1")]
+    df = spark.createDataFrame(rows, "id long, x string, m array<string>, p string, q array<string>, g string")
+    comps, preds = [("x", "X"), ("m", "M")], [("p", "P"), ("q", "Q")]
+    strata = F.filter(F.array(F.lit("all"), F.col("g")), lambda s: s.isNotNull())
+    flat = df.withColumn("m", F.explode_outer("m")).withColumn("q", F.explode_outer("q"))
+    assert sorted(map(str, contingency_sweep_by_id(df, comps, preds, strata=strata).collect())) == \
+        sorted(map(str, contingency_sweep(flat, ["id"], comps, preds, strata=strata).collect()))
+
+
+@pytest.mark.parametrize("name", ["enrichment_sweep", "enrichment_stratified", "enrichment_corrected", "safety_table"])
+def test_every_table_is_valid(spark, name):
+    from contingo.plans import all_queries
+    out = all_queries()[name](spark, "/root/testdata/sf0.001")
+    if "d" in out.columns:
+        assert out.where("least(a, b, c, d) < 0").count() == 0
+    assert out.count() > 0
+    if "significance" in out.columns:
+        assert out.where("significance is null").count() == 0
+
+
+def test_null_p_has_no_label(spark):
+    from contingo.functions.columns import significance_change
+    df = spark.createDataFrame([(None, None), (0.01, None), (0.01, 0.01), (0.2, 0.01), (0.01, 0.2), (0.2, 0.2)], "p double, q double")
+    assert [r[0] for r in df.select(significance_change("p", "q")).collect()] == [
+        None, None, "Remains Significant", "Now Significant", "No Longer Significant", "Never Significant"]
 
 
 def test_enrich_end_to_end(spark):

@@ -144,6 +144,10 @@ def test_complete_grid_and_median(spark):
     counts = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "g string, n string, c long")
     got = {(r["g"], r["n"], r["c"]) for r in complete_grid(counts, "g", "n").collect()}
     assert got == {("a", "x", 1), ("a", "y", None), ("b", "x", None), ("b", "y", 2)}
+    nulls = spark.createDataFrame([("x", "p", 3), (None, "p", 5), ("y", None, 7), ("y", "q", 1)], "g string, n string, c long")
+    got = {(r["g"], r["n"], r["c"]) for r in complete_grid(nulls, "g", "n").collect()}
+    assert got == {(g, n, {("x", "p"): 3, (None, "p"): 5, ("y", None): 7, ("y", "q"): 1}.get((g, n)))
+                   for g in ("x", "y", None) for n in ("p", "q", None)}
     vals = spark.createDataFrame([("k", v) for v in [5.0, 1.0, 3.0, 3.0, None]] + [("j", 2.0), ("j", 4.0)],
                                  "g string, v double")
     med = {r["g"]: r["median"] for r in group_median(vals, ["g"], "v").collect()}

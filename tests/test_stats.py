@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contingo.operators.stats import bh_adjust, fisher_exact_pvalues, with_fisher_and_or, with_significance_labels
 
+# Fixed golden values: a published result table (Apache 2.0), kept as it was published.
 GOLDEN = os.path.join(os.path.dirname(__file__), "data", "phase_reason_golden.csv")
 
 
@@ -115,3 +116,9 @@ def test_bh_properties_and_labels(spark):
     for rows in by_group.values():
         rows.sort()
         assert all(x[1] <= y[1] for x, y in zip(rows, rows[1:]))   # monotone in p
+
+
+def test_tolerance_grows_with_the_tables(spark):
+    cells = 250_000_000
+    df = spark.createDataFrame([(cells, cells, cells, cells)], "a long, b long, c long, d long")
+    assert with_fisher_and_or(df).collect()[0]["pvalue"] == pytest.approx(1.0, abs=1e-9)
