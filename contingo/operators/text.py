@@ -144,3 +144,46 @@ def classify_batch(model, df: DataFrame, key_cols: Sequence[str], text_col: str,
     scored = model.transform(df.where(F.col(text_col).isNotNull()).select(*key_cols, text_col))
     arr = F.array(*[F.when(F.col(f"pred_{lab}") == 1.0, F.lit(lab)) for lab in labels])
     return (scored.select(*key_cols, F.explode(F.filter(arr, lambda x: x.isNotNull())).alias(out)))
+
+
+# --------------------------------------------------------------------------- classifier with a closed-form fit
+
+HASH_BUCKETS = 4096
+
+
+def token_buckets(df: DataFrame, key_cols: Sequence[str], text_col: str, buckets: int = HASH_BUCKETS) -> DataFrame:
+    """One row for each distinct hashed token (lower-cased ASCII letters and digits) of each text."""
+    low = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))
+    word = df.where(F.col(text_col).isNotNull()).select(*key_cols, F.explode(words).alias("_w"))
+    return word.select(*key_cols, (md5_unit_hash("_w") % buckets).alias("bucket")).distinct()
+
+
+def fit_naive_bayes(train: DataFrame, key_cols: Sequence[str], text_col: str, labels: Sequence[str],
+                    buckets: int = HASH_BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """J6 without iterations: (label, bucket, weight) and (label, bias) of a multi-label naive Bayes classifier
+    over token presence.  Every figure is a sum, so one partially aggregated pass fits all labels."""
+    seen = F.explode(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("long").alias("y")) for lab in labels]))
+    cells = train.where(F.col(text_col).isNotNull()).select(*key_cols, text_col, seen.alias("_l")) \
+        .select(*key_cols, text_col, "_l.*").where(F.col("y").isin(0, 1))
+    ones, zeros = F.sum("y"), F.sum(1 - F.col("y"))
+    size = cells.groupBy("label").agg(ones.alias("n1"), zeros.alias("n0"))
+    hits = token_buckets(train, key_cols, text_col, buckets).join(
+        cells.drop(text_col), list(key_cols)).groupBy("label", "bucket").agg(ones.alias("h1"), zeros.alias("h0"))
+    odds = lambda h, n: F.log((F.col(h) + 1.0) / (F.col(n) + 2.0))
+    weights = hits.join(size, "label").select("label", "bucket", (odds("h1", "n1") - odds("h0", "n0")).alias("weight"))
+    return weights, size.select("label", F.log((F.col("n1") + 1.0) / (F.col("n0") + 1.0)).alias("bias"))
+
+
+def classify_naive_bayes(weights: DataFrame, bias: DataFrame, df: DataFrame, key_cols: Sequence[str], text_col: str,
+                         buckets: int = HASH_BUCKETS) -> DataFrame:
+    """One row for each text and label with a positive score (bias and the weights of its tokens)."""
+    known = df.where(F.col(text_col).isNotNull())
+    own = token_buckets(known, key_cols, text_col, buckets).join(weights, "bucket") \
+        .groupBy(*key_cols, "label").agg(F.sum("weight").alias("_s"))
+    # every text starts with the biases; the few labels ride along as one array
+    every = bias.agg(F.collect_list(F.struct("label", "bias"))).scalar()
+    base = known.select(*key_cols, F.explode(every).alias("_b")).select(*key_cols, "_b.*")
+    return base.join(own, [*key_cols, "label"], "left") \
+        .withColumn("score", F.col("bias") + F.coalesce(F.col("_s"), F.lit(0.0))).where("score > 0") \
+        .select(*key_cols, "label", "score")

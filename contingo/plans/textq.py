@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from contingo.functions.columns import clean_text, sigmoid, softmax
-from contingo.operators.text import (classify_batch, fit_multilabel_classifier, hash_split, label_explode,
+from contingo.functions.columns import TEXT_RULES, clean_text, sigmoid, softmax
+from contingo.operators.text import (classify_batch, classify_naive_bayes, fit_multilabel_classifier, fit_naive_bayes,
+                                     hash_split, label_explode,
                                      label_list, multi_hot, multilabel_metrics, split_subset, top_k_classes)
 from contingo.plans.common import query, tbl
 
@@ -16,12 +17,15 @@ TEST_FRACTION = 0.1
 SPLIT_SEED = 42
 SUBSET_FRACTION = 0.05
 
-# RE2 spellings of the normalisation rules for the oracle (same order).
+# White space in the oracle's regex dialect.
 _WS_RE2 = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
-_SQL_RULES = [("what''s", "what is "), ("won''t", "will not "), ("''s", " "), ("''ve", " have "),
-              ("can''t", "can not "), ("n''t", " not "), ("i''m", "i am "), ("''re", " are "),
-              ("''d", " would "), ("''ll", " will "), ("''scuse", " excuse "), ("''\\n", " "),
-              ("-", " "), ("''\\x{A0}", " "), ("(@[^\\n]*?)" + _WS_RE2, " "), ("&amp;", "&")]
+def _re2(pattern: str) -> str:
+    """A normalisation rule's pattern as SQL text for the oracle's regex dialect."""
+    return (pattern.replace("'", "''").replace(".*?", "[^\n]*?").replace("[\\s]", _WS_RE2)
+            .replace("\n", "\\n").replace("\u00a0", "\\x{A0}"))
+
+
+_SQL_RULES = [(_re2(pattern), replacement) for pattern, replacement in TEXT_RULES]
 
 
 def _sql_clean(expr: str) -> str:
@@ -193,6 +197,29 @@ def q_classify_batch(spark, d):
     return classify_batch(model, docs, ["doc_id"], "text", LABELS)
 
 
+@query("classify_naive_bayes", """
+WITH tok AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 4096 AS bucket
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM documents WHERE text IS NOT NULL)),
+cells AS (SELECT l.doc_id, 'quality' AS label, quality AS y FROM labels l JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL
+          UNION ALL SELECT l.doc_id, 'toxic', toxic FROM labels l JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL),
+size AS (SELECT label, sum(y) AS n1, sum(1 - y) AS n0 FROM cells GROUP BY label),
+hits AS (SELECT label, bucket, sum(y) AS h1, sum(1 - y) AS h0 FROM tok JOIN cells USING (doc_id) GROUP BY ALL),
+weights AS (SELECT label, bucket, ln((h1 + 1.0::DOUBLE) / (n1 + 2.0)) - ln((h0 + 1.0::DOUBLE) / (n0 + 2.0)) AS w FROM hits JOIN size USING (label)),
+own AS (SELECT doc_id, label, sum(w) AS s FROM tok JOIN weights USING (bucket) GROUP BY ALL),
+sc AS (SELECT d.doc_id, b.label, ln((n1 + 1.0::DOUBLE) / (n0 + 1.0)) + coalesce(s, 0.0) AS score
+       FROM documents d CROSS JOIN size b LEFT JOIN own ON own.doc_id = d.doc_id AND own.label = b.label
+       WHERE d.text IS NOT NULL)
+SELECT doc_id, label, round(score, 5) AS score FROM sc WHERE score > 0""")
+def q_classify_naive_bayes(spark, d):
+    """J5 + J6 with a closed-form fit, so that SQL can compute the weights and labels too."""
+    docs = tbl(spark, d, "documents").select("doc_id", "text")
+    train = docs.join(tbl(spark, d, "labels"), "doc_id", "inner")
+    weights, bias = fit_naive_bayes(train, ["doc_id"], "text", LABELS)
+    return classify_naive_bayes(weights, bias, docs, ["doc_id"], "text") \
+        .withColumn("score", F.round("score", 5))
+
+
 def _label_means(spark, d):
     e = tbl(spark, d, "embeddings")
     return (e.select("label", F.posexplode("embedding").alias("pos", "v"))
