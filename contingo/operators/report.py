@@ -52,7 +52,7 @@ def group_median(df: DataFrame, group_cols: Sequence[str], value: str, out: str
     v = F.col(value)
     known = df.where(v.isNotNull())
     hist = known.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_m"))
-    shares = [i / buckets for i in range(1, buckets)]
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
     stats = known.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
                                   F.percentile_approx(value, shares, 10 * buckets).alias("_cuts"))
     hb = hist.join(stats, g).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < v)))

@@ -204,3 +204,13 @@ def test_group_median_matches_numpy(spark, buckets):
     assert set(got) == set(want)
     for g, vs in want.items():
         assert got[g] == pytest.approx(statistics.median(vs), rel=1e-12, abs=1e-12)
+
+
+def test_median_ranges_follow_the_rows_not_the_values(spark):
+    df = spark.range(4000).select(F.lit("k").alias("g"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id")).alias("v"))
+    cuts = df.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 640).alias("c")).first()["c"]
+    sizes = [0] * 64
+    for r in df.collect():
+        sizes[sum(c < r["v"] for c in cuts)] += 1
+    assert max(sizes) < 200                                   # below 5% of the rows
+    assert group_median(df, ["g"], "v").collect()[0]["median"] == 2000.5
