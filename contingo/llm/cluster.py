@@ -64,14 +64,12 @@ def filter_places(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
     return mix(keys.astype(np.uint64) * np.uint64(2 * probe + 1) + np.uint64(probe)) & np.uint64(bits - 1)
 
 
-def member_filter(keys: DataFrame) -> bytes:
+def member_filter(keys: DataFrame, expected: int) -> bytes:
     """A bitmap of bounded size in which every key of the one long column is found. Others are found too, the more
-    the fuller it is; whoever uses it must give right results for any such answer. Its parts are put together on
-    executors."""
-    keys = cut(keys)
+    the fuller it is (``expected`` keys fill it well); whoever uses it must give right results for any such
+    answer. Its parts are put together on executors."""
     bits = LEAST_BITS
-    n = keys.count()
-    while bits < min(FILTER_BITS, BITS_PER_KEY * n):
+    while bits < min(FILTER_BITS, BITS_PER_KEY * expected):
         bits *= 2
     part_bytes = bits // 8 // FILTER_PARTS
 

@@ -92,13 +92,13 @@ def id_keys(ids: pa.Array) -> np.ndarray:
     return mix(known * np.uint64(0x9E3779B97F4A7C15) + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64))
 
 
-def id_filter(ids: DataFrame) -> bytes:
+def id_filter(ids: DataFrame, expected: int) -> bytes:
     """A fixed-size filter of the one column of document ids."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"key": pa.array(id_keys(batch.column(0)).view(np.int64), type=pa.int64())})
 
-    return member_filter(ids.distinct().mapInArrow(keys, "key long"))
+    return member_filter(ids.mapInArrow(keys, "key long"), expected)
 
 
 def filtered(batch: pa.RecordBatch, bitmap: bytes | None, inside: bool) -> pa.RecordBatch:
@@ -182,6 +182,7 @@ class Join:
                 tokens, owner = tokens[order], owner[order]
                 top = (tokens >> np.uint64(24)).astype(np.int64)
                 cuts = np.searchsorted(top, edges)
+                rows = []
                 for i in range(n_buckets):
                     a, b = int(cuts[i]), int(cuts[i + 1])
                     if a == b:
@@ -193,11 +194,12 @@ class Join:
                         who, own = np.unique(owner[a:b], return_inverse=True)
                         owners = own.astype(narrow(len(who))).tobytes()
                         names = np.array(nodes, dtype=np.int64)[who].tobytes()
-                    yield pa.RecordBatch.from_pydict(
-                        {"bucket": pa.array([i], type=pa.int32()), "kind": pa.array([kind], type=pa.int32()),
-                         "counts": pa.array([counts.astype("<u4").tobytes()], type=pa.binary()),
-                         "low": pa.array([low], type=pa.binary()), "owners": pa.array([owners], type=pa.binary()),
-                         "nodes": pa.array([names], type=pa.binary())})
+                    rows.append((i, kind, counts.astype("<u4").tobytes(), low, owners, names))
+                if rows:
+                    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=t) for c, t in zip(zip(*rows), types)],
+                        ["bucket", "kind", "counts", "low", "owners", "nodes"])
 
         return self.docs.mapInArrow(run, "bucket int, kind int, counts binary, low binary, owners binary, nodes binary")
 
@@ -249,24 +251,25 @@ class Join:
             .groupBy("meeting", "kind", "node").agg(F.sum("times").alias("times"))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets reach the threshold. nodes: (node, n, doc_id of one such row)."""
+        """The pairs (a, b) whose whole sets reach the threshold. nodes: (node, n, doc_id of one such row). Only
+        documents whose ids a filter of the needed ones holds are split into tokens again."""
         width, percent = self.width, self.percent
         pairs = cut(pairs)
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-
-        shared = self.spark.sparkContext.broadcast(id_filter(needed.select("doc_id")))
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("doc_id")
+        shared = self.spark.sparkContext.broadcast(id_filter(needed, 2 * pairs.count()))
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: set[int] = set()                            # equal sets of one task go once
             for batch in batches:
                 batch = filtered(batch, shared.value, True)
-                every = doc_sets(batch, width)
+                found = [(fingerprint(s)[0], s) for s in doc_sets(batch, width)]
+                new = [(n, s) for n, s in found if n not in sent and not sent.add(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([fingerprint(s)[0] for s in every], type=pa.int64()), batch.column(0),
-                     pa.array([s.tobytes() for s in every], type=pa.binary())], ["node", "doc_id", "tokens"])
+                    [pa.array([n for n, _ in new], type=pa.int64()),
+                     pa.array([s.tobytes() for _, s in new], type=pa.binary())], ["node", "tokens"])
 
-        sets = self.docs.mapInArrow(wanted, "node long, doc_id long, tokens binary")
-        sets = sets.join(needed.select(F.col("node").alias("n2"), F.col("doc_id").alias("d2")),
-                         (F.col("node") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left_semi")
+        # documents with equal sets may bring a set more than once; the links are made distinct below
+        sets = self.docs.mapInArrow(wanted, "node long, tokens binary")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a") \
             .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -315,13 +318,18 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     fold = low.join(lowest.select("s", "a"), "s").where("a < node").groupBy(F.col("node").alias("b")) \
         .agg(F.min("a").alias("a")).select("a", "b")
     folded = join.verified(fold, nodes)
-    labels = components(folded)
+    # each folded node has one lower node; two steps along them name a family well enough to keep its pairs apart
+    # from candidates (a family under two names costs candidates, not links)
+    one = folded.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    labels = one.join(one.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left") \
+        .select("node", F.coalesce("top", "up").alias("label"))
 
     # 3. classes: copies and folded nodes don't count again
     rep = nodes.select("node", F.col("doc_id").alias("rep"))
     again = real.select("node", "doc_id").join(rep, "node").where(~F.col("doc_id").eqNullSafe(F.col("rep"))) \
         .select("doc_id").union(folded.select(F.col("b").alias("node")).distinct().join(nodes, "node").select("doc_id"))
-    common = member_filter(join.frequent_tokens(id_filter(again)))
+    often = cut(join.frequent_tokens(id_filter(again, rows.count())))
+    common = member_filter(often, often.count())
 
     # 4. signatures that meet across components, as often as linked sets must
     named = nodes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left") \
