@@ -122,7 +122,8 @@ def supplier_nations(spark, d) -> DataFrame:
 
 
 def order_predictions(spark, d) -> DataFrame:
-    return tbl(spark, d, "orders").select(
+    """Every eleventh order has no prediction, so that the join has unmatched rows."""
+    return tbl(spark, d, "orders").where(F.col("o_orderkey") % 11 != 0).select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("reason"),
         collapse_to_default("o_orderpriority", KEEP_REASONS, "Neutral").alias("metareason"), "o_custkey")
 
@@ -196,7 +197,7 @@ preds AS (
   SELECT o_orderkey AS l_orderkey, o_orderpriority AS reason,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'Neutral' END AS metareason,
     o_custkey
-  FROM orders),
+  FROM orders WHERE o_orderkey % 11 <> 0),
 tiers AS (
   SELECT l_partkey, l_suppkey,
     CASE WHEN max(l_discount) > 0.08 THEN 'disc_0.08' END AS disc_008,
@@ -396,11 +397,16 @@ PHASES = [("1-URGENT", "phase_urgent", "Urgent"), ("2-HIGH", "phase_high", "High
           ("5-LOW", "phase_low", "Low"), ("nan", "phase_other", "Other")]
 
 
+#: A third of the unspecified priorities are missing, written as the text 'nan'.
+SQL_PHASE = "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 3 = 0 THEN 'nan' ELSE o_orderpriority END"
+
+
 def _phase_studies(spark, d) -> DataFrame:
     """B11 + D6: stopped 'studies' (orders with a price), one exact-match
     indicator column per phase text; the text 'nan' means Other."""
     o = tbl(spark, d, "orders").where(F.col("o_totalprice").isNotNull())
-    cols = {name: F.when(F.col("o_orderpriority") == F.lit(text), F.lit(label)) for text, name, label in PHASES}
+    phase = F.expr(SQL_PHASE)
+    cols = {name: F.when(phase == F.lit(text), F.lit(label)) for text, name, label in PHASES}
     return o.select("o_orderkey", F.col("o_orderstatus").alias("reason"), *[v.alias(k) for k, v in cols.items()])
 
 
@@ -408,7 +414,7 @@ _PHASE_PRED = [(name, "clinical") for _t, name, _l in PHASES]
 
 
 def _phase_sql_source() -> str:
-    flags = ",\n    ".join(f"CASE WHEN o_orderpriority = '{t}' THEN '{lab}' END AS {n}" for t, n, lab in PHASES)
+    flags = ",\n    ".join(f"CASE WHEN {SQL_PHASE} = '{t}' THEN '{lab}' END AS {n}" for t, n, lab in PHASES)
     return f"""studies AS (
   SELECT o_orderkey, o_orderstatus AS reason,
     {flags}

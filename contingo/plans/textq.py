@@ -49,6 +49,15 @@ def q_conversation_clean(spark, d):
     return tbl(spark, d, "conversations").select("conv_id", "turn", "role", clean_text("text").alias("clean"))
 
 
+_RULE_TEXT = "concat('What''s ', p_name, ' I''m sure it''s - won''t can''t don''t we''ve you''re he''d she''ll &amp; @user x  ', p_type, ' ')"
+
+
+@query("text_rules", f"SELECT p_partkey, {_sql_clean(_RULE_TEXT)} AS clean FROM part")
+def q_text_rules(spark, d):
+    """B33 on texts in which the rules for apostrophes, dashes, ampersands and names apply."""
+    return tbl(spark, d, "part").select("p_partkey", clean_text(F.expr(_RULE_TEXT.replace("''", "\\'"))).alias("clean"))
+
+
 def _class_logits(spark, d):
     e = tbl(spark, d, "embeddings")
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))

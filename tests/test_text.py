@@ -54,3 +54,21 @@ def test_metrics_thresholds(spark):
     assert (r["tn"], r["fp"], r["fn"], r["tp"]) == (2, 0, 2, 1)
     # accuracy on sigmoid > 0.3: preds 1,0,1,1,1 vs 1,0,0,1,1 -> 4/5
     assert r["accuracy_thresh"] == pytest.approx(0.8)
+
+
+def test_rule_texts_fire_their_rules(spark):
+    from contingo.plans import all_queries
+    clean = all_queries()["text_rules"](spark, "/root/testdata/sf0.001").first()["clean"]
+    for part in ("what is ", " i am ", " will not ", " can not ", " do not ", " have ", " are ", " would ", " will ", " & "):
+        assert part in clean
+    assert "'" not in clean and "-" not in clean and "@" not in clean and "  " not in clean
+
+
+def test_every_branch_occurs(spark):
+    from contingo.plans import all_queries
+    q = all_queries()
+    assert {r[0] for r in q["reason_by_phase"](spark, "/root/testdata/sf0.001").select("prediction").distinct().collect()} >= {"Other"}
+    cohort = q["cohort_build"](spark, "/root/testdata/sf0.001")
+    assert cohort.where("reason is null").count() > 0 and cohort.where("reason is not null").count() > 0
+    grid = q["complete_grid"](spark, "/root/testdata/sf0.001")
+    assert grid.where("p_brand is null and n is not null").count() > 0 and grid.where("n is null").count() > 0
