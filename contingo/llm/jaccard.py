@@ -15,7 +15,8 @@ candidates, and candidates are verified on their whole sets.
 3. Class of a token: how many unfolded nodes hold it, counted over all tokens, which travel as packed 40-bit
    arrays. Frequent ones go into a fixed-size filter. Whatever a filter answers, it answers the same for every
    set, so a false positive only moves a token to the other class and loses no link.
-4. Signatures of all nodes, packed likewise. Nodes that meet across components are candidates if what their
+4. Signatures of all nodes, packed likewise. Each node is verified against the best centre of its meetings, which
+   makes families one component. Nodes that still meet across components are candidates if what their
    prefixes share, and all that follows them, can make the overlap that a link needs.
 5. Verification, then connected components over all links.
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -334,7 +335,19 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     # 4. signatures that meet across components, as often as linked sets must
     named = nodes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left") \
         .select("node", "n", F.coalesce("label", "node").alias("part"))
-    met = cut(join.meetings(common).join(named, "node"))
+    met = cut(join.meetings(common).join(named, "node")
+              .withColumn("w", F.sum("times").over(Window.partitionBy("node"))))
+    # of a meeting's nodes the one that meets others most often is likely to link with most of them: each other node
+    # is verified against the best of its meetings' centres first, so that families become one part
+    centre = met.groupBy("meeting", "kind").agg(F.max(F.struct("w", "node", "n", "part")).alias("c"))
+    best = met.join(centre, ["meeting", "kind"]).where(F.col("part") != F.col("c.part")) \
+        .where(100 * F.least("n", "c.n") >= join.percent * F.greatest("n", "c.n")) \
+        .groupBy("node").agg(F.max(F.struct("c.w", "c.node")).alias("c"))
+    folded = cut(folded.union(join.verified(best.select(
+        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), nodes)))
+    labels = components(folded)
+    met = cut(met.drop("part").join(labels, "node", "left").select(
+        "meeting", "kind", "times", "node", "n", F.coalesce("label", "node").alias("part")))
     apart = met.groupBy("meeting", "kind").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2")
     met = met.join(apart.select("meeting", "kind"), ["meeting", "kind"], "left_semi")
     x = met.select("meeting", "kind", "times", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
