@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from contingo.functions.columns import md5_unit_hash
 from contingo.operators.counts import fill_two_by_two
 
-#: A prime below 2^31: products of two residues fit a 64-bit integer in every engine.
-PRIME = 2147483647
+#: Primes below 2^31: products of residues and multipliers fit a 64-bit integer in every engine.
+PRIMES = (2147483647, 2147483629, 2147483587)
+MULTIPLIERS = (48271, 40014, 69621)
 ROUNDS = 4
 INDEX_BUCKETS = 1024
 
@@ -38,10 +39,11 @@ def dense_index(keys: DataFrame, key: str, out: str, buckets: int = INDEX_BUCKET
 
 
 def mixed(seed: Column, round_no: int, value: Column) -> Column:
-    """A seeded residue modulo PRIME in plain 64-bit arithmetic."""
-    h1 = (value * 48271 + seed.cast("long") * 69621 + (round_no * 16807 + 11)) % PRIME
-    h2 = (h1 * h1 + 7) % PRIME
-    return (h2 * 40014 + h1) % PRIME
+    """A seeded residue in plain 64-bit arithmetic: linear steps modulo different primes. Each step uses the one
+    before once, so the expression doesn't grow when rounds are nested."""
+    for k, (prime, by) in enumerate(zip(PRIMES, MULTIPLIERS)):
+        value = (value * by + seed.cast("long") * (16807 + 2 * k) + (round_no * 7919 + k)) % prime
+    return value
 
 
 def shuffled(df: DataFrame, i: str, j: str, size_i: Column, size_j: Column, seed: str, out: str) -> DataFrame:
@@ -60,9 +62,10 @@ def sql_shuffled(source: str, i: str, j: str, size_i: str, size_j: str, seed: st
     q = f"SELECT *, CAST({i} AS BIGINT) AS _x, CAST({j} AS BIGINT) AS _y FROM {source}"
     for r in range(ROUNDS):
         to, by, size = ("_x", "_y", size_i) if r % 2 == 0 else ("_y", "_x", size_j)
-        q = f"SELECT *, ({by} * 48271 + {seed} * 69621 + {2 * r * 16807 + 11}) % {PRIME} AS _h1 FROM ({q})"
-        q = f"SELECT *, (((_h1 * _h1 + 7) % {PRIME}) * 40014 + _h1) % {PRIME} AS _f FROM ({q})"
-        q = f"SELECT * EXCLUDE (_h1, _f) REPLACE (({to} + _f) % {size} AS {to}) FROM ({q})"
+        f = by
+        for k, (prime, m) in enumerate(zip(PRIMES, MULTIPLIERS)):
+            f = f"(({f}) * {m} + {seed} * {16807 + 2 * k} + {2 * r * 7919 + k}) % {prime}"
+        q = f"SELECT * REPLACE (({to} + {f}) % {size} AS {to}) FROM ({q})"
     return f"SELECT * EXCLUDE (_x, _y), _x * {size_j} + _y AS {out} FROM ({q})"
 
 
