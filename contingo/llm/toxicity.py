@@ -1,18 +1,24 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are alphanumeric words (A-Z lower-cased) and the beginnings (3 to 5
-characters) of longer ones.  Of the labelled rows at most SAMPLE_ROWS, taken
-in the order of a hash of their ids, are learned from; over them the TERMS
-terms that speak most for toxicity are kept, and the rows that hold any of
-them are the examples.  The index has for each term its examples in
-ascending order, cut into blocks of BLOCK examples, with each block's largest
-weight.  A search visits blocks in descending order of their upper bound and
-ends when no bound reaches the k-th best cosine, so its neighbours are exact.
-The neighbours vote with their cosines; votes are calibrated on the examples
-themselves, each without its own vote (isotonic rates).
-
-Defined results: a text without any such term (also null or empty) has no
-neighbours and gets the calibrated rate of such rows; repeated rows are
+characters) of longer ones, named by 64-bit hashes.  Of the labelled rows at
+most SAMPLE_ROWS, taken in the order of a hash of their ids, are learned from.
+Each of them is an example with its full vector: every term of its text has a
+weight, (1 + ln count) * idf * emphasis, where the emphasis is FLOOR for terms
+that say nothing and rises with how much a term speaks for toxicity (its
+shrunk log ratio).  Terms that no example holds have no weight.
+
+The index has for each term its examples in ascending order.  Examples are
+cut into blocks of BLOCK; for terms in more than a share of 1 / OFTEN of the
+examples it has each block's largest weight.  A search adds up the rarer
+terms, bounds what the frequent ones can add (by the blocks' largest weights
+and by the norms of both sides), visits blocks in descending order of their
+bound and ends when no bound reaches the k-th best cosine, so its neighbours
+are exact.  The neighbours vote with their cosines; votes are calibrated on
+the examples themselves, each without its own vote (isotonic rates).
+
+Defined results: a text without any known term (also null or empty) has no
+neighbours and gets the calibrated rate of labelled rows without terms; repeated rows are
 scored one by one; null labels are left out of learning; labels of unknown
 documents are ignored; with no usable labels every score is 0.5; an empty
 table gives an empty result.
@@ -26,29 +32,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contingo.llm.cluster import small_batches
-from contingo.llm.words import alnum_words, texts
+from contingo.llm.pretoken import ragged
+from contingo.llm.words import alnum_words, texts, word_hashes
 
 #: Bound on the labelled rows that are learned from (a parameter of ``score``).
 SAMPLE_ROWS = 20_000
-TERMS = 400
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms in more than one of so many examples are frequent.
+OFTEN = 12
+#: Emphasis of a term that says nothing about toxicity, and rows that its ratio is shrunk by.
+FLOOR, SHRINK = 0.02, 5.0
+#: Words whose terms a worker keeps.
+CACHE_WORDS = 200_000
 #: Weight of the examples' overall rate in a vote.
 PRIOR = 0.05
 
 
+def word_terms(word: bytes) -> list[bytes]:
+    u = word.decode("utf-8", "ignore")
+    return [word, *(b"^" + u[:size].encode() for size in (3, 4, 5) if len(u) > size)]
+
+
 def terms(text: bytes | None) -> Counter:
-    words = Counter(alnum_words(text))
-    out = Counter(words)
-    for w, n in words.items():
-        u = w.decode("utf-8", "ignore")
-        for size in (3, 4, 5):
-            if len(u) > size:
-                out[b"^" + u[:size].encode()] += n
+    out: Counter = Counter()
+    for w, n in Counter(alnum_words(text)).items():
+        for t in word_terms(w):
+            out[t] += n
     return out
 
 
@@ -56,38 +71,76 @@ class BlockMaxIndex:
     """Examples as sparse vectors {term: weight}, numbered from 0."""
 
     def __init__(self, vectors: list[dict[int, float]]):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                postings.setdefault(t, []).append((e, w))
-        self.postings = {}
-        for t, entries in postings.items():
-            example = np.array([e for e, _ in entries], dtype=np.int64)
-            weight = np.array([w for _, w in entries])
-            edges = np.searchsorted(example, np.arange(self.blocks + 1) * BLOCK)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, example // BLOCK, weight)
-            self.postings[t] = example, weight, edges, most
-
-    def search(self, vector: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.build(np.cumsum([0] + [len(v) for v in vectors]), np.array([t for v in vectors for t in v], dtype=np.int32),
+                   np.array([w for v in vectors for w in v.values()], dtype=np.float32))
+
+    @classmethod
+    def packed(cls, starts: np.ndarray, term: np.ndarray, weight: np.ndarray) -> BlockMaxIndex:
+        """Of the examples' terms and weights end to end; example e's are starts[e] to starts[e + 1]."""
+        out = cls.__new__(cls)
+        out.build(starts, term, weight)
+        return out
+
+    def build(self, starts: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.n, self.blocks = len(starts) - 1, -(-(len(starts) - 1) // BLOCK)
+        self.n_terms = int(term.max()) + 1 if len(term) else 0
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
+        held = np.bincount(term, minlength=self.n_terms)
+        often = held > self.n / OFTEN
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)      # of a frequent term
+        common = often[term]
+        # rarer terms: examples by term
+        order = np.argsort(term[~common], kind="stable")
+        self.example, self.weight = example[~common][order], weight[~common][order]
+        self.size = np.where(often, 0, held)
+        self.start = np.cumsum(self.size) - self.size
+        # frequent terms: by example, and the largest weight of each block
+        self.common_row, self.common_weight = self.row[term[common]], weight[common]
+        size = np.bincount(example[common], minlength=self.n)
+        self.common_size, self.common_start = size, np.cumsum(size) - size
+        self.norm = np.sqrt(np.bincount(example[common], self.common_weight.astype(float) ** 2, minlength=self.n))
+        self.most = np.zeros((int(often.sum()), self.blocks), dtype=np.float32)
+        np.maximum.at(self.most, (self.common_row, example[common] // BLOCK), self.common_weight)
+
+    def search(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int,
+               without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosines (ties: the first), best first, and the cosines."""
-        lists = [(w, *self.postings[t]) for t, w in vector.items() if t in self.postings]
-        if not lists:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = sum(w * most for w, _, _, _, most in lists)
+        if isinstance(vector, dict):
+            vector = np.array(list(vector), dtype=np.int64), np.array(list(vector.values()), dtype=float)
+        known = vector[0] < self.n_terms
+        term, w = vector[0][known], vector[1][known]
         best_e, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
+        if not len(term):
+            return best_e, best_s
+        size = self.size[term]
+        at = ragged(self.start[term], size)
+        sums = np.bincount(self.example[at], self.weight[at] * np.repeat(w, size), minlength=self.n).astype(float)
+        common = self.row[term] >= 0
+        rows, own = self.row[term[common]], w[common]
+        more = np.repeat(own.astype(np.float32) @ self.most[rows], BLOCK)[:self.n]
+        bound = sums + np.minimum(more, np.sqrt(own @ own) * self.norm) + 1e-6 * (sums + more)
+        if 0 <= without < self.n:
+            bound[without] = 0
+        highest = np.maximum.reduceat(bound, np.arange(0, self.n, BLOCK))
+        dense = np.zeros(len(self.most))
+        dense[rows] = own
+        visit = np.argsort(-highest, kind="stable")
+        done, step = 0, 2
+        while done < len(visit):
+            least = best_s[-1] if len(best_s) == k else 0.0
+            group = visit[done:done + step]
+            group = group[(highest[group] > 0) & (highest[group] >= least)]
+            if not len(group):
                 break
-            sums = np.zeros(BLOCK)
-            for w, example, weight, edges, _ in lists:
-                i, j = edges[b], edges[b + 1]
-                sums[example[i:j] - b * BLOCK] += w * weight[i:j]
-            if b * BLOCK <= without < (b + 1) * BLOCK:
-                sums[without - b * BLOCK] = 0
-            own = np.flatnonzero(sums > 0)
-            e, s = np.concatenate([best_e, own + b * BLOCK]), np.concatenate([best_s, sums[own]])
+            done, step = done + step, 2 * step
+            e = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            e = np.sort(e[e < self.n])
+            e = e[(bound[e] > 0) & (bound[e] >= least)]
+            size = self.common_size[e]
+            at = ragged(self.common_start[e], size)
+            s = sums[e] + np.bincount(np.repeat(np.arange(len(e)), size), dense[self.common_row[at]] * self.common_weight[at],
+                                      minlength=len(e))
+            e, s = np.concatenate([best_e, e[s > 0]]), np.concatenate([best_s, s[s > 0]])
             order = np.lexsort((e, -s))[:k]
             best_e, best_s = e[order], s[order]
         return best_e, best_s
@@ -105,35 +158,75 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
 
+class Vocabulary:
+    """The examples' terms, numbered in the order of their hashes, and their weights."""
+
+    def __init__(self, hashes: np.ndarray, n0: np.ndarray, n1: np.ndarray, total0: int, total1: int):
+        order = np.argsort(hashes)
+        self.hashes, n0, n1 = hashes[order], n0[order], n1[order]
+        idf = np.log((total0 + total1 + 1) / (n0 + n1 + 1)) + 1
+        rate = (total1 + 0.5) / (total0 + total1 + 1)
+        ratio = (n1 + SHRINK * rate) / (n0 + n1 + SHRINK) / rate
+        self.weights = (idf * (FLOOR + np.maximum(np.log(ratio), 0) ** 2)).astype(np.float32)
+        self.cache: dict[bytes, np.ndarray] = {}
+
+    def numbers(self, word: bytes) -> np.ndarray:
+        """Of a word's known terms."""
+        found = self.cache.get(word)
+        if found is None:
+            hashes = word_hashes(word_terms(word))
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            found = at[self.hashes[at] == hashes]
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[word] = found
+        return found
+
+    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending term numbers and weights of norm 1."""
+        words = Counter(alnum_words(text))
+        if not words or not len(self.hashes):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        found = [self.numbers(w) for w in words]
+        every = np.concatenate(found)
+        term, at = np.unique(every, return_inverse=True)
+        if not len(term):
+            return term, np.zeros(0)
+        n = np.bincount(at, np.repeat(list(words.values()), [len(f) for f in found]))
+        weight = (1 + np.log(n)) * self.weights[term]
+        return term, weight / np.sqrt(weight @ weight)
+
+
 class Model:
-    def __init__(self, idf: dict[bytes, float], rows: list[tuple[int | None, int, dict[bytes, int]]],
-                 no_term: tuple[int, int]):
-        """idf of the kept terms; examples (doc_id, toxic, term counts); toxic rows and rows without any term."""
-        self.number = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = idf
-        self.ids = [r[0] for r in rows]
-        self.labels = np.array([r[1] for r in rows], dtype=float)
-        vectors = [self.vector(r[2]) for r in rows]
-        self.index = BlockMaxIndex(vectors)
-        self.rate = float((self.labels.sum() + 0.5) / (len(rows) + 1))
+    def __init__(self, words: Vocabulary, ids: list, labels: list[int], starts: np.ndarray, term: np.ndarray,
+                 weight: np.ndarray, no_term: tuple[int, int]):
+        """Examples (doc_id, toxic, terms and weights end to end); toxic rows and rows without any term."""
+        self.words, self.ids, self.labels = words, ids, np.array(labels, dtype=float)
+        self.starts, self.term, self.weight = starts, term, weight
+        self.rate = float((self.labels.sum() + 0.5) / (len(ids) + 1))
         self.none = (no_term[0] + 0.5) / (no_term[1] + 1)
-        votes = np.array([self.vote(*self.index.search(v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
-        self.knots, self.rates = isotonic(votes, self.labels) if len(votes) else (np.zeros(1), np.full(1, 0.5))
+        self.index: BlockMaxIndex | None = None
 
-    def vector(self, counts: dict[bytes, int]) -> dict[int, float]:
-        v = {self.number[t]: (1 + np.log(n)) * self.idf[t] for t, n in counts.items() if t in self.number}
-        norm = np.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in sorted(v.items())}
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if self.index is None:                               # each worker turns the examples round once
+            self.index = BlockMaxIndex.packed(self.starts, self.term, self.weight)
+        return self.index.search(vector, NEIGHBOURS, without)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         return float(((cosines * self.labels[found]).sum() + PRIOR * self.rate) / (cosines.sum() + PRIOR))
 
-    def score(self, text: bytes | None) -> tuple[float, list[tuple[int | None, float]]]:
-        found, cosines = self.index.search(self.vector(terms(text)), NEIGHBOURS)
+    def own_vote(self, i: int) -> float:
+        """Example i's vote without itself."""
+        at = slice(self.starts[i], self.starts[i + 1])
+        return self.vote(*self.nearest((self.term[at].astype(np.int64), self.weight[at].astype(float)), i))
+
+    def score(self, text: bytes | None, knots: np.ndarray,
+              rates: np.ndarray) -> tuple[float, list[tuple[int | None, float]]]:
+        found, cosines = self.nearest(self.words.vector(text))
         if not len(found):
             return self.none, []
         vote = self.vote(found, cosines)
-        rate = float(np.interp(vote, self.knots, self.rates))
+        rate = float(np.interp(vote, knots, rates))
         return 0.98 * rate + 0.02 * vote, [(self.ids[e], float(c)) for e, c in zip(found.tolist(), cosines.tolist())]
 
 
@@ -146,49 +239,74 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
+        size = [0, 0]
 
         def found() -> pa.RecordBatch:
             every = list(seen[0].keys() | seen[1].keys())
-            out = pa.RecordBatch.from_pydict({"term": pa.array(every, type=pa.binary()),
-                                              "n0": pa.array([seen[0][t] for t in every], type=pa.int64()),
-                                              "n1": pa.array([seen[1][t] for t in every], type=pa.int64())})
+            out = pa.RecordBatch.from_pydict(
+                {"term": pa.array([*word_hashes(every).view(np.int64).tolist(), None], type=pa.int64()),
+                 "n0": pa.array([*(seen[0][t] for t in every), size[0]], type=pa.int64()),
+                 "n1": pa.array([*(seen[1][t] for t in every), size[1]], type=pa.int64())})
             for c in seen:
                 c.clear()
+            size[:] = 0, 0
             return out
 
         for batch in batches:
             for t, toxic in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
                 seen[toxic].update(terms(t).keys())
-                seen[toxic][b""] += 1
+                size[toxic] += 1
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield found()
-        if seen[0] or seen[1]:
+        if size[0] or size[1]:
             yield found()
 
-    counts = rows.mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term") \
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    all_rows = counts.where(F.length("term") == 0).first()
-    total0, total1 = (all_rows.n0, all_rows.n1) if all_rows else (0, 0)
-    ratio = ((F.col("n1") + 0.5) / (total1 + 1)) / ((F.col("n0") + 0.5) / (total0 + 1))
-    kept = counts.where((F.length("term") > 0) & (F.col("n1") >= 5) & (ratio > 20)) \
-        .orderBy((F.col("n1") * F.log(ratio)).desc(), "term").limit(TERMS).collect()
-    idf = {bytes(r.term): float(np.log((total0 + total1 + 1) / (r.n0 + r.n1 + 1)) + 1) for r in kept}
-    shared = docs.sparkSession.sparkContext.broadcast(set(idf))
+    counts = rows.mapInArrow(count, "term long, n0 long, n1 long").groupBy("term") \
+        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()     # the terms of at most sample_rows rows
+    is_term = np.array(counts.column("term").is_valid())
+    n0, n1 = (counts.column(c).to_numpy() for c in ("n0", "n1"))
+    hashes = counts.column("term").drop_null().to_numpy().astype(np.int64).view(np.uint64)
+    words = Vocabulary(hashes, n0[is_term], n1[is_term], int(n0[~is_term].sum()), int(n1[~is_term].sum()))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            own = [{t: n for t, n in terms(x).items() if t in known} for x in texts(batch.column(1))]
+            own = [shared.value.vector(x) for x in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(o) for o in own], type=pa.list_(pa.binary())),
-                 pa.array([list(o.values()) for o in own], type=pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "n"])
+                [batch.column(0), batch.column(2),
+                 pa.array([t.astype(np.int32).tobytes() for t, _ in own], type=pa.binary()),
+                 pa.array([w.astype(np.float32).tobytes() for _, w in own], type=pa.binary())],
+                ["doc_id", "toxic", "terms", "weights"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(examples, f"doc_id {kind}, toxic int, terms array<binary>, n array<long>").collect()
-    vectors = sorted(((r.doc_id, r.toxic, {bytes(t): n for t, n in zip(r.terms, r.n)}) for r in got),
-                     key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), sorted(r[2].items())))
+    got = rows.mapInArrow(examples, f"doc_id {kind}, toxic int, terms binary, weights binary").toArrow().to_pydict()
+    vectors = sorted(zip(got["doc_id"], got["toxic"], got["terms"], got["weights"]),
+                     key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[2], r[3]))
     none = [r[1] for r in vectors if not r[2]]
-    return Model(idf, [r for r in vectors if r[2]], (sum(none), len(none)))
+    vectors = [r for r in vectors if r[2]]
+    return Model(words, [r[0] for r in vectors], [r[1] for r in vectors],
+                 np.cumsum([0] + [len(r[2]) // 4 for r in vectors]),
+                 np.frombuffer(b"".join(r[2] for r in vectors), dtype=np.int32),
+                 np.frombuffer(b"".join(r[3] for r in vectors), dtype=np.float32), (sum(none), len(none)))
+
+
+def calibrate(spark: SparkSession, shared: Broadcast, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and rates of the examples' own votes, which are searched for in tasks."""
+    n = len(model.ids)
+    if not n:
+        return np.zeros(1), np.full(1, 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([shared.value.own_vote(i) for i in batch.column(0).to_pylist()],
+                                           type=pa.float64())], ["id", "vote"])
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, n // 200))
+    got = spark.range(0, n, 1, parts).mapInArrow(run, "id long, vote double").toArrow()
+    votes = np.zeros(n)
+    votes[got.column("id").to_numpy()] = got.column("vote").to_numpy()
+    return isotonic(votes, model.labels)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 3, held: int = 1,
@@ -196,12 +314,14 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
     """doc_id, held_out, score, predicted and evidence (doc_id and cosine of the nearest labelled examples)."""
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample_rows, folds, held))
+    model = learn(docs, labels, sample_rows, folds, held)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    knots, rates = calibrate(docs.sparkSession, shared, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.score(t) for t in texts(batch.column(1))]
+            found = [model.score(t, knots, rates) for t in texts(batch.column(1))]
             ids = batch.column(0)
             held_out = [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids.to_pylist()]
             kind = pa.list_(pa.struct([("doc_id", ids.type), ("cosine", pa.float64())]))

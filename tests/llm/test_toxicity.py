@@ -68,3 +68,26 @@ def test_edges(spark, make_docs):
     assert t.score(make_docs([]), labels).count() == 0
     none = t.score(make_docs(["a"]), labels.where("false")).collect()[0]
     assert none.score == 0.5 and none.predicted == 0
+
+
+def test_rare_toxic_words_and_every_row_count(spark, make_docs):
+    texts = [" ".join(prose(i, 30, 300)) for i in range(300)]
+    toxic = [0] * 300
+    for i in range(0, 300, 3):                              # each toxic word stands in three toxic rows only
+        toxic[i] = 1
+        texts[i] = f"{texts[i]} zq{i // 9}bad zq{i // 9}bad"
+    labels = spark.createDataFrame([(i, 1, x) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = t.learn(make_docs(texts), labels, folds=1, held=1)
+    assert sorted(model.ids) == list(range(300))            # rows without a toxic term are examples too
+    assert all(len(model.words.numbers(f"w{j}".encode())) for j in range(200))
+    got = {r.doc_id: r for r in t.score(make_docs(texts), labels, folds=1, held=1).collect()}
+    assert all(len(r.evidence) == t.NEIGHBOURS for r in got.values())
+    assert all({e.doc_id for e in got[i].evidence[:3]} == {j for j in range(300) if f"zq{i // 9}bad" in texts[j]}
+               for i in range(0, 297, 3))
+
+
+def test_cosines_are_over_whole_texts(spark, make_docs):
+    texts = ["trash " + " ".join(prose(i, 40, 400)) for i in range(40)] + [" ".join(prose(i, 40, 400)) for i in range(40, 200)]
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in t.score(make_docs(texts), labels, folds=1, held=1).collect()}
+    assert all(e.cosine < 0.999 for r in got.values() for e in r.evidence if e.doc_id != r.doc_id)
