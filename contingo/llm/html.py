@@ -9,13 +9,13 @@ of their articles (copies, quoted passages), and adverts differ from page to
 page.  So lines inside a page's marked-up article (``article``, ``main`` or
 the like) are not deleted for being shared, and lines inside elements that
 are marked up as something else (navigation, footers, forms, adverts,
-comments, ...) are deleted though they differ.  A page without such an
-article is left with what differencing keeps.
+comments, ...) are deleted though they differ.  Differencing decides for all
+other lines, before, after and without such an article.
 
 Pages are sorted by (host, path, page_id) over ranges cut from a sample of
 these keys, so that a large host spreads over many tasks; a range's first
-pages see the last page before them through a small side table (one page for
-each range).
+pages see the last page before them, and a host's only page in a range the first
+page behind it, through a small side table (two pages for each range).
 
 Defined results: null or empty html gives an empty text; a null URL is host
 and path "" of its own; a host's only page, or one whose neighbours all have
@@ -177,10 +177,7 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 def main_text(lines: list[tuple[str, int]], other: list[int] | None, own: list[int]) -> tuple[str, int]:
     """The text that stays, and how many lines are shared with the other page's."""
     shared = common_lines(own, other) if other is not None else set()
-    if any(p == ARTICLE for _, p in lines):
-        kept = [t for t, p in lines if p == ARTICLE]
-    else:
-        kept = [t for i, (t, p) in enumerate(lines) if p == LOOSE and i not in shared]
+    kept = [t for i, (t, p) in enumerate(lines) if p == ARTICLE or p == LOOSE and i not in shared]
     return "\n".join(kept), len(shared)
 
 
@@ -220,12 +217,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     kind = rows.schema["page_id"].dataType.simpleString()
     lasts = rows.select(*order).mapInArrow(number, f"part int, host string, path string, page_id {kind}") \
-        .groupBy("part").agg(F.max(F.struct(*order)).alias("k"))
-    # the last page of each range, for the first pages of the next
-    ends = rows.join(F.broadcast(lasts.limit(2 * n_parts)), F.struct(*order).eqNullSafe(F.col("k"))) \
-        .groupBy("part").agg(F.first("host").alias("host"), F.first("html").alias("html")).collect()
-    before = spark.sparkContext.broadcast(
-        {r.part: (r.host, [_line_hash(t) for t, _ in page_lines(r.html)]) for r in ends})
+        .groupBy("part").agg(F.max(F.struct(*order)).alias("last"), F.min(F.struct(*order)).alias("first")) \
+        .select("part", F.explode(F.create_map(F.lit(True), "last", F.lit(False), "first")).alias("is_last", "k"))
+    # the last page of each range, for the first pages of the next, and the first, for a host's only page of the range before
+    ends = rows.join(F.broadcast(lasts.limit(4 * n_parts)), F.struct(*order).eqNullSafe(F.col("k"))) \
+        .groupBy("part", "is_last").agg(F.first("host").alias("host"), F.first("html").alias("html")).collect()
+    before, after = (spark.sparkContext.broadcast(
+        {r.part: (r.host, [_line_hash(t) for t, _ in page_lines(r.html)]) for r in ends if r.is_last == e})
+        for e in (True, False))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,6 +240,13 @@ def extract(pages: DataFrame) -> DataFrame:
         waiting: list[tuple] = []
         out: list[tuple] = []
 
+        def settle_rest() -> None:
+            """Pages without another one of their host before the range's end look at the next range's first page."""
+            later = [q for q in after.value if part is not None and q > part]
+            following = after.value[min(later)] if later else (None, None)
+            for w in waiting:
+                settle(w, following[1] if following[0] == host and following[1] != w[3] else None)
+
         def settle(page: tuple, other: list[int] | None) -> None:
             text, shared = main_text(page[2], other, page[3])
             out.append((page[0], page[1], text, len(text), len(page[2]), shared))
@@ -258,8 +264,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 own = [_line_hash(t) for t in lines]
                 page = (page_id, url, list(zip(lines, places)), own)
                 if p != part or h != host:
-                    for w in waiting:
-                        settle(w, None)
+                    settle_rest()
                     waiting = []
                     earlier, last = None, None
                     if p != part:
@@ -280,8 +285,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     last = own
             if len(out) >= 500:
                 yield batch()
-        for w in waiting:
-            settle(w, None)
+        settle_rest()
         if out:
             yield batch()
 

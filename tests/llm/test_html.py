@@ -85,3 +85,10 @@ def test_ranges_do_not_matter(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
     assert h.extract(pages(spark, [])).count() == 0
+
+
+def test_unshared_lines_outside_the_article_stay(spark):
+    page = "<p>Menu</p><h1>Title {0}</h1><article><p>teaser {0}</p></article><div><p>body {0}</p></div><p>Rights</p><footer>f {0}</footer>"
+    rows = [(i, f"https://a.example/{i}", page.format(i)) for i in range(5)]
+    assert {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()} == {
+        i: f"Title {i}\nteaser {i}\nbody {i}" for i in range(5)}
