@@ -49,13 +49,16 @@ DICTIONARY_DOCS = 20_000
 THRESHOLD = 0.5
 
 #: Public key formats (fixed values).
-FORMATS = rb"(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}" \
-          rb"|sk_live_[0-9A-Za-z]{24,99}|AIza[0-9A-Za-z_\-]{35}|eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{6,}" \
-          rb"|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PRIVATE_KEY = rb"-----BEGIN [A-Z ]{0,64}PRIVATE KEY-----" \
+              rb"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,64}PRIVATE KEY-----)?"
+FORMATS = rb"(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}" \
+          rb"|sk_live_[0-9A-Za-z]{24,}|AIza[0-9A-Za-z_\-]{35}|eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{6,}" \
+          rb"|" + PRIVATE_KEY
 ASSIGNED = rb"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?" \
-           rb"\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,256})"
-MIXED = rb"(?<![0-9A-Za-z_\-])(?=[A-Za-z_\-+/]{0,40}[0-9])(?=[0-9_\-+/]{0,40}[A-Za-z])[0-9A-Za-z_\-+/]{16,256}={0,2}(?![0-9A-Za-z_\-])"
-LONG = rb"(?<![0-9A-Za-z])[0-9]{12,64}(?![0-9A-Za-z])|(?<![\w])[a-z]{18,64}(?![\w])"
+           rb"\s{0,3}[=:]\s{0,3}[\"']?(" + PRIVATE_KEY + rb"|[^\s\"'<>,;]{6,})"
+#: A maximal run with a digit and a letter. Look-aheads start at a run's first byte only, so the time is linear.
+MIXED = rb"(?<![0-9A-Za-z_\-+/])(?=[A-Za-z_\-+/]*+[0-9])(?=[0-9_\-+/]*+[A-Za-z])[0-9A-Za-z_\-+/]{16,}+={0,2}(?![0-9A-Za-z_\-])"
+LONG = rb"(?<![0-9A-Za-z])[0-9]{12,}+(?![0-9A-Za-z])|(?<![\w])[a-z]{18,}+(?![\w])"
 CANDIDATE = re.compile(b"(?P<format>" + FORMATS + b")|" + ASSIGNED + b"|(?P<mixed>" + MIXED + b")|(?P<long>" + LONG + b")")
 CREDENTIAL = re.compile(rb"(?i)(?:pass|pwd|secret|token|key|auth|cred)")
 DIGEST_WORDS = re.compile(rb"(?i)(?:sha\d*|md5|commit|checksum|digest|hash|rev|etag|uuid|guid|id)$")

@@ -59,3 +59,16 @@ def test_edges(make_docs):
 def test_values_with_underscores_end_in_time():
     text = ("a_" * 50_000 + " " + "-" * 50_000 + " " + "1" * 50_000).encode()
     assert len(list(s.candidates(text))) < 5000
+
+
+def test_long_values_are_whole():
+    r = random.Random(3)
+    long = hexed(r, 1000)
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC\n" + "\n".join(hexed(r, 64) for _ in range(30)) + "\n-----END RSA PRIVATE KEY-----"
+    for text, value in ((f'token = "{long}" x', long), (f"x {long} y", long), (f"x {'a_' * 40}{long} y", "a_" * 40 + long),
+                        (f"x {pem} y", pem), (f'secret = "{pem}"', pem), (f"x {'1' * 300} y", "1" * 300),
+                        (f"x xoxb-{long} y", "xoxb-" + long)):
+        assert [text[a:b] for a, b, _ in s.candidates(text.encode())] == [value]
+    cut_off = "-----BEGIN PRIVATE KEY-----\nabc "
+    assert len(list(s.candidates((cut_off * 3000).encode()))) == 3000
+    assert len(list(s.candidates(("/" * 200_000 + " " + "a/" * 100_000).encode()))) < 5
