@@ -42,10 +42,8 @@ from contingo.llm.words import ALNUM, alnum_words, texts
 
 #: Labelled findings that the forest is trained on, at most about.
 SAMPLE_FINDINGS = 20_000
-#: Words of the dictionary.
-DICTIONARY_WORDS = 20_000
-#: Documents that the dictionary's words are counted in, at most about.
-DICTIONARY_DOCS = 20_000
+#: A word is in the dictionary if at least two documents and one in so many hold it.
+DICTIONARY_SHARE = 5_000
 THRESHOLD = 0.5
 
 #: Public key formats (fixed values).
@@ -115,23 +113,31 @@ def rule_label(value: bytes, before: bytes, how: str) -> int | None:
     return None
 
 
-def corpus_dictionary(docs: DataFrame, most_docs: int = DICTIONARY_DOCS, words: int = DICTIONARY_WORDS) -> set:
-    """The commonest words (and their 3-letter pieces) of a bounded sample of documents."""
-    n = docs.count()
-
+def corpus_dictionary(docs: DataFrame, share: int = DICTIONARY_SHARE) -> set:
+    """The words that enough of all documents hold, and their 3-letter pieces. Their number is at most ``share``
+    times a document's mean number of different words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def found() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"w": pa.array(seen.keys(), type=pa.binary()),
+                                              "n": pa.array(seen.values(), type=pa.int64())})
+            seen.clear()
+            return out
+
         for batch in batches:
-            seen: Counter = Counter()
             for t in texts(batch.column(0)):
-                seen.update(set(alnum_words(t)))
-            yield pa.RecordBatch.from_pydict({"w": pa.array(seen.keys(), type=pa.binary()),
-                                              "n": pa.array(seen.values(), type=pa.int64())})
+                seen.update(w for w in set(alnum_words(t)) if len(w) > 2 and not w.isdigit())
+                if len(seen) > 200_000:
+                    yield found()
+        if seen:
+            yield found()
 
-    rows = (docs.select("text").sample(fraction=min(1.0, most_docs / max(n, 1)), seed=3)
-            .mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-            .where((F.length("w") > 2) & (F.col("n") > 1)).orderBy(F.desc("n"), "w").limit(words).collect())
-    found = {bytes(r.w) for r in rows if not bytes(r.w).isdigit()}
-    return found | {w[i:i + 3] for w in list(found)[:2000] for i in range(len(w) - 2) if w.isalpha()}
+    least = max(2, -(-docs.count() // share))
+    rows = docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")) \
+        .where(F.col("n") >= least).select("w").toArrow()
+    found = set(rows.column("w").to_pylist())
+    return found | {w[i:i + 3] for w in found if w.isalpha() for i in range(len(w) - 2)}
 
 
 def scan(docs: DataFrame, dictionary: set) -> DataFrame:
@@ -139,7 +145,7 @@ def scan(docs: DataFrame, dictionary: set) -> DataFrame:
     doc_id, first, last, how, rule, features."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(dictionary)      # bounded by DICTIONARY_WORDS
+    shared = spark.sparkContext.broadcast(dictionary)      # bounded by DICTIONARY_SHARE
     docs = docs.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

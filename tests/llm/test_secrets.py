@@ -72,3 +72,12 @@ def test_long_values_are_whole():
     cut_off = "-----BEGIN PRIVATE KEY-----\nabc "
     assert len(list(s.candidates((cut_off * 3000).encode()))) == 3000
     assert len(list(s.candidates(("/" * 200_000 + " " + "a/" * 100_000).encode()))) < 5
+
+
+def test_dictionary_counts_all_documents(make_docs):
+    texts = [f"common word{i} word{i + 1}" for i in range(21_000)]  # word0 and the last one stand in one document only
+    assert {w for w in s.corpus_dictionary(make_docs(texts), share=len(texts)) if len(w) > 3} == {
+        b"common", *(b"word%d" % i for i in range(1, 21_000))}
+    letters = [f"{a}{b}{c}x{a}{b}{c}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop"]
+    pieces = {w for w in s.corpus_dictionary(make_docs([" ".join(letters)] * 2)) if len(w) == 3}
+    assert {w[:3].encode() for w in letters} <= pieces      # of all 4,096 words
