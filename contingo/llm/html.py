@@ -10,7 +10,9 @@ page.  So lines inside a page's marked-up article (``article``, ``main`` or
 the like) are not deleted for being shared, and lines inside elements that
 are marked up as something else (navigation, footers, forms, adverts,
 comments, ...) are deleted though they differ.  Differencing decides for all
-other lines, before, after and without such an article.
+other lines, before, after and without such an article; inside one it decides
+for elements whose class or id is an ambiguous frame word (header, related,
+discussion, ...).
 
 Pages are sorted by (host, path, page_id) over ranges cut from a sample of
 these keys, so that a large host spreads over many tasks; a range's first
@@ -40,7 +42,7 @@ from contingo.llm.cluster import small_batches
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "select"}
+RAW = {"script", "style", "template", "iframe", "textarea", "title", "svg", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir",
          "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -60,8 +62,12 @@ FRAME_WORDS = re.compile(
     r"|menu|breadcrumbs?|sidebar|side|rail|aside|widget|footer|foot|header|masthead|topbar|toolbar|share|sharing|social"
     r"|related|recommended|recommendations|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager"
     r"|search|skip|copyright|legal|disclaimer|tags|tagcloud|meta|byline)(?=$|[\s_\-\d])", re.I)
+#: Inside an article only these are frame for certain; differencing decides for elements with other frame words.
+CERTAIN_WORDS = re.compile(
+    r"(?:^|[\s_\-])(?:ads?|adverts?|advertisements?|adbox|adsense|sponsored|comments?|commentlist|disqus|navbar|breadcrumbs?"
+    r"|share[\s_\-]?(?:bar|buttons?|links?|icons?|tools)|(?:cookies?|consent|gdpr)[_\-](?:banner|notice|bar))(?=$|[\s_\-\d])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-ARTICLE, LOOSE, FRAMED = 2, 1, 0
+DOUBTFUL, ARTICLE, LOOSE, FRAMED = 3, 2, 1, 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -72,7 +78,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _place(tag: str, attributes: dict[str, str], inside: int, in_article: bool) -> int:
-    """Whether an element's text is article, loose or frame."""
+    """Whether an element's text is article, doubtful (in an article, under a frame word), loose or frame."""
     if inside == FRAMED:
         return FRAMED
     role = attributes.get("role", "").lower()
@@ -83,7 +89,9 @@ def _place(tag: str, attributes: dict[str, str], inside: int, in_article: bool)
         return FRAMED
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if tag not in {"html", "body", "article", "main"} and FRAME_WORDS.search(named):
-        return FRAMED
+        return DOUBTFUL if in_article and not CERTAIN_WORDS.search(named) else FRAMED
+    if inside == DOUBTFUL:
+        return DOUBTFUL
     if tag in {"article", "main"} or role in {"main", "article"} or attributes.get("itemprop", "") == "articleBody":
         return ARTICLE
     return inside
@@ -136,7 +144,7 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
                 elif stack[i][0] in WALLS:
                     break
         if tag not in VOID:
-            place = _place(tag, _attributes(m[3]) if m[3].strip() else {}, stack[-1][1], stack[-1][1] == ARTICLE)
+            place = _place(tag, _attributes(m[3]) if m[3].strip() else {}, stack[-1][1], stack[-1][1] in (ARTICLE, DOUBTFUL))
             if place != stack[-1][1]:
                 end_line()
             stack.append((tag, place))
@@ -177,7 +185,7 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 def main_text(lines: list[tuple[str, int]], other: list[int] | None, own: list[int]) -> tuple[str, int]:
     """The text that stays, and how many lines are shared with the other page's."""
     shared = common_lines(own, other) if other is not None else set()
-    kept = [t for i, (t, p) in enumerate(lines) if p == ARTICLE or p == LOOSE and i not in shared]
+    kept = [t for i, (t, p) in enumerate(lines) if p == ARTICLE or p != FRAMED and i not in shared]
     return "\n".join(kept), len(shared)
 
 

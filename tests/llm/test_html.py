@@ -92,3 +92,12 @@ def test_unshared_lines_outside_the_article_stay(spark):
     rows = [(i, f"https://a.example/{i}", page.format(i)) for i in range(5)]
     assert {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()} == {
         i: f"Title {i}\nteaser {i}\nbody {i}" for i in range(5)}
+
+
+def test_ambiguous_names_and_formulas_inside_an_article(spark):
+    page = """<article><div class="header">head {0}</div><section id="discussion"><p>talk {0}</p></section><h2 id="related-work">Work {0}</h2>
+    <div class="social">Follow us</div><p>x <math><mi>y</mi></math> z<object>o {0}</object></p><noscript>n {0}</noscript>
+    <div class="ad">no {0}</div><div class="comments">no {0}</div></article>"""
+    rows = [(i, f"https://a.example/{i}", page.format(i)) for i in range(5)]
+    assert {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()} == {
+        i: f"head {i}\ntalk {i}\nWork {i}\nx y zo {i}\nn {i}" for i in range(5)}
