@@ -12,6 +12,7 @@ from contingo.llm.quality import OP10_SQL, op10_quality_rules
 from contingo.llm.secrets import op9_secret_scan
 from contingo.llm.tokenfile import op7_token_id_files
 from contingo.llm.toxicity import op4_toxicity
+from contingo.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lattice_likelihood": op8_lattice_likelihood,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 ORACLES = {
     "op2_benchmark_decontamination": OP2_SQL,
