@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contingo.llm.bpe import op6_bpe_encode_decode
+from contingo.llm.centroids import OP12_SQL, op12_centroid_clustering
 from contingo.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from contingo.llm.html import op1_html_extraction
 from contingo.llm.jaccard import op3_ngram_jaccard_join
@@ -26,8 +27,10 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 ORACLES = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_centroid_clustering": OP12_SQL,
 }
