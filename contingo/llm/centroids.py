@@ -387,10 +387,10 @@ def _oracle(rounds: int = ROUNDS, k: int = CLUSTERS, size: int = SIZE) -> str:
     steps = ", ".join([nearest(0), *(f"{moved(i)}, {nearest(i)}" for i in range(1, rounds + 1))])
     last = f"a{rounds}"
     return f"""
-WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
-  WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-e AS MATERIALIZED (SELECT r, vec_id, dim, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM
-  (SELECT r, vec_id, unnest(embedding) AS x, unnest(range({size})) AS dim FROM v)),
+WITH u AS MATERIALIZED (SELECT r, vec_id, unnest(embedding) AS x, unnest(range({size})) AS dim FROM
+  (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {size})),
+v AS MATERIALIZED (SELECT r, vec_id FROM u GROUP BY r, vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+e AS MATERIALIZED (SELECT u.r, dim, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM u JOIN v USING (r)),
 s AS (SELECT r, row_number() OVER (ORDER BY sha256('{SALT}' || CAST(vec_id AS VARCHAR))) - 1 AS cluster
   FROM v WHERE vec_id IS NOT NULL),
 c0 AS MATERIALIZED (SELECT s.cluster, e.dim, e.x FROM s JOIN e USING (r) WHERE s.cluster < {k}),
