@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contingo.llm.bpe import op6_bpe_encode_decode
 from contingo.llm.centroids import OP12_SQL, op12_centroid_clustering
+from contingo.llm.chat import OP13_SQL, op13_chat_formatting
 from contingo.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from contingo.llm.html import op1_html_extraction
 from contingo.llm.jaccard import op3_ngram_jaccard_join
@@ -28,9 +29,11 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 ORACLES = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op10_quality_rules": OP10_SQL,
     "op12_centroid_clustering": OP12_SQL,
+    "op13_chat_formatting": OP13_SQL,
 }
