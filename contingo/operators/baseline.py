@@ -5,8 +5,13 @@ n pairs, once per seed in a driver loop.  Here both sides get dense indexes
 (i below T, j below D), and a seeded bijection of the T x D grid decides
 membership: a pair belongs to seed s's universe when its image's number
 i' * D + j' is below n.  A bijection sends exactly n pairs below n, so every
-universe has exactly n members, yet no pair is listed: only the cohort's own
-pairs are ever asked for, and seeds are a grouping column of one job.
+universe has exactly n members.  Two ways lead to them, without the grid:
+
+* ``member_bits`` asks for the pairs of a table: a pair's seeds come out as a
+  bit set, one row a pair, whatever the number of seeds;
+* ``listed_universe`` runs the rounds backwards from the images 0 .. n - 1 and
+  lists each seed's n pairs, observed or not, which is the cheaper way when n
+  is smaller than the table that asks.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from contingo.operators.counts import fill_two_by_two
 PRIMES = (2147483647, 2147483629, 2147483587)
 MULTIPLIERS = (48271, 40014, 69621)
 ROUNDS = 4
+#: Seeds in one word of a bit set.
+WORD = 62
 INDEX_BUCKETS = 1024
 
 
@@ -69,19 +76,77 @@ def sql_shuffled(source: str, i: str, j: str, size_i: str, size_j: str, seed: st
     return f"SELECT * EXCLUDE (_x, _y), _x * {size_j} + _y AS {out} FROM ({q})"
 
 
+def restored(df: DataFrame, image: str, size_i: Column, size_j: Column, seed: str, i: str, j: str) -> DataFrame:
+    """The inverse of ``shuffled``: the indexes (i, j) whose image has the number ``image``. Rounds backwards, each
+    residue taken off again."""
+    x, y = F.col(i), F.col(j)
+    rows = df.withColumns({i: F.floor(F.col(image) / size_j).cast("long"), j: F.pmod(F.col(image), size_j)})
+    for r in reversed(range(ROUNDS)):
+        rows = rows.withColumn(i, F.pmod(x - mixed(F.col(seed), 2 * r, y) % size_i, size_i)) if r % 2 == 0 else \
+            rows.withColumn(j, F.pmod(y - mixed(F.col(seed), 2 * r, x) % size_j, size_j))
+    return rows
+
+
+def _count(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
+def _indexes(left: DataFrame, right: DataFrame, pair_cols: Sequence[str]) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Dense indexes of both sides (columns _i and _j) and their sizes."""
+    a, b = pair_cols
+    sides = [t.select(F.col(t.columns[0]).alias(k)) for t, k in ((left, a), (right, b))]
+    sizes = [_count(t.where(F.col(k).isNotNull()).distinct()) for t, k in zip(sides, (a, b))]
+    return dense_index(sides[0], a, "_i"), dense_index(sides[1], b, "_j"), *sizes
+
+
+def member_bits(pairs: DataFrame, left: DataFrame, right: DataFrame, pair_cols: Sequence[str], n_seeds: int,
+                n: int | None = None) -> DataFrame:
+    """(pair, bits): for each distinct pair in a universe of some seed, the seeds as bits of an array of longs, WORD
+    seeds a word. n is the size of a universe, by default the number of distinct pairs.
+
+    The images of a pair under all seeds are made next to it and folded at once, so what is exchanged or joined is one
+    row a pair. They are folded without a filter: a filter on the image would be pushed into its own definition and
+    repeat the arithmetic of all rounds."""
+    observed = pairs.select(*pair_cols).distinct()
+    li, ri, size_i, size_j = _indexes(left, right, pair_cols)
+    size = F.lit(n) if n is not None else _count(observed)
+    # dealt by a stated number of partitions, which isn't coalesced: the pairs are small, their images are not
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeded = observed.join(li, pair_cols[0]).join(ri, pair_cols[1]).repartition(parts, *pair_cols) \
+        .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
+    image = shuffled(seeded, "_i", "_j", size_i, size_j, "seed", "_image")
+    words = range(0, n_seeds, WORD)
+    one = F.lit(1).cast("long")
+    folded = image.withColumn("_in", F.col("_image") < size).groupBy(*pair_cols).agg(*[
+        F.bit_or(F.when(F.col("_in") & F.col("seed").between(w, w + WORD - 1), F.call_function("shiftleft", one, F.col("seed") - w))
+                 .otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in words])
+    bits = F.array(*[F.col(f"_w{w}") for w in words])
+    return folded.select(*pair_cols, bits.alias("bits")).where(F.exists("bits", lambda w: w != 0))
+
+
+def seeds_of(bits: Column) -> Column:
+    """The seeds of a bit set, ascending."""
+    at = lambda s: F.get(bits, F.floor(s / WORD).cast("int"))
+    n = F.size(bits) * WORD
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda s: F.getbit(at(s), F.pmod(s, F.lit(WORD))) == 1)
+
+
 def baseline_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, pair_cols: Sequence[str],
                    n_seeds: int) -> DataFrame:
     """C7 + F2 + F3: (pair, seed) for the distinct observed pairs and the seeds whose universe of exactly n pairs
     holds them; n is the number of observed pairs, left and right the two entity tables (their first column)."""
-    a, b = pair_cols
-    observed = pairs.select(a, b).distinct()
-    size = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    li = dense_index(left.select(F.col(left.columns[0]).alias(a)), a, "_i")
-    ri = dense_index(right.select(F.col(right.columns[0]).alias(b)), b, "_j")
-    seeded = observed.join(li, a).join(ri, b).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
-    image = shuffled(seeded, "_i", "_j", size(left.select(left.columns[0]).distinct()),
-                     size(right.select(right.columns[0]).distinct()), "seed", "_image")
-    return image.where(F.col("_image") < size(observed)).select(a, b, "seed")
+    return member_bits(pairs, left, right, pair_cols, n_seeds) \
+        .select(*pair_cols, F.explode(seeds_of(F.col("bits"))).alias("seed"))
+
+
+def listed_universe(left: DataFrame, right: DataFrame, pair_cols: Sequence[str], n_seeds: int, n: int) -> DataFrame:
+    """(pair, seed): all n pairs of each seed's universe (no more than the grid has), found backwards from their
+    images. Rows are made where they are used, n a seed, and meet the two indexes; the grid is never made."""
+    li, ri, size_i, size_j = _indexes(left, right, pair_cols)
+    images = left.sparkSession.range(n * n_seeds).select(
+        (F.col("id") % n_seeds).cast("int").alias("seed"), F.floor(F.col("id") / n_seeds).cast("long").alias("_image"))
+    found = restored(images.where(F.col("_image") < size_i * size_j), "_image", size_i, size_j, "seed", "_i", "_j")
+    return found.join(li, "_i").join(ri, "_j").select(*pair_cols, "seed")
 
 
 def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence[str], prediction: str,
@@ -90,8 +155,9 @@ def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence
     """H4: one prediction against membership in each seed's universe, for all seeds (and strata) in one job.
 
     The pair is part of the id, so ids of different pairs differ and counts add up: ids are counted once per
-    (strata, pair, prediction), and only these counts meet the member seeds.  Totals and prediction totals
-    don't depend on the seed and stay outside that join.  One row for each (stratum, seed, prediction), a >= 1.
+    (strata, pair, prediction), and only these counts meet the members, (pair, bits) or (pair, seed).  Totals and
+    prediction totals don't depend on the seed and stay outside that join.  One row for each (stratum, seed,
+    prediction), a >= 1.
     """
     if not set(pair_cols) <= set(id_cols):
         raise ValueError("the pair must be part of the id")
@@ -104,7 +170,10 @@ def null_baseline(cohort: DataFrame, id_cols: Sequence[str], pair_cols: Sequence
     whole = Window.partitionBy(*st)
     totals = per_pair.groupBy(*st, "prediction").agg(F.sum("n").alias("predictionTotal")) \
         .withColumn("total", F.sum("predictionTotal").over(whole)).where(F.col("prediction").isNotNull())
-    seeded = per_pair.join(members, list(pair_cols)).groupBy(*st, "seed", "prediction").agg(F.sum("n").alias("a")) \
+    met = per_pair.join(members, list(pair_cols))
+    if "bits" in members.columns:
+        met = met.withColumn("seed", F.explode(seeds_of(F.col("bits"))))
+    seeded = met.groupBy(*st, "seed", "prediction").agg(F.sum("n").alias("a")) \
         .withColumn("comparisonTotal", F.sum("a").over(Window.partitionBy(*st, "seed")))
     out = seeded.join(totals, [*st, "prediction"]).select(
         *st, "seed", "prediction", F.lit(comparison_value).alias("comparison"),

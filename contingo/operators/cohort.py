@@ -8,12 +8,13 @@ instead of windows over the raw rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contingo.functions.columns import degree_bin, threshold_labels
+from contingo.operators.skew import HotKeys
 
 
 def ancestor_closure(nodes: DataFrame, id_col: str, ancestors_col: str,
@@ -125,30 +126,60 @@ def values_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
         F.array_sort(F.collect_set(F.col(value).cast("string"))).alias(out))
 
 
+def _flag_sets(rows: DataFrame, id_cols: Sequence[str], flags: dict[str, Column],
+               flag_values: dict[str, Sequence[str]]) -> DataFrame:
+    """One row for each id with the sorted distinct values of each flag. Flags whose possible values are given are
+    gathered as bits of one integer (a hash aggregate of fixed-width columns), others as sets."""
+    bits, masks = {}, []
+    for name in flags:
+        if name in flag_values and len(bits) + len(flag_values[name]) <= 62:
+            for v in sorted(flag_values[name]):
+                bits[name, v] = len(bits)
+                masks.append(F.when(flags[name] == v, F.lit(1 << bits[name, v]).cast("long")).otherwise(F.lit(0).cast("long")))
+    coded = {name for name, _v in bits}
+    mask = F.lit(0).cast("long")
+    for m in masks:
+        mask = mask.bitwiseOR(m)
+    rest = [n for n in flags if n not in coded]
+    gathered = rows.select(*id_cols, mask.alias("_mask"), *[flags[n].alias(n) for n in rest]).groupBy(*id_cols).agg(
+        F.bit_or("_mask").alias("_mask"), *[F.array_sort(F.collect_set(n)).alias(n) for n in rest])
+    opened = {n: F.filter(F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << b).cast("long")) != 0, F.lit(v))
+                                    for (m, v), b in bits.items() if m == n]), lambda v: v.isNotNull()) for n in coded}
+    return gathered.select(*id_cols, *[opened[n].alias(n) if n in opened else F.col(n) for n in flags])
+
+
 def assemble_cohort(evidence: DataFrame, id_cols: Sequence[str], features: Sequence[tuple[DataFrame, Sequence[str]]], *,
                     where: Column | None = None, nested: str | None = None,
-                    captured: dict[str, Column] | None = None, flags: dict[str, Column] | None = None,
-                    one_row: bool = False, id_out: str = "id") -> DataFrame:
+                    captured: dict[str, tuple[Callable[[Column], Column], str]] | None = None, flags: dict[str, Column] | None = None,
+                    flag_values: dict[str, Sequence[str]] | None = None, one_row: bool = False, id_out: str = "id",
+                    hot: HotKeys | None = None) -> DataFrame:
     """From evidence to the cohort.
 
-    The source filter ``where`` applies first; ``nested`` (an array of structs) becomes rows; ``captured`` are
-    identifiers taken out of texts, rows without any are dropped; ``flags`` are derived columns.  Repeated rows
-    collapse, the entity gets its ``xxhash64`` id (B20), and each feature table is joined from the left on its
-    keys.  A feature with several rows for a key multiplies the rows, so entities are counted by id afterwards.
-    With ``one_row`` an entity's flags are gathered into arrays of their distinct values instead (as many as there
-    are flag values); together with features that have one row for a key each entity then has one row.
+    The source filter ``where`` applies first. ``captured`` are identifiers, each a text taken out of an element of
+    the array column ``nested`` and its type; an element becomes a row if none is null or empty. ``flags`` are derived
+    columns. Repeated rows collapse, the entity gets its ``xxhash64`` id (B20), and each feature table is joined from
+    the left on its keys.  A feature with several rows for a key multiplies the rows, so entities are counted by id
+    afterwards. With ``one_row`` an entity's flags are gathered into arrays of their distinct values instead (as many
+    as there are flag values; ``flag_values`` names all values that a flag can have); together with features that
+    have one row for a key each entity then has one row. With ``hot`` the joins on those keys split heavy keys.
     """
     rows = evidence if where is None else evidence.where(where)
-    if nested:
-        rows = rows.select(*[c for c in rows.columns if c != nested], F.inline(nested))
-    for name, value in (captured or {}).items():
-        rows = rows.withColumn(name, value).where(F.col(name).isNotNull())
-    rows = rows.withColumns(flags or {}).select(*id_cols, *(flags or {}))
-    rows = rows.groupBy(*id_cols).agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in flags]) if one_row and flags \
-        else rows.distinct()
+    if nested and captured:
+        # outer, so that no filter on the array is inferred, which would capture everything a second time
+        found = F.transform(nested, lambda e: F.struct(*[f(e).alias(n) for n, (f, _t) in captured.items()]))
+        rows = rows.select(*[c for c in rows.columns if c not in (nested, *captured)], F.inline_outer(found))
+        for name in captured:
+            rows = rows.where(F.col(name) != "")
+        rows = rows.withColumns({n: F.col(n).cast(t) for n, (_f, t) in captured.items()})
+    flags = flags or {}
+    if one_row and flags:
+        rows = _flag_sets(rows, id_cols, flags, flag_values or {})
+    else:
+        rows = rows.withColumns(flags).select(*id_cols, *flags).distinct()
     rows = rows.withColumn(id_out, F.xxhash64(*id_cols))
     for table, keys in features:
-        rows = rows.join(table, list(keys), "left")
+        rows = hot.join(rows, table, list(keys)) if hot is not None and list(keys) == hot.keys else \
+            rows.join(table, list(keys), "left")
     return rows
 
 

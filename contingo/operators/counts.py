@@ -1,20 +1,16 @@
 """Distinct-entity contingency counts.
 
-The reference runs one job per (comparison, prediction) pair: three
-``countDistinct`` aggregates re-joined to the *rows*, then ``distinct``.
-Here every pair, every marginal and the total come out of ONE pass:
-
-* each cohort row emits small "events": one per non-null comparison value,
-  one per non-null prediction value, one per (comparison, prediction) pair
-  and one for the total (the cross of two short arrays, see below);
-* ``distinct`` on (stratum, id, event) removes the fan-out of repeated rows
-  map-side (partial aggregation), so a hot entity or a hot category never
-  ships more than one row per distinct event per task;
-* one ``groupBy(stratum, event).count()`` gives every count at once; it is
-  partially aggregated, so a category holding a third of all rows costs one
-  row per map task in the shuffle;
-* marginals and totals are attached to the pair rows by windows over the
-  tiny count table, so nothing upstream is computed twice.
+Every pair, every marginal and the total come out of ONE pass over the cohort:
+
+* with one row for each entity (``contingency_sweep_by_id``) a row's prediction
+  values and strata are one tuple; rows are exploded by their comparison values
+  only and counted map-side by (comparison, tuple), and tuples are opened on
+  the table of counts, which is as small as the categories are few;
+* where entities repeat (``contingency_sweep``) each row's (comparison,
+  prediction) events are made distinct per entity and then counted;
+* marginals and totals come from windows over the table of counts, keyed by
+  comparison column, so nothing upstream is computed twice and nothing is
+  gathered in one partition.
 """
 
 from __future__ import annotations
@@ -30,6 +26,7 @@ Spec = tuple[str, str]  # (column name, type label)
 OUTPUT_COLUMNS = ["prediction", "comparison", "comparisonType", "predictionType", "a",
                   "predictionTotal", "comparisonTotal", "total", "b", "c", "d"]
 
+
 def _type_map(specs: Sequence[Spec]) -> Column:
     return F.create_map(*[x for i, (_c, t) in enumerate(specs) for x in (F.lit(i), F.lit(t))])
 
@@ -89,18 +86,19 @@ def contingency_sweep(df: DataFrame, id_cols: Sequence[str], comparisons: Sequen
 
 def _two_by_two(counts: DataFrame, st: list[str], comparisons: Sequence[Spec], predictions: Sequence[Spec]) -> DataFrame:
     """Pair rows with their marginals and totals from the table of event counts."""
-    # Marginals and totals are attached with windows over the small count
-    # table (one row per category value or pair), so the one lineage above is
-    # computed once; a split-and-join would let filters slide below the
-    # aggregate and recompute the whole pass per branch.
-    n, ck, pk = F.col("n"), F.col("ck"), F.col("pk")
+    # Marginals and totals are windows over the table of counts (one row a category value or pair): a split and join
+    # would let filters slide below the aggregate, and the pass would run once for each branch. Counts without a
+    # comparison are repeated for each comparison column, so every window has that column in its key.
+    n, ck, cv, pk = F.col("n"), F.col("ck"), F.col("cv"), F.col("pk")
+    every = F.array(*[F.lit(i) for i in range(len(comparisons))])
     out = (counts
+           .withColumn("ck", F.explode(F.when(ck.isNull(), every).otherwise(F.array(ck))))
+           .withColumn("total", F.max(F.when(cv.isNull() & pk.isNull(), n)).over(Window.partitionBy(*st, "ck")))
            .withColumn("comparisonTotal", F.max(F.when(pk.isNull(), n)).over(
                Window.partitionBy(*st, "ck", "cv")))
-           .withColumn("predictionTotal", F.max(F.when(ck.isNull(), n)).over(
-               Window.partitionBy(*st, "pk", "pv")))
-           .withColumn("total", F.max(F.when(ck.isNull() & pk.isNull(), n)).over(Window.partitionBy(*st)))
-           .where(ck.isNotNull() & pk.isNotNull())
+           .withColumn("predictionTotal", F.max(F.when(cv.isNull(), n)).over(
+               Window.partitionBy(*st, "ck", "pk", "pv")))
+           .where(cv.isNotNull() & pk.isNotNull())
            .withColumnRenamed("n", "a"))
     out = out.select(
         *st,
@@ -112,41 +110,43 @@ def _two_by_two(counts: DataFrame, st: list[str], comparisons: Sequence[Spec], p
 
 
 def _entries(specs: Sequence[Spec], df: DataFrame) -> Column:
-    """(k, v) of the row's non-null values, one for each distinct value of an array column, after a marker."""
-    parts = [F.array(F.struct(F.lit(-1).alias("k"), F.lit(None).cast("string").alias("v")))]
+    """(k, v) of the row's non-null values, one for each distinct value of an array column."""
+    parts = []
     for i, (c, _t) in enumerate(specs):
         many = isinstance(df.schema[c].dataType, T.ArrayType)
         values = F.array_distinct(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>"))) if many \
             else F.array(F.col(c).cast("string"))
         parts.append(_keyed(values, i))
-    return F.filter(F.concat(*parts), lambda e: (e["k"] < 0) | e["v"].isNotNull())
+    return F.filter(F.concat(*parts), lambda e: e["v"].isNotNull())
 
 
 def _keyed(values: Column, k: int) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
 
 
+def _with_none(entries: Column) -> Column:
+    """The entries after one that stands for none (null k and v)."""
+    none = F.struct(F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("v"))
+    return F.concat(F.array(none), entries)
+
+
 def contingency_sweep_by_id(df: DataFrame, comparisons: Sequence[Spec], predictions: Sequence[Spec],
                             strata: Column | None = None, stratum_col: str = "stratum") -> DataFrame:
     """The sweep over a frame with ONE row for each entity, multi-valued categories as array columns.
 
-    An entity's values then form a full product of its comparison and prediction values, so no event is ever
-    shipped or deduplicated: each row's events are counted map-side and only counts are shuffled.  Rows of
-    the same list of strata are counted together; the lists are opened on the count table.
+    An entity's values form a full product of its comparison and prediction values. Its prediction values and list
+    of strata are one tuple, and the tuples that occur are few: a row is an event for each of its comparison values
+    and one for none, counted map-side by (comparison, tuple), and the tuples are opened on the counts.
     """
     st = [stratum_col] if strata is not None else []
-    keyed = df.select(*([strata.alias(stratum_col)] if st else []), _entries(comparisons, df).alias("_c"),
-                      _entries(predictions, df).alias("_p"))
-    events = keyed.select(*st, F.explode("_c").alias("_c"), "_p").select(*st, "_c", F.explode("_p").alias("_p"))
-
-    def real(side: str) -> Column:
-        return F.when(F.col(f"{side}.k") >= 0, F.col(f"{side}.k"))
-
-    keys = st + ["ck", "cv", "pk", "pv"]
-    counts = events.select(*st, real("_c").alias("ck"), F.col("_c.v").alias("cv"), real("_p").alias("pk"),
-                           F.col("_p.v").alias("pv")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if st:
-        counts = counts.withColumn(stratum_col, F.explode(stratum_col)).groupBy(*keys).agg(F.sum("n").alias("n"))
+    listed = strata if strata is not None else F.lit(None).cast("array<string>")
+    keyed = df.select(F.struct(listed.alias("s"), _entries(predictions, df).alias("p")).alias("t"),
+                      _with_none(_entries(comparisons, df)).alias("_c"))
+    counted = keyed.select("t", F.explode("_c").alias("_c")) \
+        .groupBy(F.col("_c.k").alias("ck"), F.col("_c.v").alias("cv"), "t").agg(F.count(F.lit(1)).alias("n"))
+    opened = counted.select("ck", "cv", "n", *([F.explode("t.s").alias(stratum_col)] if st else []),
+                            F.col("t.p").alias("_p")).select("ck", "cv", "n", *st, F.explode(_with_none(F.col("_p"))).alias("_p"))
+    counts = opened.groupBy(*st, "ck", "cv", F.col("_p.k").alias("pk"), F.col("_p.v").alias("pv")).agg(F.sum("n").alias("n"))
     return _two_by_two(counts, st, comparisons, predictions)
 
 

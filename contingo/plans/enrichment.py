@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.functions.columns import (at_least_labels, collapse_to_default, extract_group, keep_if_in, label_if_in,
-                                        left_closed_bins, two_sided_bin)
-from contingo.operators.baseline import baseline_pairs, null_baseline, sql_shuffled
+from contingo.functions.columns import (at_least_labels, collapse_to_default, keep_if_in, label_if_in, left_closed_bins,
+                                        two_sided_bin)
+from contingo.operators.baseline import baseline_pairs, listed_universe, member_bits, null_baseline, sql_shuffled
 from contingo.operators.cohort import (ancestor_closure, assemble_cohort, best_category, max_score_tiers,
                                        neighbour_degree, propagate, values_per_key)
 from contingo.operators.counts import (OUTPUT_COLUMNS, contingency_counts, contingency_sweep, contingency_sweep_by_id,
@@ -112,8 +112,11 @@ def part_flags(spark, d) -> DataFrame:
     return tbl(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("returnFlags")).distinct()
 
 
-def part_years(spark, d) -> DataFrame:
-    return tbl(spark, d, "lineitem").select("l_partkey", F.year("l_shipdate").cast("string").alias("shipYears")).distinct()
+def part_line_values(spark, d) -> DataFrame:
+    """The return flags and ship years of a part's lines as lists, from one scan."""
+    seen = tbl(spark, d, "lineitem").select("l_partkey", "l_returnflag", F.year("l_shipdate").cast("string").alias("year"))
+    return seen.distinct().groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("returnFlags"),
+                                                    F.array_sort(F.collect_set("year")).alias("shipYears"))
 
 
 def supplier_nations(spark, d) -> DataFrame:
@@ -122,8 +125,7 @@ def supplier_nations(spark, d) -> DataFrame:
 
 
 def order_predictions(spark, d) -> DataFrame:
-    """Every eleventh order has no prediction, so that the join has unmatched rows."""
-    return tbl(spark, d, "orders").where(F.col("o_orderkey") % 11 != 0).select(
+    return tbl(spark, d, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("reason"),
         collapse_to_default("o_orderpriority", KEEP_REASONS, "Neutral").alias("metareason"), "o_custkey")
 
@@ -137,10 +139,11 @@ def evidence(spark, d) -> DataFrame:
         F.array(link("order", "orders/O", "l_orderkey"), link("part", "parts/P", "l_partkey")).alias("links"))
 
 
-def _assembled(spark, d, features, one_row: bool = False) -> DataFrame:
+def _assembled(spark, d, features, one_row: bool = False, hot=None) -> DataFrame:
     positions = at_least_labels("l_linenumber", [(op, bound, label) for _n, op, bound, label in LINE_RULES])
     flags = {"doneStatus": keep_if_in("l_linestatus", DONE), "isDone": label_if_in("l_linestatus", DONE, "finished")}
     flags |= {name: c for (name, _o, _b, _l), c in zip(LINE_RULES, positions)}
+    values = {"doneStatus": DONE, "isDone": ["finished"], **{name: [label] for name, _o, _b, label in LINE_RULES}}
     best = customer_best_priority(spark, d).select("o_custkey", "prioLabel", "prioLabelSimple")
     out = assemble_cohort(
         evidence(spark, d), ID,
@@ -148,20 +151,20 @@ def _assembled(spark, d, features, one_row: bool = False) -> DataFrame:
          (best, ["o_custkey"]), (part_features(spark, d), ["l_partkey"]), (part_partners(spark, d), ["l_partkey"]),
          (supplier_nations(spark, d), ["l_suppkey"]), *features],
         where=F.col("l_quantity") > 0, nested="links",
-        captured={"l_orderkey": extract_group("url", "/orders/O([0-9]+)$", 1).cast("long")}, flags=flags,
-        one_row=one_row)
+        captured={"l_orderkey": (lambda link: F.regexp_extract(link["url"], "/orders/O([0-9]+)$", 1), "long")},
+        flags=flags, flag_values=values, one_row=one_row, hot=hot)
     return out.withColumn("partnersBin", F.coalesce(F.col("partnersBin"), F.lit("none")))
 
 
-def build_cohort(spark: SparkSession, d: str) -> DataFrame:
+def build_cohort(spark: SparkSession, d: str, hot=None) -> DataFrame:
     """C3, row form: seven left joins, the last with several rows for a key, so rows multiply."""
-    return _assembled(spark, d, [(part_flags(spark, d), ["l_partkey"])])
+    return _assembled(spark, d, [(part_flags(spark, d), ["l_partkey"])], hot=hot)
 
 
 def build_entities(spark: SparkSession, d: str) -> DataFrame:
     """C3, one row for each entity: multi-valued features as arrays."""
-    many = [(values_per_key(f(spark, d), ["l_partkey"], c, c), ["l_partkey"])
-            for f, c in ((brand_nodes, "brandNodes"), (part_flags, "returnFlags"), (part_years, "shipYears"))]
+    many = [(values_per_key(brand_nodes(spark, d), ["l_partkey"], "brandNodes", "brandNodes"), ["l_partkey"]),
+            (part_line_values(spark, d), ["l_partkey"])]
     return _assembled(spark, d, many, one_row=True)
 
 
@@ -197,7 +200,7 @@ preds AS (
   SELECT o_orderkey AS l_orderkey, o_orderpriority AS reason,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'Neutral' END AS metareason,
     o_custkey
-  FROM orders WHERE o_orderkey % 11 <> 0),
+  FROM orders),
 tiers AS (
   SELECT l_partkey, l_suppkey,
     CASE WHEN max(l_discount) > 0.08 THEN 'disc_0.08' END AS disc_008,
@@ -434,10 +437,14 @@ def q_reason_by_phase(spark, d):
 
 # --------------------------------------------------------------------------- baseline
 
-def _baseline_inputs(spark, d):
-    cohort = _assembled(spark, d, [])
-    left, right = tbl(spark, d, "part").select("p_partkey"), tbl(spark, d, "supplier").select("s_suppkey")
-    return cohort, baseline_pairs(tbl(spark, d, "lineitem"), left, right, ["l_partkey", "l_suppkey"], N_SEEDS)
+PAIR = ["l_partkey", "l_suppkey"]
+LISTED_SEEDS = 10
+
+
+def _universe(spark, d):
+    """Observed pairs and the two entity tables."""
+    return (tbl(spark, d, "lineitem").select(*PAIR), tbl(spark, d, "part").select("p_partkey"),
+            tbl(spark, d, "supplier").select("s_suppkey"))
 
 
 _SQL_INDEX = "SELECT {k}, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT % 1024, {k}) - 1 AS {i} FROM {t}"
@@ -459,11 +466,27 @@ FROM members GROUP BY seed""")
 def q_universe_sample(spark, d):
     """C7 + F2 + F3: the seeded universes of exactly n pairs, restricted to observed pairs and summarised per seed
     (size and key sums pin the member set)."""
-    m = _baseline_inputs(spark, d)[1]
+    m = baseline_pairs(*_universe(spark, d), PAIR, N_SEEDS)
     return m.groupBy("seed").agg(F.count(F.lit(1)).alias("n_members"), F.sum("l_partkey").alias("sum_partkey"),
                                  F.sum("l_suppkey").alias("sum_suppkey"))
 
 
+@query("universe_listed", f"""WITH {SQL_MEMBERS.split('seeded AS')[0].rstrip().rstrip(',')},
+grid AS (SELECT p_partkey AS l_partkey, s_suppkey AS l_suppkey, i, j, s AS seed, n, t, u
+         FROM li, ri, (SELECT unnest(range(0, {LISTED_SEEDS}))::INTEGER AS s) x, sizes),
+members AS (SELECT l_partkey, l_suppkey, seed FROM ({sql_shuffled('grid', 'i', 'j', 't', 'u', 'seed', 'image')}) WHERE image < n)
+SELECT seed, count(*) AS n_members, CAST(sum(l_partkey) AS BIGINT) AS sum_partkey, CAST(sum(l_suppkey) AS BIGINT) AS sum_suppkey,
+  CAST(sum(l_partkey * l_suppkey) AS BIGINT) AS sum_product
+FROM members GROUP BY seed""")
+def q_universe_listed(spark, d):
+    """F2 + F3: each seed's universe listed pair by pair, backwards from the images; the oracle shuffles the grid."""
+    pairs, left, right = _universe(spark, d)
+    m = listed_universe(left, right, PAIR, LISTED_SEEDS, pairs.distinct().count())
+    return m.groupBy("seed").agg(F.count(F.lit(1)).alias("n_members"), F.sum("l_partkey").alias("sum_partkey"),
+                                 F.sum("l_suppkey").alias("sum_suppkey"),
+                                 F.sum(F.col("l_partkey") * F.col("l_suppkey")).alias("sum_product"))
+
+
 BASELINE_COLS = ["stratum", "seed"] + STAT_COLS
 SQL_BASELINE_COUNTS = f"""{SQL_COHORT_CTES}, {SQL_STRATA}, {SQL_MEMBERS},
 mc AS (SELECT e.stratum, e.id, e.reason, m.seed FROM entities_s e
@@ -480,8 +503,8 @@ counts AS (
 
 
 def _baseline_counts(spark, d):
-    cohort, members = _baseline_inputs(spark, d)
-    return null_baseline(cohort, ID, ["l_partkey", "l_suppkey"], "reason", "reason", members, strata=strata_column())
+    members = member_bits(*_universe(spark, d), PAIR, N_SEEDS)
+    return null_baseline(_assembled(spark, d, []), ID, PAIR, "reason", "reason", members, strata=strata_column())
 
 
 @query("null_baseline", f"""WITH {SQL_BASELINE_COUNTS},

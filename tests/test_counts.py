@@ -115,6 +115,28 @@ def test_bijection_matches_its_sql_twin(spark):
     assert got == {r[:3]: r[3] for r in want}
 
 
+def test_inverse_undoes_the_bijection(spark):
+    from contingo.operators.baseline import restored, shuffled
+    grid = spark.range(7 * 11 * 5).select((F.col("id") % 7).alias("i"), (F.floor(F.col("id") / 7) % 11).alias("j"),
+                                          F.floor(F.col("id") / 77).cast("int").alias("seed"))
+    there = shuffled(grid, "i", "j", F.lit(7), F.lit(11), "seed", "image")
+    back = restored(there, "image", F.lit(7), F.lit(11), "seed", "x", "y").collect()
+    assert len(back) == 385 and all((r["i"], r["j"]) == (r["x"], r["y"]) for r in back)
+
+
+def test_listed_universe_and_bits_agree_with_the_grid(spark):
+    from contingo.operators.baseline import listed_universe, member_bits, seeds_of
+    left = spark.createDataFrame([(k,) for k in [3, 5, 8, 13, 21, None]], "e long")
+    right = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "f string")
+    grid = left.dropna().crossJoin(right.distinct()).toDF("t", "d")
+    for n in (0, 1, 6, 15):
+        listed = sorted(tuple(r) for r in listed_universe(left, right, ["t", "d"], 70, n).collect())
+        bits = member_bits(grid, left, right, ["t", "d"], 70, n=n)
+        asked = sorted(tuple(r) for r in bits.select("t", "d", F.explode(seeds_of(F.col("bits")))).collect())
+        assert listed == asked and len(listed) == 70 * n
+    assert len(listed_universe(left, right, ["t", "d"], 3, 40).collect()) == 3 * 15       # no more than the grid has
+
+
 def test_dense_index_has_no_gaps(spark):
     from contingo.operators.baseline import dense_index
     df = spark.createDataFrame([(k,) for k in [5, 5, 9, 100, None, 7, 1000003]], "k long")
