@@ -9,6 +9,7 @@ all others are split by comparing the character classes of neighbours.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 import unicodedata
@@ -79,19 +80,47 @@ class Words:
         starts = ends - lens
         keys = np.concatenate([hash_spans(self.buf, starts[i:i + HASH_AT_ONCE], ends[i:i + HASH_AT_ONCE])
                                for i in range(0, max(len(lens), 1), HASH_AT_ONCE)])
+        self._group(keys, starts, lens)
+        if len(lens) and not self._same(starts, lens):
+            self._group(self._exact(starts, lens), starts, lens)
+        self.checks = np.zeros(0, dtype=np.uint64) if not len(self.keys) else self._checks()
+
+    def _group(self, keys: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
         self.index, self.keys = pd.factorize(keys)
         first = np.empty(len(self.keys), dtype=np.int64)
         first[self.index[::-1]] = np.arange(len(keys) - 1, -1, -1)
-        self.first_start, self.first_end = starts[first], ends[first]
-        if len(lens) and not self._same(starts, lens):
-            raise ValueError("two different words share a 64-bit hash")
+        self.first_start, self.first_end = starts[first], starts[first] + lens[first]
 
     def _same(self, starts: np.ndarray, lens: np.ndarray) -> bool:
-        """Each word has its representative's length and first and last byte."""
+        """Whether each word is its representative, byte by byte (some words at a time)."""
         rep = self.first_start[self.index]
-        return bool(np.array_equal(lens, (self.first_end - self.first_start)[self.index])
-                    and np.array_equal(self.buf[starts], self.buf[rep])
-                    and np.array_equal(self.buf[starts + lens - 1], self.buf[rep + lens - 1]))
+        if not np.array_equal(lens, (self.first_end - self.first_start)[self.index]):
+            return False
+        other = np.flatnonzero(rep != starts)
+        for i in range(0, len(other), HASH_AT_ONCE):
+            part = other[i:i + HASH_AT_ONCE]
+            if not np.array_equal(self.buf[ragged(starts[part], lens[part])], self.buf[ragged(rep[part], lens[part])]):
+                return False
+        return True
+
+    def _exact(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Keys by the words themselves, for a batch in which two words share a hash."""
+        data, seen = self.buf.tobytes(), {}
+        number = [seen.setdefault(data[a:a + n], len(seen)) for a, n in zip(starts.tolist(), lens.tolist())]
+        keys = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in seen], dtype=np.uint64)
+        while len(np.unique(keys)) < len(keys):
+            again = np.setdiff1d(np.arange(len(keys)), np.unique(keys, return_index=True)[1])
+            keys[again] += np.uint64(1)
+        return keys[np.array(number, dtype=np.int64)]
+
+    def _checks(self) -> np.ndarray:
+        """A second, independent hash of each distinct word."""
+        order = np.argsort(self.first_start, kind="stable")
+        out = np.empty(len(order), dtype=np.uint64)
+        for i in range(0, len(order), HASH_AT_ONCE):
+            part = order[i:i + HASH_AT_ONCE]
+            out[part] = hash_spans(self.buf, self.first_start[part], self.first_end[part], seed=5)
+        return out
 
     @staticmethod
     def _slow(text: str, split) -> list[str]:
@@ -118,7 +147,8 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class IdCache:
-    """Ids of words already encoded, by word hash; emptied when it holds more than ``most`` words.
+    """Ids of words already encoded, by two word hashes; emptied when it holds more than ``most`` words or two words
+    share the first one.
     ``specials`` are words with an id of their own."""
 
     def __init__(self, encode, specials: dict[bytes, int], most: int = 400_000):
@@ -127,6 +157,7 @@ class IdCache:
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
+        self.checks = np.zeros(0, dtype=np.uint64)
         self.start = np.zeros(0, dtype=np.int64)
         self.len = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
@@ -143,9 +174,12 @@ class IdCache:
         """Start and length, in ``flat``, of the ids of each distinct word."""
         at = np.searchsorted(self.keys, words.keys)
         known = np.zeros(len(words), dtype=bool)
+        other = False
         if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == words.keys
-        if len(self.keys) + int((~known).sum()) > self.most and len(self.keys):
+            at = np.minimum(at, len(self.keys) - 1)
+            known = self.keys[at] == words.keys
+            other = bool((known & (self.checks[at] != words.checks)).any())
+        if len(self.keys) and (other or len(self.keys) + int((~known).sum()) > self.most):
             self._empty()
             known[:] = False
         new = np.flatnonzero(~known)
@@ -154,8 +188,9 @@ class IdCache:
             keys = np.concatenate([self.keys, words.keys[new]])
             start = np.concatenate([self.start, len(self.flat) + np.cumsum(lens) - lens])
             every = np.concatenate([self.len, lens])
+            checks = np.concatenate([self.checks, words.checks[new]])
             order = np.argsort(keys, kind="stable")
-            self.keys, self.start, self.len = keys[order], start[order], every[order]
+            self.keys, self.checks, self.start, self.len = keys[order], checks[order], start[order], every[order]
             self.flat = np.concatenate([self.flat, flat])
         at = np.searchsorted(self.keys, words.keys)
         return self.start[at], self.len[at]

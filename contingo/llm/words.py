@@ -8,6 +8,8 @@ A null text has no words.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,13 +21,13 @@ ALNUM = bytes(b if b in range(48, 58) or b in range(97, 123) or b > 127 else b +
 #: The white space of the word definition.
 SPACES = b" \t\n\x0b\x0c\r"
 
-_BASE = 0x9E3779B97F4A7C15
 _K = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3],
               dtype=np.uint64)
-_pow = np.ones(1, dtype=np.uint64)
-#: Bytes hashed at once; longer texts go chunk by chunk.
+#: Words hashed at once; longer texts go chunk by chunk.
 CHUNK_WORDS = 1 << 17
+#: Longer spans are hashed one by one.
+LONG_SPAN = 1 << 10
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
@@ -54,26 +56,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> np.ndarray:
-    global _pow
-    if len(_pow) < n:
-        p = np.full(max(n, 64), _BASE, dtype=np.uint64)
-        p[0] = 1
-        _pow = np.multiply.accumulate(p)
-    return _pow
-
-
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each non-empty byte span of buf; spans ascend and don't overlap."""
-    if not len(starts):
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of buf; spans ascend and don't overlap. Eight bytes at a time go into a state that is
+    scrambled before the next ones, so no sum or difference of bytes is kept by it; other seeds give independent
+    hashes."""
+    n = len(starts)
+    if not n:
         return np.zeros(0, dtype=np.uint64)
-    lens = ends - starts
-    total = int(lens.sum())
-    first = np.cumsum(lens) - lens
-    at = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    values = _powers(int(lens.max()))[at]
-    values *= buf[at + np.repeat(starts, lens)].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(values, first) + lens.astype(np.uint64) * _K[0])
+    base, lens = int(starts[0]), ends - starts
+    region = np.concatenate([buf[base:int(ends[-1])], np.zeros(8, dtype=np.uint8)])
+    blocks = np.ndarray(len(region) - 7, dtype="<u8", buffer=region, strides=(1,))
+    state = mix(lens.astype(np.uint64) * _K[seed % len(_K)] + _K[(seed + 3) % len(_K)])
+    at, left = starts - base, lens.copy()
+    for i in np.flatnonzero(lens > LONG_SPAN):
+        whole = hashlib.blake2b(region[at[i]:at[i] + lens[i]].tobytes(), digest_size=8, salt=bytes([seed]))
+        state[i], left[i] = int.from_bytes(whole.digest(), "little"), 0
+    rows = np.flatnonzero(left > 0)
+    while len(rows):
+        tail = np.minimum(left[rows], 8)
+        block = blocks[at[rows]] << (8 * (8 - tail)).astype(np.uint64)
+        state[rows] = mix((state[rows] ^ block) * _K[(seed + 1) % len(_K)])
+        at[rows] += 8
+        left[rows] -= 8
+        rows = rows[left[rows] > 0]
+    return state
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
