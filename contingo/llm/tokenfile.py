@@ -41,6 +41,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 8 << 20
 #: Bytes of frames after which a block ends.
 BLOCK_BYTES = 1 << 18
+#: Words given to the tokenizers library in one call.
+AT_ONCE = 1000
 NULL_ID = np.iinfo(np.int64).min
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("n_ids", "<i8")])
 
@@ -55,9 +57,13 @@ def _library(content: bytes) -> tuple[IdCache, int]:
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lens = np.array([len(x) for x in found], dtype=np.int64)
-        return np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lens.sum())), lens
+        flat, lens = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(words), AT_ONCE):          # one encoding for many words, which stay apart
+            part = [w.decode() for w in words[i:i + AT_ONCE]]
+            found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(found.ids, dtype=np.uint32))
+            lens.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+        return np.concatenate(flat), np.concatenate(lens)
 
     return IdCache(encode, {s.encode(): i for s, i in specials.items()}), tokenizer.get_vocab_size()
 
