@@ -32,7 +32,7 @@ class HotKeys:
         key = self.keys[0]
         kept = max(1, int(1 / self.share))
         sketch = self.frame.where(F.col(key).isNotNull()).agg(
-            F.approx_top_k(key, F.lit(kept), F.lit(min(1_000_000, max(64, 16 * kept)))).alias("top"),
+            F.expr(f"approx_top_k(`{key}`, {kept}, {min(1_000_000, max(64, 16 * kept))})").alias("top"),
             F.count(F.lit(1)).alias("n"))
         often = F.filter("top", lambda e: e["count"] >= F.col("n") * self.share)
         return sketch.select(F.transform(often, lambda e: e["item"]).alias("heavy")).scalar()

@@ -122,3 +122,47 @@ def test_tolerance_grows_with_the_tables(spark):
     cells = 250_000_000
     df = spark.createDataFrame([(cells, cells, cells, cells)], "a long, b long, c long, d long")
     assert with_fisher_and_or(df).collect()[0]["pvalue"] == pytest.approx(1.0, abs=1e-9)
+
+
+def test_fisher_of_very_large_tables(spark):
+    """Ten tables of 10^10 entities, against the normal tail with continuity correction."""
+    n, r1, c1 = 10 ** 10, 3 * 10 ** 9, 4 * 10 ** 9
+    mean, sd = r1 * c1 / n, math.sqrt(r1 * c1 * (n - r1) * (n - c1) / n ** 2 / (n - 1))
+    cells = []
+    for z in (0.01, 0.5, 1, 2, 3, 4, 5, -1, -2, -4):
+        a = round(mean + z * sd)
+        cells.append((a, r1 - a, c1 - a, n - r1 - c1 + a))
+    got = {r["a"]: r["pvalue"] for r in fisher_exact_pvalues(spark.createDataFrame(cells, "a long, b long, c long, d long")).collect()}
+    for a, *_ in cells:
+        want = math.erfc((abs(a - mean) - 0.5) / sd / math.sqrt(2))
+        assert got[a] == pytest.approx(want, rel=1e-2)         # beside the mode everything within the tolerance is a tie
+
+
+def test_fisher_random_tables(spark):
+    import random
+    r = random.Random(5)
+    cells = list({tuple(int(r.expovariate(1 / s)) for _ in range(4)) for s in (1, 3, 20, 300) for _ in range(60)} - {(0, 0, 0, 0)})
+    got = {(x["a"], x["b"], x["c"], x["d"]): x["pvalue"]
+           for x in fisher_exact_pvalues(spark.createDataFrame(cells, "a long, b long, c long, d long")).collect()}
+    for c in cells:
+        assert got[c] == pytest.approx(brute_fisher(*c), rel=1e-9, abs=1e-300), c
+
+
+def test_bh_of_large_families_equals_the_window_form(spark):
+    import random
+    from contingo.operators.stats import bh_adjust_large
+    r = random.Random(9)
+    rows = [(r.choice(["f", "g", None]), r.choice([None, 1.0, 1.0, 0.5, 0.05, r.random(), r.random() ** 4]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "fam string, pvalue double, i int")
+    want = {x["i"]: x["pvalue_corrected"] for x in bh_adjust(df, group_cols=["fam"]).collect()}
+    out = bh_adjust_large(df, group_cols=["fam"], partitions=7)
+    got = {x["i"]: x["pvalue_corrected"] for x in out.collect()}
+    assert set(got) == set(want) and out.columns == ["fam", "pvalue", "i", "pvalue_corrected"]
+    for i, q in want.items():
+        p = next(x[1] for x in rows if x[2] == i)
+        assert (got[i] is None) if p is None else got[i] == pytest.approx(q, rel=1e-12)
+    one = {x["i"]: x["pvalue_corrected"] for x in bh_adjust_large(df, partitions=5).collect()}
+    ps = [x[1] for x in rows if x[1] is not None]
+    for x, q in zip([x for x in rows if x[1] is not None], bh_reference(ps)):
+        assert one[x[2]] == pytest.approx(q, rel=1e-12)
+    assert bh_adjust_large(df.limit(0), group_cols=["fam"]).collect() == []
