@@ -395,7 +395,7 @@ def q_fdr_labels(spark, d):
 
 
 #: One p-value for each order line, with ties and nulls, in families of a third of the lines each.
-SQL_LINE_P = "CASE WHEN l_linenumber < 7 THEN ((l_orderkey * 7919 + l_partkey * 104729 + l_suppkey) % 100003) / 100003.0 END"
+SQL_LINE_P = "CASE WHEN l_linenumber < 7 THEN CAST((l_orderkey * 7919 + l_partkey * 104729 + l_suppkey) % 100003 AS DOUBLE) / 100003 END"
 
 
 @query("fdr_bh_large", f"""

@@ -14,7 +14,7 @@ from contingo.functions.columns import recode, sentence_case
 from contingo.plans.common import query, tbl
 from contingo.plans.textq import _SQL_SIM, similarity_long
 from contingo.session import ensure_checkpoint_dir
-from contingo.sources.io import (read_csv_header, read_csv_named, read_json_lines, read_labelled_matrix,
+from contingo.sources.io import (quarantine, read_checked, read_csv_header, read_csv_named, read_json_lines, read_labelled_matrix,
                                  read_parquet, write_parquet)
 
 CATEGORY_RECODE = {"SMALL": "Small things", "RED": "Red things"}
@@ -41,6 +41,27 @@ def q_json_scan(spark, d):
     return read_json_lines(spark, path, EVENT_SCHEMA)
 
 
+@query("json_quarantine", """
+SELECT event_type, CASE WHEN event_type = 'error' THEN 'malformed' WHEN value IS NULL THEN 'value' ELSE 'good' END AS state,
+  count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
+FROM events GROUP BY ALL""")
+def q_json_quarantine(spark, d):
+    """A2: JSON lines of which one kind of event is written with a text for its number (so the line doesn't fit the
+    schema) and events without a value lack a required field; bad lines are kept apart, counted and still readable."""
+    path = scratch(spark, "json-checked")
+    e = tbl(spark, d, "events").select(*EVENT_SCHEMA.fieldNames())
+    line = F.when(F.col("event_type") == "error", F.to_json(F.struct(
+        "event_id", "user_id", "event_type", F.lit("not a number").alias("value"), "props"))) \
+        .otherwise(F.to_json(F.struct(*EVENT_SCHEMA.fieldNames())))
+    e.select(line.alias("value")).write.mode("overwrite").text(path)
+    good, bad = read_checked(spark, path, "json", EVENT_SCHEMA, required=("value",))
+    quarantine(bad, scratch(spark, "bad-lines"))
+    lines = bad.select(F.get_json_object("line", "$.event_type").alias("event_type"), F.col("why").alias("state"),
+                       F.get_json_object("line", "$.event_id").cast("long").alias("event_id"))
+    rows = good.select("event_type", F.lit("good").alias("state"), "event_id").unionByName(lines)
+    return rows.groupBy("event_type", "state").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 NATION_SCHEMA = T.StructType([T.StructField("n_nationkey", T.IntegerType()),
                               T.StructField("n_name", T.StringType()),
                               T.StructField("n_regionkey", T.IntegerType())])

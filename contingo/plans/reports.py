@@ -10,8 +10,9 @@ from contingo.operators.cohort import complete_grid, stack_tagged
 from contingo.operators.counts import share_within
 from contingo.operators.report import (count_bins, rank_by_frequency, rank_by_value,
                                        unpivot_stats, with_effect_columns)
-from contingo.plans.common import query, round_stats, tbl
-from contingo.plans.enrichment import SWEEP_STATS_SQL, q_fisher_or, q_reason_by_phase, sweep_with_stats
+from contingo.plans.common import query, round_stats, sql_round_stats, tbl
+from contingo.plans.enrichment import (STAT_COLS, SWEEP_STATS_SQL, q_fisher_or, q_reason_by_phase, reason_by_phase_stats,
+                                       sweep_with_stats)
 
 # Fixed values of the bound report queries.
 YEAR_FIRST, YEAR_LAST = 1995, 1999
@@ -251,6 +252,12 @@ def _reason_by_phase_sql() -> str:
     return REGISTRY["reason_by_phase"][1]
 
 
+def _significant_sql() -> str:
+    """The reason x phase query with a flag from its plain p-value, which rounding would make null or flip."""
+    stats = f"SELECT {sql_round_stats(STAT_COLS)} FROM ("
+    return _reason_by_phase_sql().replace(stats, stats.replace("SELECT ", "SELECT pvalue < 0.05 AS is_significant, ", 1))
+
+
 @query("stack_tagged", f"""
 SELECT *, 'lines' AS tag FROM ({_fisher_or_sql()})
 UNION ALL SELECT *, 'orders' AS tag FROM ({_reason_by_phase_sql()})""")
@@ -259,24 +266,24 @@ def q_stack_tagged(spark, d):
     return stack_tagged({"lines": q_fisher_or(spark, d), "orders": q_reason_by_phase(spark, d)})
 
 
-@query("phase_reason_table", f"""WITH rp AS ({_reason_by_phase_sql()}),
+@query("phase_reason_table", f"""WITH rp AS ({_significant_sql()}),
 k AS (SELECT * FROM rp WHERE comparison NOT IN ({", ".join(f"'{x}'" for x in DROP_REASONS)}) AND prediction <> 'Other'),
 r AS (SELECT comparison, CAST(dense_rank() OVER (ORDER BY comparisonTotal DESC, comparison) AS INTEGER) AS comparisonRank
       FROM (SELECT DISTINCT comparison, comparisonTotal FROM k))
 SELECT prediction, k.comparison, replace(k.comparison, '_', ' ') AS comparisonLabel, or_result, lower_ci, upper_ci,
-  pvalue, pvalue > 1.30103 AS is_significant, comparisonRank
+  pvalue, is_significant, comparisonRank
 FROM k JOIN r ON k.comparison = r.comparison""")
 def q_phase_reason_table(spark, d):
     """I14 + B31: drop some reasons and Other, flag significance, order
     reasons by their total."""
-    rp = q_reason_by_phase(spark, d)
+    rp = round_stats(reason_by_phase_stats(spark, d).withColumn("is_significant", F.col("pvalue") < 0.05))
     k = rp.where(~F.col("comparison").isin(DROP_REASONS) & (F.col("prediction") != "Other"))
     r = (k.select("comparison", "comparisonTotal").distinct()
          .withColumn("comparisonRank", F.dense_rank().over(
              Window.orderBy(F.col("comparisonTotal").desc(), F.col("comparison")))).drop("comparisonTotal"))
     return k.join(r, "comparison").select(
         "prediction", "comparison", F.regexp_replace("comparison", "_", " ").alias("comparisonLabel"),
-        "or_result", "lower_ci", "upper_ci", "pvalue", (F.col("pvalue") > 1.30103).alias("is_significant"),
+        "or_result", "lower_ci", "upper_ci", "pvalue", "is_significant",
         "comparisonRank")
 
 

@@ -68,6 +68,37 @@ def read_labelled_matrix(spark: SparkSession, path: str, row_col: str = "row",
     return wide.unpivot(row_col, labels, col_col, value_col)
 
 
+BAD_ROW = "_bad_row"
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str, schema: T.StructType, required: tuple[str, ...] = (),
+                 **options) -> tuple[DataFrame, DataFrame]:
+    """A2-A4 with nothing lost silently: (good rows, bad rows) of a json or csv source under a declared schema.
+
+    A line that doesn't parse, has a field that doesn't fit its type (or, for csv, too few or too many fields) or lacks a
+    ``required`` one is bad: it comes whole, as text, with its file and why ("malformed", or the first lacking
+    column). Each source line is in exactly one of the two frames."""
+    kept = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType())])
+    reader = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW)
+    rows = reader.options(**options).format(fmt).load(path).select("*", F.input_file_name().alias("_file"))
+    why = F.coalesce(F.when(F.col(BAD_ROW).isNotNull(), F.lit("malformed")),
+                     *[F.when(F.col(c).isNull(), F.lit(c)) for c in required], F.lit(None).cast("string"))
+    names = schema.fieldNames()
+    # both filters use every field, always true: the parser only finds what is bad in fields that it is asked for
+    whole = F.to_json(F.struct(*names))
+    good = rows.where(why.isNull() & whole.isNotNull()).select(*names)
+    bad = rows.where(why.isNotNull() & whole.isNotNull()) \
+        .select(F.coalesce(BAD_ROW, whole).alias("line"), why.alias("why"), F.col("_file").alias("file"))
+    return good, bad
+
+
+def quarantine(bad: DataFrame, path: str) -> DataFrame:
+    """Writes bad rows (a directory for each reason) and returns their number by reason."""
+    bad.write.mode("overwrite").partitionBy("why").parquet(path)
+    back = bad.sparkSession.read.schema("line string, file string, why string").parquet(path)
+    return back.groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   mode: str = "overwrite") -> None:
     """Overwrite sink; one directory per stratum / seed comes from
