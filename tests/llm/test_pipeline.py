@@ -12,21 +12,30 @@ COLUMNS = {
     "op3": {"doc_id", "n_shingles", "component_id"}, "op4": {"doc_id", "held_out", "score", "predicted"},
     "op6": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}, "op7": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op8": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
-    "op10": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}}
+    "op10": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op11": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    "op12": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op13": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}}
+#: Table and rows for each of its rows; one row a document elsewhere.
+ROWS = {"op1": ("pages", 1), "op11": ("embeddings", 32), "op12": ("embeddings", 1)}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_queries_return_every_row(spark, name):
     df = entry.queries()[name](spark, SF)
     assert COLUMNS.get(name.split("_")[0], {"doc_id"}) <= set(df.columns)
-    table = "pages" if name.startswith("op1_") else "documents"
-    assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    if name.startswith("op13_"):
+        want = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1
+    else:
+        table, each = ROWS.get(name.split("_")[0], ("documents", 1))
+        want = each * spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert df.count() == want
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
@@ -34,8 +43,8 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert [n for k in range(1, 11) for n in NAMES if n.startswith(f"op{k}_")].__len__() == 10
+def test_all_operators_and_the_pipeline_are_registered():
+    assert [n for k in range(1, 14) for n in NAMES if n.startswith(f"op{k}_")].__len__() == 13 == len(NAMES)
     assert "pipeline" in entry.queries()
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_passages", "personal_data", "token_ids"]
 
