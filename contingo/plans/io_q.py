@@ -6,26 +6,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contingo.functions.columns import recode, sentence_case
-from contingo.plans.common import query, tbl
+from contingo.operators.cohort import assemble_cohort
+from contingo.plans.common import query, scratch, tbl
 from contingo.plans.textq import _SQL_SIM, similarity_long
-from contingo.session import ensure_checkpoint_dir
 from contingo.sources.io import (quarantine, read_checked, read_csv_header, read_csv_named, read_json_lines, read_labelled_matrix,
                                  read_parquet, write_parquet)
+from contingo.sources.store import FeatureStore, read_tiles, tile_sums, write_tiles
 
 CATEGORY_RECODE = {"SMALL": "Small things", "RED": "Red things"}
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder in the shared checkpoint directory (never machine-local
-    on a cluster: the cluster names that directory)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/contingo-io/{tag}-{uuid.uuid4().hex}"
-
-
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
@@ -133,3 +127,52 @@ def q_class_frequency(spark, d):
     return back.select("class", "freq", "category",
                        sentence_case(F.trim(F.regexp_replace("class", "_", " "))).alias("nicename"),
                        recode("category", CATEGORY_RECODE).alias("categoryLabel"))
+
+
+@query("matrix_tiles", """
+WITH m AS (SELECT l_suppkey::VARCHAR AS supplier, p_brand AS brand, count(*)::DOUBLE AS value
+           FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT supplier, brand, value, sum(value) OVER (PARTITION BY brand) AS brand_total FROM m""")
+def q_matrix_tiles(spark, d):
+    """A labelled matrix (order lines by supplier and brand) written as tiles, read back in long form with its
+    column sums, which are added inside the tiles."""
+    path = scratch(spark, "tiles")
+    brand = tbl(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    cells = tbl(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("supplier")) \
+        .join(brand, "l_partkey").groupBy("supplier", "brand").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    write_tiles(cells, path, "supplier", "brand", "value")
+    sums = tile_sums(spark, path, "cols").select(F.col("label").alias("brand"), F.col("total").alias("brand_total"))
+    return read_tiles(spark, path, "supplier", "brand", "value").join(sums, "brand")
+
+
+def feature_store(spark, d) -> FeatureStore:
+    """Order lines and part features, both bucketed by part."""
+    tag = uuid.uuid4().hex
+    store = FeatureStore(spark, scratch(spark, "store"), f"contingo_{tag}")
+    lines = tbl(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    store.put(lines, "evidence", ["l_partkey"])
+    part = tbl(spark, d, "part")
+    store.put(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "brand", ["l_partkey"])
+    store.put(part.select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") < 25, "small").otherwise("large")
+                          .alias("size")), "size", ["l_partkey"])
+    return store
+
+
+def stored_cohorts(store: FeatureStore):
+    """Two cohorts from one store: returned and shipped order lines with the features of their parts."""
+    features = [(store.get("brand"), ["l_partkey"]), (store.get("size"), ["l_partkey"])]
+    ids = ["l_partkey", "l_orderkey", "l_suppkey"]
+    return {flag: assemble_cohort(store.get("evidence"), ids, features, where=F.col("l_returnflag") == flag)
+            for flag in ("R", "N")}
+
+
+@query("feature_store_cohorts", """
+WITH c AS (SELECT DISTINCT l_returnflag AS cohort, l_partkey, l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag IN ('R', 'N'))
+SELECT cohort, p_brand, CASE WHEN p_size < 25 THEN 'small' WHEN p_partkey IS NOT NULL THEN 'large' END AS size, count(*) AS n
+FROM c LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+def q_feature_store_cohorts(spark, d):
+    """A8 + C1-C3: evidence and features written bucketed by key once; two cohorts read them, deduplicate and join
+    without an exchange, and only their counts are shuffled."""
+    cohorts = stored_cohorts(feature_store(spark, d))
+    both = cohorts["R"].withColumn("cohort", F.lit("R")).unionByName(cohorts["N"].withColumn("cohort", F.lit("N")))
+    return both.groupBy("cohort", "p_brand", "size").agg(F.count(F.lit(1)).alias("n"))

@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contingo.functions.columns import TEXT_RULES, clean_text, sigmoid, softmax
+from contingo.operators.joint import classify_joint, fit_joint, load_model, save_model
 from contingo.operators.text import (classify_batch, classify_naive_bayes, fit_multilabel_classifier, fit_naive_bayes,
                                      hash_split, label_explode,
                                      label_list, multi_hot, multilabel_metrics, split_subset, top_k_classes)
-from contingo.plans.common import query, tbl
+from contingo.plans.common import query, scratch, tbl
 
 LABELS = ["quality", "toxic"]
 TEST_FRACTION = 0.1
@@ -229,6 +230,45 @@ def q_classify_naive_bayes(spark, d):
         .withColumn("score", F.round("score", 5))
 
 
+JOINT_STEPS, JOINT_L2, JOINT_BUCKETS = 4, 0.001, 4096
+
+
+def _sql_joint() -> str:
+    """Full gradient steps for all labels, one after the other; bucket -1 is the bias."""
+    rate = 1.0 / (0.5 + JOINT_L2)
+    ctes = [f"""tok AS MATERIALIZED (SELECT DISTINCT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {JOINT_BUCKETS} AS bucket
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM documents WHERE text IS NOT NULL)),
+x AS MATERIALIZED (SELECT doc_id, bucket, 1.0::DOUBLE / sqrt(count(*) OVER (PARTITION BY doc_id)) AS v FROM tok
+  UNION ALL SELECT doc_id, -1, 1.0::DOUBLE FROM documents WHERE text IS NOT NULL),
+cells AS MATERIALIZED (SELECT l.doc_id, label, y FROM (SELECT doc_id, 'quality' AS label, quality AS y FROM labels
+                                          UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) l
+          JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL AND y IS NOT NULL),
+size AS (SELECT label, count(*)::DOUBLE AS n FROM cells GROUP BY label),
+w0 AS (SELECT DISTINCT label, bucket, 0.0::DOUBLE AS w FROM cells JOIN x USING (doc_id))"""]
+    for t in range(JOINT_STEPS):
+        ctes.append(f"""off{t} AS MATERIALIZED (SELECT doc_id, label, y, 1 / (1 + exp(-sum(w * v))) - y AS o
+  FROM cells JOIN x USING (doc_id) JOIN w{t} USING (label, bucket) GROUP BY doc_id, label, y),
+g{t} AS (SELECT label, bucket, sum(o * v) AS g FROM off{t} JOIN x USING (doc_id) GROUP BY label, bucket),
+w{t + 1} AS MATERIALIZED (SELECT label, bucket, w - {rate!r}::DOUBLE * (g / n + CASE WHEN bucket >= 0 THEN {JOINT_L2} * w ELSE 0 END) AS w
+  FROM w{t} JOIN g{t} USING (label, bucket) JOIN size USING (label))""")
+    return f"""WITH {", ".join(ctes)},
+s AS (SELECT doc_id, label, 1 / (1 + exp(-sum(w * v))) AS p FROM x JOIN w{JOINT_STEPS} USING (bucket) GROUP BY doc_id, label)
+SELECT doc_id, label, round(p, 5) AS score FROM s WHERE p > 0.5"""
+
+
+@query("classify_joint", _sql_joint())
+def q_classify_joint(spark, d):
+    """J5 + J6: one sigmoid a label, all labels fitted together by full gradient steps; the model is written, read
+    and scores every document."""
+    docs = tbl(spark, d, "documents").select("doc_id", "text")
+    train = docs.join(tbl(spark, d, "labels"), "doc_id", "inner")
+    path = scratch(spark, "joint-model")
+    save_model(fit_joint(train, "text", LABELS, JOINT_BUCKETS, JOINT_STEPS, JOINT_L2), path)
+    return classify_joint(load_model(spark, path), docs, ["doc_id"], "text", JOINT_BUCKETS) \
+        .withColumn("score", F.round("score", 5))
+
+
 def _label_means(spark, d):
     e = tbl(spark, d, "embeddings")
     return (e.select("label", F.posexplode("embedding").alias("pos", "v"))
