@@ -3,11 +3,18 @@
 Tokens are hashes of word shingles; two documents link when their sets'
 Jaccard similarity reaches the threshold.  A set of n tokens can miss at most
 n - ceil(t n) of them in a partner.  Tokens are ordered rare class first, then
-by hash.  A set's prefix is extended until (rare tokens) + (frequent tokens
-less one) exceeds what may be missing: then two linked sets share a rare token
-or a pair of frequent tokens inside both prefixes.  So rare tokens are
-indexed singly and frequent ones as 2-token combinations; sets that meet are
-candidates, and candidates are verified on their whole sets.
+by hash.  Rare tokens are indexed singly and frequent ones as k-token
+combinations of the tokens of one part; a set's prefix is extended until its
+rare tokens and, of each part, its frequent tokens less k - 1 exceed what may
+be missing: then two linked sets share a rare token or a combination inside
+both prefixes.  Sets that meet are candidates, and candidates are verified on
+their whole sets.
+
+Short sets have one part and k = 2.  From LONG tokens on, k is 3 and the number
+of parts grows with the set (four times at four times the size), so the number of
+combinations stays within about a dozen times the tokens.  Both must be alike in
+two linked sets, so a set is indexed as its own size and its smallest possible
+partner's ask for.
 
 1. Equal sets become one node.
 2. Folding: nodes that share a 2-token combination of their four lowest hashes meet the lowest node there,
@@ -17,8 +24,11 @@ candidates, and candidates are verified on their whole sets.
    set, so a false positive only moves a token to the other class and loses no link.
 4. Signatures of all nodes, packed likewise. Each node is verified against the best centre of its meetings, which
    makes families one component. Nodes that still meet across components are candidates if what their
-   prefixes share, and all that follows them, can make the overlap that a link needs.
-5. Verification, then connected components over all links.
+   prefixes share, and all that follows them, can make the overlap that a link needs. A set with combinations has all
+   its rare tokens indexed, so two sets that meet in combinations alone share none of them: that bounds
+   the sizes of such partners (``size_limit``) and empties most meetings before any pair is made.
+5. Verification in cells of a grid over the pairs, where each set goes once to a cell; then connected components
+   over all links.
 
 Defined results: a null, empty or blank text has no tokens, links with
 nothing and is its own component; a text shorter than a shingle is one token;
@@ -28,6 +38,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +56,11 @@ PERCENT = 75
 #: A token in more nodes than this is frequent.
 FREQUENT = 24
 LOWEST = 4
+#: Sets of so many tokens have several parts (a sixteenth of this number at first) and combinations of three.
+LONG = 512
+#: Tokens in a bucket of the index, and bytes of sets in a cell of the verification, about.
+BUCKET_TOKENS = 1 << 20
+CELL_BYTES = 1 << 24
 
 
 def most_missing(n: int, percent: int = PERCENT) -> int:
@@ -56,10 +72,23 @@ def pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x * np.uint64(0x9E3779B97F4A7C15) + y * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def combinations(tokens: np.ndarray) -> np.ndarray:
-    """Hash of every 2-token combination (tokens ascend)."""
+def combinations(tokens: np.ndarray, k: int = 2) -> np.ndarray:
+    """Hash of every combination of k = 2 or 3 of the tokens (which ascend)."""
     i, j = np.triu_indices(len(tokens), 1)
-    return pair_hash(tokens[i], tokens[j])
+    pairs = pair_hash(tokens[i], tokens[j])
+    if k == 2:
+        return pairs
+    after = len(tokens) - 1 - j                              # every later token goes with a pair
+    third = ragged(j + 1, after)
+    return pair_hash(np.repeat(pairs, after), tokens[third])
+
+
+def level(n: int, long: int) -> int:
+    """0 for short sets, one more at each four times the size."""
+    out = 0
+    while n >= long:
+        n, out = n // 4, out + 1
+    return out
 
 
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -72,19 +101,63 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return node or 1, int(b.view(np.int64)[0])
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The extended prefix of a set: its rare tokens, and its frequent ones (to be combined)."""
-    need = most_missing(len(tokens), percent) + 1
+def extended(tokens: np.ndarray, more: int, k: int, parts: int) -> list[np.ndarray]:
+    """The first of the tokens, by part, until so many of them follow the first k - 1 of their parts."""
+    part = (tokens % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ordered = part[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    rank = np.empty(len(tokens), dtype=np.int64)
+    rank[order] = np.arange(len(tokens)) - np.repeat(starts, np.diff(starts, append=len(tokens)))
+    end = int(np.searchsorted(np.cumsum(rank >= k - 1), more)) + 1
+    own = tokens[order[order < end]]
+    cuts = np.flatnonzero(np.diff(part[order[order < end]])) + 1
+    return np.split(own, cuts)
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT,
+               long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """The extended prefix of a set: its rare tokens, and the combinations of its frequent ones."""
+    n = len(tokens)
+    need = most_missing(n, percent) + 1
     rare = tokens[~frequent][:need]
     more = need - len(rare)
-    return rare, tokens[frequent][:more + 1] if more else tokens[:0]
-
-
-def meet_bound(c1: Column, m: Column, tail_a: Column, tail_b: Column) -> Column:
-    """Most tokens that two sets can share: c1 rare ones in both prefixes, frequent ones of which m combinations
-    are in both (none: at most one), and what follows the longer of the tails."""
+    if not more or n < 2:                                    # a set of one token links with equal sets only
+        return rare, tokens[:0]
+    often, out = tokens[frequent], []
+    for at in range(level(-(-percent * n // 100), long), level(n, long) + 1):
+        k, parts = (3, long // 16 * 4 ** (at - 1)) if at else (2, 1)
+        out += [combinations(own, k) for own in extended(often, more, k, parts)]
+    return rare, np.unique(np.concatenate(out))
+
+
+def size_limit(n, rare, percent: int):
+    """The largest partner of a set that shares none of its rare tokens with it (integers or arrays)."""
+    return (n - rare) * (100 + percent) // percent - n
+
+
+def supported(token: np.ndarray, n: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Which rows of the groups of equal tokens (in order) can have a partner in their group: one within their limit,
+    and one whose limit they are within. What drops out is taken away once more."""
+    kept = np.arange(len(token))
+    for _ in range(2):
+        if not len(kept):
+            break
+        t, own, most = token[kept], n[kept], limit[kept]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.diff(starts, append=len(t))
+        ok = (np.repeat(np.minimum.reduceat(own, starts), size) <= most) \
+            & (np.repeat(np.maximum.reduceat(most, starts), size) >= own)
+        kept = kept[ok]
+    return kept
+
+
+def meet_bound(c1: Column, m: Column, often: Column, tails: Column, short: Column) -> Column:
+    """Most tokens that two sets can share: c1 rare ones in both prefixes, frequent ones (at most ``often``), and
+    what follows the longer of the tails. Two short sets that share no rare token share frequent ones of which
+    m pairs are in both prefixes, no fewer (none: at most one)."""
     c2 = F.when(m > 0, F.floor((1 + F.sqrt(1 + 8 * m)) / 2 + 1e-9)).otherwise(1)
-    return c1 + c2 + F.greatest(tail_a, tail_b)
+    return c1 + F.when((c1 == 0) & short, F.least(c2, often)).otherwise(often) + tails
 
 
 def id_keys(ids: pa.Array) -> np.ndarray:
@@ -115,8 +188,12 @@ def doc_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int, frequent: int):
+    def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int, frequent: int,
+                 long: int = LONG):
+        if long < 16 or not 25 <= percent <= 100:
+            raise ValueError("long sets have at least 16 tokens, and percent is from 25 to 100")
         self.spark, self.width, self.percent, self.frequent = docs.sparkSession, width, percent, frequent
+        self.long = long
         small_batches(self.spark)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.n_buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -140,11 +217,11 @@ class Join:
 
     def packed(self, skip: bytes | None, frequent: bytes | None) -> DataFrame:
         """(bucket, kind, counts, low, owners, nodes): tokens of one bucket, sorted, as the number of tokens for
-        each value of their upper 16 bits and the next 24 bits of each; each one's owner and the owners. Without
+        each value of their upper 16 bits and the next 24 bits of each; each one's owner and the owners (OWNER). Without
         ``frequent`` all tokens (kind 0) of the documents that ``skip`` doesn't hold; else signatures of all:
         rare tokens (kind 0) and combinations of frequent ones (kind 1)."""
         shared = self.spark.sparkContext.broadcast((skip, frequent))
-        n_buckets, width, percent = self.n_buckets, self.width, self.percent
+        n_buckets, width, percent, long = self.n_buckets, self.width, self.percent, self.long
         named = frequent is not None
         edges = bucket_edges(n_buckets)
 
@@ -153,7 +230,7 @@ class Join:
             bitmap = None if common is None else np.frombuffer(common, dtype=np.uint8)
             seen: set[int] = set()
             held: tuple[list, list] = [], []
-            nodes: list[int] = []
+            nodes: list[tuple[int, int, int]] = []
             size = 0
             for batch in batches:
                 for tokens in doc_sets(filtered(batch, skipped, False), width):
@@ -163,19 +240,18 @@ class Join:
                     seen.add(node)
                     pair = (tokens, tokens[:0])
                     if bitmap is not None:
-                        rare, often = signatures(tokens, in_filter(bitmap, tokens >> np.uint64(24)), percent)
-                        pair = rare, combinations(often)
+                        pair = signatures(tokens, in_filter(bitmap, tokens >> np.uint64(24)), percent, long)
                     for kind in (0, 1):
                         held[kind].append(pair[kind])
                         size += len(pair[kind])
-                    nodes.append(node)
+                    nodes.append((node, len(tokens), len(pair[0])))
                     if size > 1 << 20:
                         yield from pack(held, nodes)
                         held, nodes, size = ([], []), [], 0
             if nodes:
                 yield from pack(held, nodes)
 
-        def pack(held: tuple[list, list], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        def pack(held: tuple[list, list], nodes: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
             for kind in (0, 1):
                 tokens = np.concatenate(held[kind]) >> np.uint64(24)
                 owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(h) for h in held[kind]])
@@ -194,7 +270,7 @@ class Join:
                     if named:
                         who, own = np.unique(owner[a:b], return_inverse=True)
                         owners = own.astype(narrow(len(who))).tobytes()
-                        names = np.array(nodes, dtype=np.int64)[who].tobytes()
+                        names = np.array(nodes, dtype=OWNER)[who].tobytes()
                     rows.append((i, kind, counts.astype("<u4").tobytes(), low, owners, names))
                 if rows:
                     types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -217,22 +293,30 @@ class Join:
         return self.packed(skip, None).groupBy("bucket").applyInArrow(count, "token long")
 
     def meetings(self, frequent: bytes) -> DataFrame:
-        """(meeting, kind, times, node): the sets of at least two nodes that share signatures, and how many."""
-        n_buckets = self.n_buckets
+        """(meeting, kind, times, node, rare): the sets of at least two nodes that share signatures, and how many; rare is
+        the number of a node's rare tokens in its prefix."""
+        n_buckets, percent = self.n_buckets, self.percent
 
         def meet(table: pa.Table) -> pa.Table:
-            tokens, nodes = [], []
+            tokens, owners_of = [], []
             kind = table.column("kind")[0].as_py()
             for bucket, counts, low, owners, names in zip(
                     *(table.column(c).to_pylist() for c in ("bucket", "counts", "low", "owners", "nodes"))):
-                who = np.frombuffer(names, dtype=np.int64)
+                who = np.frombuffer(names, dtype=OWNER)
                 tokens.append(unpacked(bucket, counts, low, n_buckets))
-                nodes.append(who[np.frombuffer(owners, dtype=narrow(len(who)))])
-            token, node = np.concatenate(tokens), np.concatenate(nodes)
-            order = np.lexsort((node, token))
-            token, node = token[order], node[order]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            token, node = token[new], node[new]
+                owners_of.append(who[np.frombuffer(owners, dtype=narrow(len(who)))])
+            token, owner = np.concatenate(tokens), np.concatenate(owners_of)
+            order = np.lexsort((owner["node"], token))
+            token, owner = token[order], owner[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner["node"][1:] != owner["node"][:-1])])
+            token, owner = token[new], owner[new]
+            if kind:
+                n, rare = owner["n"].astype(np.int64), owner["rare"].astype(np.int64)
+                kept = supported(token, n, size_limit(n, rare, percent))
+                token, owner = token[kept], owner[kept]
+            if not len(token):
+                return MEETINGS.empty_table()
+            node = np.ascontiguousarray(owner["node"])
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(starts, append=len(token))
             mixed = mix(node.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
@@ -242,22 +326,25 @@ class Join:
             meeting, first, times = np.unique(together[kept], return_index=True, return_counts=True)
             kept = kept[first]
             at = ragged(starts[kept], size[kept])
-            return pa.table({"meeting": pa.array(np.repeat(meeting, size[kept]).view(np.int64), type=pa.int64()),
-                             "kind": pa.array(np.full(len(at), kind), type=pa.int32()),
-                             "times": pa.array(np.repeat(times, size[kept]), type=pa.int64()),
-                             "node": pa.array(node[at], type=pa.int64())})
+            return pa.table([np.repeat(meeting, size[kept]).view(np.int64), np.full(len(at), kind, dtype=np.int32),
+                             np.repeat(times, size[kept]).astype(np.int64), node[at], owner["rare"][at].astype(np.int32)],
+                            schema=MEETINGS)
 
         return self.packed(None, frequent).groupBy("bucket", "kind") \
-            .applyInArrow(meet, "meeting long, kind int, times long, node long") \
-            .groupBy("meeting", "kind", "node").agg(F.sum("times").alias("times"))
+            .applyInArrow(meet, "meeting long, kind int, times long, node long, rare int") \
+            .groupBy("meeting", "kind", "node").agg(F.sum("times").alias("times"), F.max("rare").alias("rare"))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold. nodes: (node, n, doc_id of one such row). Only
-        documents whose ids a filter of the needed ones holds are split into tokens again."""
+        documents whose ids a filter of the needed ones holds are split into tokens again. Pairs are dealt to the cells
+        of a grid by both their nodes, and a set goes once to each cell that has a pair of it."""
         width, percent = self.width, self.percent
         pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("doc_id")
-        shared = self.spark.sparkContext.broadcast(id_filter(needed, 2 * pairs.count()))
+        asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
+                    .agg(F.count(F.lit(1)).alias("pairs")).join(nodes, "node").select("node", "doc_id", "n", "pairs"))
+        size = asked.agg(F.sum(F.col("n") * F.col("pairs") * 8).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+        side = max(1, math.isqrt((size.bytes or 0) // CELL_BYTES) + 1)
+        shared = self.spark.sparkContext.broadcast(id_filter(asked.select("doc_id"), size.n))
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent: set[int] = set()                            # equal sets of one task go once
@@ -269,21 +356,52 @@ class Join:
                     [pa.array([n for n, _ in new], type=pa.int64()),
                      pa.array([s.tobytes() for _, s in new], type=pa.binary())], ["node", "tokens"])
 
-        # documents with equal sets may bring a set more than once; the links are made distinct below
-        sets = self.docs.mapInArrow(wanted, "node long, tokens binary")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a") \
-            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    common = len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64),
-                                                assume_unique=True))
-                    ok.append(100 * common >= percent * ((len(x) + len(y)) // 8 - common))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
-
-        return cut(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+        def at(node: str) -> Column:
+            return F.pmod(F.xxhash64(node), F.lit(side))
+
+        placed = pairs.select("a", "b", (at("a") * side + at("b")).alias("cell"))
+        places = placed.select(F.explode(F.array("a", "b")).alias("node"), F.col("cell").alias("place")).distinct()
+        sets = places.join(self.docs.mapInArrow(wanted, "node long, tokens binary"), "node").select("place", "node", "tokens")
+
+        def check(left: pa.Table, right: pa.Table) -> pa.Table:
+            # documents with equal sets may bring a set more than once
+            own = {n: np.frombuffer(t, dtype=np.uint64)
+                   for n, t in zip(right.column("node").to_pylist(), right.column("tokens").to_pylist())}
+            a, b = (left.column(c).to_numpy() for c in ("a", "b"))
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else []
+            ok = np.zeros(len(a), dtype=bool)
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                ok[i:j] = partners(own[int(a[i])], [own[n] for n in b[i:j].tolist()], percent)
+            return pa.table({"a": pa.array(a[ok], type=pa.int64()), "b": pa.array(b[ok], type=pa.int64())})
+
+        return cut(placed.groupBy("cell").cogroup(sets.groupBy("place")).applyInArrow(check, "a long, b long").distinct())
+
+
+#: A node in a bucket: its hash, its tokens and the rare ones of its prefix.
+OWNER = np.dtype([("node", "<i8"), ("n", "<i4"), ("rare", "<i4")])
+MEETINGS = pa.schema([("meeting", pa.int64()), ("kind", pa.int32()), ("times", pa.int64()), ("node", pa.int64()),
+                      ("rare", pa.int32())])
+#: Tokens compared at once.
+COMPARED = 1 << 20
+
+
+def partners(tokens: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets (none empty) reach the threshold with the set of these tokens."""
+    ok, first = np.zeros(len(others), dtype=bool), 0
+    while first < len(others):
+        last, size = first, 0
+        while last < len(others) and (last == first or size + len(others[last]) <= COMPARED):
+            size += len(others[last])
+            last += 1
+        lens = np.array([len(o) for o in others[first:last]])
+        flat = np.concatenate(others[first:last])
+        held = tokens[np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)] == flat
+        common = np.add.reduceat(held.astype(np.int64), np.cumsum(lens) - lens)
+        ok[first:last] = 100 * common >= percent * (lens + len(tokens) - common)
+        first = last
+    return ok
 
 
 def bucket_edges(n_buckets: int) -> np.ndarray:
@@ -308,6 +426,8 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     smallest id that holds it, its component's smallest node and smallest id."""
     rows = cut(join.rows())
     real = rows.where("n > 0")
+    every = rows.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
+    join.n_buckets = min(65536, max(join.n_buckets, (every.tokens or 0) // BUCKET_TOKENS))
     nodes = real.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"),
                                      F.min("check").alias("c1"), F.max("check").alias("c2"))
     nodes = cut(nodes.select("node", "n", "doc_id", F.when(F.col("c1") == F.col("c2"), F.lit(True)).otherwise(
@@ -329,40 +449,51 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     rep = nodes.select("node", F.col("doc_id").alias("rep"))
     again = real.select("node", "doc_id").join(rep, "node").where(~F.col("doc_id").eqNullSafe(F.col("rep"))) \
         .select("doc_id").union(folded.select(F.col("b").alias("node")).distinct().join(nodes, "node").select("doc_id"))
-    often = cut(join.frequent_tokens(id_filter(again, rows.count())))
+    often = cut(join.frequent_tokens(id_filter(again, every.rows)))
     common = member_filter(often, often.count())
 
     # 4. signatures that meet across components, as often as linked sets must
     named = nodes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left") \
         .select("node", "n", F.coalesce("label", "node").alias("part"))
-    met = cut(join.meetings(common).join(named, "node")
+    limit = F.floor((F.col("n") - F.col("rare")) * (100 + join.percent) / join.percent + 1e-9) - F.col("n")
+    met = cut(join.meetings(common).join(named, "node").withColumn("limit", limit)
               .withColumn("w", F.sum("times").over(Window.partitionBy("node"))))
     # of a meeting's nodes the one that meets others most often is likely to link with most of them: each other node
     # is verified against the best of its meetings' centres first, so that families become one part
-    centre = met.groupBy("meeting", "kind").agg(F.max(F.struct("w", "node", "n", "part")).alias("c"))
+    centre = met.groupBy("meeting", "kind").agg(F.max(F.struct("w", "node", "n", "limit", "part")).alias("c"))
     best = met.join(centre, ["meeting", "kind"]).where(F.col("part") != F.col("c.part")) \
         .where(100 * F.least("n", "c.n") >= join.percent * F.greatest("n", "c.n")) \
+        .where((F.col("kind") == 0) | (F.col("c.n") <= F.col("limit")) & (F.col("n") <= F.col("c.limit"))) \
         .groupBy("node").agg(F.max(F.struct("c.w", "c.node")).alias("c"))
     folded = cut(folded.union(join.verified(best.select(
         F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), nodes)))
     labels = components(folded)
     met = cut(met.drop("part").join(labels, "node", "left").select(
-        "meeting", "kind", "times", "node", "n", F.coalesce("label", "node").alias("part")))
+        "meeting", "kind", "times", "node", "n", "rare", "limit", F.coalesce("label", "node").alias("part")))
     apart = met.groupBy("meeting", "kind").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2")
     met = met.join(apart.select("meeting", "kind"), ["meeting", "kind"], "left_semi")
-    x = met.select("meeting", "kind", "times", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = met.select("meeting", "kind", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    least = F.ceil(join.percent * (F.col("na") + F.col("nb")) / (100 + join.percent) - 1e-9)
-
-    def tail(n: Column) -> Column:
-        """Tokens behind a prefix of the shortest length."""
-        return n - (n - F.ceil(join.percent * n / 100 - 1e-9) + 1)
-
-    pairs = x.join(y, ["meeting", "kind"]).where("pa < pb") \
-        .where(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb")) \
-        .groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("times")).otherwise(0)).alias("c1"),
-                                           F.sum(F.when(F.col("kind") == 1, F.col("times")).otherwise(0)).alias("m")) \
-        .where(meet_bound(F.col("c1"), F.col("m"), tail(F.col("na")), tail(F.col("nb"))) >= least).select("a", "b")
+    need = F.col("n") - F.ceil(join.percent * F.col("n") / 100 - 1e-9) + 1
+    tail = F.col("n") - need                                  # tokens behind a prefix of the shortest length
+    # frequent tokens in a prefix: two for each of at most n / 16 parts beyond what is needed
+    often = F.when(F.col("rare") >= need, 0).otherwise(need - F.col("rare") + 2 + F.floor(F.col("n") / 8))
+    met = met.withColumns({"tail": tail, "often": often})
+
+    def side(name: str) -> DataFrame:
+        return met.select("meeting", "kind", *(["times"] if name == "a" else []), F.col("node").alias(name),
+                          F.struct("n", "limit", "part", "tail", "often").alias(f"of_{name}"))
+
+    x, y = F.col("of_a"), F.col("of_b")
+    least = F.ceil(join.percent * (x["n"] + y["n"]) / (100 + join.percent) - 1e-9)
+    pairs = side("a").join(side("b"), ["meeting", "kind"]).where(x["part"] < y["part"]) \
+        .where(100 * F.least(x["n"], y["n"]) >= join.percent * F.greatest(x["n"], y["n"])) \
+        .where((F.col("kind") == 0) | (x["n"] <= y["limit"]) & (y["n"] <= x["limit"])) \
+        .select("a", "b", "kind", "times", F.least(x["often"], y["often"]).alias("often"), least.alias("least"),
+                F.greatest(x["tail"], y["tail"]).alias("tails"), (F.greatest(x["n"], y["n"]) < join.long).alias("short")) \
+        .groupBy("a", "b", "often", "least", "tails", "short") \
+        .agg(F.sum(F.when(F.col("kind") == 0, F.col("times")).otherwise(0)).alias("c1"),
+             F.sum(F.when(F.col("kind") == 1, F.col("times")).otherwise(0)).alias("m")) \
+        .where(meet_bound(F.col("c1"), F.col("m"), F.col("often"), F.col("tails"), F.col("short")) >= F.col("least")) \
+        .select("a", "b")
 
     # 5. verification and components
     links = folded.union(join.verified(pairs, nodes))
@@ -374,9 +505,9 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS,
-                    percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+                    percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    rows, nodes = linked(Join(docs, id_col, text, width, percent, frequent))
+    rows, nodes = linked(Join(docs, id_col, text, width, percent, frequent, long))
     of_node = nodes.select(F.col("node").alias("n2"), "component_id")
     return rows.join(of_node, (F.col("node") == F.col("n2")) & (F.col("n") > 0), "left") \
         .select("doc_id", F.col("n").alias("n_shingles"),
@@ -384,11 +515,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS,
-                percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+                percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
     """The documents without near duplicates, columns as before: of each component one row with its smallest id
     stays (of nodes that share that id the smallest). Documents without tokens all stay."""
     node, keep_node, keep_id = (free_name(docs.columns, n) for n in ("node", "keep_node", "keep_id"))
-    _, nodes = linked(Join(docs, id_col, text, width, percent, frequent))
+    _, nodes = linked(Join(docs, id_col, text, width, percent, frequent, long))
     keep = nodes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("part") \
         .agg(F.min("node").alias(keep_node), F.first("component_id").alias(keep_id)).drop("part")
     at, schema = docs.columns.index(text), docs.schema

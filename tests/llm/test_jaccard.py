@@ -48,13 +48,81 @@ def families(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 24), (2, 2), (3, 0)])
-def test_components_equal_brute_force(make_docs, seed, frequent):
+@pytest.mark.parametrize("seed,frequent,long", [(1, 24, 512), (2, 2, 16), (3, 0, 32)])
+def test_components_equal_brute_force(make_docs, seed, frequent, long):
     texts = families(seed)
-    got = jaccard.near_duplicates(make_docs(texts, **CLASHES), frequent=frequent).collect()
+    got = jaccard.near_duplicates(make_docs(texts, **CLASHES), frequent=frequent, long=long).collect()
     assert sorted(map(tuple, got), key=str) == brute(list(range(len(texts))), texts)
 
 
+def linked(x, y):
+    common = len(np.intersect1d(x, y))
+    return 100 * common >= 75 * (len(x) + len(y) - common)
+
+
+@pytest.mark.parametrize("long", [16, 32, 64])
+def test_linked_sets_always_share_a_signature(long):
+    """Sets around every change of level, with classes of all shares: a rare token or a combination is in both, and
+    sets that share no rare token are within each other's size limits."""
+    r = np.random.default_rng(long)
+    met = kinds = 0
+    for _ in range(1500):
+        n = int(r.integers(2, 9 * long))
+        world = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        often = r.random(2 * n) < r.choice([0.3, 0.8, 0.95, 1.0])
+        base = np.arange(n)
+        x = np.unique(world[base])
+        keep = base[r.random(n) > r.choice([0.02, 0.1, 0.2, 0.25])]
+        y = np.unique(world[np.concatenate([keep, n + np.arange(int(r.integers(0, 2 + n // 8)))])])
+        if not len(y) or not linked(x, y) or len(x) == len(y) == len(np.intersect1d(x, y)):
+            continue
+        common = dict(zip(world.tolist(), often.tolist()))
+        (ra, ca), (rb, cb) = (jaccard.signatures(s, np.array([common[t] for t in s.tolist()]), 75, long) for s in (x, y))
+        share = len(np.intersect1d(ra, rb))
+        assert share or len(np.intersect1d(ca, cb)), (n, long)
+        if not share:
+            assert len(y) <= jaccard.size_limit(len(x), len(ra), 75) and len(x) <= jaccard.size_limit(len(y), len(rb), 75)
+            kinds += 1
+        met += 1
+    assert met > 200 and kinds > 20
+
+
+def test_signatures_of_long_sets_stay_in_proportion():
+    for n in (500, 511, 512, 2047, 2048, 20_000, 100_000, 400_000):
+        tokens = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        rare, combos = jaccard.signatures(tokens, np.ones(n, dtype=bool))
+        assert not len(rare) and len(combos) <= 24 * n, (n, len(combos))
+
+
+def test_combinations_of_three_are_all_there():
+    tokens = np.arange(3, 9, dtype=np.uint64)
+    assert len(np.unique(jaccard.combinations(tokens, 3))) == 20 and len(np.unique(jaccard.combinations(tokens))) == 15
+    assert not len(jaccard.combinations(tokens[:2], 3)) and not len(jaccard.combinations(tokens[:1]))
+
+
+def test_partners_within_a_group_keep_each_other():
+    token = np.array([1, 1, 1, 2, 2], dtype=np.uint64)
+    n, rare = np.array([100, 100, 88, 100, 100]), np.array([5, 20, 3, 20, 20])
+    kept = jaccard.supported(token, n, jaccard.size_limit(n, rare, 75))
+    assert kept.tolist() == [0, 2]                            # 20 rare ones of 100 ask for a partner of at most 86
+
+
+def test_documents_of_a_hundred_thousand_words(make_docs):
+    words = prose(5, 100_000, 50_000)
+    other = list(words)
+    for i in range(0, len(other), 45):
+        other[i] = f"changed{i}"
+    far = list(words)
+    for i in range(0, len(far), 12):
+        far[i] = f"far{i}"
+    texts = [" ".join(w) for w in (words, other, far)] + ["a short one of six words"]
+    want = brute(list(range(4)), texts)
+    assert [c for _, _, c in want] == [0, 0, 2, 3]
+    for frequent in (0, 24):                                  # every token frequent; every token rare
+        got = jaccard.near_duplicates(make_docs(texts), frequent=frequent).collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_edges_and_representatives(make_docs):
     docs = make_docs(EDGE_TEXTS, EDGE_IDS, **CLASHES)
     got = jaccard.near_duplicates(docs).collect()
