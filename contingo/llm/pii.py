@@ -12,11 +12,13 @@ size.  Each round can be undone, so the whole is a bijection of the format
 without any walking along cycles.  All of it is DataFrame functions.
 
 Kinds: e-mail addresses (the whole address gives a keyed name at a reserved
-domain), telephone numbers (national digits), card numbers (13 to 19 digits
+domain), telephone numbers (national digits, by country), card numbers (13 to 19 digits
 passing the Luhn check), social security numbers with valid groups, IPv4
 addresses, and dates from 1800 to 2199 (2024-05-31, 31.05.2024, 31/05/2024,
 and 05/31/2024 where the former is no date).  What looks alike but fails its
-validation stays as it is.
+validation stays as it is.  Telephone numbers and dates are permuted as values, not
+as texts: one number or day has one pseudonym in all its notations, and each is
+written in the notation of its place.
 
 Defined results: a null text stays null, an empty one empty; repeated rows,
 null ids and other columns are kept; an empty table gives an empty result.
@@ -40,6 +42,8 @@ KINDS = (
               r"|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"),
     ("card", r"(?<!\d)(?:\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)"),
 )
+#: Country calling codes of one and two digits; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
 PATTERN = "|".join(p for _, p in KINDS)
 #: 146,097 days are 400 years; 189 * 773.
 FIRST_DAY, DAYS_X, DAYS_Y = "1800-01-01", 189, 773
@@ -66,12 +70,13 @@ def power_of_ten(n: Column) -> Column:
     return F.rpad(F.lit("1"), n.cast("int") + 1, F.lit("0")).cast("long")
 
 
-def permuted_digits(digits: Column, key: str, kind: str) -> Column:
+def permuted_digits(digits: Column, key: str, kind: Column | str) -> Column:
     """A digit string of 2 to 36 digits for one of the same length."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     out = permuted(digits.substr(F.lit(1), half), digits.substr(half + 1, n - half),
-                   power_of_ten(half), power_of_ten(n - half), key, F.concat(F.lit(kind), n.cast("string")))
+                   power_of_ten(half), power_of_ten(n - half), key,
+                   F.concat(F.lit(kind) if isinstance(kind, str) else kind, n.cast("string")))
     text = F.transform(F.array(out), lambda s: F.concat(F.lpad(s["x"].cast("string"), half, F.lit("0")),
                                                         F.lpad(s["y"].cast("string"), n - half, F.lit("0"))))
     return text[0]
@@ -113,12 +118,16 @@ def card_pseudonym(value: Column, key: str) -> Column:
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
-    """The country code, if there is one, stays."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    rest = value.substr(F.length(code) + 1, F.length(value))
-    sign = F.when((code == "") & value.startswith("+"), F.lit("+")).otherwise(F.lit(""))
-    return F.concat(code, sign, put_digits(F.regexp_replace(rest, r"^\+", ""),
-                                           permuted_digits(only_digits(rest), key, "phone")))
+    """The country code stays, the national digits are permuted among those of the same country and length, so a
+    number keeps its pseudonym however it is written. A number without a code is of country 1. A number with a code
+    has 7 to 15 digits in all."""
+    digits = only_digits(value)
+    abroad = value.startswith("+")
+    code = F.when(abroad, F.regexp_extract(digits, COUNTRY, 0)).otherwise(F.lit(""))
+    national = digits.substr(F.length(code) + 1, F.length(digits))
+    kind = F.concat(F.lit("phone|"), F.when(abroad, code).otherwise(F.lit("1")), F.lit("|"))
+    fits = ~abroad | (code != "") & F.length(digits).between(7, 15) & (F.length(national) >= 4)
+    return F.when(fits, put_digits(value, F.concat(code, permuted_digits(national, key, kind))))
 
 
 def ip_pseudonym(value: Column, key: str) -> Column:
@@ -153,7 +162,7 @@ def date_pseudonym(value: Column, key: str) -> Column:
         return F.when(fits, new[0])
 
     return F.coalesce(one("yyyy-MM-dd", r"^\d{4}-", "date"), one("dd.MM.yyyy", r"^\d\d\.", "date"),
-                      one("dd/MM/yyyy", "^../", "date"), one("MM/dd/yyyy", "^../", "date-us"))
+                      one("dd/MM/yyyy", "^../", "date"), one("MM/dd/yyyy", "^../", "date"))
 
 
 def email_pseudonym(value: Column, key: str) -> Column:

@@ -64,3 +64,24 @@ def test_edges_and_native_plan(make_docs):
 def test_counts(make_docs, spark):
     found = pii.find_and_replace(make_docs(["a@b.example 10.0.0.1 10.0.0.2"]), "k").collect()[0].pii_found
     assert [f.kind for f in found] == ["email", "ip", "ip"]
+
+
+def test_one_number_or_day_in_any_notation(make_docs):
+    texts = ["+49 170 1234567", "+491701234567", "+49-170 1234567", "+44 170 1234567", "+1 (212) 555-7713", "(212) 555-7713",
+             "212-555-7713", "212.555.7714", "+0 170 1234567", "1999-12-31", "31.12.1999", "31/12/1999", "12/31/1999"]
+    got = replaced(make_docs, texts)
+    digits = [re.sub(r"\D", "", got[i]) for i in range(len(texts))]
+    assert digits[0] == digits[1] == digits[2] and digits[0].startswith("49") and digits[0] != "491701234567"
+    assert digits[3].startswith("44") and digits[3][2:] != digits[0][2:]
+    assert digits[4] == "1" + digits[5] and digits[5] == digits[6] != digits[7]
+    assert got[8] == texts[8]
+    for i, t in enumerate(texts[:8]):
+        assert re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", t)
+    y, m, d = got[9].split("-")
+    assert (got[10], got[11], got[12]) == (f"{d}.{m}.{y}", f"{d}/{m}/{y}", f"{m}/{d}/{y}")
+
+
+def test_national_numbers_stay_different(spark):
+    rows = spark.sql("select concat('+4917', lpad(cast(id as string), 7, '0')) p from range(3000)")
+    out = [r[0] for r in rows.select(pii.phone_pseudonym(F.col("p"), "k")).collect()]
+    assert len(set(out)) == 3000 and all(re.fullmatch(r"\+49\d{9}", p) for p in out)
