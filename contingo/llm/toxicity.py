@@ -8,13 +8,14 @@ weight, (1 + ln count) * idf * emphasis, where the emphasis is FLOOR for terms
 that say nothing and rises with how much a term speaks for toxicity (its
 shrunk log ratio).  Terms that no example holds have no weight.
 
-The index has for each term its examples in ascending order.  Examples are
-cut into blocks of BLOCK; for terms in more than a share of 1 / OFTEN of the
-examples it has each block's largest weight.  A search adds up the rarer
-terms, bounds what the frequent ones can add (by the blocks' largest weights
-and by the norms of both sides), visits blocks in descending order of their
-bound and ends when no bound reaches the k-th best cosine, so its neighbours
-are exact.  The neighbours vote with their cosines; votes are calibrated on
+The index has for each term its examples in ascending order and its largest
+weight.  Examples are ordered by the sum of their weights and cut into blocks
+of BLOCK; for terms in more than a share of 1 / OFTEN of the examples it has
+each block's largest weight.  A search adds up the terms that can add most and
+leaves out those with many examples that can add little together; it bounds
+these by the largest weights (of blocks where known) and by their norm, visits
+examples in descending order of their bound and ends when no bound reaches the
+k-th best cosine, so its neighbours are exact.  The neighbours vote with their cosines; votes are calibrated on
 the examples themselves, each without its own vote (isotonic rates).
 
 Defined results: a text without any known term (also null or empty) has no
@@ -27,7 +28,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +45,13 @@ SAMPLE_ROWS = 20_000
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms in more than one of so many examples are frequent.
-OFTEN = 12
+OFTEN = 200
+#: Postings added up before the k-th sum is first known, and the share of it that the terms left out may add.
+FIRST_POSTINGS, LEFT = 15_000, 0.4
 #: Emphasis of a term that says nothing about toxicity, and rows that its ratio is shrunk by.
 FLOOR, SHRINK = 0.02, 5.0
-#: Words whose terms a worker keeps.
-CACHE_WORDS = 200_000
+#: Bytes of texts whose words are looked up at once.
+RUN_BYTES = 1 << 22
 #: Weight of the examples' overall rate in a vote.
 PRIOR = 0.05
 
@@ -59,12 +61,31 @@ def word_terms(word: bytes) -> list[bytes]:
     return [word, *(b"^" + u[:size].encode() for size in (3, 4, 5) if len(u) > size)]
 
 
-def terms(text: bytes | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(alnum_words(text)).items():
-        for t in word_terms(w):
-            out[t] += n
-    return out
+def text_terms(run: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the texts' terms, and for each text the places of its words' terms there (as often as they occur)."""
+    words: dict[bytes, int] = {}
+    own = [np.array([words.setdefault(w, len(words)) for w in alnum_words(t)], dtype=np.int64) for t in run]
+    names: dict[bytes, int] = {}
+    places, size = [], np.zeros(len(words), dtype=np.int64)
+    for i, w in enumerate(words):
+        found = word_terms(w)
+        size[i] = len(found)
+        places += [names.setdefault(t, len(names)) for t in found]
+    flat, start = np.array(places, dtype=np.int64), np.cumsum(size) - size
+    hashes = word_hashes(list(names)) if names else np.zeros(0, dtype=np.uint64)
+    return hashes, [flat[ragged(start[o], size[o])] for o in own]
+
+
+def runs(every: list[bytes | None]) -> Iterator[slice]:
+    """Runs of the texts of about RUN_BYTES."""
+    first = size = 0
+    for i, t in enumerate(every):
+        size += len(t or b"")
+        if size >= RUN_BYTES:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(every):
+        yield slice(first, len(every))
 
 
 class BlockMaxIndex:
@@ -82,25 +103,32 @@ class BlockMaxIndex:
         return out
 
     def build(self, starts: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.starts, self.term, self.own = starts, term, weight
         self.n, self.blocks = len(starts) - 1, -(-(len(starts) - 1) // BLOCK)
         self.n_terms = int(term.max()) + 1 if len(term) else 0
         example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
-        held = np.bincount(term, minlength=self.n_terms)
-        often = held > self.n / OFTEN
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]           # examples by term
+        self.size = np.bincount(term, minlength=self.n_terms)
+        self.start = np.cumsum(self.size) - self.size
+        self.largest = np.zeros(self.n_terms, dtype=np.float32)
+        np.maximum.at(self.largest, term, weight)
+        often = self.size > self.n / OFTEN
         self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)      # of a frequent term
         common = often[term]
-        # rarer terms: examples by term
-        order = np.argsort(term[~common], kind="stable")
-        self.example, self.weight = example[~common][order], weight[~common][order]
-        self.size = np.where(often, 0, held)
-        self.start = np.cumsum(self.size) - self.size
-        # frequent terms: by example, and the largest weight of each block
-        self.common_row, self.common_weight = self.row[term[common]], weight[common]
-        size = np.bincount(example[common], minlength=self.n)
-        self.common_size, self.common_start = size, np.cumsum(size) - size
-        self.norm = np.sqrt(np.bincount(example[common], self.common_weight.astype(float) ** 2, minlength=self.n))
-        self.most = np.zeros((int(often.sum()), self.blocks), dtype=np.float32)
-        np.maximum.at(self.most, (self.common_row, example[common] // BLOCK), self.common_weight)
+        self.most = np.zeros((int(often.sum()), self.blocks), dtype=np.float32)    # its largest weight in each block
+        np.maximum.at(self.most, (self.row[term[common]], example[common] // BLOCK), weight[common])
+        self.usual = self.largest.copy()
+        if self.blocks:
+            self.usual[often] = self.most.mean(axis=1)
+        self.asked = np.zeros(self.n_terms, dtype=np.float32)
+
+    def added(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What these terms add to each example's cosine."""
+        size = self.size[term]
+        at = ragged(self.start[term], size)
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(w.astype(np.float32), size),
+                           minlength=self.n).astype(float)
 
     def search(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int,
                without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -112,37 +140,52 @@ class BlockMaxIndex:
         best_e, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(term):
             return best_e, best_s
-        size = self.size[term]
-        at = ragged(self.start[term], size)
-        sums = np.bincount(self.example[at], self.weight[at] * np.repeat(w, size), minlength=self.n).astype(float)
-        common = self.row[term] >= 0
-        rows, own = self.row[term[common]], w[common]
-        more = np.repeat(own.astype(np.float32) @ self.most[rows], BLOCK)[:self.n]
-        bound = sums + np.minimum(more, np.sqrt(own @ own) * self.norm) + 1e-6 * (sums + more)
+
+        def kth(sums: np.ndarray) -> float:
+            if 0 <= without < self.n:
+                sums[without] = 0
+            return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
+
+        # terms that can add most come first; what the others can add together must stay well below the k-th sum
+        most = w * self.largest[term]
+        order = np.argsort(-most, kind="stable")
+        first = 1 + int(np.searchsorted(np.cumsum(self.size[term[order]]), FIRST_POSTINGS))
+        sums = self.added(term[order[:first]], w[order[:first]])
+        order = order[first:]
+        usual = w[order] * self.usual[term[order]]
+        order = order[np.argsort(usual / self.size[term[order]], kind="stable")]
+        left = int(np.searchsorted(np.cumsum(w[order] * self.usual[term[order]]), LEFT * kth(sums)))
+        rest, order = order[:left], order[left:]
+        if len(order):
+            sums += self.added(term[order], w[order])
+        least = kth(sums) * (1 - 1e-5)
+        row, own = self.row[term[rest]], w[rest]
+        common = row >= 0
+        more = own[common].astype(np.float32) @ self.most[row[common]] + most[rest][~common].sum()
+        more = np.minimum(more, np.sqrt(own @ own)) * (1 + 1e-5)
+        bound = sums + np.repeat(more, BLOCK)[:self.n]
         if 0 <= without < self.n:
             bound[without] = 0
-        highest = np.maximum.reduceat(bound, np.arange(0, self.n, BLOCK))
-        dense = np.zeros(len(self.most))
-        dense[rows] = own
-        visit = np.argsort(-highest, kind="stable")
-        done, step = 0, 2
+        visit = np.flatnonzero((bound > 0) & (bound >= least))
+        visit = visit[np.argsort(-bound[visit], kind="stable")]
+        self.asked[term[rest]] = own
+        done, step = 0, 2 * k
         while done < len(visit):
-            least = best_s[-1] if len(best_s) == k else 0.0
-            group = visit[done:done + step]
-            group = group[(highest[group] > 0) & (highest[group] >= least)]
-            if not len(group):
+            if len(best_s) == k:
+                least = max(least, best_s[-1] * (1 - 1e-5))
+            e = visit[done:done + step]
+            e = np.sort(e[bound[e] >= least])
+            if not len(e):
                 break
             done, step = done + step, 2 * step
-            e = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            e = np.sort(e[e < self.n])
-            e = e[(bound[e] > 0) & (bound[e] >= least)]
-            size = self.common_size[e]
-            at = ragged(self.common_start[e], size)
-            s = sums[e] + np.bincount(np.repeat(np.arange(len(e)), size), dense[self.common_row[at]] * self.common_weight[at],
+            size = self.starts[e + 1] - self.starts[e]
+            at = ragged(self.starts[e], size)
+            s = sums[e] + np.bincount(np.repeat(np.arange(len(e)), size), self.asked[self.term[at]] * self.own[at],
                                       minlength=len(e))
             e, s = np.concatenate([best_e, e[s > 0]]), np.concatenate([best_s, s[s > 0]])
             order = np.lexsort((e, -s))[:k]
             best_e, best_s = e[order], s[order]
+        self.asked[term[rest]] = 0
         return best_e, best_s
 
 
@@ -168,33 +211,21 @@ class Vocabulary:
         rate = (total1 + 0.5) / (total0 + total1 + 1)
         ratio = (n1 + SHRINK * rate) / (n0 + n1 + SHRINK) / rate
         self.weights = (idf * (FLOOR + np.maximum(np.log(ratio), 0) ** 2)).astype(np.float32)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def numbers(self, word: bytes) -> np.ndarray:
-        """Of a word's known terms."""
-        found = self.cache.get(word)
-        if found is None:
-            hashes = word_hashes(word_terms(word))
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            found = at[self.hashes[at] == hashes]
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending term numbers and weights of norm 1."""
-        words = Counter(alnum_words(text))
-        if not words or not len(self.hashes):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        found = [self.numbers(w) for w in words]
-        every = np.concatenate(found)
-        term, at = np.unique(every, return_inverse=True)
-        if not len(term):
-            return term, np.zeros(0)
-        n = np.bincount(at, np.repeat(list(words.values()), [len(f) for f in found]))
-        weight = (1 + np.log(n)) * self.weights[term]
-        return term, weight / np.sqrt(weight @ weight)
+
+    def vectors(self, run: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text: ascending term numbers and weights of norm 1."""
+        if not len(self.hashes):
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in run]
+        hashes, places = text_terms(run)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        number = np.where(self.hashes[at] == hashes, at, -1)
+        out = []
+        for own in places:
+            found = number[own]
+            term, n = np.unique(found[found >= 0], return_counts=True)
+            weight = (1 + np.log(n)) * self.weights[term]
+            out.append((term, weight / np.sqrt(weight @ weight) if len(term) else weight))
+        return out
 
 
 class Model:
@@ -220,9 +251,9 @@ class Model:
         at = slice(self.starts[i], self.starts[i + 1])
         return self.vote(*self.nearest((self.term[at].astype(np.int64), self.weight[at].astype(float)), i))
 
-    def score(self, text: bytes | None, knots: np.ndarray,
+    def score(self, vector: tuple[np.ndarray, np.ndarray], knots: np.ndarray,
               rates: np.ndarray) -> tuple[float, list[tuple[int | None, float]]]:
-        found, cosines = self.nearest(self.words.vector(text))
+        found, cosines = self.nearest(vector)
         if not len(found):
             return self.none, []
         vote = self.vote(found, cosines)
@@ -238,28 +269,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
         .select("doc_id", "text", "toxic")                   # at most sample_rows ids are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        size = [0, 0]
-
-        def found() -> pa.RecordBatch:
-            every = list(seen[0].keys() | seen[1].keys())
-            out = pa.RecordBatch.from_pydict(
-                {"term": pa.array([*word_hashes(every).view(np.int64).tolist(), None], type=pa.int64()),
-                 "n0": pa.array([*(seen[0][t] for t in every), size[0]], type=pa.int64()),
-                 "n1": pa.array([*(seen[1][t] for t in every), size[1]], type=pa.int64())})
-            for c in seen:
-                c.clear()
-            size[:] = 0, 0
-            return out
-
         for batch in batches:
-            for t, toxic in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
-                seen[toxic].update(terms(t).keys())
-                size[toxic] += 1
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield found()
-        if size[0] or size[1]:
-            yield found()
+            every, toxic = texts(batch.column(1)), np.array(batch.column(2), dtype=np.int64)
+            for run in runs(every):
+                hashes, places = text_terms(every[run])
+                n = np.zeros((2, len(hashes) + 1), dtype=np.int64)           # the last column: rows
+                for own, y in zip(places, toxic[run].tolist()):
+                    n[y, np.unique(own)] += 1
+                    n[y, -1] += 1
+                yield pa.RecordBatch.from_pydict(
+                    {"term": pa.array([*hashes.view(np.int64).tolist(), None], type=pa.int64()),
+                     "n0": pa.array(n[0]), "n1": pa.array(n[1])})
 
     counts = rows.mapInArrow(count, "term long, n0 long, n1 long").groupBy("term") \
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()     # the terms of at most sample_rows rows
@@ -271,7 +291,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shared.value.vector(x) for x in texts(batch.column(1))]
+            every = texts(batch.column(1))
+            own = [v for run in runs(every) for v in shared.value.vectors(every[run])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2),
                  pa.array([t.astype(np.int32).tobytes() for t, _ in own], type=pa.binary()),
@@ -281,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(examples, f"doc_id {kind}, toxic int, terms binary, weights binary").toArrow().to_pydict()
     vectors = sorted(zip(got["doc_id"], got["toxic"], got["terms"], got["weights"]),
-                     key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[2], r[3]))
+                     key=lambda r: (-np.frombuffer(r[3], dtype=np.float32).sum(), zlib.crc32(str(r[0]).encode()), str(r[0]), r[2], r[3]))
     none = [r[1] for r in vectors if not r[2]]
     vectors = [r for r in vectors if r[2]]
     return Model(words, [r[0] for r in vectors], [r[1] for r in vectors],
@@ -321,7 +342,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.score(t, knots, rates) for t in texts(batch.column(1))]
+            every = texts(batch.column(1))
+            found = [model.score(v, knots, rates) for run in runs(every) for v in model.words.vectors(every[run])]
             ids = batch.column(0)
             held_out = [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids.to_pylist()]
             kind = pa.list_(pa.struct([("doc_id", ids.type), ("cosine", pa.float64())]))

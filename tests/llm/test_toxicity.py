@@ -22,6 +22,43 @@ def test_search_equals_brute_force():
         assert np.allclose(sims[e], s)
 
 
+def brute(vectors, q):
+    return np.array([sum(w * v.get(k, 0) for k, w in q.items()) for v in vectors])
+
+
+def test_search_leaves_terms_out_and_stays_exact(monkeypatch):
+    """Few postings first, small blocks, terms of very unlike weight: most terms are bounded, not added."""
+    monkeypatch.setattr(t, "FIRST_POSTINGS", 60)
+    monkeypatch.setattr(t, "BLOCK", 16)
+    for often, seed in ((200, 1), (6, 2), (1, 3)):
+        monkeypatch.setattr(t, "OFTEN", often)
+        r = random.Random(seed)
+        vectors = []
+        for _ in range(700):
+            v = {min(299, int(r.expovariate(0.02))): r.random() ** 6 + 1e-3 for _ in range(r.randrange(1, 30))}
+            norm = sum(w * w for w in v.values()) ** 0.5
+            vectors.append({k: float(np.float32(w / norm)) for k, w in v.items()})
+        vectors[10:14] = [dict(vectors[5]) for _ in range(4)]                # ties
+        index = t.BlockMaxIndex(vectors)
+        for i, q in enumerate(vectors[:80]):
+            for without in (-1, i):
+                sims = brute(vectors, q)
+                if without >= 0:
+                    sims[without] = 0
+                e, s = index.search(q, 10, without)
+                assert np.allclose(s, np.sort(sims[sims > 0])[::-1][:10], atol=1e-5)
+                assert np.allclose(sims[e], s, atol=1e-5) and without not in e.tolist() and len(set(e.tolist())) == len(e)
+
+
+def test_terms_of_a_run_equal_those_of_each_text():
+    every = [b"Trash trashy trash", None, b"", "Über über-all".encode(), b"a b a"]
+    hashes, places = t.text_terms(every)
+    for text, own in zip(every, places):
+        want = sorted(h for w in t.alnum_words(text) for h in t.word_hashes(t.word_terms(w)).tolist())
+        assert sorted(hashes[own].tolist()) == want
+    assert [x for r in t.runs(every) for x in every[r]] == every and list(t.runs([])) == []
+
+
 def test_isotonic_is_monotone_and_pools():
     knots, rates = t.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
     assert list(knots) == [1, 3, 4] and (np.diff(rates) >= 0).all()
@@ -79,7 +116,7 @@ def test_rare_toxic_words_and_every_row_count(spark, make_docs):
     labels = spark.createDataFrame([(i, 1, x) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int")
     model = t.learn(make_docs(texts), labels, folds=1, held=1)
     assert sorted(model.ids) == list(range(300))            # rows without a toxic term are examples too
-    assert all(len(model.words.numbers(f"w{j}".encode())) for j in range(200))
+    assert all(len(term) for term, _ in model.words.vectors([f"w{j}".encode() for j in range(200)]))
     got = {r.doc_id: r for r in t.score(make_docs(texts), labels, folds=1, held=1).collect()}
     assert all(len(r.evidence) == t.NEIGHBOURS for r in got.values())
     assert all({e.doc_id for e in got[i].evidence[:3]} == {j for j in range(300) if f"zq{i // 9}bad" in texts[j]}
