@@ -310,17 +310,18 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         table, weights = shared.value
         every = [space_words(t) for t in (texts(left.column("text").combine_chunks()) if left.num_rows else [])]
-        place = dict(zip(texts(right.column("word").combine_chunks()), range(right.num_rows))) if right.num_rows else {}
+        listed = texts(right.column("word").combine_chunks()) if right.num_rows else []
+        place = {w: i for i, w in enumerate(listed)}          # a word that is handed on twice is listed twice
         c = right.column("c").to_numpy().astype(np.float64)
         p = right.column("logp").to_numpy()
-        n = len(place)
+        unseen: dict[bytes, int] = {}                         # words of held-out documents only
         for words in every:
             for w in words:
                 if w not in place:
-                    place[w] = len(place)
-        if len(place) > n:                                    # words of held-out documents only
-            p = np.concatenate([p, Lattice(table).log10(list(place)[n:], weights)])
-            c = np.concatenate([c, np.zeros(len(place) - n)])
+                    unseen[w] = place[w] = len(listed) + len(unseen)
+        if unseen:
+            p = np.concatenate([p, Lattice(table).log10(list(unseen), weights)])
+            c = np.concatenate([c, np.zeros(len(unseen))])
         p = word_log(c, p, n_train, n_types - (n_ends > 0))
         c, p = np.append(c, n_ends), np.append(p, np.log(max(n_ends, 1) / max(n_train, 2)))
         base = np.log10((c + 0.1) / floor)

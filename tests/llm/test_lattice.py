@@ -79,6 +79,19 @@ def test_base_counts_equal_brute_force(make_docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_words_handed_on_twice_count_once(make_docs, monkeypatch):
+    monkeypatch.setattr(m, "HELD_WORDS", 100)
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10][:1200]
+    texts = [" ".join(prose(i, 40, 60)) for i in train] + [" ".join(prose(i, 20, 60)) + f" new{i} other{i}" for i in held]
+    got = m.score(make_docs(texts, train + held).coalesce(1), m.default_pieces()).where("held_out").collect()
+    tokens = {i: t.split() + [None] for i, t in zip(train + held, texts)}
+    c = Counter(w for i in train for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    assert sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in got) == \
+        [(i, 21, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[i]), 6)) for i in held]
+
+
 def test_probabilities_of_words_sum_to_at_most_one(small):
     pieces, lattice, logp = small
     words = [bytes([a]) for a in range(33, 127)] + [bytes([a, b]) for a in range(33, 127) for b in range(33, 127)]
