@@ -202,6 +202,45 @@ def test_null_p_has_no_label(spark):
         None, None, "Remains Significant", "Now Significant", "No Longer Significant", "Never Significant"]
 
 
+def _plan(df, which="optimizedPlan"):
+    return str(getattr(df._jdf.queryExecution(), which)().toString())
+
+
+def test_sweep_by_id_makes_its_arrays_once(spark):
+    df = spark.range(3).select("id", F.col("id").cast("string").alias("x"), F.array(F.lit("m")).alias("m"))
+    plan = _plan(contingency_sweep_by_id(df, [("x", "X"), ("m", "M")], [("x", "P")]))
+    assert "lambda" not in plan and not [x for x in plan.splitlines() if "Filter" in x and "array(" in x]
+
+
+def test_null_baseline_reads_its_cohort_once(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3, "r")], "k long, t long, d long, reason string").write.parquet(f"{tmp_path}/c")
+    members = spark.createDataFrame([(2, 3, [1])], "t long, d long, bits array<long>")
+    out = null_baseline(spark.read.parquet(f"{tmp_path}/c"), ["k", "t", "d"], ["t", "d"], "reason", "reason", members)
+    assert _plan(out, "sparkPlan").count("FileScan") == 1
+    assert [(r["seed"], r["a"], r["total"]) for r in out.collect()] == [(0, 1, 1)]
+
+
+def test_entities_are_dealt_once_for_orders_and_once_for_parts(spark):
+    from contingo.operators.cohort import assemble_cohort
+    row = spark.createDataFrame([(1, 2, 3, "F")], "o long, p long, s long, flag string")
+    one, two, three = row.select("o", F.lit(1).alias("x")), row.select("p", "s", F.lit(2).alias("y")), row.select("p", F.lit(3).alias("z"))
+    flags = {"flag": F.col("flag")}
+    out = assemble_cohort(row, ["o", "p", "s"], [(one, ["o"]), (two, ["p", "s"]), (three, ["p"])], flags=flags,
+                          flag_values={"flag": ["F"]}, one_row=True)
+    dealt = [x for x in _plan(out).splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) == 3 and not [x for x in dealt if "[p#" not in x and "[o#" not in x]
+    assert [(r["flag"], r["x"], r["y"], r["z"]) for r in out.collect()] == [(["F"], 1, 2, 3)]
+
+
+def test_events_and_images_are_made_in_a_stated_number_of_tasks(spark):
+    from contingo.operators.baseline import member_bits
+    from contingo.plans.enrichment import _lineitem_orders
+    bits = member_bits(spark.range(9).select(F.col("id").alias("t"), F.col("id").alias("d")), spark.range(9).toDF("t"),
+                       spark.range(9).toDF("d"), ["t", "d"], 3)
+    assert "REPARTITION_BY_NUM" in _plan(bits, "executedPlan")
+    assert "REPARTITION_BY_NUM" in _plan(_lineitem_orders(spark, "/root/testdata/sf0.001"), "executedPlan")
+
+
 def test_enrich_end_to_end(spark):
     from contingo.operators.enrich import enrich
     from contingo.operators.stats import bh_adjust, with_fisher_and_or
