@@ -121,7 +121,7 @@ class Lattice:
             go = at + depth < stop[at]
             at, node = at[go], node[go]
         start, end, piece = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
-        order = np.lexsort((end, end - begin[start]))
+        order = np.argsort((end - begin[start]) * (len(buf) + 1) + end)
         return ends - lens, ends, begin, start[order], end[order], piece[order]
 
     def forward(self, laid, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +150,9 @@ class Lattice:
         beta = np.full(len(alpha), -np.inf)
         beta[last + np.arange(len(first))] = 0
         a, b, w = start + word[start], end + word[start], logp[piece]
-        order = np.lexsort((a, -(start - begin[start])))      # from the words' ends towards their starts
-        a, b, w = a[order], b[order], w[order]
-        back = (start - begin[start])[order]
+        back = start - begin[start]
+        order = np.argsort((back.max() - back) * len(alpha) + a)   # from the words' ends towards their starts
+        a, b, w, back = a[order], b[order], w[order], back[order]
         edges = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1], [True]]))
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
             value, target = beta[b[i:j]] + w[i:j], a[i:j]
@@ -170,6 +170,19 @@ class Lattice:
         return np.concatenate(out) / np.log(10) if out else np.zeros(0)
 
 
+class Numbers(dict):
+    """The numbers of listed words (the last one of a word listed twice); others get the numbers after these."""
+
+    def __init__(self, listed: list[bytes]):
+        super().__init__(zip(listed, range(len(listed))))
+        self.listed, self.others = len(listed), []
+
+    def __missing__(self, word: bytes) -> int:
+        self.others.append(word)
+        n = self[word] = self.listed + len(self.others) - 1
+        return n
+
+
 def parts(words: list[bytes]) -> Iterator[tuple[int, int]]:
     """Runs of words of about LATTICE_BYTES; a longer word is a run of its own."""
     first = size = 0
@@ -215,12 +228,13 @@ def learn(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, rounds: i
     """Natural-log weights of the pieces after some rounds of expected counts over the distinct words."""
     spark = counts.sparkSession
     words = counts.where("word <> ''").select("word")
+    laid = Lattice(pieces)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((pieces, np.log(weights)))
+        shared = spark.sparkContext.broadcast((laid, np.log(weights)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, logp = shared.value
-            lattice, total = Lattice(table), np.zeros(len(table))
+            lattice, logp = shared.value
+            total = np.zeros(lattice.n)
             for batch in batches:
                 every = texts(batch.column(0))
                 for i, j in parts(every):
@@ -265,11 +279,10 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
     n_train, n_types, n_ends = sums.n or 0, sums.v or 0, sums.docs or 0
     pieces, scores = vocabulary_scores(vocabulary)
     logp = learn(counts, pieces, first_weights(scores))
-    shared = spark.sparkContext.broadcast((pieces, logp))     # bounded by the vocabulary file
+    shared = spark.sparkContext.broadcast((Lattice(pieces), logp))     # bounded by the vocabulary file
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights = shared.value
-        lattice = Lattice(table)
+        lattice, weights = shared.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lattice.log10(texts(batch.column(0)), weights), type=pa.float64())],
@@ -308,24 +321,19 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
     floor = n_train + 0.1 * (n_types + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, weights = shared.value
+        lattice, weights = shared.value
         every = [space_words(t) for t in (texts(left.column("text").combine_chunks()) if left.num_rows else [])]
-        listed = texts(right.column("word").combine_chunks()) if right.num_rows else []
-        place = {w: i for i, w in enumerate(listed)}          # a word that is handed on twice is listed twice
+        place = Numbers(texts(right.column("word").combine_chunks()) if right.num_rows else [])
+        numbers = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in every]
         c = right.column("c").to_numpy().astype(np.float64)
         p = right.column("logp").to_numpy()
-        unseen: dict[bytes, int] = {}                         # words of held-out documents only
-        for words in every:
-            for w in words:
-                if w not in place:
-                    unseen[w] = place[w] = len(listed) + len(unseen)
-        if unseen:
-            p = np.concatenate([p, Lattice(table).log10(list(unseen), weights)])
-            c = np.concatenate([c, np.zeros(len(unseen))])
+        if place.others:                                      # words of held-out documents only
+            p = np.concatenate([p, lattice.log10(place.others, weights)])
+            c = np.concatenate([c, np.zeros(len(place.others))])
         p = word_log(c, p, n_train, n_types - (n_ends > 0))
         c, p = np.append(c, n_ends), np.append(p, np.log(max(n_ends, 1) / max(n_train, 2)))
         base = np.log10((c + 0.1) / floor)
-        rows = [np.array([place[w] for w in words] + [len(c) - 1], dtype=np.int64) for words in every]
+        rows = [np.append(r, len(c) - 1) for r in numbers]
         ids = left.column("doc_id").to_pylist()
         return pa.table({
             "doc_id": pa.array(ids, type=pa.int64()),
