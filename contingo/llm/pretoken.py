@@ -32,9 +32,12 @@ HASH_AT_ONCE = 100_000
 def char_classes() -> np.ndarray:
     """Class of every code point."""
     out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        out[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, len(out))])
+    every, kinds = points.astype("<u4").tobytes().decode("utf-32-le"), np.zeros(len(points), dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for run in regex.finditer(pattern, every):       # a few thousand runs, not a million characters
+            kinds[run.start():run.end()] = kind
+    out[points] = kinds
     return out
 
 
@@ -192,7 +195,7 @@ class IdCache:
             order = np.argsort(keys, kind="stable")
             self.keys, self.checks, self.start, self.len = keys[order], checks[order], start[order], every[order]
             self.flat = np.concatenate([self.flat, flat])
-        at = np.searchsorted(self.keys, words.keys)
+            at = np.searchsorted(self.keys, words.keys)
         return self.start[at], self.len[at]
 
 
