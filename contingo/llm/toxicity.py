@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from contingo.llm.cluster import small_batches
 from contingo.llm.pretoken import ragged
-from contingo.llm.words import alnum_words, texts, word_hashes
+from contingo.llm.words import alnum_words, hash_spans, texts, word_hashes
 
 #: Bound on the labelled rows that are learned from (a parameter of ``score``).
 SAMPLE_ROWS = 20_000
@@ -61,18 +61,42 @@ def word_terms(word: bytes) -> list[bytes]:
     return [word, *(b"^" + u[:size].encode() for size in (3, 4, 5) if len(u) > size)]
 
 
+def term_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' terms, word by word, and how many each word has."""
+    buf = np.frombuffer(b"".join(b"^" + w for w in words), dtype=np.uint8)
+    lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lens + 1)
+    starts = ends - lens                                     # behind the sign
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)              # the signs and the first bytes of characters
+    sign = np.searchsorted(lead, starts - 1)
+    after = np.append(lead, len(buf))
+    chars = np.diff(sign, append=len(lead)) - 1
+    hashes, holder = [hash_spans(buf, starts, ends)], [np.arange(len(words))]
+    for size in (3, 4, 5):
+        own = np.flatnonzero(chars > size)
+        if len(own):
+            hashes.append(hash_spans(buf, starts[own] - 1, after[sign[own] + 1 + size]))
+            holder.append(own)
+    every = np.concatenate(holder)
+    return np.concatenate(hashes)[np.argsort(every, kind="stable")], np.bincount(every, minlength=len(words))
+
+
 def text_terms(run: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hashes of the texts' terms, and for each text the places of its words' terms there (as often as they occur)."""
     words: dict[bytes, int] = {}
     own = [np.array([words.setdefault(w, len(words)) for w in alnum_words(t)], dtype=np.int64) for t in run]
-    names: dict[bytes, int] = {}
-    places, size = [], np.zeros(len(words), dtype=np.int64)
-    for i, w in enumerate(words):
-        found = word_terms(w)
-        size[i] = len(found)
-        places += [names.setdefault(t, len(names)) for t in found]
-    flat, start = np.array(places, dtype=np.int64), np.cumsum(size) - size
-    hashes = word_hashes(list(names)) if names else np.zeros(0, dtype=np.uint64)
+    if not words:
+        return np.zeros(0, dtype=np.uint64), own
+    every = list(words)
+    try:
+        b" ".join(every).decode()
+        found, size = term_hashes(every)
+    except UnicodeDecodeError:                               # characters that are cut short have no part in beginnings
+        terms = [word_terms(w) for w in every]
+        found = word_hashes([t for part in terms for t in part])
+        size = np.array([len(part) for part in terms], dtype=np.int64)
+    hashes, flat = np.unique(found, return_inverse=True)
+    start = np.cumsum(size) - size
     return hashes, [flat[ragged(start[o], size[o])] for o in own]
 
 
@@ -88,6 +112,19 @@ def runs(every: list[bytes | None]) -> Iterator[slice]:
         yield slice(first, len(every))
 
 
+def joined(starts: np.ndarray, size: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """Of each array the stretches of these starts and sizes, one after another."""
+    stretches = [slice(a, b) for a, b in zip(starts.tolist(), (starts + size).tolist())]
+    return [np.concatenate([x[s] for s in stretches]) if stretches else x[:0] for x in arrays]
+
+
+def by_value(x: np.ndarray) -> np.ndarray:
+    """The stable order of fewer than 2^31 values from 0 to 2^31 - 1, by halves of 16 bits (both sorted by radix)."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
+    upper = np.argsort((x >> 16).astype(np.uint16)[order], kind="stable").astype(np.int32)
+    return order[upper]
+
+
 class BlockMaxIndex:
     """Examples as sparse vectors {term: weight}, numbered from 0."""
 
@@ -106,18 +143,27 @@ class BlockMaxIndex:
         self.starts, self.term, self.own = starts, term, weight
         self.n, self.blocks = len(starts) - 1, -(-(len(starts) - 1) // BLOCK)
         self.n_terms = int(term.max()) + 1 if len(term) else 0
-        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
-        order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order], weight[order]           # examples by term
         self.size = np.bincount(term, minlength=self.n_terms)
         self.start = np.cumsum(self.size) - self.size
+        order = by_value(term)
+        self.weight = weight[order]                                         # by term
+        self.example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order]
+        del order
         self.largest = np.zeros(self.n_terms, dtype=np.float32)
-        np.maximum.at(self.largest, term, weight)
-        often = self.size > self.n / OFTEN
-        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)      # of a frequent term
-        common = often[term]
-        self.most = np.zeros((int(often.sum()), self.blocks), dtype=np.float32)    # its largest weight in each block
-        np.maximum.at(self.most, (self.row[term[common]], example[common] // BLOCK), weight[common])
+        held = self.size > 0
+        if held.any():
+            self.largest[held] = np.maximum.reduceat(self.weight, self.start[held])
+        often = np.flatnonzero(self.size > self.n / OFTEN)
+        self.row = np.full(self.n_terms, -1, dtype=np.int32)                       # of a frequent term
+        self.row[often] = np.arange(len(often))
+        self.most = np.zeros((len(often), self.blocks), dtype=np.float32)          # its largest weight in each block
+        for i in range(0, len(often), 64):
+            some = often[i:i + 64]
+            example, weight = joined(self.start[some], self.size[some], self.example, self.weight)
+            cell = np.repeat(np.arange(len(some)), self.size[some]) * self.blocks + example // BLOCK
+            new = np.flatnonzero(np.diff(cell, prepend=-1))                        # cells ascend
+            self.most[i:i + 64].reshape(-1)[cell[new]] = np.maximum.reduceat(weight, new)
+        self.firsts = np.arange(0, self.n, BLOCK)
         self.usual = self.largest.copy()
         if self.blocks:
             self.usual[often] = self.most.mean(axis=1)
@@ -126,9 +172,9 @@ class BlockMaxIndex:
     def added(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What these terms add to each example's cosine."""
         size = self.size[term]
-        at = ragged(self.start[term], size)
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(w.astype(np.float32), size),
-                           minlength=self.n).astype(float)
+        example, weight = joined(self.start[term], size, self.example, self.weight)
+        return np.bincount(example, weight * np.repeat(w.astype(np.float32), size),
+                           minlength=self.n).astype(float, copy=False)
 
     def search(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int,
                without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -142,26 +188,32 @@ class BlockMaxIndex:
             return best_e, best_s
 
         def kth(sums: np.ndarray) -> float:
-            if 0 <= without < self.n:
-                sums[without] = 0
             return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
 
+        def low_kth(sums: np.ndarray) -> float:
+            """The k-th of the blocks' largest sums, which is no larger than the k-th sum."""
+            return kth(np.maximum.reduceat(sums, self.firsts)) if self.blocks >= 4 * k else kth(sums)
+
         # terms that can add most come first; what the others can add together must stay well below the k-th sum
         most = w * self.largest[term]
         order = np.argsort(-most, kind="stable")
         first = 1 + int(np.searchsorted(np.cumsum(self.size[term[order]]), FIRST_POSTINGS))
         sums = self.added(term[order[:first]], w[order[:first]])
+        if 0 <= without < self.n:
+            sums[without] = 0
         order = order[first:]
         usual = w[order] * self.usual[term[order]]
         order = order[np.argsort(usual / self.size[term[order]], kind="stable")]
-        left = int(np.searchsorted(np.cumsum(w[order] * self.usual[term[order]]), LEFT * kth(sums)))
+        left = int(np.searchsorted(np.cumsum(w[order] * self.usual[term[order]]), LEFT * low_kth(sums)))
         rest, order = order[:left], order[left:]
         if len(order):
             sums += self.added(term[order], w[order])
-        least = kth(sums) * (1 - 1e-5)
+            if 0 <= without < self.n:
+                sums[without] = 0
+        least = kth(sums[sums >= low_kth(sums)]) * (1 - 1e-5)
         row, own = self.row[term[rest]], w[rest]
         common = row >= 0
-        more = own[common].astype(np.float32) @ self.most[row[common]] + most[rest][~common].sum()
+        more = own[common].astype(np.float32) @ self.most.take(row[common], axis=0) + most[rest][~common].sum()
         more = np.minimum(more, np.sqrt(own @ own)) * (1 + 1e-5)
         bound = sums + np.repeat(more, BLOCK)[:self.n]
         if 0 <= without < self.n:
@@ -179,9 +231,9 @@ class BlockMaxIndex:
                 break
             done, step = done + step, 2 * step
             size = self.starts[e + 1] - self.starts[e]
-            at = ragged(self.starts[e], size)
-            s = sums[e] + np.bincount(np.repeat(np.arange(len(e)), size), self.asked[self.term[at]] * self.own[at],
-                                      minlength=len(e))
+            held, weight = joined(self.starts[e], size, self.term, self.own)
+            more = self.asked.take(held) * weight
+            s = sums[e] + np.add.reduceat(more.astype(float), np.cumsum(size) - size)      # no example is empty
             e, s = np.concatenate([best_e, e[s > 0]]), np.concatenate([best_s, s[s > 0]])
             order = np.lexsort((e, -s))[:k]
             best_e, best_s = e[order], s[order]
@@ -202,7 +254,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """The examples' terms, numbered in the order of their hashes, and their weights."""
+    """The examples' terms, numbered from the one in most rows down (near ones in memory meet often), and their weights."""
 
     def __init__(self, hashes: np.ndarray, n0: np.ndarray, n1: np.ndarray, total0: int, total1: int):
         order = np.argsort(hashes)
@@ -210,7 +262,10 @@ class Vocabulary:
         idf = np.log((total0 + total1 + 1) / (n0 + n1 + 1)) + 1
         rate = (total1 + 0.5) / (total0 + total1 + 1)
         ratio = (n1 + SHRINK * rate) / (n0 + n1 + SHRINK) / rate
-        self.weights = (idf * (FLOOR + np.maximum(np.log(ratio), 0) ** 2)).astype(np.float32)
+        by_rows = np.argsort(-(n0 + n1), kind="stable")
+        self.number = np.empty(len(by_rows), dtype=np.int32)
+        self.number[by_rows] = np.arange(len(by_rows))
+        self.weights = (idf * (FLOOR + np.maximum(np.log(ratio), 0) ** 2)).astype(np.float32)[by_rows]
 
     def vectors(self, run: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text: ascending term numbers and weights of norm 1."""
@@ -218,7 +273,7 @@ class Vocabulary:
             return [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in run]
         hashes, places = text_terms(run)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        number = np.where(self.hashes[at] == hashes, at, -1)
+        number = np.where(self.hashes[at] == hashes, self.number[at], -1)
         out = []
         for own in places:
             found = number[own]
@@ -252,13 +307,14 @@ class Model:
         return self.vote(*self.nearest((self.term[at].astype(np.int64), self.weight[at].astype(float)), i))
 
     def score(self, vector: tuple[np.ndarray, np.ndarray], knots: np.ndarray,
-              rates: np.ndarray) -> tuple[float, list[tuple[int | None, float]]]:
+              rates: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, the nearest examples and their cosines."""
         found, cosines = self.nearest(vector)
         if not len(found):
-            return self.none, []
+            return self.none, found, cosines
         vote = self.vote(found, cosines)
         rate = float(np.interp(vote, knots, rates))
-        return 0.98 * rate + 0.02 * vote, [(self.ids[e], float(c)) for e, c in zip(found.tolist(), cosines.tolist())]
+        return 0.98 * rate + 0.02 * vote, found, cosines
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 3, held: int = 1) -> Model:
@@ -346,11 +402,14 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
             found = [model.score(v, knots, rates) for run in runs(every) for v in model.words.vectors(every[run])]
             ids = batch.column(0)
             held_out = [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids.to_pylist()]
-            kind = pa.list_(pa.struct([("doc_id", ids.type), ("cosine", pa.float64())]))
+            ends = np.cumsum([0] + [len(e) for _, e, _ in found]).astype(np.int32)
+            nearest = [model.ids[e] for _, own, _ in found for e in own.tolist()]
+            cosines = np.concatenate([np.zeros(0), *(c for _, _, c in found)])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held_out, type=pa.bool_()), pa.array([s for s, _ in found], type=pa.float64()),
-                 pa.array([int(s >= threshold) for s, _ in found], type=pa.int32()),
-                 pa.array([[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found], type=kind)],
+                [ids, pa.array(held_out, type=pa.bool_()), pa.array([s for s, _, _ in found], type=pa.float64()),
+                 pa.array([int(s >= threshold) for s, _, _ in found], type=pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                     [pa.array(nearest, type=ids.type), pa.array(cosines)], ["doc_id", "cosine"]))],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

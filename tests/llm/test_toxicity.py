@@ -128,3 +128,24 @@ def test_cosines_are_over_whole_texts(spark, make_docs):
     labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(200)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in t.score(make_docs(texts), labels, folds=1, held=1).collect()}
     assert all(e.cosine < 0.999 for r in got.values() for e in r.evidence if e.doc_id != r.doc_id)
+
+
+def test_terms_found_in_one_pass_equal_those_of_single_words():
+    words = [b"a", b"abc", b"abcd", "Ünïcödé".encode(), "日本語話者".encode(), "😀😀😀😀".encode(), b"x" * 2000, b"abcdef"]
+    hashes, size = t.term_hashes(words)
+    terms = [t.word_terms(w) for w in words]
+    assert size.tolist() == [len(x) for x in terms]
+    assert hashes.tolist() == t.word_hashes([x for part in terms for x in part]).tolist()
+    found, places = t.text_terms([b"trash \xe6\x97 \xe6\x97abcd"])           # no whole characters: as word by word
+    assert found[places[0]].tolist() == [h for w in (b"trash", b"\xe6\x97", b"\xe6\x97abcd")
+                                         for h in t.word_hashes(t.word_terms(w)).tolist()]
+
+
+def test_index_of_terms_in_any_numbers_and_stretches_joined():
+    values = np.array([70000, 3, 65536, 3, 131072, 70000])
+    assert t.by_value(values).tolist() == np.argsort(values, kind="stable").tolist()
+    a, b = t.joined(np.array([4, 0]), np.array([2, 3]), np.arange(6), np.arange(6) * 10)
+    assert a.tolist() == [4, 5, 0, 1, 2] and b.tolist() == [40, 50, 0, 10, 20]
+    index = t.BlockMaxIndex([{7: 1.0}, {900: 0.6, 7: 0.8}])              # numbers between them that no example has
+    e, s = index.search({900: 1.0}, 2)
+    assert e.tolist() == [1] and np.allclose(s, 0.6)
