@@ -100,10 +100,17 @@ class Words:
         if not np.array_equal(lens, (self.first_end - self.first_start)[self.index]):
             return False
         other = np.flatnonzero(rep != starts)
-        for i in range(0, len(other), HASH_AT_ONCE):
+        padded = np.concatenate([self.buf, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+        for i in range(0, len(other), HASH_AT_ONCE):         # eight bytes of every word, then of the longer ones
             part = other[i:i + HASH_AT_ONCE]
-            if not np.array_equal(self.buf[ragged(starts[part], lens[part])], self.buf[ragged(rep[part], lens[part])]):
-                return False
+            own, first, left = starts[part], rep[part], lens[part]
+            while len(left):
+                unlike = eight[own] ^ eight[first]
+                if (unlike << (8 * (8 - np.minimum(left, 8))).astype(np.uint64)).any():
+                    return False
+                more = np.flatnonzero(left > 8)
+                own, first, left = own[more] + 8, first[more] + 8, left[more] - 8
         return True
 
     def _exact(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -175,7 +182,9 @@ class IdCache:
 
     def lookup(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Start and length, in ``flat``, of the ids of each distinct word."""
-        at = np.searchsorted(self.keys, words.keys)
+        order = np.argsort(words.keys)                       # looked up in order: neighbours in memory
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.searchsorted(self.keys, words.keys[order])
         known = np.zeros(len(words), dtype=bool)
         other = False
         if len(self.keys):
@@ -192,10 +201,10 @@ class IdCache:
             start = np.concatenate([self.start, len(self.flat) + np.cumsum(lens) - lens])
             every = np.concatenate([self.len, lens])
             checks = np.concatenate([self.checks, words.checks[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.checks, self.start, self.len = keys[order], checks[order], start[order], every[order]
+            by_key = np.argsort(keys, kind="stable")
+            self.keys, self.checks, self.start, self.len = keys[by_key], checks[by_key], start[by_key], every[by_key]
             self.flat = np.concatenate([self.flat, flat])
-            at = np.searchsorted(self.keys, words.keys)
+            at[order] = np.searchsorted(self.keys, words.keys[order])
         return self.start[at], self.len[at]
 
 

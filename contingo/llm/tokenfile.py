@@ -20,9 +20,11 @@ stands before all others; an empty table gives an empty file set.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,21 @@ NULL_ID = np.iinfo(np.int64).min
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("n_ids", "<i8")])
 
 
+def byte_table() -> dict[int, int]:
+    """The character that byte-level pre-tokenisers write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+def plain(vocabulary: dict) -> bool:
+    """Whether a word's ids are what the model makes of its bytes: no normaliser, bytes without a prefix space."""
+    steps = vocabulary.get("pre_tokenizer") or {}
+    return (vocabulary.get("normalizer") is None and steps.get("type") == "ByteLevel"
+            and not steps.get("add_prefix_space", True) and vocabulary.get("post_processor") is None
+            and vocabulary["model"].get("type") == "BPE" and not vocabulary["model"].get("dropout"))
+
+
 @lru_cache(maxsize=2)
 def _library(content: bytes) -> tuple[IdCache, int]:
     """The tokenizers library on distinct words: a word is what its pre-tokeniser never splits or joins."""
@@ -56,6 +73,17 @@ def _library(content: bytes) -> tuple[IdCache, int]:
     tokenizer.no_padding()
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
+    if plain(json.loads(content)):
+        model, table = tokenizer.model, byte_table()
+
+        def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            """Each word by the library's model, its bytes written as the pre-tokeniser writes them."""
+            found = [[t.id for t in model.tokenize(w.decode("latin-1").translate(table))] for w in words]
+            lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lens.sum())), lens
+
+        return IdCache(encode_words, {s.encode(): i for s, i in specials.items()}), tokenizer.get_vocab_size()
+
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat, lens = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
         for i in range(0, len(words), AT_ONCE):          # one encoding for many words, which stay apart

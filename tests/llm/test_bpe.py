@@ -98,3 +98,25 @@ def test_damaged_dictionary_is_refused(spark, make_docs, tmp_path):
                           "dictionary binary, sha256 string, id_bytes int").write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(Exception, match="another dictionary"):
         tokenfile.read_ids(spark, path).collect()
+
+
+def test_ids_of_single_words_by_the_librarys_model(library):
+    """The vocabulary's words go to the library's model one by one; ids are those of the whole texts."""
+    import json
+    with open(bpe.default_vocabulary(), "rb") as f:
+        content = f.read()
+    assert tokenfile.plain(json.loads(content))
+    assert not tokenfile.plain({**json.loads(content), "normalizer": {"type": "NFC"}})
+    texts = random_texts(1500) + ["", bytes(range(128)).decode(), "".join(map(chr, range(128, 900)))]
+    found = list(tokenfile._id_arrays([t.encode() for t in texts], content, 0))
+    for t, ids in zip(texts, found):
+        assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_words_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    """Whatever part of two words differs, they are not taken for one word."""
+    from contingo.llm import pretoken
+    monkeypatch.setattr(pretoken, "hash_spans", lambda buf, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    for a, b in (("abcd", "abce"), ("x" * 8 + "y", "x" * 8 + "z"), ("x" * 20, "x" * 15 + "yxxxx"), ("a", "b")):
+        words = Words([f"{a}\n{b}\n{a}".encode()])
+        assert words.distinct(words.index) == [w.encode() for w in (a, "\n", b, "\n", a)]
