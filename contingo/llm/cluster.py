@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +64,13 @@ def filter_places(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
     return mix(keys.astype(np.uint64) * np.uint64(2 * probe + 1) + np.uint64(probe)) & np.uint64(bits - 1)
 
 
-def member_filter(keys: DataFrame, expected: int) -> bytes:
-    """A bitmap of bounded size in which every key of the one long column is found. Others are found too, the more
+def long_keys(column: pa.Array) -> np.ndarray:
+    return column.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def member_filter(keys: DataFrame, expected: int, keys_of: Callable[[pa.Array], np.ndarray] = long_keys) -> bytes:
+    """A bitmap of bounded size in which every key of the one long column is found; keys_of makes the keys in the same
+    Python worker that places them. Others are found too, the more
     the fuller it is (``expected`` keys fill it well); whoever uses it must give right results for any such
     answer. Its parts are put together on executors."""
     bits = LEAST_BITS
@@ -76,7 +81,7 @@ def member_filter(keys: DataFrame, expected: int) -> bytes:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
-            got = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            got = keys_of(batch.column(0))
             for probe in range(PROBES):
                 at = filter_places(got, probe, bits)
                 np.bitwise_or.at(found, (at >> np.uint64(3)).astype(np.int64),

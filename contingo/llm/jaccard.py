@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contingo.llm.cluster import components, cut, free_name, in_filter, member_filter, small_batches
-from contingo.llm.pretoken import ragged
-from contingo.llm.words import mix, shingle_set, texts
+from contingo.llm.pretoken import batches_of, ragged
+from contingo.llm.words import mix, shingle_sets, texts
 
 WORDS = 5
 PERCENT = 75
@@ -168,11 +168,7 @@ def id_keys(ids: pa.Array) -> np.ndarray:
 
 def id_filter(ids: DataFrame, expected: int) -> bytes:
     """A fixed-size filter of the one column of document ids."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"key": pa.array(id_keys(batch.column(0)).view(np.int64), type=pa.int64())})
-
-    return member_filter(ids.mapInArrow(keys, "key long"), expected)
+    return member_filter(ids, expected, id_keys)
 
 
 def filtered(batch: pa.RecordBatch, bitmap: bytes | None, inside: bool) -> pa.RecordBatch:
@@ -183,8 +179,9 @@ def filtered(batch: pa.RecordBatch, bitmap: bytes | None, inside: bool) -> pa.Re
     return batch.filter(pa.array(held if inside else ~held))
 
 
-def doc_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
-    return [shingle_set(t, width) for t in texts(batch.column(1))]
+def doc_sets(batch: pa.RecordBatch, width: int, column: int = 1) -> list[np.ndarray]:
+    every = texts(batch.column(column))
+    return [s for a, b in batches_of(every) for s in shingle_sets(every[a:b], width)]
 
 
 class Join:
@@ -526,7 +523,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [fingerprint(shingle_set(t, width))[0] for t in texts(batch.column(at))]
+            own = [fingerprint(s)[0] for s in doc_sets(batch, width, at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int64())], [*schema.names, node])
 
     marked = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(node, T.LongType())]))

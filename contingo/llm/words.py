@@ -20,6 +20,8 @@ ALNUM = bytes(b if b in range(48, 58) or b in range(97, 123) or b > 127 else b +
               for b in range(256))
 #: The white space of the word definition.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Lower-cases A-Z and turns white space into spaces.
+SPACED = LOWER.translate(bytes.maketrans(SPACES, b" " * len(SPACES)))
 
 _K = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3],
@@ -113,3 +115,23 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     if 0 < len(words) < width:
         return window_hashes(hashes, len(words)) + np.uint64(len(words))
     return np.unique(window_hashes(hashes, width))
+
+
+def shingle_sets(run: list[bytes | None], width: int = 5) -> list[np.ndarray]:
+    """``shingle_set`` of each text; the words of all are hashed together."""
+    parts = [t.translate(SPACED) if t else b"" for t in run]
+    buf = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
+    turn = np.flatnonzero(np.diff(buf != 32))                # where words begin and end, in turn
+    starts, ends = turn[::2] + 1, turn[1::2] + 1
+    hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(
+        hash_spans(buf, starts[i:i + CHUNK_WORDS], ends[i:i + CHUNK_WORDS]) for i in range(0, len(starts), CHUNK_WORDS))])
+    windows = window_hashes(hashes, width)
+    behind = np.cumsum([len(p) + 1 for p in parts])          # the space behind each text
+    cuts = np.concatenate([[0], np.searchsorted(starts, behind)]).tolist()
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if 0 < b - a < width:
+            out.append(window_hashes(hashes[a:b], b - a) + np.uint64(b - a))
+        else:
+            out.append(np.unique(windows[a:max(b - width + 1, a)]))
+    return out

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from contingo.llm import jaccard
@@ -156,3 +157,15 @@ def test_packing_round_trip():
         counts = np.bincount((own >> np.uint64(24)).astype(np.int64) - edges[i], minlength=edges[i + 1] - edges[i])
         low = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
         assert jaccard.unpacked(i, counts.astype("<u4").tobytes(), low, 7).tolist() == own.tolist()
+
+
+def test_id_filter_is_made_by_one_python_step(spark, make_docs, monkeypatch):
+    """Two chained steps would hold two Python workers in every task."""
+    from contingo.llm import cluster
+    ids = make_docs(["a"] * 5, ids=[3, None, 7, 7, 10 ** 15]).select("doc_id")
+    steps, before = [], type(ids).mapInArrow
+    monkeypatch.setattr(type(ids), "mapInArrow", lambda self, *a, **k: steps.append(1) or before(self, *a, **k))
+    bitmap = np.frombuffer(jaccard.id_filter(ids, 5), dtype=np.uint8)
+    assert len(steps) == 1
+    keys = jaccard.id_keys(pa.array([3, None, 7, 10 ** 15, 4, 8], type=pa.int64()))
+    assert cluster.in_filter(bitmap, keys).tolist() == [True, True, True, True, False, False]

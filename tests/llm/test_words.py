@@ -68,3 +68,13 @@ def test_operators_on_constructed_words(make_docs):
         assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest()
     judged = {r.doc_id: r.n_repeat_words for r in quality.judge(make_docs([" ".join(TM[:2] * 3)]), order=list(quality.RULES)).collect()}
     assert judged == {0: 6}
+
+
+def test_shingle_sets_of_a_run_equal_those_of_single_texts():
+    from contingo.llm.words import shingle_set, shingle_sets
+    from tests.llm.conftest import EDGE_TEXTS
+    run = [None if t is None else t.encode() for t in EDGE_TEXTS] + [b"A b\tC\x0bd\x0ce\rf", b" lead", b"trail \n", b"\x00\x1f a"]
+    for width in (1, 2, 5):
+        for some in (run, run[::-1], run[:1], []):
+            got = shingle_sets(some, width)
+            assert len(got) == len(some) and all(np.array_equal(s, shingle_set(t, width)) for s, t in zip(got, some))
