@@ -24,7 +24,9 @@ partner's ask for.
    set, so a false positive only moves a token to the other class and loses no link.
 4. Signatures of all nodes, packed likewise. Each node is verified against the best centre of its meetings, which
    makes families one component. Nodes that still meet across components are candidates if what their
-   prefixes share, and all that follows them, can make the overlap that a link needs. A set with combinations has all
+   prefixes share, and all that follows them, can make the overlap that a link needs, and if their sketches don't
+   differ in more bits than linked sets can (``sketch``): pairs that only meet in much the same frequent tokens end
+   inside the join, before a row is made of them. A set with combinations has all
    its rare tokens indexed, so two sets that meet in combinations alone share none of them: that bounds
    the sizes of such partners (``size_limit``) and empties most meetings before any pair is made.
 5. Verification in cells of a grid over the pairs, where each set goes once to a cell; then connected components
@@ -56,6 +58,8 @@ PERCENT = 75
 #: A token in more nodes than this is frequent.
 FREQUENT = 24
 LOWEST = 4
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 #: Sets of so many tokens have several parts (a sixteenth of this number at first) and combinations of three.
 LONG = 512
 #: Tokens in a bucket of the index, and bytes of sets in a cell of the verification, about.
@@ -101,6 +105,18 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return node or 1, int(b.view(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Of each of SKETCH * 64 classes of tokens, whether the set has an odd number of them. Every bit that differs between
+    two sets takes a token that only one of them has."""
+    odd = np.bincount((tokens % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differing(x: Column, y: Column) -> Column:
+    """In how many bits two sketches (structs of s0, s1, ...) differ."""
+    return sum((F.bit_count(x[s].bitwiseXOR(y[s])) for s in SKETCHED[1:]), F.bit_count(x["s0"].bitwiseXOR(y["s0"])))
+
+
 def extended(tokens: np.ndarray, more: int, k: int, parts: int) -> list[np.ndarray]:
     """The first of the tokens, by part, until so many of them follow the first k - 1 of their parts."""
     part = (tokens % np.uint64(parts)).astype(np.int64)
@@ -196,21 +212,25 @@ class Join:
         self.n_buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(self) -> DataFrame:
-        """(doc_id, n, node, check, low): one row for each document; low has the folding combinations."""
+        """(doc_id, n, node, check, low, s0, ...): one row for each document; low has the folding combinations, s0, ...
+        the sketch."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 every = doc_sets(batch, width)
                 prints = [fingerprint(s) for s in every]
+                sketches = np.array([sketch(s) for s in every], dtype=np.int64).reshape(-1, SKETCH)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in every], type=pa.int64()),
                      pa.array([p[0] for p in prints], type=pa.int64()),
                      pa.array([p[1] for p in prints], type=pa.int64()),
-                     pa.array([combinations(s[:LOWEST]).view(np.int64) for s in every], type=pa.list_(pa.int64()))],
-                    ["doc_id", "n", "node", "check", "low"])
+                     pa.array([combinations(s[:LOWEST]).view(np.int64) for s in every], type=pa.list_(pa.int64())),
+                     *(pa.array(column) for column in sketches.T.copy())],
+                    ["doc_id", "n", "node", "check", "low", *SKETCHED])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, node long, check long, low array<long>")
+        return self.docs.mapInArrow(run, "doc_id long, n long, node long, check long, low array<long>, "
+                                    + ", ".join(f"{s} long" for s in SKETCHED))
 
     def packed(self, skip: bytes | None, frequent: bytes | None) -> DataFrame:
         """(bucket, kind, counts, low, owners, nodes): tokens of one bucket, sorted, as the number of tokens for
@@ -380,6 +400,8 @@ class Join:
 OWNER = np.dtype([("node", "<i8"), ("n", "<i4"), ("rare", "<i4")])
 MEETINGS = pa.schema([("meeting", pa.int64()), ("kind", pa.int32()), ("times", pa.int64()), ("node", pa.int64()),
                       ("rare", pa.int32())])
+#: The columns of a sketch.
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
 #: Tokens compared at once.
 COMPARED = 1 << 20
 
@@ -426,8 +448,9 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     every = rows.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     join.n_buckets = min(65536, max(join.n_buckets, (every.tokens or 0) // BUCKET_TOKENS))
     nodes = real.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"),
-                                     F.min("check").alias("c1"), F.max("check").alias("c2"))
-    nodes = cut(nodes.select("node", "n", "doc_id", F.when(F.col("c1") == F.col("c2"), F.lit(True)).otherwise(
+                                     F.min("check").alias("c1"), F.max("check").alias("c2"),
+                                     *(F.max(s).alias(s) for s in SKETCHED))
+    nodes = cut(nodes.select("node", "n", "doc_id", *SKETCHED, F.when(F.col("c1") == F.col("c2"), F.lit(True)).otherwise(
         F.raise_error(F.lit("two different sets share a 64-bit hash")).cast("boolean")).alias("sound")))
 
     # 2. folding: one candidate a node, the lowest node that shares one of its lowest combinations
@@ -468,7 +491,8 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     met = cut(met.drop("part").join(labels, "node", "left").select(
         "meeting", "kind", "times", "node", "n", "rare", "limit", F.coalesce("label", "node").alias("part")))
     apart = met.groupBy("meeting", "kind").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2")
-    met = met.join(apart.select("meeting", "kind"), ["meeting", "kind"], "left_semi")
+    met = met.join(apart.select("meeting", "kind"), ["meeting", "kind"], "left_semi") \
+        .join(nodes.select("node", *SKETCHED), "node")
     need = F.col("n") - F.ceil(join.percent * F.col("n") / 100 - 1e-9) + 1
     tail = F.col("n") - need                                  # tokens behind a prefix of the shortest length
     # frequent tokens in a prefix: two for each of at most n / 16 parts beyond what is needed
@@ -477,13 +501,14 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
 
     def side(name: str) -> DataFrame:
         return met.select("meeting", "kind", *(["times"] if name == "a" else []), F.col("node").alias(name),
-                          F.struct("n", "limit", "part", "tail", "often").alias(f"of_{name}"))
+                          F.struct("n", "limit", "part", "tail", "often", *SKETCHED).alias(f"of_{name}"))
 
     x, y = F.col("of_a"), F.col("of_b")
     least = F.ceil(join.percent * (x["n"] + y["n"]) / (100 + join.percent) - 1e-9)
     pairs = side("a").join(side("b"), ["meeting", "kind"]).where(x["part"] < y["part"]) \
         .where(100 * F.least(x["n"], y["n"]) >= join.percent * F.greatest(x["n"], y["n"])) \
         .where((F.col("kind") == 0) | (x["n"] <= y["limit"]) & (y["n"] <= x["limit"])) \
+        .where(x["n"] + y["n"] - differing(x, y) >= 2 * least) \
         .select("a", "b", "kind", "times", F.least(x["often"], y["often"]).alias("often"), least.alias("least"),
                 F.greatest(x["tail"], y["tail"]).alias("tails"), (F.greatest(x["n"], y["n"]) < join.long).alias("short")) \
         .groupBy("a", "b", "often", "least", "tails", "short") \

@@ -169,3 +169,39 @@ def test_id_filter_is_made_by_one_python_step(spark, make_docs, monkeypatch):
     assert len(steps) == 1
     keys = jaccard.id_keys(pa.array([3, None, 7, 10 ** 15, 4, 8], type=pa.int64()))
     assert cluster.in_filter(bitmap, keys).tolist() == [True, True, True, True, False, False]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_differ_in_tokens(spark):
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(5)
+    rows = []
+    for n in (1, 2, 30, 400, 3000):
+        x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        for kept in (0, n // 2, n - 1, n):
+            y = np.concatenate([x[:kept], r.integers(0, 1 << 63, n // 3, dtype=np.uint64)])
+            a, b = jaccard.sketch(x), jaccard.sketch(y)
+            own = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64).tolist())
+            assert own <= n - kept + n // 3
+            assert n - kept + n // 3 > 60 or own >= (n - kept + n // 3) // 2
+            rows.append((dict(zip(jaccard.SKETCHED, a.tolist())), dict(zip(jaccard.SKETCHED, b.tolist())), own))
+    kind = "struct<" + ",".join(f"{s}:long" for s in jaccard.SKETCHED) + ">"
+    df = spark.createDataFrame(rows, f"x {kind}, y {kind}, own int")
+    assert df.where(jaccard.differing(F.col("x"), F.col("y")) != F.col("own")).count() == 0
+
+
+def test_texts_of_one_origin_that_do_not_link_are_no_candidates(make_docs, monkeypatch):
+    """Their rare tokens are few enough for a link of one text, but not of two; most frequent ones are the same."""
+    base = prose(11, 100, 10_000)
+    texts = []
+    for i in range(16):
+        own = list(base)
+        own[3 + 6 * (i % 8)], own[52 + 6 * (i // 2 % 8)] = f"y{i}", f"z{i}"
+        texts.append(" ".join(own))
+    asked = []
+    before = jaccard.Join.verified
+    monkeypatch.setattr(jaccard.Join, "verified",
+                        lambda self, pairs, nodes: asked.append(pairs.count()) or before(self, pairs, nodes))
+    got = jaccard.near_duplicates(make_docs(texts), frequent=2).collect()
+    want = brute(list(range(16)), texts)
+    assert sorted(map(tuple, got), key=str) == want and len({c for _, _, c in want}) > 4
+    assert asked[-1] <= 8                                     # the pairs that still meet behind folding and centres
