@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contingo.llm.cluster import cut, small_batches
-from contingo.llm.words import space_words, texts
+from contingo.llm.words import SPACED, space_words, texts
 
 MARK = "▁".encode()
 #: Rounds of expected counts.
@@ -94,6 +95,19 @@ class Lattice:
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(nodes.values()), dtype=np.int64)[order]
         self.piece = np.array(piece, dtype=np.int64)
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each node, and rows of the node that each byte leads to (-1: none); leaves share the last row. Each
+        worker lays them out once."""
+        if self.table is None:
+            inner = np.unique(self.keys >> 8)
+            row = np.full(len(self.piece), len(inner), dtype=np.int32)
+            row[inner] = np.arange(len(inner))
+            to = np.full((len(inner) + 1, 256), -1, dtype=np.int32)
+            to[row[self.keys >> 8], self.keys & 255] = self.to
+            self.table = row, to.reshape(-1)
+        return self.table
 
     def arcs(self, words: list[bytes]):
         """(starts, ends of the words' bytes, arc start, arc end, arc piece); arcs in order of their end's
@@ -106,12 +120,12 @@ class Lattice:
         begin = np.repeat(ends - lens, lens)
         every = np.arange(len(buf), dtype=np.int64)
         start, end, piece = [every], [every + 1], [self.n - 256 + buf.astype(np.int64)]
-        at, node, depth = every, np.zeros(len(buf), dtype=np.int64), 0
+        row, to = self.steps()
+        at, node, depth = every, np.zeros(len(buf), dtype=np.int32), 0
         while len(at):
-            key = node << 8 | buf[at + depth]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[i] == key
-            at, node = at[ok], self.to[i[ok]]
+            node = to[(row[node] << 8) | buf[at + depth]]
+            ok = node >= 0
+            at, node = at[ok], node[ok]
             depth += 1
             found = self.piece[node]
             hit = found >= 0
@@ -170,17 +184,22 @@ class Lattice:
         return np.concatenate(out) / np.log(10) if out else np.zeros(0)
 
 
-class Numbers(dict):
-    """The numbers of listed words (the last one of a word listed twice); others get the numbers after these."""
-
-    def __init__(self, listed: list[bytes]):
-        super().__init__(zip(listed, range(len(listed))))
-        self.listed, self.others = len(listed), []
-
-    def __missing__(self, word: bytes) -> int:
-        self.others.append(word)
-        n = self[word] = self.listed + len(self.others) - 1
-        return n
+def numbered(run: list[bytes | None], listed: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Of each text the numbers of its words (A-Z lower-cased), and the words that are not listed: they have the numbers
+    after the listed ones'. All words are looked up at once."""
+    each = [t.translate(SPACED) if t else b"" for t in run]
+    buf = np.frombuffer(b" " + b" ".join(each) + b" ", dtype=np.uint8)
+    letter = buf != 32
+    turn = np.flatnonzero(np.diff(letter))                   # where words begin and end, in turn
+    starts, ends = turn[::2] + 1, turn[1::2] + 1
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[letter])])
+    found = pc.index_in(words, value_set=pa.array(listed, type=pa.large_binary()))
+    other = words.filter(found.is_null()).dictionary_encode()
+    number = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    number[number < 0] = len(listed) + other.indices.to_numpy(zero_copy_only=False)
+    cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in each]))
+    return np.split(number, cuts[:-1]) if each else [], other.dictionary.to_pylist()
 
 
 def parts(words: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -259,11 +278,12 @@ def word_log(c: np.ndarray, log10_pieces: np.ndarray, n_tokens: int, n_types: in
 
 def document_log10(words: np.ndarray, logp: np.ndarray) -> float:
     """log10 probability of a sequence of word numbers whose first is a document's end."""
-    order = np.argsort(words, kind="stable")
-    ordered = words[order]
+    ordered = np.sort(words)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     earlier = np.arange(len(words)) - np.repeat(starts, np.diff(starts, append=len(words)))
-    grown = np.logaddexp(np.log(STRENGTH) + logp[ordered], np.where(earlier > 0, np.log(np.maximum(earlier, 1)), -np.inf))
+    grown = np.log(STRENGTH) + logp[ordered]
+    again = np.flatnonzero(earlier)
+    grown[again] = np.logaddexp(grown[again], np.log(earlier[again]))
     return float((grown - np.log(STRENGTH + np.arange(len(words)))).sum() / np.log(10))
 
 
@@ -322,14 +342,13 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         lattice, weights = shared.value
-        every = [space_words(t) for t in (texts(left.column("text").combine_chunks()) if left.num_rows else [])]
-        place = Numbers(texts(right.column("word").combine_chunks()) if right.num_rows else [])
-        numbers = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in every]
+        numbers, others = numbered(texts(left.column("text").combine_chunks()) if left.num_rows else [],
+                                   texts(right.column("word").combine_chunks()) if right.num_rows else [])
         c = right.column("c").to_numpy().astype(np.float64)
         p = right.column("logp").to_numpy()
-        if place.others:                                      # words of held-out documents only
-            p = np.concatenate([p, lattice.log10(place.others, weights)])
-            c = np.concatenate([c, np.zeros(len(place.others))])
+        if others:                                            # words of held-out documents only
+            p = np.concatenate([p, lattice.log10(others, weights)])
+            c = np.concatenate([c, np.zeros(len(others))])
         p = word_log(c, p, n_train, n_types - (n_ends > 0))
         c, p = np.append(c, n_ends), np.append(p, np.log(max(n_ends, 1) / max(n_train, 2)))
         base = np.log10((c + 0.1) / floor)

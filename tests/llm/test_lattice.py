@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from contingo.llm import lattice as m
+from contingo.llm.words import space_words
 from tests.llm.conftest import CLASHES, EDGE_IDS, EDGE_TEXTS, prose
 
 
@@ -105,3 +106,28 @@ def test_empty_table_and_no_training_rows(make_docs):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = m.score(make_docs(["some words"], [held]), m.default_pieces()).collect()[0]
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and math.isfinite(row.score)
+
+
+def test_all_words_are_numbered_at_once():
+    texts = ["Ab c\td", None, "", " \n", "c c \u00fcx\x0bAB", "zz \u4e2d zz"]
+    texts = [None if v is None else v.encode() for v in texts]
+    listed = [b"c", b"ab", b"unused"]
+    got, others = m.numbered(texts, listed)
+    every = listed + others
+    assert [[every[i] for i in own.tolist()] for own in got] == [space_words(v) for v in texts]
+    assert others == [b"d", "\u00fcx".encode(), b"zz", "\u4e2d".encode()]
+    assert m.numbered([], listed) == ([], []) and [len(v) for v in m.numbered([None], [])[0]] == [0]
+
+
+def test_steps_lead_along_the_pieces():
+    pieces = [b"ab", b"abc", b"b", b"\xffz"] + [bytes([b]) for b in range(256)]
+    laid = m.Lattice(pieces)
+    row, to = laid.steps()
+    for piece, number in zip(pieces[:4], range(4)):
+        node = 0
+        for b in piece:
+            node = int(to[row[node] * 256 + b])
+            assert node > 0
+        assert laid.piece[node] == number
+    assert (to[row[node] * 256:][:256] == -1).all()           # behind the end of a piece that none goes on from
+    assert int((to >= 0).sum()) == len(laid.keys)
