@@ -27,8 +27,9 @@ partner's ask for.
    prefixes share, and all that follows them, can make the overlap that a link needs, and if their sketches don't
    differ in more bits than linked sets can (``sketch``): pairs that only meet in much the same frequent tokens end
    inside the join, before a row is made of them. A set with combinations has all
-   its rare tokens indexed, so two sets that meet in combinations alone share none of them: that bounds
-   the sizes of such partners (``size_limit``) and empties most meetings before any pair is made.
+   its rare tokens indexed, so two sets that meet in combinations alone share none of them, nor any frequent token
+   that comes before the second of the first pair they share: that bounds the sizes of such partners, place by
+   place (``size_limit``), and empties most meetings before any pair is made.
 5. Verification in cells of a grid over the pairs, where each set goes once to a cell; then connected components
    over all links.
 
@@ -59,7 +60,7 @@ PERCENT = 75
 FREQUENT = 24
 LOWEST = 4
 #: 64-bit words of a set's sketch.
-SKETCH = 8
+SKETCH = 24
 #: Sets of so many tokens have several parts (a sixteenth of this number at first) and combinations of three.
 LONG = 512
 #: Tokens in a bucket of the index, and bytes of sets in a cell of the verification, about.
@@ -134,17 +135,30 @@ def extended(tokens: np.ndarray, more: int, k: int, parts: int) -> list[np.ndarr
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT,
                long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
     """The extended prefix of a set: its rare tokens, and the combinations of its frequent ones."""
+    return signed(tokens, frequent, percent, long)[:2]
+
+
+def signed(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT,
+           long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures``, and for each combination how many tokens a partner lacks that shares none of the rare ones and
+    whose first common tokens these are: the rare ones and, of pairs, the frequent ones that come before the second."""
     n = len(tokens)
     need = most_missing(n, percent) + 1
     rare = tokens[~frequent][:need]
     more = need - len(rare)
     if not more or n < 2:                                    # a set of one token links with equal sets only
-        return rare, tokens[:0]
-    often, out = tokens[frequent], []
+        return rare, tokens[:0], np.zeros(0, dtype=np.int64)
+    often, out, lacked = tokens[frequent], [], []
     for at in range(level(-(-percent * n // 100), long), level(n, long) + 1):
         k, parts = (3, long // 16 * 4 ** (at - 1)) if at else (2, 1)
-        out += [combinations(own, k) for own in extended(often, more, k, parts)]
-    return rare, np.unique(np.concatenate(out))
+        for own in extended(often, more, k, parts):
+            out.append(combinations(own, k))
+            lacked.append(len(rare) + (np.zeros(len(out[-1]), dtype=np.int64) if at else np.triu_indices(len(own), 1)[1] - 1))
+    every, before = np.concatenate(out), np.concatenate(lacked)
+    order = np.lexsort((before, every))
+    every, before = every[order], before[order]
+    new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:len(every)])
+    return rare, every[new], before[new]
 
 
 def size_limit(n, rare, percent: int):
@@ -168,12 +182,10 @@ def supported(token: np.ndarray, n: np.ndarray, limit: np.ndarray) -> np.ndarray
     return kept
 
 
-def meet_bound(c1: Column, m: Column, often: Column, tails: Column, short: Column) -> Column:
+def meet_bound(c1: Column, often: Column, tails: Column) -> Column:
     """Most tokens that two sets can share: c1 rare ones in both prefixes, frequent ones (at most ``often``), and
-    what follows the longer of the tails. Two short sets that share no rare token share frequent ones of which
-    m pairs are in both prefixes, no fewer (none: at most one)."""
-    c2 = F.when(m > 0, F.floor((1 + F.sqrt(1 + 8 * m)) / 2 + 1e-9)).otherwise(1)
-    return c1 + F.when((c1 == 0) & short, F.least(c2, often)).otherwise(often) + tails
+    what follows the longer of the tails."""
+    return c1 + often + tails
 
 
 def id_keys(ids: pa.Array) -> np.ndarray:
@@ -233,8 +245,9 @@ class Join:
                                     + ", ".join(f"{s} long" for s in SKETCHED))
 
     def packed(self, skip: bytes | None, frequent: bytes | None) -> DataFrame:
-        """(bucket, kind, counts, low, owners, nodes): tokens of one bucket, sorted, as the number of tokens for
-        each value of their upper 16 bits and the next 24 bits of each; each one's owner and the owners (OWNER). Without
+        """(bucket, kind, counts, low, owners, before, nodes): tokens of one bucket, sorted, as the number of tokens for
+        each value of their upper 16 bits and the next 24 bits of each; each one's owner, how many tokens come before a
+        combination (``signed``), and the owners (OWNER). Without
         ``frequent`` all tokens (kind 0) of the documents that ``skip`` doesn't hold; else signatures of all:
         rare tokens (kind 0) and combinations of frequent ones (kind 1)."""
         shared = self.spark.sparkContext.broadcast((skip, frequent))
@@ -246,7 +259,7 @@ class Join:
             skipped, common = shared.value
             bitmap = None if common is None else np.frombuffer(common, dtype=np.uint8)
             seen: set[int] = set()
-            held: tuple[list, list] = [], []
+            held: tuple[list, list, list] = [], [], []
             nodes: list[tuple[int, int, int]] = []
             size = 0
             for batch in batches:
@@ -255,25 +268,26 @@ class Join:
                     if not len(tokens) or node in seen:
                         continue
                     seen.add(node)
-                    pair = (tokens, tokens[:0])
+                    own = (tokens, tokens[:0], np.zeros(0, dtype=np.int64))
                     if bitmap is not None:
-                        pair = signatures(tokens, in_filter(bitmap, tokens >> np.uint64(24)), percent, long)
-                    for kind in (0, 1):
-                        held[kind].append(pair[kind])
-                        size += len(pair[kind])
-                    nodes.append((node, len(tokens), len(pair[0])))
+                        own = signed(tokens, in_filter(bitmap, tokens >> np.uint64(24)), percent, long)
+                    for part, some in zip(held, own):
+                        part.append(some)
+                    size += len(own[0]) + len(own[1])
+                    nodes.append((node, len(tokens), len(own[0])))
                     if size > 1 << 20:
                         yield from pack(held, nodes)
-                        held, nodes, size = ([], []), [], 0
+                        held, nodes, size = ([], [], []), [], 0
             if nodes:
                 yield from pack(held, nodes)
 
-        def pack(held: tuple[list, list], nodes: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        def pack(held: tuple[list, list, list], nodes: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
             for kind in (0, 1):
                 tokens = np.concatenate(held[kind]) >> np.uint64(24)
                 owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(h) for h in held[kind]])
                 order = np.argsort(tokens)
                 tokens, owner = tokens[order], owner[order]
+                before = np.minimum(np.concatenate(held[2])[order], 65535).astype("<u2") if kind else None
                 top = (tokens >> np.uint64(24)).astype(np.int64)
                 cuts = np.searchsorted(top, edges)
                 rows = []
@@ -284,18 +298,20 @@ class Join:
                     counts = np.bincount(top[a:b] - edges[i], minlength=edges[i + 1] - edges[i])
                     low = tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
                     owners = names = b""
+                    lacked = before[a:b].tobytes() if kind else b""
                     if named:
                         who, own = np.unique(owner[a:b], return_inverse=True)
                         owners = own.astype(narrow(len(who))).tobytes()
                         names = np.array(nodes, dtype=OWNER)[who].tobytes()
-                    rows.append((i, kind, counts.astype("<u4").tobytes(), low, owners, names))
+                    rows.append((i, kind, counts.astype("<u4").tobytes(), low, owners, lacked, names))
                 if rows:
-                    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                    types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=t) for c, t in zip(zip(*rows), types)],
-                        ["bucket", "kind", "counts", "low", "owners", "nodes"])
+                        ["bucket", "kind", "counts", "low", "owners", "before", "nodes"])
 
-        return self.docs.mapInArrow(run, "bucket int, kind int, counts binary, low binary, owners binary, nodes binary")
+        return self.docs.mapInArrow(run, "bucket int, kind int, counts binary, low binary, owners binary, before binary, "
+                                    "nodes binary")
 
     def frequent_tokens(self, skip: bytes) -> DataFrame:
         most, n_buckets = self.frequent, self.n_buckets
@@ -310,27 +326,30 @@ class Join:
         return self.packed(skip, None).groupBy("bucket").applyInArrow(count, "token long")
 
     def meetings(self, frequent: bytes) -> DataFrame:
-        """(meeting, kind, times, node, rare): the sets of at least two nodes that share signatures, and how many; rare is
-        the number of a node's rare tokens in its prefix."""
+        """(meeting, kind, times, node, rare, limit): the sets of at least two nodes that share signatures, and how many;
+        rare is the number of a node's rare tokens in its prefix, limit the size of its largest partner whose first
+        common tokens (no rare ones) are in such a signature."""
         n_buckets, percent = self.n_buckets, self.percent
 
         def meet(table: pa.Table) -> pa.Table:
-            tokens, owners_of = [], []
+            tokens, owners_of, lacked = [], [], []
             kind = table.column("kind")[0].as_py()
-            for bucket, counts, low, owners, names in zip(
-                    *(table.column(c).to_pylist() for c in ("bucket", "counts", "low", "owners", "nodes"))):
+            for bucket, counts, low, owners, before, names in zip(
+                    *(table.column(c).to_pylist() for c in ("bucket", "counts", "low", "owners", "before", "nodes"))):
                 who = np.frombuffer(names, dtype=OWNER)
                 tokens.append(unpacked(bucket, counts, low, n_buckets))
                 owners_of.append(who[np.frombuffer(owners, dtype=narrow(len(who)))])
+                lacked.append(np.frombuffer(before, dtype="<u2") if kind else owners_of[-1]["rare"])
             token, owner = np.concatenate(tokens), np.concatenate(owners_of)
-            order = np.lexsort((owner["node"], token))
-            token, owner = token[order], owner[order]
+            n = owner["n"].astype(np.int64)
+            limit = size_limit(n, np.concatenate(lacked).astype(np.int64), percent)
+            order = np.lexsort((-limit, owner["node"], token))
+            token, owner, n, limit = token[order], owner[order], n[order], limit[order]
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner["node"][1:] != owner["node"][:-1])])
-            token, owner = token[new], owner[new]
+            token, owner, n, limit = token[new], owner[new], n[new], limit[new]
             if kind:
-                n, rare = owner["n"].astype(np.int64), owner["rare"].astype(np.int64)
-                kept = supported(token, n, size_limit(n, rare, percent))
-                token, owner = token[kept], owner[kept]
+                kept = supported(token, n, limit)
+                token, owner, limit = token[kept], owner[kept], limit[kept]
             if not len(token):
                 return MEETINGS.empty_table()
             node = np.ascontiguousarray(owner["node"])
@@ -340,16 +359,20 @@ class Join:
             together = mix(np.add.reduceat(mixed, starts) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) \
                 + mix(np.bitwise_xor.reduceat(mixed, starts))
             kept = np.flatnonzero(size > 1)
-            meeting, first, times = np.unique(together[kept], return_index=True, return_counts=True)
-            kept = kept[first]
+            meeting, first, same, times = np.unique(together[kept], return_index=True, return_inverse=True, return_counts=True)
+            every, kept = kept, kept[first]
             at = ragged(starts[kept], size[kept])
+            place = np.cumsum(size[kept]) - size[kept]        # meetings of the same nodes are one, with the largest limits
+            most = np.full(len(at), np.iinfo(np.int64).min)
+            np.maximum.at(most, ragged(place[same], size[every]), limit[ragged(starts[every], size[every])])
             return pa.table([np.repeat(meeting, size[kept]).view(np.int64), np.full(len(at), kind, dtype=np.int32),
-                             np.repeat(times, size[kept]).astype(np.int64), node[at], owner["rare"][at].astype(np.int32)],
-                            schema=MEETINGS)
+                             np.repeat(times, size[kept]).astype(np.int64), node[at], owner["rare"][at].astype(np.int32),
+                             most], schema=MEETINGS)
 
         return self.packed(None, frequent).groupBy("bucket", "kind") \
-            .applyInArrow(meet, "meeting long, kind int, times long, node long, rare int") \
-            .groupBy("meeting", "kind", "node").agg(F.sum("times").alias("times"), F.max("rare").alias("rare"))
+            .applyInArrow(meet, "meeting long, kind int, times long, node long, rare int, limit long") \
+            .groupBy("meeting", "kind", "node") \
+            .agg(F.sum("times").alias("times"), F.max("rare").alias("rare"), F.max("limit").alias("limit"))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold. nodes: (node, n, doc_id of one such row). Only
@@ -399,7 +422,7 @@ class Join:
 #: A node in a bucket: its hash, its tokens and the rare ones of its prefix.
 OWNER = np.dtype([("node", "<i8"), ("n", "<i4"), ("rare", "<i4")])
 MEETINGS = pa.schema([("meeting", pa.int64()), ("kind", pa.int32()), ("times", pa.int64()), ("node", pa.int64()),
-                      ("rare", pa.int32())])
+                      ("rare", pa.int32()), ("limit", pa.int64())])
 #: The columns of a sketch.
 SKETCHED = [f"s{i}" for i in range(SKETCH)]
 #: Tokens compared at once.
@@ -475,9 +498,8 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
     # 4. signatures that meet across components, as often as linked sets must
     named = nodes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left") \
         .select("node", "n", F.coalesce("label", "node").alias("part"))
-    limit = F.floor((F.col("n") - F.col("rare")) * (100 + join.percent) / join.percent + 1e-9) - F.col("n")
-    met = cut(join.meetings(common).join(named, "node").withColumn("limit", limit)
-              .withColumn("w", F.sum("times").over(Window.partitionBy("node"))))
+    met = cut(join.meetings(common).join(named, "node").withColumn(
+        "w", F.sum("times").over(Window.partitionBy("node"))))
     # of a meeting's nodes the one that meets others most often is likely to link with most of them: each other node
     # is verified against the best of its meetings' centres first, so that families become one part
     centre = met.groupBy("meeting", "kind").agg(F.max(F.struct("w", "node", "n", "limit", "part")).alias("c"))
@@ -510,11 +532,10 @@ def linked(join: Join) -> tuple[DataFrame, DataFrame]:
         .where((F.col("kind") == 0) | (x["n"] <= y["limit"]) & (y["n"] <= x["limit"])) \
         .where(x["n"] + y["n"] - differing(x, y) >= 2 * least) \
         .select("a", "b", "kind", "times", F.least(x["often"], y["often"]).alias("often"), least.alias("least"),
-                F.greatest(x["tail"], y["tail"]).alias("tails"), (F.greatest(x["n"], y["n"]) < join.long).alias("short")) \
-        .groupBy("a", "b", "often", "least", "tails", "short") \
-        .agg(F.sum(F.when(F.col("kind") == 0, F.col("times")).otherwise(0)).alias("c1"),
-             F.sum(F.when(F.col("kind") == 1, F.col("times")).otherwise(0)).alias("m")) \
-        .where(meet_bound(F.col("c1"), F.col("m"), F.col("often"), F.col("tails"), F.col("short")) >= F.col("least")) \
+                F.greatest(x["tail"], y["tail"]).alias("tails")) \
+        .groupBy("a", "b", "often", "least", "tails") \
+        .agg(F.sum(F.when(F.col("kind") == 0, F.col("times")).otherwise(0)).alias("c1")) \
+        .where(meet_bound(F.col("c1"), F.col("often"), F.col("tails")) >= F.col("least")) \
         .select("a", "b")
 
     # 5. verification and components
