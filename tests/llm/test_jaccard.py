@@ -205,3 +205,30 @@ def test_texts_of_one_origin_that_do_not_link_are_no_candidates(make_docs, monke
     want = brute(list(range(16)), texts)
     assert sorted(map(tuple, got), key=str) == want and len({c for _, _, c in want}) > 4
     assert asked[-1] <= 8                                     # the pairs that still meet behind folding and centres
+
+
+@pytest.mark.parametrize("long", [64, 512])
+def test_first_common_pair_bounds_the_partner(long):
+    """Of linked short sets without common rare tokens, the first pair of common tokens is in both, within both limits."""
+    r = np.random.default_rng(long)
+    met = tight = 0
+    for _ in range(600):
+        n = int(r.integers(8, long))
+        world = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        x = np.unique(world[:n][r.random(n) > 0.07])
+        y = np.unique(np.concatenate([world[:n][r.random(n) > 0.07], world[n:n + int(r.integers(0, 2 + n // 16))]]))
+        if len(x) < 2 or len(y) < 2 or not linked(x, y):
+            continue
+        both = np.intersect1d(x, y)
+        (_, cx, bx), (_, cy, by) = (jaccard.signed(s, np.isin(s, both), 75, long) for s in (x, y))
+        limits = []
+        for s, own, before, other in ((x, cx, bx, y), (y, cy, by, x)):
+            if not len(own):
+                break
+            at = np.flatnonzero(own == jaccard.combinations(both[:2])[0])
+            assert len(at) == 1 and (np.diff(own.astype(object)) > 0).all()
+            limits.append(jaccard.size_limit(len(s), int(before[at[0]]), 75))
+            assert len(other) <= limits[-1] and before.max() >= before[at[0]]
+            tight += int((jaccard.size_limit(len(s), before, 75) < len(other)).any())
+        met += len(limits) == 2
+    assert met > 100 and tight > 50
