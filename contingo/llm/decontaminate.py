@@ -241,22 +241,29 @@ def item_blocks(benchmark: DataFrame, id_col: str, text: str, most: int = BLOCK_
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-               item_text: str = "text", prefix: str = "hit", width: int = WINDOW) -> DataFrame:
+               item_text: str = "text", prefix: str = "hit", width: int = WINDOW, remove: bool = False) -> DataFrame:
     """The documents with three more columns: <prefix>_words (number of words), <prefix>_spans (merged word
     spans, first and last inclusive) and <prefix>_items (sorted item ids as strings). Columns of these names are
-    replaced."""
+    replaced. With ``remove`` instead the documents with the spans cut out of their texts, columns as before; the
+    last block's search does that, as a Python step of its own would keep a second worker for each core."""
     names = [f"{prefix}_words", f"{prefix}_spans", f"{prefix}_items"]
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()),
                            T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))])
-    at, n = docs.columns.index(text), len(docs.columns)
+    names_before, docs_schema = docs.columns, docs.schema
+    at, n = names_before.index(text), len(names_before)
     spark = docs.sparkSession
     small_batches(spark, 4000)
     out = None
-    for items in item_blocks(benchmark, item_id, item_text):
+    blocks = item_blocks(benchmark, item_id, item_text)
+    following = next(blocks)                              # there is at least one
+    while following is not None:
+        items, following = following, next(blocks, None)
         shared = spark.sparkContext.broadcast(items)      # at most BLOCK_BYTES, or one item
+        cutting = remove and following is None
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=out is not None) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=out is not None,
+                cutting=cutting) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(shared.value, width)
             for batch in batches:
                 found = search_shard(phrases, texts(batch.column(at)))
@@ -266,13 +273,19 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                     items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column(n + 2).to_pylist(), found)]
                 else:
                     spans, items = [f[1] for f in found], [f[2] for f in found]
+                if cutting:
+                    new = [None if t is None else remove_spans(t, s) for t, s in zip(texts(batch.column(at)), spans)]
+                    columns = list(batch.columns[:n])
+                    columns[at] = pa.array(new, type=pa.binary()).cast(batch.schema.types[at])
+                    yield pa.RecordBatch.from_arrays(columns, names_before)
+                    continue
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:n], pa.array([f[0] for f in found], type=pa.int64()),
                      pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], type=kind),
                      pa.array(items, type=pa.list_(pa.string()))], schema.names)
 
-        out = (docs if out is None else cut(out)).mapInArrow(run, schema)
+        out = (docs if out is None else cut(out)).mapInArrow(run, docs_schema if cutting else schema)
     return out
 
 
@@ -281,20 +294,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
     free = "hit"
     while any(c.lower().startswith(free) for c in docs.columns):
         free += "_"
-    found = find_spans(docs, benchmark, text, prefix=free, **options)
-    names = docs.columns
-    at, n = names.index(text), len(names)
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(n + 1).to_pylist()
-            new = [None if t is None else remove_spans(t, [(x["first"], x["last"]) for x in s])
-                   for t, s in zip(texts(batch.column(at)), spans)]
-            columns = list(batch.columns[:n])
-            columns[at] = pa.array(new, type=pa.binary()).cast(batch.schema.types[at])
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return found.mapInArrow(cut_out, docs.schema)
+    return find_spans(docs, benchmark, text, prefix=free, remove=True, **options)
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -81,3 +81,16 @@ def test_empty_tables(spark, make_docs):
     docs = make_docs(EDGE_TEXTS, EDGE_IDS)
     assert [r.text for r in d.decontaminate(docs, none).collect()] == [r.text for r in docs.collect()]
     assert d.decontaminate(make_docs([]), none).count() == 0
+
+
+def test_removal_is_part_of_the_search(spark, make_docs, monkeypatch):
+    """A second Python step would keep a second worker for each core of an executor."""
+    items = [(i, " ".join(prose(i, 25, 60))) for i in range(6)]
+    docs = make_docs([" ".join(prose(i % 6, 25, 60) + prose(50 + i, 20, 60)) for i in range(8)] + [None], **CLASHES)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = d.decontaminate(docs, bench)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    one = sorted(map(str, out.collect()))
+    assert all(" ".join(prose(i % 6, 25, 60)) not in r.text for i, r in enumerate(sorted(out.collect(), key=lambda r: r.doc_id)[:8]))
+    monkeypatch.setattr(d, "BLOCK_BYTES", 150)
+    assert sorted(map(str, d.decontaminate(docs, bench).collect())) == one and out.columns == docs.columns
