@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contingo.llm.cluster import small_batches
+from contingo.llm.cluster import lean, small_batches
 from contingo.llm.pretoken import IdCache, batches_of, encode_texts, ragged
 from contingo.llm.words import texts
 
@@ -276,7 +276,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, "
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, "
                                 "round_trip boolean" + ", ids binary" * keep_ids)
 
 

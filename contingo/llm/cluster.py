@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system (glibc keeps it for later otherwise)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The step of ``mapInArrow``, before and after which a worker gives back what it has freed: workers live on from task
+    to task and from operator to operator, and what each has kept counts together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
     return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
@@ -99,7 +121,7 @@ def member_filter(keys: DataFrame, expected: int, keys_of: Callable[[pa.Array],
 
     few = max(1, min(16, keys.sparkSession.sparkContext.defaultParallelism))
     out = bytearray(bits // 8)
-    for r in keys.coalesce(few).mapInArrow(place, "part int, bits binary").groupBy("part") \
+    for r in keys.coalesce(few).mapInArrow(lean(place), "part int, bits binary").groupBy("part") \
             .applyInArrow(join, "part int, bits binary").toLocalIterator():
         out[r.part * part_bytes:(r.part + 1) * part_bytes] = r.bits
     return bytes(out)

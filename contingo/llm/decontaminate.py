@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.llm.cluster import cut, small_batches
+from contingo.llm.cluster import cut, lean, small_batches
 from contingo.llm.pretoken import ragged
 from contingo.llm.words import ALNUM, alnum_words, texts
 
@@ -285,7 +285,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                      pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], type=kind),
                      pa.array(items, type=pa.list_(pa.string()))], schema.names)
 
-        out = (docs if out is None else cut(out)).mapInArrow(run, docs_schema if cutting else schema)
+        out = (docs if out is None else cut(out)).mapInArrow(lean(run), docs_schema if cutting else schema)
     return out
 
 

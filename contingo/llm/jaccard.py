@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contingo.llm.cluster import components, cut, free_name, in_filter, member_filter, small_batches
+from contingo.llm.cluster import components, cut, free_name, in_filter, lean, member_filter, small_batches
 from contingo.llm.pretoken import batches_of, ragged
 from contingo.llm.words import mix, shingle_sets, texts
 
@@ -241,7 +241,7 @@ class Join:
                      *(pa.array(column) for column in sketches.T.copy())],
                     ["doc_id", "n", "node", "check", "low", *SKETCHED])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, node long, check long, low array<long>, "
+        return self.docs.mapInArrow(lean(run), "doc_id long, n long, node long, check long, low array<long>, "
                                     + ", ".join(f"{s} long" for s in SKETCHED))
 
     def packed(self, skip: bytes | None, frequent: bytes | None) -> DataFrame:
@@ -310,7 +310,7 @@ class Join:
                         [pa.array(c, type=t) for c, t in zip(zip(*rows), types)],
                         ["bucket", "kind", "counts", "low", "owners", "before", "nodes"])
 
-        return self.docs.mapInArrow(run, "bucket int, kind int, counts binary, low binary, owners binary, before binary, "
+        return self.docs.mapInArrow(lean(run), "bucket int, kind int, counts binary, low binary, owners binary, before binary, "
                                     "nodes binary")
 
     def frequent_tokens(self, skip: bytes) -> DataFrame:
@@ -401,7 +401,7 @@ class Join:
 
         placed = pairs.select("a", "b", (at("a") * side + at("b")).alias("cell"))
         places = placed.select(F.explode(F.array("a", "b")).alias("node"), F.col("cell").alias("place")).distinct()
-        sets = places.join(self.docs.mapInArrow(wanted, "node long, tokens binary"), "node").select("place", "node", "tokens")
+        sets = places.join(self.docs.mapInArrow(lean(wanted), "node long, tokens binary"), "node").select("place", "node", "tokens")
 
         def check(left: pa.Table, right: pa.Table) -> pa.Table:
             # documents with equal sets may bring a set more than once
@@ -572,7 +572,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
             own = [fingerprint(s)[0] for s in doc_sets(batch, width, at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int64())], [*schema.names, node])
 
-    marked = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(node, T.LongType())]))
+    marked = docs.mapInArrow(lean(run), T.StructType([*schema.fields, T.StructField(node, T.LongType())]))
     empty = marked.where(F.col(node) == 0).drop(node)
     full = marked.where(F.col(node) != 0).join(
         keep, (F.col(node) == F.col(keep_node)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)), "left_semi")

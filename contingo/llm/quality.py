@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contingo.llm.cluster import small_batches
+from contingo.llm.cluster import lean, small_batches
 from contingo.llm.words import SPACES, texts, window_hashes, word_hashes
 
 #: Rows of the cost and selectivity sample, at most about so many.
@@ -142,7 +142,7 @@ def cascade(docs: DataFrame, text: str = "text", order: list[str] | None = None)
             yield batch.filter(pa.array([first_rejection(Measures(t), order) is None for t in texts(batch.column(at))],
                                         type=pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: list[str] | None = None) -> DataFrame:
