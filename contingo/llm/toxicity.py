@@ -48,6 +48,11 @@ BLOCK = 64
 OFTEN = 200
 #: Postings added up before the k-th sum is first known, and the share of it that the terms left out may add.
 FIRST_POSTINGS, LEFT = 15_000, 0.4
+#: An example that holds a term, and the term's weight there. Of terms with fewer postings these are taken one by one.
+POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
+FEW = 64
+#: Vectors whose terms left out are bounded together.
+TOGETHER = 64
 #: Emphasis of a term that says nothing about toxicity, and rows that its ratio is shrunk by.
 FLOOR, SHRINK = 0.02, 5.0
 #: Bytes of texts whose words are looked up at once.
@@ -118,6 +123,10 @@ def joined(starts: np.ndarray, size: np.ndarray, *arrays: np.ndarray) -> list[np
     return [np.concatenate([x[s] for s in stretches]) if stretches else x[:0] for x in arrays]
 
 
+def kth(sums: np.ndarray, k: int) -> float:
+    return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
+
+
 def by_value(x: np.ndarray) -> np.ndarray:
     """The stable order of fewer than 2^31 values from 0 to 2^31 - 1, by halves of 16 bits (both sorted by radix)."""
     order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
@@ -140,29 +149,44 @@ class BlockMaxIndex:
         return out
 
     def build(self, starts: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        self.starts, self.term, self.own = starts, term, weight
         self.n, self.blocks = len(starts) - 1, -(-(len(starts) - 1) // BLOCK)
         self.n_terms = int(term.max()) + 1 if len(term) else 0
         self.size = np.bincount(term, minlength=self.n_terms)
         self.start = np.cumsum(self.size) - self.size
+        often = np.flatnonzero(self.size > self.n / OFTEN)
+        self.row = np.full(self.n_terms, -1, dtype=np.int32)                       # of a frequent term
+        self.row[often] = np.arange(len(often))
+        frequent = self.row[term] >= 0
+        late = np.flatnonzero(frequent[1:] & ~frequent[:-1]) + 1
+        if not np.isin(late, starts).all():                                        # frequent ones come first
+            order = np.lexsort((~frequent, np.repeat(np.arange(self.n), np.diff(starts))))
+            term, weight, frequent = term[order], weight[order], frequent[order]
+        self.starts, self.term, self.own = starts, term, weight
+        self.often_held = np.zeros(self.n, dtype=np.int64)                         # frequent terms of each example
+        held = np.flatnonzero(np.diff(starts))
+        if len(held):
+            self.often_held[held] = np.add.reduceat(frequent, starts[held], dtype=np.int64)
+        del frequent, late
         order = by_value(term)
-        self.weight = weight[order]                                         # by term
-        self.example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order]
+        by_weight = weight[order]
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order]
         del order
+        both = np.empty(len(example), dtype=POSTING)                         # by term
+        both["example"], both["weight"] = example, by_weight
+        self.posting = both.view(np.int64)                                   # plain numbers are joined faster
+        del example
         self.largest = np.zeros(self.n_terms, dtype=np.float32)
         held = self.size > 0
         if held.any():
-            self.largest[held] = np.maximum.reduceat(self.weight, self.start[held])
-        often = np.flatnonzero(self.size > self.n / OFTEN)
-        self.row = np.full(self.n_terms, -1, dtype=np.int32)                       # of a frequent term
-        self.row[often] = np.arange(len(often))
+            self.largest[held] = np.maximum.reduceat(by_weight, self.start[held])
+        del by_weight
         self.most = np.zeros((len(often), self.blocks), dtype=np.float32)          # its largest weight in each block
         for i in range(0, len(often), 64):
             some = often[i:i + 64]
-            example, weight = joined(self.start[some], self.size[some], self.example, self.weight)
-            cell = np.repeat(np.arange(len(some)), self.size[some]) * self.blocks + example // BLOCK
+            own = joined(self.start[some], self.size[some], self.posting)[0].view(POSTING)
+            cell = np.repeat(np.arange(len(some)), self.size[some]) * self.blocks + own["example"] // BLOCK
             new = np.flatnonzero(np.diff(cell, prepend=-1))                        # cells ascend
-            self.most[i:i + 64].reshape(-1)[cell[new]] = np.maximum.reduceat(weight, new)
+            self.most[i:i + 64].reshape(-1)[cell[new]] = np.maximum.reduceat(own["weight"], new)
         self.firsts = np.arange(0, self.n, BLOCK)
         self.usual = self.largest.copy()
         if self.blocks:
@@ -172,72 +196,108 @@ class BlockMaxIndex:
     def added(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What these terms add to each example's cosine."""
         size = self.size[term]
-        example, weight = joined(self.start[term], size, self.example, self.weight)
-        return np.bincount(example, weight * np.repeat(w.astype(np.float32), size),
-                           minlength=self.n).astype(float, copy=False)
+        few = size < FEW
+        many = ~few
+        own = np.concatenate([*joined(self.start[term[many]], size[many], self.posting),
+                              self.posting[ragged(self.start[term[few]], size[few])]]).view(POSTING)
+        w = np.concatenate([np.repeat(w[many].astype(np.float32), size[many]), np.repeat(w[few].astype(np.float32), size[few])])
+        return np.bincount(own["example"], own["weight"] * w, minlength=self.n).astype(float, copy=False)
 
     def search(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int,
                without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosines (ties: the first), best first, and the cosines."""
+        return self.search_all([vector], k, [without])[0]
+
+    def search_all(self, vectors: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``search`` of each vector (without the example of that number); the terms left out are bounded for
+        TOGETHER of them at once."""
+        without, out = without or [-1] * len(vectors), []
+        for first in range(0, len(vectors), TOGETHER):
+            some, leave = vectors[first:first + TOGETHER], without[first:first + TOGETHER]
+            summed = [self.summed(v, k, w) for v, w in zip(some, leave)]
+            rows = [self.row[term] for term, _, _ in summed]
+            every = np.flatnonzero(np.bincount(np.concatenate(rows)))
+            share = np.zeros((len(some), len(every)), dtype=np.float32)
+            for i, (row, (_, own, _)) in enumerate(zip(rows, summed)):
+                share[i, np.searchsorted(every, row)] = own
+            for (rest, own, sums), w, more in zip(summed, leave, share @ self.most[every]):
+                out.append(self.visited(rest, own, sums, more, k, w))
+        return out
+
+    def summed(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int,
+               without: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The frequent terms that are left out, their weights, and what the others add to each example's cosine."""
         if isinstance(vector, dict):
             vector = np.array(list(vector), dtype=np.int64), np.array(list(vector.values()), dtype=float)
         known = vector[0] < self.n_terms
         term, w = vector[0][known], vector[1][known]
-        best_e, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(term):
-            return best_e, best_s
-
-        def kth(sums: np.ndarray) -> float:
-            return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
-
-        def low_kth(sums: np.ndarray) -> float:
-            """The k-th of the blocks' largest sums, which is no larger than the k-th sum."""
-            return kth(np.maximum.reduceat(sums, self.firsts)) if self.blocks >= 4 * k else kth(sums)
-
+            return term, w, np.zeros(self.n)
         # terms that can add most come first; what the others can add together must stay well below the k-th sum
-        most = w * self.largest[term]
-        order = np.argsort(-most, kind="stable")
-        first = 1 + int(np.searchsorted(np.cumsum(self.size[term[order]]), FIRST_POSTINGS))
+        size = self.size[term]
+        order = np.argsort(-(w * self.largest[term]), kind="stable")
+        first = 1 + int(np.searchsorted(np.cumsum(size[order]), FIRST_POSTINGS))
         sums = self.added(term[order[:first]], w[order[:first]])
         if 0 <= without < self.n:
             sums[without] = 0
         order = order[first:]
         usual = w[order] * self.usual[term[order]]
-        order = order[np.argsort(usual / self.size[term[order]], kind="stable")]
-        left = int(np.searchsorted(np.cumsum(w[order] * self.usual[term[order]]), LEFT * low_kth(sums)))
-        rest, order = order[:left], order[left:]
+        ascending = np.argsort(usual / size[order], kind="stable")
+        order = order[ascending]
+        left = int(np.searchsorted(np.cumsum(usual[ascending]), LEFT * self.low_kth(sums, k)))
+        frequent = self.row[term[order]] >= 0
+        frequent[left:] = False
+        rest, order = order[frequent], order[~frequent]
         if len(order):
             sums += self.added(term[order], w[order])
             if 0 <= without < self.n:
                 sums[without] = 0
-        least = kth(sums[sums >= low_kth(sums)]) * (1 - 1e-5)
-        row, own = self.row[term[rest]], w[rest]
-        common = row >= 0
-        more = own[common].astype(np.float32) @ self.most.take(row[common], axis=0) + most[rest][~common].sum()
-        more = np.minimum(more, np.sqrt(own @ own)) * (1 + 1e-5)
-        bound = sums + np.repeat(more, BLOCK)[:self.n]
+        return term[rest], w[rest], sums
+
+    def low_kth(self, sums: np.ndarray, k: int) -> float:
+        """The k-th of the blocks' largest sums, which is no larger than the k-th sum."""
+        return kth(np.maximum.reduceat(sums, self.firsts) if self.blocks >= 4 * k else sums, k)
+
+    def visited(self, rest: np.ndarray, own: np.ndarray, sums: np.ndarray, more: np.ndarray, k: int,
+                without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best examples, visited in descending order of their bounds: the sums and what the block's largest weights
+        and the norm of the rest allow."""
+        best_e, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if not self.n:
+            return best_e, best_s
+        more = np.minimum(more.astype(float), np.sqrt(own @ own)) * (1 + 1e-5)
+        tops = np.maximum.reduceat(sums, self.firsts)         # of the blocks
+        least = kth(sums[sums >= self.low_kth(sums, k)], k) * (1 - 1e-5)
+        reached = np.flatnonzero((tops + more > 0) & (tops + more >= least))
+        visit = (reached[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+        visit = visit[:np.searchsorted(visit, self.n)]
+        bound = sums[visit] + np.repeat(more[reached], BLOCK)[:len(visit)]
         if 0 <= without < self.n:
-            bound[without] = 0
-        visit = np.flatnonzero((bound > 0) & (bound >= least))
-        visit = visit[np.argsort(-bound[visit], kind="stable")]
-        self.asked[term[rest]] = own
+            bound[visit == without] = 0
+        held_in = np.flatnonzero((bound > 0) & (bound >= least))
+        order = held_in[np.argsort(-bound[held_in], kind="stable")]
+        visit, bound = visit[order], bound[order]
+        self.asked[rest] = own
         done, step = 0, 2 * k
         while done < len(visit):
             if len(best_s) == k:
                 least = max(least, best_s[-1] * (1 - 1e-5))
-            e = visit[done:done + step]
-            e = np.sort(e[bound[e] >= least])
+            end = min(done + step, int(np.searchsorted(-bound, -least, side="right")))
+            e = np.sort(visit[done:end])
             if not len(e):
                 break
             done, step = done + step, 2 * step
-            size = self.starts[e + 1] - self.starts[e]
-            held, weight = joined(self.starts[e], size, self.term, self.own)
-            more = self.asked.take(held) * weight
-            s = sums[e] + np.add.reduceat(more.astype(float), np.cumsum(size) - size)      # no example is empty
+            s = sums[e]
+            some = np.flatnonzero(self.often_held[e]) if len(rest) else e[:0]
+            if len(some):                                    # what is left out is among an example's frequent terms
+                size = self.often_held[e[some]]
+                held, weight = joined(self.starts[e[some]], size, self.term, self.own)
+                more = self.asked.take(held) * weight
+                s[some] += np.add.reduceat(more.astype(float), np.cumsum(size) - size)
             e, s = np.concatenate([best_e, e[s > 0]]), np.concatenate([best_s, s[s > 0]])
             order = np.lexsort((e, -s))[:k]
             best_e, best_s = e[order], s[order]
-        self.asked[term[rest]] = 0
+        self.asked[rest] = 0
         return best_e, best_s
 
 
@@ -293,28 +353,32 @@ class Model:
         self.none = (no_term[0] + 0.5) / (no_term[1] + 1)
         self.index: BlockMaxIndex | None = None
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]],
+                without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         if self.index is None:                               # each worker turns the examples round once
             self.index = BlockMaxIndex.packed(self.starts, self.term, self.weight)
-        return self.index.search(vector, NEIGHBOURS, without)
+        return self.index.search_all(vectors, NEIGHBOURS, without)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         return float(((cosines * self.labels[found]).sum() + PRIOR * self.rate) / (cosines.sum() + PRIOR))
 
-    def own_vote(self, i: int) -> float:
-        """Example i's vote without itself."""
-        at = slice(self.starts[i], self.starts[i + 1])
-        return self.vote(*self.nearest((self.term[at].astype(np.int64), self.weight[at].astype(float)), i))
+    def own_votes(self, some: list[int]) -> list[float]:
+        """The votes of these examples, each without itself."""
+        at = [slice(self.starts[i], self.starts[i + 1]) for i in some]
+        return [self.vote(*x) for x in self.nearest(
+            [(self.term[a].astype(np.int64), self.weight[a].astype(float)) for a in at], some)]
 
-    def score(self, vector: tuple[np.ndarray, np.ndarray], knots: np.ndarray,
-              rates: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score, the nearest examples and their cosines."""
-        found, cosines = self.nearest(vector)
-        if not len(found):
-            return self.none, found, cosines
-        vote = self.vote(found, cosines)
-        rate = float(np.interp(vote, knots, rates))
-        return 0.98 * rate + 0.02 * vote, found, cosines
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], knots: np.ndarray,
+               rates: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector: the score, the nearest examples and their cosines."""
+        out = []
+        for found, cosines in self.nearest(vectors):
+            score = self.none
+            if len(found):
+                vote = self.vote(found, cosines)
+                score = 0.98 * float(np.interp(vote, knots, rates)) + 0.02 * vote
+            out.append((score, found, cosines))
+        return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 3, held: int = 1) -> Model:
@@ -376,7 +440,7 @@ def calibrate(spark: SparkSession, shared: Broadcast, model: Model) -> tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shared.value.own_vote(i) for i in batch.column(0).to_pylist()],
+                [batch.column(0), pa.array(shared.value.own_votes(batch.column(0).to_pylist()),
                                            type=pa.float64())], ["id", "vote"])
 
     parts = max(1, min(spark.sparkContext.defaultParallelism, n // 200))
@@ -399,7 +463,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
         model = shared.value
         for batch in batches:
             every = texts(batch.column(1))
-            found = [model.score(v, knots, rates) for run in runs(every) for v in model.words.vectors(every[run])]
+            found = [x for run in runs(every) for x in model.scores(model.words.vectors(every[run]), knots, rates)]
             ids = batch.column(0)
             held_out = [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids.to_pylist()]
             ends = np.cumsum([0] + [len(e) for _, e, _ in found]).astype(np.int32)

@@ -149,3 +149,29 @@ def test_index_of_terms_in_any_numbers_and_stretches_joined():
     index = t.BlockMaxIndex([{7: 1.0}, {900: 0.6, 7: 0.8}])              # numbers between them that no example has
     e, s = index.search({900: 1.0}, 2)
     assert e.tolist() == [1] and np.allclose(s, 0.6)
+
+
+def test_vectors_searched_together_equal_those_searched_alone(monkeypatch):
+    """Frequent terms have the largest numbers and come last in the vectors; the index puts them first."""
+    monkeypatch.setattr(t, "FIRST_POSTINGS", 40)
+    monkeypatch.setattr(t, "BLOCK", 16)
+    monkeypatch.setattr(t, "OFTEN", 8)
+    monkeypatch.setattr(t, "TOGETHER", 7)
+    r = random.Random(9)
+    vectors = []
+    for _ in range(500):
+        v = {299 - min(299, int(r.expovariate(0.03))): r.random() ** 6 + 1e-3 for _ in range(r.randrange(1, 30))}
+        norm = sum(w * w for w in v.values()) ** 0.5
+        vectors.append({k: float(np.float32(v[k] / norm)) for k in sorted(v)})
+    index = t.BlockMaxIndex(vectors)
+    assert 0 < (index.row >= 0).sum() < 60 and (index.often_held > 0).any()
+    asked = [*vectors[:40], {}, {9999: 1.0}]
+    without = [i if i % 2 else -1 for i in range(len(asked))]
+    for (e, s), q, w in zip(index.search_all(asked, 10, without), asked, without):
+        sims = brute(vectors, q)
+        if w >= 0:
+            sims[w] = 0
+        assert np.allclose(s, np.sort(sims[sims > 0])[::-1][:10], atol=1e-5) and np.allclose(sims[e], s, atol=1e-5)
+        alone, cosines = index.search(q, 10, w)
+        assert np.array_equal(e, alone) and np.allclose(s, cosines, atol=1e-6)
+    assert index.search_all([], 10) == [] and t.BlockMaxIndex([]).search_all([{1: 1.0}], 3)[0][0].tolist() == []
